@@ -27,11 +27,35 @@ def mean(values: Column) -> Column:
 
 
 def std_pop(values: Column) -> Column:
-    """Two-pass population deviation, exactly zero on a constant array."""
-    centre = mean(values)
-    low, high = F.array_min(values), F.array_max(values)
-    spread = total(F.transform(values, lambda x: (x - centre) * (x - centre))) / F.size(values)
-    return F.when(low == high, F.lit(0.0)).otherwise(F.sqrt(spread))
+    """Running population deviation in one pass, exactly zero on a constant array.
+
+    The array expression is evaluated once; a mean referenced inside a lambda would be
+    recomputed for every element.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        m = acc["m"] + (x - acc["m"]) / n
+        return F.struct(n.alias("n"), m.alias("m"),
+                        (acc["s"] + (x - acc["m"]) * (x - m)).alias("s"))
+
+    return F.aggregate(values, zero, step, lambda acc: F.sqrt(acc["s"] / acc["n"]))
+
+
+def beta(own: Column, driver: Column) -> Column:
+    """Population covariance over variance of two arrays in one pass; null at zero variance."""
+    pairs = F.arrays_zip(own.alias("x"), driver.alias("y"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "c", "v")])
+
+    def step(acc: Column, p: Column) -> Column:
+        n = acc["n"] + 1
+        mx, my = acc["mx"] + (p["x"] - acc["mx"]) / n, acc["my"] + (p["y"] - acc["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"),
+                        (acc["c"] + (p["x"] - mx) * (p["y"] - acc["my"])).alias("c"),
+                        (acc["v"] + (p["y"] - my) * (p["y"] - acc["my"])).alias("v"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: F.try_divide(acc["c"], acc["v"]))
 
 
 def max_drawdown(spot: Column, closes: Column) -> Column:

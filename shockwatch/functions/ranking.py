@@ -65,5 +65,6 @@ def rank_scores(pairs: DataFrame, keys: Sequence[str], predicted: str = "p", act
         F.bool_or("_wa_crosses").alias("actual_crosses"),
         F.when(flat_p & flat_a, "constant_prediction_and_actual").when(
             flat_p, "constant_prediction").when(flat_a, "constant_actual").alias("reason"),
-        F.when(~flat_p & ~flat_a, F.greatest(F.least(F.corr("_rp", "_ra"), F.lit(1.0)),
-                                             F.lit(-1.0))).alias("spearman"))
+        F.when(~flat_p & ~flat_a, F.greatest(F.least(F.try_divide(
+            F.covar_pop("_rp", "_ra"), F.stddev_pop("_rp") * F.stddev_pop("_ra")), F.lit(1.0)),
+            F.lit(-1.0))).alias("spearman"))

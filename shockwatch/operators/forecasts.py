@@ -17,20 +17,6 @@ FORECAST_SCHEMA = ("universe string, t0 bigint, asset string, method string, pat
                    "spot double, closes array<double>, error string")
 
 
-def _sum(values: Column) -> Column:
-    return paths.total(values)
-
-
-def beta(own: Column, driver: Column) -> Column:
-    """Population covariance over variance of two return arrays; null at zero variance."""
-    n = F.size(driver)
-    mo, md = _sum(own) / n, _sum(driver) / n
-    cov = _sum(F.zip_with(own, driver, lambda x, y: (x - mo) * (y - md)))
-    var = _sum(F.transform(driver, lambda y: (y - md) * (y - md)))
-    flat = F.array_min(driver) == F.array_max(driver)
-    return F.when(~flat, cov / var)
-
-
 def baseline_paths(windows: DataFrame, origins: DataFrame, assets: DataFrame) -> DataFrame:
     """historical_30, no_propagation and driver_beta for every (window, asset).
 
@@ -48,7 +34,7 @@ def baseline_paths(windows: DataFrame, origins: DataFrame, assets: DataFrame) ->
     replayed = paths.replay(F.col("spot"), tail(F.col("r")))
     full = (own.join(driver, ["universe", "t0"])
             .join(origins.select("universe", "t0", "origins"), ["universe", "t0"])
-            .withColumn("beta", beta(F.col("r"), F.col("rd")))
+            .withColumn("beta", paths.beta(F.col("r"), F.col("rd")))
             .withColumn("h30", replayed))
     driven = paths.replay(F.col("spot"),
                           F.transform(tail(F.col("rd")), lambda x: x * F.col("beta")))

@@ -51,7 +51,7 @@ def score_events(pairs: DataFrame, usable: DataFrame) -> DataFrame:
     grid = usable.withColumn("metric", F.explode(F.array(F.lit("max_drawdown"),
                                                          F.lit("volatility"))))
     return (grid.join(scores, [*keys, "metric"], "left")
-            .withColumn("status", F.when("usable", "scored").otherwise("failed"))
+            .withColumn("status", F.when(F.col("usable"), "scored").otherwise("failed"))
             .drop("usable"))
 
 

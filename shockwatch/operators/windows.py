@@ -35,8 +35,9 @@ def evenly_spaced(candidates: DataFrame, keys, order, count: int) -> DataFrame:
     pos = F.col("_pos")
     # Position p is chosen when some i maps to it: i = ceil(p (count-1) / (n-1)) is the only one
     # that can, because the mapping is monotone with steps of at least one.
-    i = F.ceil(pos * (count - 1) / (F.col("_n") - 1))
-    hit = F.floor(i * (F.col("_n") - 1) / (count - 1)) == pos
+    steps = F.greatest(F.col("_n") - 1, F.lit(1))
+    i = F.ceil(pos * (count - 1) / steps)
+    hit = F.floor(i * steps / (count - 1)) == pos
     return (candidates.withColumn("_pos", F.row_number().over(w.orderBy(*order)) - 1)
             .withColumn("_n", F.count("*").over(w))
             .filter((F.col("_n") <= count) | hit).drop("_pos", "_n"))

@@ -40,12 +40,18 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(tick_rows: DataFrame) -> DataFrame:
-    """Partial aggregation of ticks to OHLCVA cells; all buffers are primitive, so the hash
-    aggregate stays in codegen and only one row per (asset, cell, task) is shuffled."""
-    return (tick_rows.filter("price > 0")
+    """Partial aggregation of ticks to OHLCVA cells.
+
+    The order of ticks, (seq, price), is packed into one decimal: a struct would force the sort
+    aggregate, while every buffer here fits the hash aggregate, and only one row per (asset,
+    cell, task) is shuffled.
+    """
+    place = (F.col("seq").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")
+             + F.round(F.col("price") * 1e6).cast("decimal(17,0)"))
+    return (tick_rows.filter("price > 0").withColumn("place", place)
             .groupBy("universe", "asset", "cell")
-            .agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
+            .agg(F.min_by("price", "place").alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
                  F.sum("volume").alias("volume"), F.sum("amount").alias("amount")))
 
 
