@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import core  # noqa: F401
+from . import after, core, graphs  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
