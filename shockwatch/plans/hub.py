@@ -135,13 +135,14 @@ class Hub:
         def build() -> DataFrame:
             w = self.rolling_windows
             truth = windows.truth_risk(w).withColumnsRenamed({"mdd": "a_mdd", "vol": "a_vol"})
-            model = forecasts.path_risk(mirror(w)).withColumnsRenamed(
-                {"mdd": "m_mdd", "vol": "m_vol"}).select("universe", "t0", "asset", "m_mdd",
-                                                         "m_vol")
+            model = forecasts.path_risk(mirror(w)).select(
+                "universe", "t0", "asset", F.col("mdd").alias("m_mdd"), F.col("vol").alias("m_vol"),
+                paths.terminal_return(F.col("spot"), F.col("closes")).alias("m_ret"))
             spot, r = F.element_at("hist", -1), paths.log_returns(F.col("hist"))
             past = F.slice("hist", -31, 31)
             stamps = self.bars.select("universe", "asset", F.col("idx").alias("t0"), "ts")
             return (w.select("universe", "t0", "asset", spot.alias("spot"),
+                             (F.element_at("fut", -1) / spot - 1).alias("a_ret"),
                              (paths.std_pop(r) * F.sqrt(F.lit(30))).alias("vol255"),
                              (paths.std_pop(paths.log_returns(past)) * F.sqrt(F.lit(30)))
                              .alias("vol30"),

@@ -242,13 +242,13 @@ part("q_rpath", """
        UNION ALL SELECT universe, t0, asset, 0, 0.0, close FROM q_rwin WHERE o = 0)""")
 part("q_rrisk", """
  SELECT universe, t0, asset, method, any_value(spot) spot, max((peak - close) / peak) mdd,
-        CASE WHEN min(lr) = max(lr) THEN 0.0 ELSE stddev_pop(lr) END * sqrt(30) vol
+        arg_max(close, step) / any_value(spot) - 1 ret, CASE WHEN min(lr) = max(lr) THEN 0.0 ELSE stddev_pop(lr) END * sqrt(30) vol
  FROM (SELECT *, max(close) OVER w peak, ln(close) - ln(lag(close) OVER w) lr
        FROM q_rpath WINDOW w AS (PARTITION BY universe, t0, asset, method ORDER BY step))
  GROUP BY universe, t0, asset, method""")
 part("q_roll", """
  SELECT x.universe, x.t0, x.asset, x.spot, v.vol255, p.vol vol30, p.mdd mdd30, m.mdd m_mdd,
-        m.vol m_vol, x.mdd a_mdd, x.vol a_vol, b.ts, a.ordinal, a.tier,
+        m.vol m_vol, x.mdd a_mdd, x.vol a_vol, m.ret m_ret, x.ret a_ret, b.ts, a.ordinal, a.tier,
         strftime(b.ts, '%Y-%m-%d') AS day, CASE WHEN x.universe = 'events'
         THEN strftime(b.ts, '%Y-%m') ELSE strftime(b.ts, '%Y') END period
  FROM (SELECT * FROM q_rrisk WHERE method = 'actual') x
