@@ -150,9 +150,7 @@ def omissions(predicted: DataFrame, actual: DataFrame, assets: DataFrame, limit:
 
 def omission_summary(rows: DataFrame) -> DataFrame:
     """Event omission rates per metric, in either and in both metrics, with missed counts."""
-    per = rows.groupBy("universe", "t0", "metric").agg(F.count_if("missed").alias("c")) \
-        if False else rows.groupBy("universe", "t0", "metric").agg(
-            F.count_if(F.col("missed")).alias("c"))
+    per = rows.groupBy("universe", "t0", "metric").agg(F.count_if(F.col("missed")).alias("c"))
     union = (rows.groupBy("universe", "t0", "asset").agg(F.bool_or("missed").alias("m"))
              .groupBy("universe", "t0").agg(F.count_if(F.col("m")).alias("c")))
     both = per.groupBy("universe", "t0").agg(F.min("c").alias("c"))

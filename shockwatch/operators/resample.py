@@ -47,7 +47,15 @@ def day_bootstrap(rows: DataFrame, keys: Sequence[str], top: Column, bottom: Col
                         (acc["b"] + day["b"]).cast("double").alias("b"))
 
     drawn = F.aggregate(F.sequence(F.lit(0), F.size("_d") - 1), zero, add)
-    return (packed.withColumn("rep", _reps(reps)).withColumn("_s", drawn)
+    # Replicates are spread over tasks in blocks: a handful of keys would be one task's work.
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = -(-reps // width)
+    first = F.col("_block") * size
+    return (packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+            .filter(first < reps).repartition(width, *keys, "_block")
+            .withColumn("rep", F.explode(F.sequence(
+                first, F.least(first + size, F.lit(reps)) - 1)))
+            .withColumn("_s", drawn)
             .select(*keys, "rep", F.size("_d").alias("n_days"),
                     F.try_divide("_s.a", "_s.b").alias("value")))
 

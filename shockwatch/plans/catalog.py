@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import after, compare, core, graphs  # noqa: F401
+from . import after, compare, core, graphs, study  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -76,8 +76,8 @@ SET = """len(list_intersect(actual, chosen))"""
  SELECT universe, t0, strategy, array_to_string(actual, '|') actual, array_to_string(chosen, '|') chosen,
         actual = chosen AS exact, {SET} common, {r(f'{SET} / len(chosen)')} AS precision,
         {r(f'{SET} / len(actual)')} recall, {r(f'{SET} / (len(actual) + len(chosen) - {SET})')} jaccard,
-        array_to_string(list_sort(list_filter(chosen, x -> NOT list_contains(actual, x))), '|') added,
-        array_to_string(list_sort(list_filter(actual, x -> NOT list_contains(chosen, x))), '|') removed FROM q_sets"""))
+        array_to_string(list_sort(list_filter(chosen, lambda x: NOT list_contains(actual, x))), '|') added,
+        array_to_string(list_sort(list_filter(actual, lambda x: NOT list_contains(chosen, x))), '|') removed FROM q_sets"""))
 def w8(h):
     return C.set_scores(C.strategy_sets(h.rolling)).select(
         "universe", "t0", "strategy", F.array_join("actual", "|").alias("actual"),
@@ -101,7 +101,8 @@ def a12(h):
 
 
 @query("a12_selection_counts", sql("""
- SELECT universe, strategy, unnest(chosen) asset, count(*) n FROM q_sets GROUP BY ALL"""))
+ SELECT universe, strategy, asset, count(*) n FROM (SELECT universe, strategy, unnest(chosen) asset FROM q_sets)
+ GROUP BY universe, strategy, asset"""))
 def a12_counts(h):
     return (C.strategy_sets(h.rolling).select("universe", "strategy",
                                               F.explode("chosen").alias("asset"))

@@ -18,6 +18,7 @@ from ..sources import tables
 
 STUDY_K = 3
 MODEL = "mirror"
+DAMPING = 0.8
 METHODS = ("historical_30", "no_propagation", "driver_beta", MODEL)
 ENSEMBLE_PATHS = 10
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -96,7 +97,7 @@ class Hub:
 
     @property
     def forecasts(self) -> DataFrame:
-        """Baseline paths and the mirror model (the last 30 returns replayed backward)."""
+        """Baseline paths and the mirror model."""
         def build() -> DataFrame:
             base = forecasts.baseline_paths(self.windows, self.study, self.assets).drop("beta")
             return base.unionByName(mirror(self.windows))
@@ -158,12 +159,12 @@ class Hub:
 
 
 def mirror(windows_df: DataFrame) -> DataFrame:
-    """Stand-in for a user model: the last 30 returns replayed in reverse order."""
+    """Stand-in for a user model: the last 30 returns, damped, replayed in reverse order."""
     spot = F.element_at("hist", -1)
     recent = F.slice(paths.log_returns(F.col("hist")), -30, 30)
     return windows_df.filter("status <> 'no_history'").select(
         "universe", "t0", "asset", spot.alias("spot"), F.lit(MODEL).alias("method"),
-        paths.replay(spot, F.reverse(recent)).alias("closes"),
+        paths.replay(spot, F.transform(F.reverse(recent), lambda x: x * DAMPING)).alias("closes"),
         F.lit(None).cast("string").alias("error"))
 
 

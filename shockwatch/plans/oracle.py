@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..operators.shocks import K_GRID
-from .hub import MODEL, STUDY_K
+from .hub import DAMPING, MODEL, STUDY_K
 
 PARTS: dict[str, str] = {}
 
@@ -153,7 +153,7 @@ part("q_step", f"""
  JOIN q_win d ON d.universe = w.universe AND d.t0 = w.t0 AND d.asset = a.asset
  WHERE d.o BETWEEN -29 AND 0
  UNION ALL
- SELECT w.universe, w.t0, w.asset, '{MODEL}', 1 - w.o, w.r
+ SELECT w.universe, w.t0, w.asset, '{MODEL}', 1 - w.o, {DAMPING} * w.r
  FROM q_win w WHERE w.o BETWEEN -29 AND 0""")
 part("q_path", """
  SELECT s.universe, s.t0, s.asset, s.method, s.step, p.spot,
@@ -225,7 +225,7 @@ part("q_rwin", """
  SELECT o.universe, o.t0, b.asset, CAST(b.idx - o.t0 AS INT) o, b.close, b.r
  FROM (SELECT universe, unnest(range(255, n - 30, 30)) t0 FROM q_spans) o
  JOIN q_rets b ON b.universe = o.universe AND b.idx BETWEEN o.t0 - 255 AND o.t0 + 30""")
-part("q_rpath", """
+part("q_rpath", f"""
  SELECT universe, t0, asset, 'actual' AS method, o step, close,
         first_value(close) OVER (PARTITION BY universe, t0, asset ORDER BY o) spot
  FROM q_rwin WHERE o BETWEEN 0 AND 30
@@ -236,7 +236,7 @@ part("q_rpath", """
  UNION ALL
  SELECT universe, t0, asset, 'mirror', step, spot * exp(sum(x) OVER (PARTITION BY universe, t0, asset
         ORDER BY step)), spot
- FROM (SELECT w.universe, w.t0, w.asset, 1 - w.o step, w.r x, s.close spot FROM q_rwin w
+ FROM (SELECT w.universe, w.t0, w.asset, 1 - w.o step, {DAMPING} * w.r x, s.close spot FROM q_rwin w
        JOIN q_rwin s ON s.universe = w.universe AND s.t0 = w.t0 AND s.asset = w.asset AND s.o = 0
        WHERE w.o BETWEEN -29 AND 0
        UNION ALL SELECT universe, t0, asset, 0, 0.0, close FROM q_rwin WHERE o = 0)""")
