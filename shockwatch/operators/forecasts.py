@@ -126,7 +126,7 @@ def repair_containment(rows: DataFrame) -> DataFrame:
                                               "close"))
             .withColumn("was_corrected", (high != F.col("high")) | (low != F.col("low")))
             .withColumn("max_adjustment_bps", F.greatest(up, down))
-            .withColumn("high", high).withColumn("low", low))
+            .withColumns({"high": high, "low": low}))
 
 
 def volume_audit(rows: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def strata_weights(days: DataFrame, reps: int = REPLICATES, seed: int = SEED) ->
     """
     strata = days.select("universe", "period", "n_days").distinct()
     wanted = broadcast_if_small(days.select("universe", "period", "day_no").distinct())
-    draws = (strata.withColumn("rep", _reps(reps))
+    width = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = (strata.withColumn("rep", _reps(reps)).repartition(width, "period", "rep")
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_days") - 1)))
              .withColumn("day_no", F.pmod(draw(seed, F.col("period"), F.col("rep"), F.col("i")),
                                           F.col("n_days")).cast("int")))

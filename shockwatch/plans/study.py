@@ -620,12 +620,12 @@ def a4(h):
 
 
 @query("a59_price_fan", sql(f"""
- SELECT universe, t0, asset, step, {r('quantile_cont(close, 0.05)', 4)} p05, {r('quantile_cont(close, 0.5)', 4)} p50,
-        {r('quantile_cont(close, 0.95)', 4)} p95 FROM q_ens GROUP BY universe, t0, asset, step"""))
+ SELECT universe, t0, asset, step, {r('quantile_cont(close / spot, 0.05)')} p05, {r('quantile_cont(close / spot, 0.5)')} p50,
+        {r('quantile_cont(close / spot, 0.95)')} p95 FROM q_ens GROUP BY universe, t0, asset, step"""))
 def a59(h):
-    rows = _ensemble(h).select("universe", "t0", "asset", F.posexplode("closes").alias("s", "close"))
+    rows = _ensemble(h).select("universe", "t0", "asset", "spot", F.posexplode("closes").alias("s", "close"))
     return rows.groupBy("universe", "t0", "asset", (F.col("s") + 1).cast("long").alias("step")).agg(
-        *[rd(F.percentile("close", q), 4).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5),
+        *[rd(F.percentile(F.col("close") / F.col("spot"), q)).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5),
                                                                ("p95", 0.95))])
 
 
@@ -762,8 +762,8 @@ def a60(h):
 
 
 @query("a52_distinct", sql("""
- SELECT universe, count(DISTINCT t0) events, count(DISTINCT day) days, count(DISTINCT period) periods,
-        count(*) - count(DISTINCT t0) duplicates FROM q_study GROUP BY universe"""))
+ SELECT universe, count(DISTINCT t0) AS events, count(DISTINCT day) AS days, count(DISTINCT period) AS periods,
+        count(*) - count(DISTINCT t0) AS duplicates FROM q_study GROUP BY universe"""))
 def a52(h):
     return h.study.groupBy("universe").agg(
         F.count_distinct("t0").alias("events"), F.count_distinct("day").alias("days"),
