@@ -65,12 +65,16 @@ def top_sets(values: DataFrame, keys: Sequence[str], value: str, out: str, k: in
             .groupBy(*keys).agg(F.array_sort(F.collect_list("asset")).alias(out)))
 
 
+def first_origin(rolling: DataFrame) -> DataFrame:
+    """Rows of each universe's first origin."""
+    first = rolling.groupBy("universe").agg(F.min("t0").alias("t0"))
+    return rolling.join(first, ["universe", "t0"])
+
+
 def strategy_sets(rolling: DataFrame) -> DataFrame:
     """Actual top set next to the sets of the model, the past and the first origin's past."""
     keys = ["universe", "t0"]
-    first = Window.partitionBy("universe")
-    frozen = (rolling.withColumn("_first", F.min("t0").over(first)).filter("t0 = _first"))
-    static = top_sets(frozen, keys, "vol30", "static").select("universe", "static")
+    static = top_sets(first_origin(rolling), keys, "vol30", "static").select("universe", "static")
     sets = (top_sets(rolling, keys, "a_vol", "actual")
             .join(top_sets(rolling, keys, "m_vol", "model"), keys)
             .join(top_sets(rolling, keys, "vol30", "past"), keys)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import declared_rank, rank_scores
-from ..session import broadcast_if_small
+from ..session import dimension
 from .quantiles import exact_quantiles
 
 
@@ -31,7 +31,7 @@ def quartile_regimes(rows: DataFrame, keys: Sequence[str], value: str) -> DataFr
     """Number of the linear 25/50/75 cutoffs below each value (ties stay below)."""
     cuts = (exact_quantiles(rows, keys, value, [0.25, 0.5, 0.75])
             .groupBy(*keys).agg(F.collect_list("value").alias("_cuts")))
-    return (rows.join(broadcast_if_small(cuts), list(keys))
+    return (rows.join(dimension(cuts, "quartiles"), list(keys))
             .withColumn("bucket", F.size(F.filter("_cuts", lambda c: F.col(value) > c)))
             .drop("_cuts"))
 
@@ -170,7 +170,7 @@ def amplitude_cases(rows: DataFrame) -> DataFrame:
     p90 = exact_quantiles(hit, keys, "relative", [0.9]).select(*keys, F.col("value").alias("p90"))
     near = F.struct(F.abs(F.col("relative") - F.col("p90")).alias("d"), "t0", "asset")
     big = F.struct((-F.col("relative")).alias("d"), "t0", "asset")
-    return (hit.join(broadcast_if_small(p90), keys).groupBy(*keys)
+    return (hit.join(dimension(p90, "p90"), keys).groupBy(*keys)
             .agg(F.max("p90").alias("p90"), F.min(near).alias("n"), F.min(big).alias("b"))
             .select(*keys, "p90", F.col("n.t0").alias("near_t0"), F.col("n.asset").alias("near_asset"),
                     F.col("b.t0").alias("max_t0"), F.col("b.asset").alias("max_asset"),
@@ -200,15 +200,19 @@ def path_quantiles(rows: DataFrame, keys: Sequence[str], value: str, paths: int)
 def tail_flags(rows: DataFrame, keys: Sequence[str], value: str, q: float = 0.9) -> DataFrame:
     """Flags values at or above the key's linear 90 % quantile; null stays null."""
     cut = exact_quantiles(rows, keys, value, [q]).select(*keys, F.col("value").alias("cutoff"))
-    return (rows.join(broadcast_if_small(cut), list(keys), "left")
+    return (rows.join(dimension(cut, "tail"), list(keys), "left")
             .withColumn("worst", F.col(value) >= F.col("cutoff")))
 
 
 def failure_profile(rows: DataFrame, score: str, fields: Sequence[str], top: int = 10
                     ) -> DataFrame:
     """Share of each field value among the ten worst events and in the whole population."""
-    worst = Window.partitionBy("universe").orderBy(F.desc(score), "t0")
-    ranked = rows.withColumn("_worst", F.row_number().over(worst) <= top)
+    place = F.row_number().over(Window.partitionBy("universe").orderBy(F.desc(score), "t0"))
+    # row_number with a limit keeps only each task's own top rows before the shuffle.
+    first = (rows.select("universe", "t0", score).withColumn("_place", place)
+             .filter(F.col("_place") <= top).select("universe", "t0", F.lit(True).alias("_w")))
+    ranked = (rows.join(dimension(first, "worst"), ["universe", "t0"], "left")
+              .withColumn("_worst", F.coalesce("_w", F.lit(False))))
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label"))
                       for f in fields])
     tall = ranked.withColumn("_c", F.explode(cells)).select("universe", "_worst", "_c.*")

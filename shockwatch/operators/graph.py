@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bandjoin import band_join
+from .quantiles import exact_quantiles
 
 FOLLOW = 30
 KEYS = ("universe",)
@@ -90,9 +91,11 @@ def edge_table(obs: DataFrame, chances: DataFrame, assets: DataFrame) -> DataFra
     """All ordered asset pairs with count, mean delay, median magnitude and follow-up rate."""
     left = assets.select("universe", F.col("asset").alias("source"))
     grid = left.join(assets.select("universe", F.col("asset").alias("target")), "universe")
-    stats = obs.groupBy("universe", "source", "target").agg(
-        F.count("*").alias("n"), F.avg("delay").alias("mean_delay"),
-        F.median("magnitude").alias("median_magnitude"))
+    keys = ["universe", "source", "target"]
+    middle = exact_quantiles(obs, keys, "magnitude", [0.5]).select(
+        *keys, F.col("value").alias("median_magnitude"))
+    stats = obs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("delay").alias("mean_delay")) \
+        .join(middle, keys)
     count = F.coalesce("n", F.lit(0))
     return (grid.join(stats, ["universe", "source", "target"], "left")
             .join(chances, ["universe", "source"], "left")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import dimension
 
 SLICES = 64
 
@@ -24,10 +24,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     keys = list(keys)
     counted = (df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
                .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
-    cuts = broadcast_if_small(df.groupBy(*keys).agg(
+    cuts = dimension(df.groupBy(*keys).agg(
         F.count(value).alias("_n"),
         F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
-        .filter("_n > 0"))
+        .filter("_n > 0"), "cuts")
     place = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     sliced = counted.join(cuts, keys).withColumn("_s", place).drop("_cuts")
     hist = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))

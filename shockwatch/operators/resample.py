@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import dimension
 from . import graph, shocks
 
 SEED = 20260926
@@ -74,7 +74,7 @@ def strata_weights(days: DataFrame, reps: int = REPLICATES, seed: int = SEED) ->
     days without data only matter for the count, so they are dropped right after the draw.
     """
     strata = days.select("universe", "period", "n_days").distinct()
-    wanted = broadcast_if_small(days.select("universe", "period", "day_no").distinct())
+    wanted = dimension(days.select("universe", "period", "day_no").distinct(), "days")
     width = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (strata.withColumn("rep", _reps(reps)).repartition(width, "period", "rep")
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_days") - 1)))

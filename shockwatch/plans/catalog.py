@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import after, compare, core, graphs, io, quality, study  # noqa: F401
+from . import after, compare, core, graphs, io, live, quality, study  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

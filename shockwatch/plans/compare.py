@@ -473,9 +473,7 @@ def f25(h):
  SELECT universe, array_to_string(s, '|') assets FROM (SELECT universe, arg_min(s, t0) s
   FROM ({top2('vol30', 'universe, t0')}) GROUP BY universe)"""))
 def b7(h):
-    first = h.rolling.withColumn("_first", F.min("t0").over(Window.partitionBy("universe"))) \
-        .filter("t0 = _first")
-    return first.withColumn("rk", competition_rank(["universe"], "vol30")).filter("rk <= 2") \
+    return C.first_origin(h.rolling).withColumn("rk", competition_rank(["universe"], "vol30")).filter("rk <= 2") \
         .groupBy("universe").agg(F.array_join(F.array_sort(F.collect_list("asset")), "|")
                                  .alias("assets"))
 

@@ -54,7 +54,7 @@ def g4_common_interval(h):
         {r('high', 8)} AS high, {r('low', 8)} AS low, {r('close', 8)} AS close, {r('volume')} volume,
         {r('amount', 2)} amount, synthetic FROM q_bars"""))
 def u1_dense_bars(h):
-    return h.bars.select("universe", "asset", "idx",
+    return h.bars_once.select("universe", "asset", "idx",
                          F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
                          *[rd(c, 8).alias(c) for c in ("open", "high", "low", "close")],
                          rd("volume").alias("volume"),
@@ -119,10 +119,10 @@ MDD31 = """
  SELECT universe, idx, asset, CAST(rnk AS BIGINT) AS rnk, {r('vol30')} vol30, {r('mdd30')} mdd30,
         {r('ret30')} ret30, CASE WHEN rnk <= 3 THEN 'focused' ELSE 'deferred' END grp,
         COALESCE(rnk = 3 AND tied, FALSE) cutoff_tied FROM f"""))
-def attention_top3(h, bars=None):
+def attention_top3(h):
     """Which assets to check first, at every closed bar: the flagship report."""
     from ..operators.attention import partition_attention
-    snap = features.snapshot(h.bars if bars is None else bars, long_frame=False)
+    snap = features.snapshot(h.bars_once, long_frame=False)
     ranked = partition_attention(snap.filter("vol30 is not null"), limit=3)
     return ranked.select("universe", "idx", "asset", F.col("rank").cast("long").alias("rnk"),
                          rd("vol30").alias("vol30"), rd("mdd30").alias("mdd30"),
@@ -138,7 +138,7 @@ def attention_top3(h, bars=None):
         CASE WHEN base IS NULL THEN 'insufficient_history' WHEN base = 0 THEN 'zero_baseline' END reason
  FROM s"""))
 def volatility_state(h):
-    return features.snapshot(h.bars).select("universe", "asset", "idx", rd("vol255").alias("vol255"),
+    return features.snapshot(h.bars_once).select("universe", "asset", "idx", rd("vol255").alias("vol255"),
                                             rd("ratio").alias("ratio"), "state", "reason")
 
 
@@ -149,7 +149,7 @@ def volatility_state(h):
 def f1_f3_returns(h):
     from ..operators.halo import chunk_window, drop_halo, with_halo
     w = chunk_window(grid.KEYS)
-    rows = drop_halo(with_halo(h.bars, back=30)
+    rows = drop_halo(with_halo(h.bars_once, back=30)
                      .withColumn("r", F.log("close") - F.log(F.lag("close").over(w)))
                      .withColumn("r5", F.log(F.col("close") / F.lag("close", 5).over(w)))
                      .withColumn("ret30", F.col("close") / F.lag("close", 30).over(w) - 1))
@@ -360,5 +360,5 @@ def g12_overlap(h):
  FROM q_bars WINDOW w AS (PARTITION BY universe, asset ORDER BY idx
                           ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
 def g10_volume(h):
-    return grid.observed_volume(h.bars).select("universe", "asset", "idx", "volume_status",
+    return grid.observed_volume(h.bars_once).select("universe", "asset", "idx", "volume_status",
                                                rd("volume_sum", 3).alias("volume_sum"))

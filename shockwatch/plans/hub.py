@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import features, forecasts, grid, scoring, shocks, windows
-from ..session import broadcast_if_small, materialize
+from ..session import MAX_BROADCAST_ROWS, materialize
 from ..sources import tables
 
 STUDY_K = 3
@@ -22,11 +22,13 @@ DAMPING = 0.8
 METHODS = ("historical_30", "no_propagation", "driver_beta", MODEL)
 ENSEMBLE_PATHS = 10
 _stored: dict[tuple[str, str, str], DataFrame] = {}
+_small: dict[tuple[str, str], bool] = {}
 
 
 def clear() -> None:
     """Forget the stored tables (the benchmark does so before each query)."""
     _stored.clear()
+    _small.clear()
 
 
 class Hub:
@@ -55,22 +57,37 @@ class Hub:
         return self._once("extents", lambda: self.cells.groupBy("universe", "asset").agg(
             F.min("cell").alias("first"), F.max("cell").alias("last")))
 
+    def _hint(self, df: DataFrame) -> DataFrame:
+        """Spans and assets have at most one row per stored extent, which is counted once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _small:
+            _small[key] = self.extents.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+        return F.broadcast(df) if _small[key] else df
+
     @property
     def spans(self) -> DataFrame:
-        return broadcast_if_small(self._once("spans", lambda: grid.common_interval(self.extents)))
+        return self._hint(grid.common_interval(self.extents))
 
     @property
     def assets(self) -> DataFrame:
-        return broadcast_if_small(self._once("assets", lambda: grid.ordered_assets(
-            self.extents.select("universe", "asset"))))
+        return self._hint(grid.ordered_assets(self.extents.select("universe", "asset")))
+
+    def _bars(self) -> DataFrame:
+        return tables.stamp(grid.densify(self.cells, self.spans))
 
     @property
     def bars(self) -> DataFrame:
-        return self._once("bars", lambda: tables.stamp(grid.densify(self.cells, self.spans)))
+        return self._once("bars", self._bars)
+
+    @property
+    def bars_once(self) -> DataFrame:
+        """Bars for a plan that reads them once: not written just for that."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "bars")
+        return _stored[key] if key in _stored else self._bars()
 
     @property
     def signal(self) -> DataFrame:
-        return features.shock_signal(self.bars)
+        return features.shock_signal(self.bars_once)
 
     @property
     def triggers(self) -> DataFrame:

@@ -64,6 +64,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast a dimension table only after counting it; beyond the bound join as usual."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+MAX_BROADCAST_ROWS = 50_000
+
+
+def dimension(df: DataFrame, label: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A small side table: written once, counted, and broadcast only within the bound.
+
+    Beyond the bound it joins as any other table. Writing first keeps the count from running
+    the plan behind it twice.
+    """
+    stored = materialize(df, label)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
