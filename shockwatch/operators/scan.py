@@ -23,20 +23,22 @@ def _advance(span: int):
 
 
 def assign_anchors(marks: DataFrame, keys: Sequence[str], span: int, idx: str = "idx",
-                   chunk: int = CHUNK) -> DataFrame:
-    """``keys, idx, anchor``: the kept position that covers each distinct position.
+                   payload: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """``keys, idx, anchor`` and the payload: the kept position that covers each position.
 
     A position is kept (``anchor = idx``) when it is at least ``span`` after the last kept one.
+    With a payload, positions must be unique per key; without, repeats count once.
     """
     if span > chunk:
         raise ValueError("a chunk must be at least as long as the span")
     start = F.col("_c") * F.lit(chunk)
+    cell = F.struct(F.col(idx).cast("long").alias("i"), *[F.col(p) for p in payload])
+    gather = F.collect_list(cell) if payload else F.collect_set(cell)
     packed = (marks.withColumn("_c", F.floor(F.col(idx) / chunk).cast("long"))
-              .groupBy(*keys, "_c")
-              .agg(F.array_sort(F.collect_set(F.col(idx).cast("long"))).alias("_m")))
+              .groupBy(*keys, "_c").agg(F.array_sort(gather).alias("_m")))
 
     def leave(entry: Column) -> Column:
-        free = F.aggregate("_m", start + entry, _advance(span))
+        free = F.aggregate("_m", start + entry, lambda acc, m: _advance(span)(acc, m["i"]))
         return F.greatest(free - start - F.lit(chunk), F.lit(0).cast("long"))
 
     tables = packed.select(*keys, "_c", F.transform(
@@ -57,17 +59,19 @@ def assign_anchors(marks: DataFrame, keys: Sequence[str], span: int, idx: str =
                    "_t", F.expr(f"cast(struct(-2L, 0L, array()) as {state})"), chain,
                    lambda acc: acc["seen"])).alias("_e"))
                .select(*keys, F.col("_e.c").alias("_c"), F.col("_e.e").alias("_entry")))
-    walk = "struct<free: bigint, out: array<struct<idx: bigint, anchor: bigint>>>"
+    walk = "struct<free: bigint, out: array<bigint>>"
 
     def place(acc: Column, mark: Column) -> Column:
-        free = _advance(span)(acc["free"], mark)
-        return F.struct(free.alias("free"), F.concat(acc["out"], F.array(F.struct(
-            mark.alias("idx"), (free - span).alias("anchor")))).alias("out")).cast(walk)
+        free = _advance(span)(acc["free"], mark["i"])
+        return F.struct(free.alias("free"), F.concat(acc["out"], F.array(free - span))
+                        .alias("out")).cast(walk)
 
     first = F.struct((start + F.col("_entry")).alias("free"),
-                     F.expr("cast(array() as array<struct<idx: bigint, anchor: bigint>>)")
-                     .alias("out")).cast(walk)
+                     F.expr("cast(array() as array<bigint>)").alias("out")).cast(walk)
+    anchors = F.aggregate("_m", first, place, lambda acc: acc["out"])
     return (packed.join(entries, [*keys, "_c"])
-            .select(*keys, F.explode(F.aggregate("_m", first, place, lambda acc: acc["out"]))
+            .withColumn("_a", anchors)
+            .select(*keys, F.explode(F.arrays_zip(F.col("_m").alias("m"), F.col("_a").alias("a")))
                     .alias("_p"))
-            .select(*keys, F.col("_p.idx").alias(idx), F.col("_p.anchor").alias("anchor")))
+            .select(*keys, F.col("_p.m.i").alias(idx), *[F.col(f"_p.m.{p}") for p in payload],
+                    F.col("_p.a").alias("anchor")))

@@ -31,12 +31,11 @@ def candidates(signal: DataFrame, grid: Sequence[int] = K_GRID) -> DataFrame:
 
 def triggers(signal: DataFrame, grid: Sequence[int] = K_GRID) -> DataFrame:
     """Candidates that survive the per-asset cooldown."""
-    found = candidates(signal, grid)
-    kept = assign_anchors(found, ("universe", "asset", "k"), COOLDOWN).filter("idx = anchor")
-    return (found.join(kept.drop("anchor"), ["universe", "asset", "k", "idx"])
-            .select("universe", "k", "idx", "ts", "asset",
-                    F.signum("r5").cast("int").alias("direction"),
-                    (F.abs("r5") / F.col("sigma")).alias("magnitude")))
+    kept = assign_anchors(candidates(signal, grid), ("universe", "asset", "k"), COOLDOWN,
+                          payload=("ts", "r5", "sigma"))
+    return kept.filter("idx = anchor").select(
+        "universe", "k", "idx", "ts", "asset", F.signum("r5").cast("int").alias("direction"),
+        (F.abs("r5") / F.col("sigma")).alias("magnitude"))
 
 
 def detector_statistics(signal: DataFrame, retained: DataFrame,
@@ -68,7 +67,8 @@ def systemic_counts(events: DataFrame, retained: DataFrame, keys: Sequence[str],
     return (band_join(events.select(*keys, "t0"),
                       retained.select(*keys, F.col("idx").alias("_t"), "asset"),
                       keys, -back, ahead, "t0", "_t")
-            .groupBy(*keys, "t0").agg(F.count_distinct("asset").alias("systemic_assets")))
+            .groupBy(*keys, "t0")
+            .agg(F.size(F.collect_set("asset")).cast("long").alias("systemic_assets")))
 
 
 def exclusion_reasons(t0, n):

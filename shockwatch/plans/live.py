@@ -20,13 +20,11 @@ STEP_MS = {"events": 3_600_000, "lineitem": 86_400_000, "orders": 86_400_000}
 
 def _tick_stream(h):
     schema = h.table("events").schema
-    place = (F.col("event_id").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")
-             + F.round(F.col("value") * 1e6).cast("decimal(17,0)"))
     return (h.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
             .parquet(h.sf_dir).filter("value > 0")
             .select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"),
                     F.col("value").alias("price"), F.lit(1.0).alias("volume"),
-                    F.col("value").alias("amount"), place.alias("place")))
+                    F.col("value").alias("amount"), F.col("event_id").alias("seq")))
 
 
 def _hourly(h):

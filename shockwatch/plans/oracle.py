@@ -47,14 +47,15 @@ part("q_ticks", """
         value price, 1.0::DOUBLE volume, value amount, event_id seq FROM events
  UNION ALL
  SELECT 'lineitem', l_returnflag || l_linestatus, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT),
-        l_extendedprice / l_quantity, l_quantity, l_extendedprice, l_orderkey * 8 + l_linenumber
+        l_extendedprice / l_quantity, l_quantity, l_extendedprice,
+        (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576
  FROM lineitem
  UNION ALL
  SELECT 'orders', o_orderpriority, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT),
         o_totalprice, 1.0, o_totalprice, o_orderkey FROM orders""")
 part("q_cells", """
- SELECT universe, asset, cell, arg_min(price, (seq, price)) open, max(price) high, min(price) low,
-        arg_max(price, (seq, price)) AS close, sum(volume) volume, sum(amount) amount
+ SELECT universe, asset, cell, arg_min(price, seq) open, max(price) high, min(price) low,
+        arg_max(price, seq) AS close, sum(volume) volume, sum(amount) amount
  FROM q_ticks WHERE price > 0 GROUP BY universe, asset, cell""")
 part("q_extents", """
  SELECT universe, asset, min(cell) c_first, max(cell) c_last FROM q_cells GROUP BY ALL""")

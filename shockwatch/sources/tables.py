@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Line items may repeat a (key, line) pair; the part decides their order inside one long.
+TIE_BREAK = 2**20
 INTERVALS = {"events": 3600, "lineitem": 86400, "orders": 86400}
 
 
@@ -32,7 +34,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _tick(table(spark, sf_dir, "lineitem"), "lineitem",
                   F.concat("l_returnflag", "l_linestatus"), c("l_shipdate"),
                   c("l_extendedprice") / c("l_quantity"), c("l_quantity"),
-                  c("l_extendedprice"), c("l_orderkey") * 8 + c("l_linenumber"))
+                  c("l_extendedprice"), (c("l_orderkey") * 8 + c("l_linenumber")) * TIE_BREAK
+                  + F.pmod("l_partkey", F.lit(TIE_BREAK)))
     orders = _tick(table(spark, sf_dir, "orders"), "orders", c("o_orderpriority"),
                    c("o_orderdate"), c("o_totalprice"), F.lit(1.0), c("o_totalprice"),
                    c("o_orderkey"))
@@ -42,16 +45,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(tick_rows: DataFrame) -> DataFrame:
     """Partial aggregation of ticks to OHLCVA cells.
 
-    The order of ticks, (seq, price), is packed into one decimal: a struct would force the sort
-    aggregate, while every buffer here fits the hash aggregate, and only one row per (asset,
-    cell, task) is shuffled.
+    Ticks are ordered by one long: an ordering struct would force the sort aggregate, while every
+    buffer here is primitive, so the hash aggregate stays in codegen and only one row per
+    (asset, cell, task) is shuffled.
     """
-    place = (F.col("seq").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")
-             + F.round(F.col("price") * 1e6).cast("decimal(17,0)"))
-    return (tick_rows.filter("price > 0").withColumn("place", place)
+    return (tick_rows.filter("price > 0")
             .groupBy("universe", "asset", "cell")
-            .agg(F.min_by("price", "place").alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
+            .agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
                  F.sum("volume").alias("volume"), F.sum("amount").alias("amount")))
 
 

@@ -17,14 +17,14 @@ RETENTION = 8
 
 
 def closed_bars(ticks: DataFrame, step: str, delay: str) -> DataFrame:
-    """OHLCVA bars of ``asset, ts, price, volume, amount, place`` ticks, each emitted once closed.
+    """OHLCVA bars of ``asset, ts, price, volume, amount, seq`` ticks, each emitted once closed.
 
     The watermark keeps open bars back and drops ticks that come later than ``delay``.
     """
     return (ticks.withWatermark("ts", delay)
             .groupBy("asset", F.window("ts", step).alias("w"))
-            .agg(F.min_by("price", "place").alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
+            .agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
                  F.sum("volume").alias("volume"), F.sum("amount").alias("amount"))
             .select("asset", F.col("w.end").alias("ts"), "open", "high", "low", "close",
                     "volume", "amount"))
