@@ -77,7 +77,7 @@ def pair_summary(prints: DataFrame) -> DataFrame:
 
     The pair distances stay inside the task; only this summary is emitted.
     """
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, d = _matrix(pdf)
         n = len(pdf)
         far = d + np.diag(np.full(n, np.inf))
@@ -94,7 +94,7 @@ def pair_summary(prints: DataFrame) -> DataFrame:
 
 def clusters(prints: DataFrame) -> DataFrame:
     """Cluster number, silhouette and medoid flag of every event."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, d = _matrix(pdf)
         groups, _ = linkage(d, min(MAX_CLUSTERS, len(pdf)))
         sil, label, medoid = silhouettes(d, groups), np.zeros(len(pdf), int), set()
@@ -110,7 +110,7 @@ def clusters(prints: DataFrame) -> DataFrame:
 
 
 def merge_history(prints: DataFrame) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, d = _matrix(pdf)
         _, merges = linkage(d, min(MAX_CLUSTERS, len(pdf)))
         times = pdf["t0"].to_numpy()
@@ -179,7 +179,7 @@ def leave_one_out(prints: DataFrame) -> DataFrame:
     one = prints.select("universe", "period", F.col("t0").alias("omitted"))
     spread = prints.join(one, ["universe", "period"])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, d = _matrix(pdf)
         keep = np.flatnonzero(pdf["t0"].to_numpy() != key[2])
         ref, alt = np.zeros(len(pdf), int), np.zeros(len(pdf), int)
@@ -208,7 +208,7 @@ def matched_jaccard(labels: DataFrame) -> DataFrame:
         F.count("*").alias("full"), F.count_if(F.col("t0") == F.col("omitted")).alias("gone"))
     rows = all_refs.join(overlap, [*keys, "reference"], "left")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         table = {(r.reference, r.candidate): r.c for r in pdf.itertuples() if r.candidate > 0}
         size_r, size_c = {}, {}
         for (ref, cand), c in table.items():

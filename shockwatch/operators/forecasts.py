@@ -69,7 +69,7 @@ def apply_model(windows: DataFrame, model: Callable[[dict[str, list[float]]],
     The model sees histories only. Its exception becomes one error row per asset, so a failed
     window stays in every denominator. A group holds one window: its assets x 256 closes.
     """
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hist = {a: list(h) for a, h in zip(pdf["asset"], pdf["hist"])}
         rows = []
         try:

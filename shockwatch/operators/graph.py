@@ -169,7 +169,7 @@ def nearest_events(queries: DataFrame, library: DataFrame, k: int = 3, block: in
     right = lib.join(q_blocks, "universe").select(
         *[F.col(c).alias(c) for c in ("universe", "qb", "lb", "t0", "fp")])
 
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["universe", "t0", "neighbour", "distance"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=names)

@@ -75,7 +75,7 @@ def _archives(h):
     """One zip per asset-month (a group is one month of one asset), with its plain CSV text."""
     names = list(KLINE_COLUMNS)
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         text = pdf.sort_values("open_us")[names].to_csv(index=False, header=False, lineterminator="\n")
         raw, name = _io.BytesIO(), f"{key[0].upper()}USDT-1m-{key[1]}.csv"
         with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
