@@ -7,11 +7,12 @@ groups.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import _unpack, distances
@@ -147,14 +148,19 @@ def describe(labels: DataFrame, slot_rows: DataFrame, events: DataFrame) -> Data
             .drop("s"))
 
 
-def adjusted_rand(pairs: DataFrame, keys, left: str, right: str) -> DataFrame:
-    """Adjusted Rand index of two labelings of the same items, from their contingency table."""
+def adjusted_rand(pairs: DataFrame, keys, left: str, right: str, count: Column | None = None
+                  ) -> DataFrame:
+    """Adjusted Rand index of two labelings of the same items, from their contingency table.
+
+    ``count`` is given when the rows are already contingency cells.
+    """
     keys = list(keys)
 
     def choose2(c):
         return F.sum(c * (c - 1) / 2)
 
-    cell = pairs.groupBy(*keys, left, right).agg(F.count("*").alias("c"))
+    size = F.count("*") if count is None else F.sum(count)
+    cell = pairs.groupBy(*keys, left, right).agg(size.alias("c"))
     joint = cell.groupBy(*keys).agg(choose2(F.col("c")).alias("joint"), F.sum("c").alias("n"),
                                     F.count("*").alias("cells"))
 
@@ -171,42 +177,65 @@ def adjusted_rand(pairs: DataFrame, keys, left: str, right: str) -> DataFrame:
                     .otherwise(F.try_divide(F.col("joint") - expected, scale)).alias("ari")))
 
 
+OVERLAP_SCHEMA = ("universe string, period string, omitted bigint, reference int, candidate int, "
+                  "c bigint, full bigint, only bigint")
+OMITTED_PER_TASK = 32
+
+
 def leave_one_out(prints: DataFrame) -> DataFrame:
-    """Every item's cluster with all events (``reference``) and without the omitted one.
+    """Overlap of the clusters of all events with those found without one omitted event.
 
-    One task per (universe, period, omitted event), so the N re-clusterings run in parallel.
+    Per omitted event at most 4 x 4 cells ``reference, candidate, c``; candidate 0 holds the
+    omitted event itself. ``full`` is the reference cluster's size and ``only`` its event when it
+    is a singleton. A period is packed once and its omissions are spread over tasks in blocks,
+    so neither event pairs nor re-labelled events are emitted.
     """
-    one = prints.select("universe", "period", F.col("t0").alias("omitted"))
-    spread = prints.join(one, ["universe", "period"])
+    packed = (prints.groupBy("universe", "period")
+              .agg(F.array_sort(F.collect_list(F.struct("t0", "fp"))).alias("items")))
+    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = packed.withColumn("first", F.explode(F.sequence(
+        F.lit(0), F.size("items") - 1, F.lit(OMITTED_PER_TASK)))).repartition(
+        width, "universe", "period", "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                yield _overlaps(row.universe, row.period, row.first, row.items)
+    return blocks.mapInPandas(run, OVERLAP_SCHEMA)
+
+
+def _labels(d: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(d), int)
+    for number, g in enumerate(linkage(d, min(MAX_CLUSTERS, len(d)))[0], 1):
+        out[g] = number
+    return out
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, d = _matrix(pdf)
-        keep = np.flatnonzero(pdf["t0"].to_numpy() != key[2])
-        ref, alt = np.zeros(len(pdf), int), np.zeros(len(pdf), int)
-        for number, g in enumerate(linkage(d, min(MAX_CLUSTERS, len(pdf)))[0], 1):
-            ref[g] = number
-        for number, g in enumerate(linkage(d[np.ix_(keep, keep)],
-                                           min(MAX_CLUSTERS, len(keep)))[0], 1):
-            alt[keep[g]] = number
-        return pd.DataFrame({"universe": key[0], "period": key[1], "omitted": key[2],
-                             "t0": pdf["t0"], "reference": ref, "candidate": alt})
-    return spread.groupBy("universe", "period", "omitted").applyInPandas(
-        run, "universe string, period string, omitted bigint, t0 bigint, reference int, "
-             "candidate int")
-
-
-def matched_jaccard(labels: DataFrame) -> DataFrame:
+
+def _overlaps(universe: str, period: str, first: int, items) -> pd.DataFrame:
+    times = np.array([x["t0"] for x in items])
+    m = _unpack([x["fp"] for x in items])
+    d = distances(m, m)
+    ref = _labels(d)
+    full = np.bincount(ref, minlength=MAX_CLUSTERS + 1)
+    rows = []
+    for i in range(first, min(first + OMITTED_PER_TASK, len(items))):
+        keep = np.flatnonzero(np.arange(len(items)) != i)
+        alt = np.zeros(len(items), int)
+        alt[keep] = _labels(d[np.ix_(keep, keep)])
+        cells, counts = np.unique(np.stack([ref, alt], axis=1), axis=0, return_counts=True)
+        for (a, b), c in zip(cells.tolist(), counts.tolist()):
+            single = int(times[ref == a][0]) if full[a] == 1 else None
+            rows.append((universe, period, int(times[i]), a, b, c, int(full[a]), single))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP_SCHEMA.split(", ")])
+    return out.astype({"only": "Int64"})
+
+
+def matched_jaccard(overlap: DataFrame) -> DataFrame:
     """One-to-one matching of reference to candidate clusters with the largest Jaccard sum.
 
-    A group holds at most 4 x 4 overlap counts.
+    A group holds the overlap cells of one omitted event, at most seventeen.
     """
     keys = ["universe", "period", "omitted"]
-    # The omitted item itself belongs to no candidate cluster.
-    kept = labels.filter("t0 <> omitted")
-    overlap = kept.groupBy(*keys, "reference", "candidate").agg(F.count("*").alias("c"))
-    all_refs = labels.groupBy(*keys, "reference").agg(
-        F.count("*").alias("full"), F.count_if(F.col("t0") == F.col("omitted")).alias("gone"))
-    rows = all_refs.join(overlap, [*keys, "reference"], "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         table = {(r.reference, r.candidate): r.c for r in pdf.itertuples() if r.candidate > 0}
@@ -227,21 +256,19 @@ def matched_jaccard(labels: DataFrame) -> DataFrame:
                               "matched" if ref in match else "absent_after_own_deletion")
                              for ref in sorted(set(pdf["reference"]))],
                             columns=[*keys, "reference", "candidate", "jaccard", "status"])
-    return rows.fillna({"candidate": -1, "c": 0}).groupBy(*keys).applyInPandas(
+    return overlap.groupBy(*keys).applyInPandas(
         run, "universe string, period string, omitted bigint, reference int, candidate int, "
              "jaccard double, status string")
 
 
-def singleton_persistence(labels: DataFrame) -> DataFrame:
+def singleton_persistence(overlap: DataFrame) -> DataFrame:
     """Reference singletons, and how often they stay alone when another event is left out."""
-    size = labels.groupBy("universe", "period", "omitted", "reference").agg(
-        F.count("*").alias("ref_size"))
-    cand = labels.groupBy("universe", "period", "omitted", "candidate").agg(
-        F.count("*").alias("cand_size"))
-    trial = F.col("t0") != F.col("omitted")
-    return (labels.join(size, ["universe", "period", "omitted", "reference"])
-            .join(cand, ["universe", "period", "omitted", "candidate"])
-            .filter("ref_size = 1").groupBy("universe", "period", "t0")
+    size = overlap.groupBy("universe", "period", "omitted", "candidate").agg(
+        F.sum("c").alias("cand_size"))
+    trial = F.col("candidate") > 0
+    return (overlap.filter("only is not null")
+            .join(size, ["universe", "period", "omitted", "candidate"])
+            .groupBy("universe", "period", F.col("only").alias("t0"))
             .agg(F.count_if(trial).alias("trials"),
                  F.count_if(trial & (F.col("cand_size") == 1)).alias("isolated"))
             .withColumn("persistence", F.try_divide("isolated", "trials")))

@@ -230,18 +230,18 @@ def tier_scores(rolling: DataFrame) -> DataFrame:
 def fixed_pair(rolling: DataFrame, tier: str = "small") -> DataFrame:
     """The pair of tier assets that most often is the exact actual top set; first pair on a tie."""
     keys = ["universe", "t0", "tier"]
-    members = rolling.filter(F.col("tier") == tier).select("universe", "asset").distinct()
-    right = members.select("universe", F.col("asset").alias("second"))
-    pairs = (members.withColumnRenamed("asset", "first").join(right, "universe")
-             .filter("first < second"))
-    hits = (top_sets(rolling.filter(F.col("tier") == tier), keys, "a_vol", "actual")
-            .filter(F.size("actual") == 2)
-            .select("universe", F.element_at("actual", 1).alias("first"),
-                    F.element_at("actual", 2).alias("second"))
-            .groupBy("universe", "first", "second").agg(F.count("*").alias("hits")))
-    w = Window.partitionBy("universe").orderBy(F.desc("hits"), "first", "second")
-    return (pairs.join(hits, ["universe", "first", "second"], "left").fillna({"hits": 0})
-            .withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place"))
+    members = rolling.filter(F.col("tier") == tier)
+    hits = (top_sets(members, keys, "a_vol", "actual").filter(F.size("actual") == 2)
+            .groupBy("universe", "actual").agg(F.count("*").alias("hits"))
+            .groupBy("universe").agg(F.min_by(F.struct("actual", "hits"), F.struct(
+                (-F.col("hits")).alias("h"), "actual")).alias("_best")))
+    # Only pairs that were hit can win; without any, the first pair in name order does.
+    names = (members.groupBy("universe").agg(F.array_sort(F.collect_set("asset")).alias("_names"))
+             .filter(F.size("_names") >= 2))
+    pair = F.coalesce("_best.actual", F.slice("_names", 1, 2))
+    return (names.join(hits, "universe", "left")
+            .select("universe", pair[0].alias("first"), pair[1].alias("second"),
+                    F.coalesce("_best.hits", F.lit(0)).alias("hits")))
 
 
 def method_summary(scores: DataFrame, scheduled: DataFrame) -> DataFrame:

@@ -214,9 +214,9 @@ def f32(h):
 
 @query("c3_leave_one_out_ari")
 def c3(h):
-    labels = cluster.leave_one_out(_period_prints(h))
-    return cluster.adjusted_rand(labels.filter("t0 <> omitted"),
-                                 ("universe", "period", "omitted"), "reference", "candidate")
+    overlap = cluster.leave_one_out(_period_prints(h)).filter("candidate > 0")
+    return cluster.adjusted_rand(overlap, ("universe", "period", "omitted"), "reference",
+                                 "candidate", F.col("c"))
 
 
 @query("c3_matched_jaccard")

@@ -108,7 +108,7 @@ def t7(h):
     out = None
     for universe, delay in (("events", "1 hour"), ("lineitem", "1 day"), ("orders", "1 day")):
         # One query per universe: their clocks differ by years and a watermark is per query.
-        stream = runtime.replay(bars.filter(F.col("universe") == universe), "t7-in")
+        stream = runtime.replay(bars.filter(F.col("universe") == universe), "t7-in", slices=2)
         events = live.online_events(live.online_triggers(stream, delay), STEP_MS)
         rows, _ = runtime.drain(events, "t7")
         out = rows if out is None else out.unionByName(rows)

@@ -275,6 +275,29 @@ def test_adjusted_rand(spark):
     assert one(cluster.adjusted_rand(df, ["g"], "l", "r"), "ari").ari == pytest.approx(-0.5)
 
 
+def test_leave_one_out_agrees_with_itself(spark):
+    events = {10 * i + j: {i: (1, 7.0, 0)} for i in range(4) for j in range(2)}
+    overlap = cluster.leave_one_out(prints(spark, events))
+    assert overlap.groupBy("omitted").agg(F.sum("c").alias("n")).filter("n <> 8").count() == 0
+    ari = cluster.adjusted_rand(overlap.filter("candidate > 0"), ["omitted"], "reference",
+                                "candidate", F.col("c")).collect()
+    assert len(ari) == 8 and all(r.ari == 1 for r in ari)
+    lone = prints(spark, {**events, 90: {8: (1, 7.0, 0)}})
+    single = cluster.singleton_persistence(cluster.leave_one_out(lone))
+    assert all(r.trials == 8 for r in single.collect())
+    jac = cluster.matched_jaccard(overlap).filter("status = 'matched'").collect()
+    assert all(r.jaccard == 1 for r in jac)
+
+
+def test_fixed_pair(spark):
+    data = [("u", t, "small", a, v, "d") for t, vs in enumerate(((3.0, 2.0, 1.0), (3.0, 1.0, 2.0), (3.0, 1.0, 2.0)))
+            for a, v in zip("ABC", vs)]
+    df = spark.createDataFrame(data, "universe string, t0 bigint, tier string, asset string, a_vol double, day string")
+    assert tuple(one(comparison.fixed_pair(df), "first", "second", "hits")) == ("A", "C", 2)
+    tied = df.withColumn("a_vol", F.lit(1.0))
+    assert tuple(one(comparison.fixed_pair(tied), "first", "second", "hits")) == ("A", "B", 0)
+
+
 def test_threshold_counts(spark):
     p, a = [0.04, 0.04, 0.01, 0.01], [0.04, 0.01, 0.04, 0.01]
     got = one(comparison.threshold_sweep(pairs(spark, p, a), ["g"], "p", "a").filter("threshold = 0.03"),
