@@ -13,6 +13,7 @@ from ..session import materialize
 from ..sources.tables import INTERVALS
 from . import hub as H
 from .core import rd
+from .hub import DAMPING
 from .oracle import part, r, sql
 from .registry import query
 
@@ -333,7 +334,7 @@ def damped_reverse(hist):
     import numpy as np
     out = {}
     for asset, closes in hist.items():
-        r_ = np.diff(np.log(np.asarray(closes)))[-30:][::-1] * H.DAMPING
+        r_ = np.diff(np.log(np.asarray(closes)))[-30:][::-1] * DAMPING
         out[asset] = closes[-1] * np.exp(np.cumsum(r_))
     return [out]
 
