@@ -35,9 +35,9 @@ def follow_ups(events: DataFrame, triggers: DataFrame, keys: Sequence[str] = KEY
     return (band_join(events.select(*keys, "t0", "origins"), after, keys, 1, FOLLOW, "t0", "_t")
             .filter(~F.array_contains("origins", F.col("asset")))
             .groupBy(*keys, "t0", "asset")
-            .agg(F.min_by(F.struct((F.col("_t") - F.col("t0")).cast("int").alias("delay"),
-                                   "direction", "magnitude"), "_t").alias("f"))
-            .select(*keys, "t0", "asset", "f.*"))
+            .agg((F.min("_t") - F.col("t0")).cast("int").alias("delay"),
+                 F.min_by("direction", "_t").alias("direction"),
+                 F.min_by("magnitude", "_t").alias("magnitude")))
 
 
 def slots(events: DataFrame, triggers: DataFrame, keys: Sequence[str] = KEYS,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import horizon_volatility, max_drawdown
-from .bandjoin import band_join
+from .halo import CHUNK, with_halo
 
 LOOKBACK = 256
 HORIZON = 30
@@ -52,26 +52,38 @@ def calendar_origins(spans: DataFrame, per_day: int, stride: int, bars_per_day:
 
 
 def market_windows(origins: DataFrame, bars: DataFrame, lookback: int = LOOKBACK,
-                   horizon: int = HORIZON) -> DataFrame:
+                   horizon: int = HORIZON, chunk: int = CHUNK) -> DataFrame:
     """Per (origin, asset): the closes up to the origin and those after it.
 
     ``hist`` ends exactly at ``t0``; an origin without its full look-back is ``no_history``,
     one without its full horizon ``pending_truth`` with an empty ``fut``. Only ``hist`` may be
     handed to a forecaster.
+
+    Overlapping windows share their bars: every chunk of an asset is packed once with the halo
+    its windows need, and the windows are slices of that array. Each bar is shuffled once (plus
+    the halo), not once per window. ``bars`` must be a dense grid.
     """
-    near = band_join(origins.select("universe", "t0"),
-                     bars.select("universe", "asset", F.col("idx").alias("_i"), "close"),
-                     ("universe",), -(lookback - 1), horizon, "t0", "_i",
-                     bucket=lookback + horizon)
-    point = F.struct((F.col("_i") - F.col("t0")).cast("int").alias("o"), F.col("close").alias("c"))
-
-    def pick(cond) -> Column:
-        return F.transform(F.filter("_w", lambda p: cond(p["o"])), lambda p: p["c"])
-
-    rows = (near.groupBy("universe", "t0", "asset")
-            .agg(F.array_sort(F.collect_list(point)).alias("_w"))
-            .select("universe", "t0", "asset", pick(lambda o: o <= 0).alias("hist"),
-                    pick(lambda o: o > 0).alias("fut")))
+    point = F.struct(F.col("idx").alias("i"), F.col("close").alias("c"))
+    # Partitioned by (universe, chunk) so that packing and the join with origins share it.
+    packed = (with_halo(bars.select("universe", "asset", "idx", "close"), lookback - 1, horizon,
+                        chunk=chunk)
+              .repartition("universe", "_chunk")
+              .groupBy("universe", "_chunk", "asset")
+              .agg(F.min("idx").alias("_first"), F.array_sort(F.collect_list(point)).alias("_p"))
+              .withColumn("_p", F.transform("_p", lambda p: p["c"])))
+    wanted = (origins.select("universe", "t0").distinct()
+              .groupBy("universe", F.floor(F.col("t0") / chunk).cast("long").alias("_chunk"))
+              .agg(F.collect_list("t0").alias("_t0")))
+
+    def cut(t0: Column) -> Column:
+        at = (t0 - F.col("_first") + 1).cast("int")
+        start = F.greatest(at - lookback + 1, F.lit(1))
+        return F.struct(t0.alias("t0"), F.slice("_p", start, at - start + 1).alias("hist"),
+                        F.slice("_p", at + 1, F.lit(horizon)).alias("fut"))
+
+    rows = (packed.join(wanted, ["universe", "_chunk"])
+            .select("universe", "asset", F.explode(F.transform("_t0", cut)).alias("_w"))
+            .select("universe", "_w.t0", "asset", "_w.hist", "_w.fut"))
     whole = F.size("fut") == horizon
     return (rows.withColumn("status", F.when(F.size("hist") != lookback, "no_history")
                             .when(~whole, "pending_truth").otherwise("ready"))

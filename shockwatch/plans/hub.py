@@ -33,6 +33,8 @@ def clear() -> None:
 
 class Hub:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # Days, hours and periods are UTC whatever the session was started with.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -90,9 +90,8 @@ def t6(h):
     made = (_hourly(h).filter("idx >= 255 and (idx - 255) % 30 = 0")
             .select("universe", "idx", F.col("idx").alias("t0")).distinct())
     rows, _ = runtime.drain(live.retained(runtime.replay(made, "t6-in")), "t6")
-    top = Window.partitionBy("universe")
-    return rows.withColumn("_top", F.max("batch_top").over(top)).filter("batch_top = _top") \
-        .select("universe", "t0")
+    last = rows.groupBy("universe").agg(F.max("version").alias("version"))
+    return rows.join(last, ["universe", "version"]).select("universe", "t0")
 
 
 part("q_live_ev", """

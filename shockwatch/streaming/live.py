@@ -130,17 +130,20 @@ def published(snapshot_rows: DataFrame, assets: int) -> DataFrame:
 
 
 class RetentionProcessor(StatefulProcessor):
-    """Keeps the newest windows of a universe and emits what it holds after each batch."""
+    """Keeps the newest windows of a universe; every change is emitted as a new version."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("kept", "t0 bigint")
+        self.version = handle.getValueState("version", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         known = {row[0] for row in self.kept.get()} if self.kept.exists() else set()
         new = {int(t) for pdf in rows for t in pdf["t0"]}
         held = sorted(known | new)[-RETENTION:]
+        version = 1 + (self.version.get()[0] if self.version.exists() else 0)
         self.kept.put([(t,) for t in held])
-        yield pd.DataFrame({"universe": key[0], "batch_top": max(held), "t0": held})
+        self.version.update((version,))
+        yield pd.DataFrame({"universe": key[0], "version": version, "t0": held})
 
     def close(self) -> None:
         pass
@@ -148,7 +151,7 @@ class RetentionProcessor(StatefulProcessor):
 
 def retained(windows: DataFrame) -> DataFrame:
     return windows.groupBy("universe").transformWithStateInPandas(
-        RetentionProcessor(), "universe string, batch_top bigint, t0 bigint", "append", "None")
+        RetentionProcessor(), "universe string, version bigint, t0 bigint", "append", "None")
 
 
 TRIGGER_SCHEMA = ("universe string, k int, idx bigint, ts timestamp, asset string, direction int, "

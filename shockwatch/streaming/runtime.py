@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -63,14 +64,13 @@ def drain(stream: DataFrame, label: str, partitions: int | None = None,
 
 
 def replay(df: DataFrame, label: str, slices: int = 3, order: str = "idx") -> DataFrame:
-    """A bounded table as a stream that arrives in ``slices`` time-ordered files."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+    """A bounded table as a stream that arrives in ``slices`` time-ordered groups of files."""
     spark = df.sparkSession
-    base = folder(spark, label)
+    base, width = folder(spark, label), spark.sparkContext.defaultParallelism
     top = df.groupBy("universe").agg((F.max(order) + 1).alias("_top"))
-    cut = df.join(F.broadcast(top), "universe").withColumn(
+    cut = df.join(top, "universe").withColumn(
         "_slice", F.floor(F.col(order) * slices / F.col("_top"))).drop("_top")
     for i in range(slices):
-        cut.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
+        (cut.filter(F.col("_slice") == i).drop("_slice").repartition(width)
+         .write.mode("append").parquet(base))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(base)

@@ -14,7 +14,7 @@ from shockwatch.operators.bandjoin import band_join
 from shockwatch.operators.halo import chunk_window, drop_halo, with_halo
 from shockwatch.operators.quantiles import exact_quantiles
 from shockwatch.operators.scan import assign_anchors
-from shockwatch.operators.windows import evenly_spaced
+from shockwatch.operators.windows import evenly_spaced, market_windows
 
 
 def greedy(marks, span):
@@ -114,3 +114,17 @@ def test_evenly_spaced(spark, n, k):
     got = sorted(r.id for r in evenly_spaced(df, ["g"], ["id"], k).collect())
     want = list(range(n)) if n <= k else sorted({i * (n - 1) // (k - 1) for i in range(k)})
     assert got == want
+
+
+@pytest.mark.parametrize("chunk", [40, 4096])
+def test_market_windows_are_slices(spark, chunk):
+    n, look, ahead = 130, 20, 5
+    df = spark.createDataFrame([("u", a, i, float(i + k)) for k, a in ((0, "A"), (1000, "B")) for i in range(n)],
+                               "universe string, asset string, idx bigint, close double")
+    origins = spark.createDataFrame([("u", t) for t in (3, 19, 39, 40, 41, 79, 124, 125, 129)], "universe string, t0 bigint")
+    for r in market_windows(origins, df, look, ahead, chunk).collect():
+        base = 0 if r.asset == "A" else 1000
+        assert r.hist == [float(i + base) for i in range(max(0, r.t0 - look + 1), r.t0 + 1)]
+        full = r.t0 + ahead < n
+        assert r.fut == ([float(r.t0 + j + base) for j in range(1, ahead + 1)] if full else [])
+        assert r.status == ("no_history" if r.t0 < look - 1 else "ready" if full else "pending_truth")
