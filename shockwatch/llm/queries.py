@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, simhash, tokens
+from . import ann, exact, mixing, packing, quality, simhash, tokens
 from .common import table
 
 #: Folder of the public tokenizer files; by default the one of the installed package.
@@ -20,6 +20,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096, 1)
 
@@ -40,6 +48,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_simhash_near_dedup, op8_token_counts, op9_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_posting_lists, op3_best_fit_packing, op4_simhash_near_dedup, op8_token_counts, op9_exact_dedup,
                                    op10_source_mixing)}
 ORACLE = {"op9_exact_dedup": exact.ORACLE_SQL}
