@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, mixing, packing, quality, simhash, tokens
+from . import ann, exact, extract, licenses, mixing, packing, quality, simhash, tokens, warc
 from .common import table
 
 #: Folder of the public tokenizer files; by default the one of the installed package.
@@ -36,6 +36,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"), distance=2, size=3)
 
 
+def op5_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
@@ -48,6 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_posting_lists, op3_best_fit_packing, op4_simhash_near_dedup, op8_token_counts, op9_exact_dedup,
-                                   op10_source_mixing)}
-ORACLE = {"op9_exact_dedup": exact.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_attention_quality, op2_posting_lists, op3_best_fit_packing, op4_simhash_near_dedup, op5_mincut_extraction,
+    op6_license_scan, op7_warc_zstd, op8_token_counts, op9_exact_dedup, op10_source_mixing)}
+ORACLE = {"op6_license_scan": licenses.oracle_sql(), "op7_warc_zstd": warc.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL}
