@@ -126,7 +126,7 @@ class Archive:
         made = zstandard.ZstdCompressionDict(learned) if learned else None
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True)
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.stream = self.files.open_output_stream(self.open_path)
+        self.stream = self.files.open_output_stream(self.open_path, compression=None)
         if learned:
             self.put(struct.pack("<II", MAGIC, len(learned)) + learned)
         for raw in self.held:
@@ -146,7 +146,7 @@ def records(folder: str, name: str) -> Iterator[bytes]:
     import zstandard
     from pyarrow import fs
     files, path = fs.FileSystem.from_uri(folder)
-    with files.open_input_stream(f"{path}/{name}") as stream:
+    with files.open_input_stream(f"{path}/{name}", compression=None) as stream:
         pending = stream.read(READ)
         known = None
         if len(pending) >= 8 and struct.unpack("<I", pending[:4])[0] == MAGIC:
