@@ -139,7 +139,7 @@ def leaf_links(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Itera
         short = -len(codes) % GROUP
         return np.concatenate([codes, np.repeat(codes[-1:], short)]).reshape(-1, GROUP)
 
-    ga, gb = groups(a), groups(b)
+    ga, gb = groups(a.view(np.uint64)), groups(b.view(np.uint64))  # numpy counts the bits of |x| for signed x
     (ma, pa_), (mb, pb) = shared_bits(ga), shared_bits(gb)
     near = np.bitwise_count((pa_[:, None] ^ pb[None, :]) & ma[:, None] & mb[None, :]) <= distance
     left, right = np.nonzero(np.triu(near) if same else near)
