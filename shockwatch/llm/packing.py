@@ -20,6 +20,7 @@ an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,41 +37,81 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMORY = 400_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts as packed little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never looks past it, so a text is the sequence of its
-    space-separated words and each word is encoded once per worker. Letters before a closing run of
-    commas and full stops form a token sequence of their own, which lets "word," share "word".
+    For a tokenizer that drops white space and never looks past it, a text is the sequence of its
+    space-separated words, and a worker encodes equal words once. Letters before closing punctuation
+    form a token sequence of their own, so "Word," and "word" share one entry, which goes straight to
+    the library's BPE model; everything else goes through the whole tokenizer. The constructor holds
+    this way against whole texts and falls back to encoding those if they differ.
     """
 
-    closing = re.compile(r"([^\W\d_]+)([,.]+)\Z")
+    simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+    probe = ("Some words, OF a Text... don't we'LL\n\nstop? ÉTÉ Über; naïve (x) [y] 12 a1b2 é! \u0130I \u1e9e ß"
+             " <|x|> __init__ a_b ### word%%% 'quoted' \t tab  two  spaces e\u0301 \u0301 ﬁ Ａ")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.by_word = [self.joined(self.probe.split(" "))] == list(self.encoded([self.probe]))
 
-    def encoded(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(found.ids, "<u4").tobytes()
 
+    def run(self, letters: str) -> bytes:
+        """Ids of a run of letters, lower case, or of a run of punctuation."""
+        mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        split = {}
+        """Ids of words not seen yet; their runs are remembered while there is room."""
+        runs, out, rest = self.runs, {}, []
+        match = self.simple.match
+        if len(runs) > MEMORY:
+            runs = {}  # full: what this batch needs is kept for this batch
         for word in words:
-            match = self.closing.match(word)
-            split[word] = match.groups() if match else (word, "")
-        stems, ends = {s for s, _ in split.values()}, {e for _, e in split.values() if e}
-        new = [s for s in stems | ends if s not in self.stems]
-        fresh = dict(zip(new, self.encoded(new), strict=True)) if new else {}
-        known = self.stems
-        if len(known) + len(fresh) <= MEMORY:
-            known.update(fresh)
-        at = lambda s: known[s] if s in known else fresh[s]
-        return {word: at(stem) + (at(end) if end else b"") for word, (stem, end) in split.items()}
+            parts = match(word)
+            if not parts:
+                rest.append(word)
+                continue
+            letters, end = parts[1].lower(), parts[2]
+            ids = runs.get(letters)
+            if ids is None:
+                ids = self.runs.get(letters) or self.run(letters)
+                runs[letters] = ids
+            if end:
+                tail = runs.get(end)
+                if tail is None:
+                    tail = runs[end] = self.runs.get(end) or self.run(end)
+                ids += tail
+            out[word] = ids
+        lines = {line for word in rest if "\n" in word for line in word.split("\n")} - {""}
+        inner = self.learn(lines) if lines else {}
+        plain = [word for word in rest if "\n" not in word]
+        out.update(zip(plain, self.encoded(plain), strict=True))
+        out.update({word: b"".join([inner[line] for line in word.split("\n") if line]) for word in rest if "\n" in word})
+        return out
+
+    def joined(self, words: list[str]) -> bytes:
+        learned = self.learn(set(words) - {""})
+        return b"".join([learned[w] for w in words if w])
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return list(self.encoded(texts))
         split = [text.split(" ") for text in texts]
         known = self.words
         new = self.learn({w for words in split for w in words if w not in known})
