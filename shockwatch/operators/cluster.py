@@ -1,152 +1,10 @@
-"""Average-linkage grouping of fingerprints and its stability.
-
-The unit of work is one (universe, period). Its events lie more than ten bars apart, so a group
-is bounded by the length of the period and does not grow with the data; more data means more
-groups.
-"""
+"""Agreement of labelings."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import permutations
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _unpack, distances
-
-MAX_CLUSTERS = 4
-
-
-def linkage(d: np.ndarray, target: int) -> tuple[list[list[int]], list[tuple[list[int], float]]]:
-    """Clusters (lists of rows, ordered by first row) and the merges that led to them.
-
-    A cluster is known by its smallest row, so the first minimum in row order is the
-    lexicographically smallest tie. An average never undercuts both of its parts: only rows
-    whose nearest cluster was one of the two merged need a new minimum.
-    """
-    n = len(d)
-    work = d + np.diag(np.full(n, np.inf))
-    members = {i: [i] for i in range(n)}
-    near = work.argmin(axis=1) if n else np.empty(0, int)
-    low = work[np.arange(n), near] if n else np.empty(0)
-    merges = []
-    while len(members) > target:
-        a = int(np.argmin(low))
-        b = int(near[a])
-        na, nb = len(members[a]), len(members[b])
-        merged = (na * work[a] + nb * work[b]) / (na + nb)
-        merges.append((sorted(members[a] + members[b]), float(work[a, b])))
-        members[a] = sorted(members[a] + members.pop(b))
-        merged[[a, b]] = np.inf
-        work[a, :] = work[:, a] = merged
-        work[b, :] = work[:, b] = np.inf
-        low[b] = np.inf
-        for c in [c for c in members if c == a or near[c] in (a, b)]:
-            near[c] = work[c].argmin()
-            low[c] = work[c, near[c]]
-    return [members[i] for i in sorted(members)], merges
-
-
-def silhouettes(d: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Per-row silhouette; singletons score 0; all null unless 1 < clusters < rows."""
-    out = np.full(len(d), np.nan)
-    if not 1 < len(groups) < len(d):
-        return out
-    for g in groups:
-        others = [h for h in groups if h is not g]
-        for i in g:
-            if len(g) == 1:
-                out[i] = 0.0
-                continue
-            a = d[i, g].sum() / (len(g) - 1)
-            b = min(d[i, h].mean() for h in others)
-            out[i] = (b - a) / max(a, b) if max(a, b) else 0.0
-    return out
-
-
-def _matrix(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    pdf = pdf.sort_values("t0", ignore_index=True)
-    m = _unpack(pdf["fp"])
-    return pdf, distances(m, m)
-
-
-def pair_summary(prints: DataFrame) -> DataFrame:
-    """Per event, its mean distance to the others of its period and its nearest one.
-
-    The pair distances stay inside the task; only this summary is emitted.
-    """
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, d = _matrix(pdf)
-        n = len(pdf)
-        far = d + np.diag(np.full(n, np.inf))
-        near = far.argmin(axis=1)
-        return pd.DataFrame({
-            "universe": key[0], "period": key[1], "t0": pdf["t0"],
-            "mean_distance": d.sum(axis=1) / (n - 1) if n > 1 else [None] * n,
-            "nearest": pdf["t0"].to_numpy()[near] if n > 1 else -1,
-            "nearest_distance": far.min(axis=1) if n > 1 else [None] * n})
-    return prints.groupBy("universe", "period").applyInPandas(
-        run, "universe string, period string, t0 bigint, mean_distance double, nearest bigint, "
-             "nearest_distance double")
-
-
-def clusters(prints: DataFrame) -> DataFrame:
-    """Cluster number, silhouette and medoid flag of every event."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, d = _matrix(pdf)
-        groups, _ = linkage(d, min(MAX_CLUSTERS, len(pdf)))
-        sil, label, medoid = silhouettes(d, groups), np.zeros(len(pdf), int), set()
-        for number, g in enumerate(groups, 1):
-            label[g] = number
-            medoid.add(min(g, key=lambda i: (d[i, g].sum(), i)))
-        return pd.DataFrame({"universe": key[0], "period": key[1], "t0": pdf["t0"],
-                             "cluster_id": label, "silhouette": sil,
-                             "medoid": [i in medoid for i in range(len(pdf))]})
-    return prints.groupBy("universe", "period").applyInPandas(
-        run, "universe string, period string, t0 bigint, cluster_id int, silhouette double, "
-             "medoid boolean")
-
-
-def merge_history(prints: DataFrame) -> DataFrame:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, d = _matrix(pdf)
-        _, merges = linkage(d, min(MAX_CLUSTERS, len(pdf)))
-        times = pdf["t0"].to_numpy()
-        return pd.DataFrame([(key[0], key[1], i, gap, [int(times[j]) for j in m])
-                             for i, (m, gap) in enumerate(merges)],
-                            columns=["universe", "period", "step", "distance", "members"])
-    return prints.groupBy("universe", "period").applyInPandas(
-        run, "universe string, period string, step int, distance double, members array<bigint>")
-
-
-def describe(labels: DataFrame, slot_rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Size, silhouette, most frequent origins, majority sign and breadth of each cluster."""
-    keys = ["universe", "period", "cluster_id"]
-    origin = (labels.join(events.select("universe", "t0", F.explode("origins").alias("asset")),
-                          ["universe", "t0"])
-              .groupBy(*keys, "asset").agg(F.count("*").alias("c"))
-              .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "asset"))).alias("l"))
-              .select(*keys, F.array_join(F.transform(F.filter(
-                  "l", lambda x: x["c"] == F.element_at("l", -1)["c"]),
-                  lambda x: x["asset"]), "/").alias("top_origins")))
-    sign = (labels.join(slot_rows, ["universe", "t0"]).groupBy(*keys, "t0")
-            .agg(F.sum("direction").alias("s"), F.count_if(F.col("delay") > 0).alias("breadth"))
-            .groupBy(*keys).agg(F.signum(F.sum("s")).alias("s"),
-                                F.median("breadth").alias("breadth")))
-    text = F.when(F.col("s") == 0, "mixed").when(F.col("s") > 0, "up").otherwise("down")
-    return (labels.groupBy(*keys).agg(F.count("*").alias("size"),
-                                      F.avg(F.nanvl("silhouette", F.lit(None).cast("double")))
-                                      .alias("silhouette"),
-                                      F.max(F.when(F.col("medoid"), F.col("t0"))).alias("medoid"))
-            .join(origin, keys).join(sign, keys)
-            .withColumn("majority_sign", text)
-            .withColumn("name", F.format_string("%s first / %s / median breadth %.1f",
-                                                "top_origins", "majority_sign", "breadth"))
-            .drop("s"))
-
 
 def adjusted_rand(pairs: DataFrame, keys, left: str, right: str, count: Column | None = None
                   ) -> DataFrame:
@@ -175,100 +33,3 @@ def adjusted_rand(pairs: DataFrame, keys, left: str, right: str, count: Column |
             .select(*keys, "n", F.when(F.col("n") < 2, 1.0)
                     .when(scale == 0, same.cast("double"))
                     .otherwise(F.try_divide(F.col("joint") - expected, scale)).alias("ari")))
-
-
-OVERLAP_SCHEMA = ("universe string, period string, omitted bigint, reference int, candidate int, "
-                  "c bigint, full bigint, only bigint")
-OMITTED_PER_TASK = 32
-
-
-def leave_one_out(prints: DataFrame) -> DataFrame:
-    """Overlap of the clusters of all events with those found without one omitted event.
-
-    Per omitted event at most 4 x 4 cells ``reference, candidate, c``; candidate 0 holds the
-    omitted event itself. ``full`` is the reference cluster's size and ``only`` its event when it
-    is a singleton. A period is packed once and its omissions are spread over tasks in blocks,
-    so neither event pairs nor re-labelled events are emitted.
-    """
-    packed = (prints.groupBy("universe", "period")
-              .agg(F.array_sort(F.collect_list(F.struct("t0", "fp"))).alias("items")))
-    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = packed.withColumn("first", F.explode(F.sequence(
-        F.lit(0), F.size("items") - 1, F.lit(OMITTED_PER_TASK)))).repartition(
-        width, "universe", "period", "first")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                yield _overlaps(row.universe, row.period, row.first, row.items)
-    return blocks.mapInPandas(run, OVERLAP_SCHEMA)
-
-
-def _labels(d: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(d), int)
-    for number, g in enumerate(linkage(d, min(MAX_CLUSTERS, len(d)))[0], 1):
-        out[g] = number
-    return out
-
-
-def _overlaps(universe: str, period: str, first: int, items) -> pd.DataFrame:
-    times = np.array([x["t0"] for x in items])
-    m = _unpack([x["fp"] for x in items])
-    d = distances(m, m)
-    ref = _labels(d)
-    full = np.bincount(ref, minlength=MAX_CLUSTERS + 1)
-    rows = []
-    for i in range(first, min(first + OMITTED_PER_TASK, len(items))):
-        keep = np.flatnonzero(np.arange(len(items)) != i)
-        alt = np.zeros(len(items), int)
-        alt[keep] = _labels(d[np.ix_(keep, keep)])
-        cells, counts = np.unique(np.stack([ref, alt], axis=1), axis=0, return_counts=True)
-        for (a, b), c in zip(cells.tolist(), counts.tolist()):
-            single = int(times[ref == a][0]) if full[a] == 1 else None
-            rows.append((universe, period, int(times[i]), a, b, c, int(full[a]), single))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP_SCHEMA.split(", ")])
-    return out.astype({"only": "Int64"})
-
-
-def matched_jaccard(overlap: DataFrame) -> DataFrame:
-    """One-to-one matching of reference to candidate clusters with the largest Jaccard sum.
-
-    A group holds the overlap cells of one omitted event, at most seventeen.
-    """
-    keys = ["universe", "period", "omitted"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {(r.reference, r.candidate): r.c for r in pdf.itertuples() if r.candidate > 0}
-        size_r, size_c = {}, {}
-        for (ref, cand), c in table.items():
-            size_r[ref] = size_r.get(ref, 0) + c
-            size_c[cand] = size_c.get(cand, 0) + c
-        names, targets = sorted(size_r), sorted(size_c)
-
-        def score(a, b):
-            c = table.get((a, b), 0)
-            return c / (size_r[a] + size_c[b] - c)
-        best = min(permutations(targets, len(names)),
-                   key=lambda p: (-sum(score(a, b) for a, b in zip(names, p)), p))
-        match = dict(zip(names, best))
-        return pd.DataFrame([(*key, ref, match.get(ref), score(ref, match[ref])
-                              if ref in match else None,
-                              "matched" if ref in match else "absent_after_own_deletion")
-                             for ref in sorted(set(pdf["reference"]))],
-                            columns=[*keys, "reference", "candidate", "jaccard", "status"])
-    return overlap.groupBy(*keys).applyInPandas(
-        run, "universe string, period string, omitted bigint, reference int, candidate int, "
-             "jaccard double, status string")
-
-
-def singleton_persistence(overlap: DataFrame) -> DataFrame:
-    """Reference singletons, and how often they stay alone when another event is left out."""
-    size = overlap.groupBy("universe", "period", "omitted", "candidate").agg(
-        F.sum("c").alias("cand_size"))
-    trial = F.col("candidate") > 0
-    return (overlap.filter("only is not null")
-            .join(size, ["universe", "period", "omitted", "candidate"])
-            .groupBy("universe", "period", F.col("only").alias("t0"))
-            .agg(F.count_if(trial).alias("trials"),
-                 F.count_if(trial & (F.col("cand_size") == 1)).alias("isolated"))
-            .withColumn("persistence", F.try_divide("isolated", "trials")))

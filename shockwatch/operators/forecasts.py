@@ -93,23 +93,32 @@ def path_risk(forecasts: DataFrame) -> DataFrame:
             .withColumn("vol", paths.horizon_volatility(spot, closes)))
 
 
-def structure_issue(paths_long: DataFrame, assets: int, horizon: int) -> DataFrame:
-    """Per forecast, the sorted list of structural problems (empty when usable)."""
+def structure_issue(paths_long: DataFrame, assets: Column, horizon: int, expected_paths: int | None = None) -> DataFrame:
+    """Per forecast, the sorted list of structural problems (empty when usable).
+
+    ``assets`` is the declared list of names of the row's forecast; ``expected_paths`` the number of
+    paths that were asked for.
+    """
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     bad = ~finite(prices[0])
-    for p in prices[1:]:
+    for p in (*prices[1:], F.col("volume"), F.col("amount")):
         bad = bad | ~finite(p)
     row = (F.when(bad, "not_finite").when(F.least(*prices) <= 0, "price_not_positive")
            .when(~F.col("step").between(1, horizon), "step_out_of_range"))
-    return (paths_long.withColumn("_issue", row)
+    size = F.size("_declared") * horizon
+    wanted = F.lit(True) if expected_paths is None else F.col("n_paths") == expected_paths
+    return (paths_long.withColumn("_issue", row).withColumn("_assets", assets)
             .groupBy("forecast_id")
             .agg(F.array_sort(F.collect_set("_issue")).alias("_rows"),
                  F.count("*").alias("rows"), F.count_distinct("path_id").alias("n_paths"),
-                 F.count_distinct("path_id", "asset", "step").alias("cells"))
+                 F.count_distinct("path_id", "asset", "step").alias("cells"),
+                 F.array_sort(F.collect_set("asset")).alias("_seen"), F.array_sort(F.first("_assets")).alias("_declared"))
             .withColumn("issues", F.concat("_rows", F.array_compact(F.array(
-                F.when(F.col("cells") != F.col("n_paths") * assets * horizon, "wrong_shape"),
+                F.when(F.col("_seen") != F.col("_declared"), "wrong_assets"),
+                F.when(~wanted, "wrong_path_count"),
+                F.when(F.col("cells") != F.col("n_paths") * size, "wrong_shape"),
                 F.when(F.col("cells") != F.col("rows"), "duplicate_step")))))
-            .drop("_rows", "cells"))
+            .drop("_rows", "cells", "_seen", "_declared"))
 
 
 def repair_containment(rows: DataFrame) -> DataFrame:

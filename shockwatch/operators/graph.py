@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .bandjoin import band_join
 from .quantiles import exact_quantiles
 
 FOLLOW = 30
 KEYS = ("universe",)
-# Longest stretch of bars in one block. Events of a universe lie more than ten bars apart, so a
-# block holds at most BLOCK / 11 of them however much data there is.
-BLOCK = 44_640
 
 
 def origin_mismatch(events: DataFrame, triggers: DataFrame, keys: Sequence[str] = KEYS
@@ -128,13 +126,22 @@ def strongest_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("n > 0").withColumn("place", F.row_number().over(w)).filter("place = 1")
 
 
-def _unpack(frames: pd.Series) -> tuple[np.ndarray, ...]:
-    """Dense (event, asset) matrices of a packed fingerprint column."""
-    def grid(name: str, empty: float) -> np.ndarray:
-        return np.array([[empty if s[name] is None else float(s[name]) for s in fp]
-                         for fp in frames], dtype=float)
-    present = np.array([[bool(s["present"]) for s in fp] for fp in frames], dtype=bool)
-    return present, grid("direction", 0), np.log1p(grid("magnitude", 0)), grid("delay", 0)
+def numeric(prints: DataFrame) -> DataFrame:
+    """Fingerprints as four number arrays (presence, direction, log magnitude, delay) and their bit mask."""
+    def column(value: Callable[[Column], Column]) -> Column:
+        return F.transform("fp", lambda s: F.coalesce(value(s).cast("double"), F.lit(0.0)))
+
+    bits = F.aggregate("fp", F.lit(0).cast("long"), lambda acc, s: F.shiftleft(acc, 1).bitwiseOR(
+        F.coalesce(s["present"], F.lit(False)).cast("long")))
+    return prints.select(*[c for c in prints.columns if c != "fp"], F.size("fp").alias("n"), bits.alias("mask"),
+                         column(lambda s: s["present"]).alias("p"), column(lambda s: s["direction"]).alias("d"),
+                         column(lambda s: F.log1p(s["magnitude"])).alias("m"), column(lambda s: s["delay"]).alias("l"))
+
+
+def stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Dense (event, asset) matrices of numeric fingerprints."""
+    p, d, m, lag = (np.stack(pdf[c].to_numpy()) for c in ("p", "d", "m", "l"))
+    return p > 0, d, m, lag
 
 
 def distances(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -149,43 +156,103 @@ def distances(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np
     return np.round(total / left[0].shape[1], 12)
 
 
-def nearest_events(queries: DataFrame, library: DataFrame, k: int = 3, block: int = BLOCK
-                   ) -> DataFrame:
+def dealt(rows: DataFrame, keys: Sequence[str], name: str, block: int) -> DataFrame:
+    """Rows with a block number: about ``block`` rows of one key share a block."""
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    return rows.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64("t0"), F.col("_blocks"))).drop("_blocks")
+
+
+def nearest_events(queries: DataFrame, library: DataFrame, k: int = 3, block: int = 1024,
+                   compared: list[int] | None = None) -> DataFrame:
     """The k nearest library events of each query by (distance, time), itself excluded.
 
-    Both sides have ``universe, t0, fp``. Time blocks bound each task on both sides; a pair of
-    blocks yields its k best per query, and the best of those are final. The pairs themselves
-    never leave a task.
+    Both sides have ``universe, t0, fp``. A pair is at least as far apart as its presence masks
+    differ, over the number of assets. Round m compares prints whose masks differ in m assets; a
+    query is done once its k-th best lies below the bound of the next round. Rounds meet in blocks,
+    which bounds each task on both sides; the pairs themselves never leave it. ``compared`` takes
+    the number of pairs each round looked at.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        # Aliases give each side its own columns; both may come from one table.
-        fresh = df.select(*[F.col(c).alias(c) for c in ("universe", "t0", "fp")])
-        return fresh.withColumn(name, F.floor(F.col("t0") / block).cast("long"))
-
-    q, lib = blocks(queries, "qb"), blocks(library, "lb")
-    q_blocks = q.select("universe", "qb").distinct()
-    l_blocks = lib.select("universe", "lb").distinct()
-    left = q.join(l_blocks, "universe").select("universe", "qb", "lb", "t0", "fp")
-    right = lib.join(q_blocks, "universe").select(
-        *[F.col(c).alias(c) for c in ("universe", "qb", "lb", "t0", "fp")])
-
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["universe", "t0", "neighbour", "distance"]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=names)
+    names = "universe string, t0 bigint, neighbour bigint, distance double"
+    lib = materialize(dealt(numeric(library.select("universe", "t0", "fp")), ("universe", "mask"), "lb", block), "library")
+    groups = lib.groupBy("universe", "mask", "lb").agg(F.count("*").alias("_rows")).withColumnRenamed("mask", "lmask")
+    waiting = materialize(dealt(numeric(queries.select("universe", "t0", "fp")), ("universe", "mask"), "qb", block), "queries")
+    best, mismatch = None, 0
+
+    def near(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if not a.empty and not b.empty:
+            b = b.sort_values("t0", ignore_index=True)
+            right_m, times = stacked(b), b["t0"].to_numpy()
+            for lo in range(0, len(a), 256):
+                part = a.iloc[lo:lo + 256]
+                d = distances(stacked(part), right_m)
+                d[part["t0"].to_numpy()[:, None] == times[None, :]] = np.inf
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                for i, t0 in enumerate(part["t0"]):
+                    rows += [(key[0], t0, times[j], d[i, j]) for j in order[i] if np.isfinite(d[i, j])]
+        return pd.DataFrame(rows, columns=["universe", "t0", "neighbour", "distance"])
+
+    keys = ["universe", "mask", "qb", "lmask", "lb"]
+    while True:
+        asked = waiting.groupBy("universe", "mask", "qb").agg(F.count("*").alias("_asked"))
+        pairs = materialize(asked.join(groups, "universe").filter(
+            F.bit_count(F.col("mask").bitwiseXOR(F.col("lmask"))) == mismatch), "mask-pairs")
+        if compared is not None:
+            compared.append(pairs.agg(F.sum(F.col("_asked") * F.col("_rows"))).first()[0] or 0)
+        left = waiting.join(pairs.select(*keys), ["universe", "mask", "qb"])
+        right = lib.withColumnRenamed("mask", "lmask").join(pairs.select(*keys), ["universe", "lmask", "lb"])
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, names)
+        w = Window.partitionBy("universe", "t0").orderBy("distance", "neighbour")
+        ranked = (found if best is None else best.unionByName(found)).withColumn(
+            "place", F.row_number().over(w)).filter(F.col("place") <= k)
+        best = materialize(ranked.drop("place"), "nearest")
+        mismatch += 1
+        done = best.groupBy("universe", "t0").agg(F.count("*").alias("_c"), F.max("distance").alias("_far")).filter(
+            F.col("_c") >= k)
+        bound = F.lit(float(mismatch)) / F.col("n")
+        waiting = materialize(waiting.join(done, ["universe", "t0"], "left").filter(
+            (F.col("n") >= mismatch) & (F.col("_c").isNull() | (F.col("_far") >= bound - 1e-9))).drop("_c", "_far"), "queries")
+        if waiting.isEmpty():
+            return best.withColumn("place", F.row_number().over(w))
+
+
+def pair_summary(prints: DataFrame, block: int = 1024) -> DataFrame:
+    """Per event, its mean distance to the others of its period and its nearest one.
+
+    A period is cut into blocks of events; each pair of blocks adds a sum and a minimum per event,
+    so a long period is many tasks and no pair leaves its task.
+    """
+    keys = ["universe", "period"]
+    rows = materialize(dealt(numeric(prints.select(*keys, "t0", "fp")), keys, "b", block), "period-prints")
+    blocks = rows.select(*keys, "b").distinct()
+
+    def side(own: str, other: str) -> DataFrame:
+        # Aliases give each side its own columns; both come from one table.
+        fresh = rows.select(*[F.col(c).alias(own if c == "b" else c) for c in rows.columns])
+        return fresh.join(blocks.withColumnRenamed("b", other), keys)
+
+    left, right = side("lb", "rb"), side("rb", "lb")
+
+    def add(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("t0", ignore_index=True)
-        right_m, times, rows = _unpack(b["fp"]), b["t0"].to_numpy(), []
+        right_m, times, out = stacked(b), b["t0"].to_numpy(), []
         for lo in range(0, len(a), 256):
             part = a.iloc[lo:lo + 256]
-            d = distances(_unpack(part["fp"]), right_m)
-            d[part["t0"].to_numpy()[:, None] == times[None, :]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i, t0 in enumerate(part["t0"]):
-                rows += [(key[0], t0, times[j], d[i, j]) for j in order[i] if np.isfinite(d[i, j])]
-        return pd.DataFrame(rows, columns=names)
-
-    near = left.groupBy("universe", "qb", "lb").cogroup(
-        right.groupBy("universe", "qb", "lb")).applyInPandas(
-        best, "universe string, t0 bigint, neighbour bigint, distance double")
-    w = Window.partitionBy("universe", "t0").orderBy("distance", "neighbour")
-    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+            own = part["t0"].to_numpy()[:, None] == times[None, :]
+            d = distances(stacked(part), right_m)
+            total = np.where(own, 0, d).sum(axis=1)
+            d[own] = np.inf
+            at = d.argmin(axis=1)
+            out.append(pd.DataFrame({
+                "universe": key[0], "period": key[1], "t0": part["t0"].to_numpy(), "total": total,
+                "others": (~own).sum(axis=1), "nearest": times[at], "least": d[np.arange(len(part)), at]}))
+        return pd.concat(out)
+
+    meet = [*keys, "lb", "rb"]
+    parts = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(
+        add, "universe string, period string, t0 bigint, total double, others bigint, nearest bigint, least double")
+    closest = F.min(F.when(F.col("others") > 0, F.struct("least", "nearest")))
+    return parts.groupBy(*keys, "t0").agg(F.sum("total").alias("_t"), F.sum("others").alias("_n"), closest.alias("_c")).select(
+        *keys, "t0", F.try_divide("_t", "_n").alias("mean_distance"),
+        F.when(F.col("_n") > 0, F.col("_c.nearest")).otherwise(F.lit(-1).cast("long")).alias("nearest"),
+        F.when(F.col("_n") > 0, F.col("_c.least")).alias("nearest_distance"))

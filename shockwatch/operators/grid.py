@@ -53,18 +53,18 @@ def ordered_assets(pairs: DataFrame) -> DataFrame:
                                        "major").otherwise("small")))
 
 
-def next_position(df: DataFrame, pos: str, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Next position of the same asset, without a window over the whole asset.
+def next_position(df: DataFrame, pos: str, out: str, chunk: int = CHUNK, keys=KEYS) -> DataFrame:
+    """Next position of the same key, without a window over the whole key.
 
     Inside a chunk by ``lead``; the last row of a chunk takes the first position of the next
     chunk that has rows, found on one row per chunk.
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(pos) / chunk).cast("long"))
-    heads = chunked.groupBy(*KEYS, "_chunk").agg(F.min(pos).alias("_head"))
-    following = heads.select(*KEYS, "_chunk", F.lead("_head").over(
-        Window.partitionBy(*KEYS).orderBy("_chunk")).alias("_next_head"))
-    return (chunked.withColumn("_lead", F.lead(pos).over(chunk_window(KEYS, pos)))
-            .join(following, [*KEYS, "_chunk"], "left")
+    heads = chunked.groupBy(*keys, "_chunk").agg(F.min(pos).alias("_head"))
+    following = heads.select(*keys, "_chunk", F.lead("_head").over(
+        Window.partitionBy(*keys).orderBy("_chunk")).alias("_next_head"))
+    return (chunked.withColumn("_lead", F.lead(pos).over(chunk_window(keys, pos)))
+            .join(following, [*keys, "_chunk"], "left")
             .withColumn(out, F.coalesce("_lead", "_next_head"))
             .drop("_lead", "_next_head", "_chunk"))
 
@@ -126,9 +126,10 @@ def staleness(now: Column, as_of: Column, feed_error: Column, limit_seconds: int
 
 def non_overlap(origins: DataFrame, horizon: int, keys=("universe",), pos: str = "origin"
                 ) -> DataFrame:
-    """Consecutive origins closer than the horizon (their future windows overlap)."""
-    step = F.col(pos) - F.lag(pos).over(Window.partitionBy(*keys).orderBy(pos))
-    return origins.withColumn("spacing", step).filter(F.col("spacing") < horizon)
+    """Consecutive origins closer than the horizon (their future windows overlap): the later one."""
+    near = next_position(origins, pos, "_next", keys=keys)
+    return (near.withColumn("spacing", F.col("_next") - F.col(pos)).filter(F.col("spacing") < horizon)
+            .withColumn(pos, F.col("_next")).drop("_next"))
 
 
 def attention_issue(c=F.col) -> Column:

@@ -12,35 +12,46 @@ LOOKBACK = 256
 HORIZON = 30
 
 
+FOLDS_PER_TASK = 4096
+
+
 def rolling_origins(spans: DataFrame, stride: int = HORIZON, lookback: int = LOOKBACK,
                     horizon: int = HORIZON, limit: int | None = None) -> DataFrame:
     """Fold plan: every ``stride`` bars from the first full look-back to the last full horizon.
 
-    ``available`` counts all folds; ``limit`` keeps the first of them, as a plan does.
+    ``available`` counts all folds; ``limit`` keeps the first of them, as a plan does. A universe is
+    cut into runs of folds first, and the runs are dealt to tasks before they are spelled out.
     """
     last = F.col("n") - horizon - 1
-    folds = F.when(last >= lookback - 1,
-                   F.sequence(F.lit(lookback - 1).cast("long"), last, F.lit(stride).cast("long")))
-    plan = spans.withColumn("_f", folds).withColumn("available", F.size("_f"))
-    chosen = F.slice("_f", 1, limit) if limit else F.col("_f")
-    return plan.select("universe", F.explode(chosen).alias("t0"), "available")
+    count = F.greatest(F.floor((last - (lookback - 1)) / stride) + 1, F.lit(0)).cast("int")
+    plan = spans.withColumn("available", count).filter("available > 0")
+    chosen = F.least("available", F.lit(limit)) if limit else F.col("available")
+    runs = plan.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((chosen - 1) / FOLDS_PER_TASK).cast("int"))))
+    width = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("_run") * FOLDS_PER_TASK
+    fold = F.explode(F.sequence(first, F.least(first + FOLDS_PER_TASK, chosen) - 1))
+    return (runs.repartition(width, "universe", "_run").withColumn("_fold", fold)
+            .select("universe", (F.col("_fold").cast("long") * stride + lookback - 1).alias("t0"), "available"))
+
+
+def evenly_placed(candidates: DataFrame, pos: Column, n: Column, count: int) -> DataFrame:
+    """Row ``floor(i (n - 1) / (count - 1))`` of each list, i = 0..count-1, for known positions.
+
+    Keeps every candidate when there are no more than ``count``. Position p is chosen when some i
+    maps to it: i = ceil(p (count - 1) / (n - 1)) is the only one that can, because the mapping is
+    monotone with steps of at least one.
+    """
+    steps = F.greatest(n - 1, F.lit(1))
+    i = F.ceil(pos * (count - 1) / steps)
+    return candidates.filter((n <= count) | (F.floor(i * steps / (count - 1)) == pos))
 
 
 def evenly_spaced(candidates: DataFrame, keys, order, count: int) -> DataFrame:
-    """Row ``floor(i (n - 1) / (count - 1))`` of each ordered candidate list, i = 0..count-1.
-
-    Keeps every candidate when there are no more than ``count``.
-    """
+    """``evenly_placed`` for lists whose positions have to be counted (keys with few rows, as a day)."""
     w = Window.partitionBy(*keys)
-    pos = F.col("_pos")
-    # Position p is chosen when some i maps to it: i = ceil(p (count-1) / (n-1)) is the only one
-    # that can, because the mapping is monotone with steps of at least one.
-    steps = F.greatest(F.col("_n") - 1, F.lit(1))
-    i = F.ceil(pos * (count - 1) / steps)
-    hit = F.floor(i * steps / (count - 1)) == pos
-    return (candidates.withColumn("_pos", F.row_number().over(w.orderBy(*order)) - 1)
-            .withColumn("_n", F.count("*").over(w))
-            .filter((F.col("_n") <= count) | hit).drop("_pos", "_n"))
+    placed = (candidates.withColumn("_pos", F.row_number().over(w.orderBy(*order)) - 1)
+              .withColumn("_n", F.count("*").over(w)))
+    return evenly_placed(placed, F.col("_pos"), F.col("_n"), count).drop("_pos", "_n")
 
 
 def calendar_origins(spans: DataFrame, per_day: int, stride: int, bars_per_day: int,

@@ -10,7 +10,9 @@ from .core import rd
 from .oracle import part, r, sql
 from .registry import query
 
-CONTEXT = 12
+# A control keeps this many bars on both sides free of shocks. The hourly sample is too short for it (its
+# controls lie 24 bars apart), so the ratios of the sample use a shorter one; both are registered.
+CONTEXT, SHORT_CONTEXT = 120, 12
 
 part("q_dec", """
  SELECT universe, t0, asset, o h, sqrt(10) * base baseline, sqrt(10) * recent recent,
@@ -105,17 +107,22 @@ part("q_vol30", """
         CASE WHEN count(*) OVER w = 30 THEN sum(volume) OVER w END volume_sum
  FROM q_bars WINDOW w AS (PARTITION BY universe, asset ORDER BY idx
                           ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
-part("q_ctl", f"""
+def controls_sql(context: int) -> str:
+    return f"""
  SELECT s.universe, s.t0, v.asset, s.back, v.volume_sum, CASE WHEN s.c < 0 THEN 'outside_authorized_data'
-        WHEN s.c < {CONTEXT} OR s.c + {CONTEXT} >= s.t0 THEN 'context_boundary_insufficient'
-        WHEN s.c - {CONTEXT} < 65 THEN 'detector_coverage_unknown'
+        WHEN s.c < {context} OR s.c + {context} >= s.t0 THEN 'context_boundary_insufficient'
+        WHEN s.c - {context} < 65 THEN 'detector_coverage_unknown'
         WHEN (isodow(v.ts) >= 6) <> (isodow(s.ts) >= 6) THEN 'weekday_weekend_mismatch'
         WHEN EXISTS (SELECT 1 FROM q_st t WHERE t.universe = s.universe
-                     AND t.idx BETWEEN s.c - {CONTEXT} AND s.c + {CONTEXT}) THEN 'shock_within_control_context'
+                     AND t.idx BETWEEN s.c - {context} AND s.c + {context}) THEN 'shock_within_control_context'
         WHEN v.volume_status <> 'valid' THEN 'control_' || v.volume_status END rejected
  FROM (SELECT universe, t0, ts, b.back, t0 - b.back * CASE WHEN universe = 'events' THEN 24 ELSE 7 END c
        FROM q_study, range(1, 29) b(back)) s
- LEFT JOIN q_vol30 v ON v.universe = s.universe AND v.idx = s.c""")
+ LEFT JOIN q_vol30 v ON v.universe = s.universe AND v.idx = s.c"""
+
+
+part("q_ctl", controls_sql(SHORT_CONTEXT))
+part("q_ctl_full", controls_sql(CONTEXT))
 part("q_ratio", """
  SELECT e.universe, e.t0, v.asset, COALESCE(g.n, 0) n_controls, CASE WHEN g.n >= 3 THEN g.m END control_median,
         concat_ws('|', CASE WHEN v.volume_status <> 'valid' THEN 'event_' || v.volume_status END,
@@ -127,10 +134,10 @@ part("q_ratio", """
             GROUP BY universe, t0, asset) g ON g.universe = e.universe AND g.t0 = e.t0 AND g.asset = v.asset""")
 
 
-def _controls(h):
+def _controls(h, context=SHORT_CONTEXT):
     cycle = F.when(F.col("universe") == "events", 24).otherwise(7)
     return volume.controls(h.study, grid.observed_volume(h.bars), h.study_triggers, h.spans,
-                           cycle, CONTEXT)
+                           cycle, context)
 
 
 def _ratios(h):
@@ -139,9 +146,16 @@ def _ratios(h):
 
 
 @query("j12_j13_controls", sql("""
- SELECT universe, rejected, count(DISTINCT (t0, back)) n FROM q_ctl WHERE rejected IS NOT NULL
+ SELECT universe, rejected, count(DISTINCT (t0, back)) n FROM q_ctl_full WHERE rejected IS NOT NULL
  GROUP BY universe, rejected"""))
 def j12(h):
+    return volume.rejection_counts(_controls(h, CONTEXT))
+
+
+@query("j12_j13_controls_short_context", sql("""
+ SELECT universe, rejected, count(DISTINCT (t0, back)) n FROM q_ctl WHERE rejected IS NOT NULL
+ GROUP BY universe, rejected"""))
+def j12_short(h):
     return volume.rejection_counts(_controls(h))
 
 

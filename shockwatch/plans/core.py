@@ -248,9 +248,9 @@ def j1_windows(h):
 @query("f18_fold_plan", sql("""
  WITH o AS (SELECT universe, n, unnest(range(255, n - 30, 30)) t0 FROM q_spans)
  SELECT universe, t0, available FROM (SELECT *, count(*) OVER (PARTITION BY universe) available,
-        row_number() OVER (PARTITION BY universe ORDER BY t0) i FROM o) WHERE i <= 12"""))
+        row_number() OVER (PARTITION BY universe ORDER BY t0) i FROM o)"""))
 def f18_plan(h):
-    return windows.rolling_origins(h.spans, limit=12).withColumn(
+    return windows.rolling_origins(h.spans).withColumn(
         "available", F.col("available").cast("long"))
 
 

@@ -1,4 +1,4 @@
-"""Follow-up graph, fingerprints, nearest events and clusters."""
+"""Follow-up graph, fingerprints and nearest events."""
 
 from __future__ import annotations
 
@@ -192,43 +192,11 @@ def j15(h):
         {r('min(d.distance)', 9)} nearest_distance
  FROM q_study e LEFT JOIN d ON d.universe = e.universe AND d.t0 = e.t0 GROUP BY e.universe, e.period, e.t0"""))
 def c1(h):
-    return cluster.pair_summary(_period_prints(h)).select(
+    return graph.pair_summary(_period_prints(h)).select(
         "universe", "period", "t0", rd("mean_distance", 9).alias("mean_distance"), "nearest",
         rd("nearest_distance", 9).alias("nearest_distance"))
 
 
-@query("c2_a48_clusters")
-def c2(h):
-    return cluster.clusters(_period_prints(h))
-
-
-@query("c2_merge_history")
-def c2_merges(h):
-    return cluster.merge_history(_period_prints(h))
-
-
-@query("f32_cluster_names")
-def f32(h):
-    return cluster.describe(cluster.clusters(_period_prints(h)), _slots(h), h.study)
-
-
-@query("c3_leave_one_out_ari")
-def c3(h):
-    overlap = cluster.leave_one_out(_period_prints(h)).filter("candidate > 0")
-    return cluster.adjusted_rand(overlap, ("universe", "period", "omitted"), "reference",
-                                 "candidate", F.col("c"))
-
-
-@query("c3_matched_jaccard")
-def c3_jaccard(h):
-    return cluster.matched_jaccard(cluster.leave_one_out(_period_prints(h)))
-
-
-@query("c3_singleton_persistence")
-def c3_singletons(h):
-    return cluster.singleton_persistence(cluster.leave_one_out(_period_prints(h)))
-
-
 @query("a47_adjusted_rand", sql(f"""
  WITH c AS (SELECT universe, direction, systemic, count(*) c FROM q_study GROUP BY ALL),
  j AS (SELECT universe, sum(c * (c - 1) / 2.0) joint, sum(c) n FROM c GROUP BY universe),

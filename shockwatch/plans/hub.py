@@ -36,13 +36,23 @@ class Hub:
         # Days, hours and periods are UTC whatever the session was started with.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._signature: str | None = None
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self._inputs(), name)
         if key not in _stored:
             _stored[key] = materialize(build(), name)
         return _stored[key]
 
+    def _inputs(self) -> str:
+        """The input folder with the sizes and times of its files: changed input is computed anew."""
+        if self._signature is None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+            found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+            files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+            self._signature = f"{self.sf_dir} {files}"
+        return self._signature
+
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, name)
 

@@ -7,144 +7,252 @@ import uuid
 import zipfile
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import comparison
 from ..schema import KLINE_COLUMNS
-from ..session import shared_dir
+from ..session import run_dir
 from ..sources import artifacts, klines, sinks
+from ..sources.tables import INTERVALS
 from . import hub as H
 from .core import rd
 from .oracle import part, r, sql
 from .registry import query
 
-HOUR_US = 3_600_000_000
 DIRS = r"asset=([^/]+)/month=([^/]+)/"
+DIGITS = (15, 16)  # the sample's days begin before 2001-09-09, when stamps got their sixteenth digit
 
 
 def _folder(h, label: str) -> str:
-    return f"{shared_dir(h.spark)}/shockwatch/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(h.spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _kline_columns(h):
-    """Hourly bars in the twelve-column archive layout, as text."""
-    bars = h.bars.filter("universe = 'events'")
-    start = (F.unix_micros("ts") - HOUR_US).cast("string")
+def _kline_columns(h, universe="events"):
+    """Bars of a universe in the twelve-column archive layout, as text."""
+    step = INTERVALS[universe] * 1_000_000
+    bars = h.bars.filter(F.col("universe") == universe)
+    start = (F.unix_micros("ts") - step).cast("string")
     text = lambda c: F.col(c).cast("string")
     return bars.select(
         start.alias("open_us"), text("open").alias("open"), text("high").alias("high"),
         text("low").alias("low"), text("close").alias("close"), text("volume").alias("volume"),
         (F.unix_micros("ts") - 1).cast("string").alias("close_us"), text("amount").alias("quote_amount"),
         F.lit("0").alias("trades"), F.lit("0").alias("taker_base"), F.lit("0").alias("taker_quote"),
-        F.lit("0").alias("ignored"), "asset",
-        F.date_format(F.timestamp_micros(F.unix_micros("ts") - HOUR_US), "yyyy-MM").alias("month"))
+        F.lit("0").alias("ignored"), "asset", "idx",
+        F.date_format(F.timestamp_micros(F.unix_micros("ts") - step), "yyyy-MM").alias("month"))
+
+
+def _kline_files(h, universe, faulty=False):
+    """CSV files per asset and month; every 29th bar and its neighbours are damaged if ``faulty``."""
+    rows, path = _kline_columns(h, universe), _folder(h, "klines")
+    line = F.concat_ws(",", *KLINE_COLUMNS)
+    if faulty:
+        swap = lambda name, value: F.concat_ws(",", *[value if c == name else F.col(c) for c in KLINE_COLUMNS])
+        line = (F.when(F.col("idx") % 29 == 0, F.concat(line, F.lit(",0")))
+                .when(F.col("idx") % 29 == 1, F.concat_ws(",", *KLINE_COLUMNS[:5]))
+                .when(F.col("idx") % 29 == 2, swap("open", F.lit("x")))
+                .when(F.col("idx") % 29 == 3, swap("open_us", (F.col("open_us").cast("long") + 1).cast("string")))
+                .when(F.col("idx") % 29 == 4, swap("close_us", F.col("open_us"))).otherwise(line))
+    rows.select(line.alias("line"), "asset", "month").repartition("asset", "month").write.partitionBy(
+        "asset", "month").text(path)
+    return path
 
 
-def _kline_files(h):
-    path = _folder(h, "klines")
-    _kline_columns(h).repartition("asset", "month").write.partitionBy("asset", "month").csv(path)
-    return path
+def _klines(h, faulty=False):
+    """Parsed files of every universe."""
+    out = None
+    for universe, seconds in INTERVALS.items():
+        rows = klines.parse(klines.scan(h.spark, _kline_files(h, universe, faulty), DIRS), seconds * 1_000_000, DIGITS)
+        rows = rows.withColumn("universe", F.lit(universe))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 part("q_kl", """
- SELECT asset, strftime(ts - INTERVAL 1 HOUR, '%Y-%m') AS month, * EXCLUDE (asset) FROM q_bars WHERE universe = 'events'""")
+ SELECT strftime(ts - CASE universe WHEN 'events' THEN INTERVAL 1 HOUR ELSE INTERVAL 1 DAY END, '%Y-%m') AS month, * FROM q_bars""")
 REASON = "CASE WHEN (volume = 0) <> (amount = 0) THEN 'zero_volume_mismatch' ELSE 'valid' END"
 
 
 @query("s1_kline_csv", sql(f"""
- SELECT asset, month, {REASON} AS reason, count(*) n, {r('sum(close)', 4)} close_sum, {r('sum(amount)', 2)} amount_sum,
-        max(epoch(ts))::BIGINT last_end FROM q_kl GROUP BY ALL"""))
+ SELECT universe, asset, month, CASE idx % 29 WHEN 0 THEN 'wrong_columns' WHEN 1 THEN 'wrong_columns' WHEN 2 THEN 'not_finite'
+        WHEN 3 THEN 'off_grid' WHEN 4 THEN 'bad_close_stamp' ELSE {REASON} END AS reason, count(*) n,
+        {r('sum(CASE WHEN idx % 29 > 4 THEN close END)', 4)} close_sum,
+        {r('sum(CASE WHEN idx % 29 > 4 THEN amount END)', 2)} amount_sum FROM q_kl GROUP BY ALL"""))
 def s1(h):
-    bars = klines.parse(klines.scan(h.spark, _kline_files(h), DIRS), HOUR_US)
-    return bars.groupBy("asset", "month", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(
-        F.count("*").alias("n"), rd(F.sum("close"), 4).alias("close_sum"),
-        rd(F.sum("amount"), 2).alias("amount_sum"), F.max(F.unix_timestamp("ts")).alias("last_end"))
+    """Files with long, short, non-numeric, off-grid and wrongly closed lines; each keeps its reason."""
+    fine = F.col("reason").isNull() | (F.col("reason") == "zero_volume_mismatch")
+    return _klines(h, True).groupBy("universe", "asset", "month", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(
+        F.count("*").alias("n"), rd(F.sum(F.when(fine, F.col("close"))), 4).alias("close_sum"),
+        rd(F.sum(F.when(fine, F.col("amount"))), 2).alias("amount_sum"))
 
 
 @query("s2_month_status", sql("""
- SELECT asset, month, count(*) AS rows, CAST(day(last_day(min(ts - INTERVAL 1 HOUR))) * 24 AS BIGINT) expected,
-        CASE WHEN count(*) = day(last_day(min(ts - INTERVAL 1 HOUR))) * 24 THEN 'complete' ELSE 'incomplete' END status
- FROM q_kl GROUP BY asset, month"""))
+ SELECT universe, asset, month, count(*) AS rows, CAST(day(last_day(strptime(month, '%Y-%m'))) *
+        CASE universe WHEN 'events' THEN 24 ELSE 1 END AS BIGINT) expected,
+        CASE WHEN count(*) = day(last_day(strptime(month, '%Y-%m'))) * CASE universe WHEN 'events' THEN 24 ELSE 1 END
+        THEN 'complete' ELSE 'incomplete' END status
+ FROM q_kl WHERE (volume = 0) = (amount = 0) GROUP BY universe, asset, month"""))
 def s2(h):
-    """Strict month check: the sample ends a day early, so its month is incomplete."""
-    bars = klines.parse(klines.scan(h.spark, _kline_files(h), DIRS), HOUR_US)
-    return klines.month_status(bars, 24, HOUR_US).select("asset", "month", "rows", "expected", "status")
+    """Strict month check of every universe."""
+    out = None
+    for universe, seconds in INTERVALS.items():
+        bars = klines.parse(klines.scan(h.spark, _kline_files(h, universe), DIRS), seconds * 1_000_000, DIGITS)
+        rows = klines.month_status(bars, 86400 // seconds, seconds * 1_000_000).withColumn("universe", F.lit(universe))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("universe", "asset", "month", "rows", "expected", "status")
 
 
-def _archives(h):
+def _archives(h, universe="events"):
     """One zip per asset-month (a group is one month of one asset), with its plain CSV text."""
     names = list(KLINE_COLUMNS)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         text = pdf.sort_values("open_us")[names].to_csv(index=False, header=False, lineterminator="\n")
-        raw, name = _io.BytesIO(), f"{key[0].upper()}USDT-1m-{key[1]}.csv"
+        raw, name = _io.BytesIO(), f"{key[0].upper().replace(' ', '_')}USDT-1m-{key[1]}.csv"
         with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr(zipfile.ZipInfo(name), text)
         return pd.DataFrame([(f"/{name}.zip", raw.getvalue(), text.encode())],
                             columns=["path", "content", "csv"])
-    return _kline_columns(h).groupBy("asset", "month").applyInPandas(
+    return _kline_columns(h, universe).groupBy("asset", "month").applyInPandas(
         pack, "path string, content binary, csv binary")
 
 
 @query("s3_zip_archives", sql(f"""
- SELECT upper(asset) asset, month, count(*) n, {r('sum(close)', 4)} close_sum FROM q_kl GROUP BY asset, month"""))
+ WITH a AS (SELECT universe, asset, month, count(*) n, sum(close) s, CAST(month[6:7] AS INT) % 4 = 0 broken
+            FROM q_kl GROUP BY universe, asset, month)
+ SELECT universe, month, broken, CASE WHEN broken THEN 0 ELSE sum(n) END::BIGINT AS n, CASE WHEN broken THEN count(*) ELSE 0 END AS archives_refused,
+        CASE WHEN broken THEN 0.0 ELSE {r('sum(s)', 3)} END close_sum FROM a GROUP BY universe, month, broken"""))
 def s3(h):
-    bars = klines.parse(klines.from_lines(klines.unzip(_archives(h))), HOUR_US)
-    return bars.groupBy("asset", "month").agg(F.count("*").alias("n"), rd(F.sum("close"), 4).alias("close_sum"))
+    """Archives of every universe; those of each fourth month are cut short and must be reported."""
+    out = None
+    month = F.regexp_extract("path", r"(\d{4}-\d{2})", 1)
+    for universe, seconds in INTERVALS.items():
+        damaged = F.substring(month, 6, 2).cast("int") % 4 == 0
+        files = _archives(h, universe).withColumn("content", F.when(
+            damaged, F.expr("substring(content, 1, 40)")).otherwise(F.col("content")))
+        lines = klines.unzip(files)
+        good = klines.parse(klines.from_lines(lines, r"([^/]*)USDT-1m-(\d{4}-\d{2})\.csv"), seconds * 1_000_000, DIGITS).groupBy(
+            "month").agg(F.lit(False).alias("broken"), F.count("*").alias("n"), F.lit(0).cast("long").alias("archives_refused"),
+                         rd(F.sum("close"), 3).alias("close_sum"))
+        lost = klines.broken(lines).groupBy(month.alias("month")).agg(
+            F.lit(True).alias("broken"), F.lit(0).cast("long").alias("n"), F.count("*").alias("archives_refused"),
+            F.lit(0.0).alias("close_sum"))
+        rows = good.unionByName(lost).withColumn("universe", F.lit(universe))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+PROMISED = {"events": 720, "lineitem": 31, "orders": 31}
 
 
 @query("s6_s7_file_verification", sql("""
- SELECT upper(asset) || 'USDT-1m-' || month || '.csv' filename, CASE WHEN count(*) = 720 THEN 'verified'
-        ELSE 'row_count_mismatch' END status FROM q_kl GROUP BY asset, month"""))
+ SELECT universe, replace(upper(asset), ' ', '_') || 'USDT-1m-' || month || '.csv' filename, CASE WHEN count(*) = CASE universe WHEN 'events'
+        THEN 720 ELSE 31 END THEN 'verified' ELSE 'row_count_mismatch' END status FROM q_kl GROUP BY universe, asset, month"""))
 def s6(h):
-    """Hashes and lengths against a checksum list; the manifest promises 720 rows per file."""
-    files = _archives(h).select(F.regexp_replace("path", "\\.zip$", "").alias("path"), F.col("csv").alias("content"))
-    facts = artifacts.file_facts(files)
-    lines = facts.select(F.concat("sha256", F.lit("  "), "filename").alias("value"))
-    listed = artifacts.checksums(lines).join(facts.select("filename", "bytes"), "filename") \
-        .withColumn("rows", F.lit(720))
-    return artifacts.verify_files(facts, listed).select("filename", "status")
-
-
-def _polls(h, cells):
-    """Landed polls: one JSON array of bar arrays per asset and day."""
-    day = F.date_format("ts", "yyyy-MM-dd")
-    return (h.bars.filter("universe = 'events'").groupBy("asset", day.alias("day"))
-            .agg(F.array_sort(F.collect_list(cells)).alias("_rows"))
-            .select("asset", "day", F.to_json(F.transform("_rows", lambda x: x["v"])).alias("value")))
-
-
-CUT_S = 1704844800  # 2024-01-10 00:00:00 UTC
-
-
-@query("s4_live_polls", sql(f"""
- SELECT asset, count(*) n, {r('sum(close)', 4)} close_sum, max(epoch(ts))::BIGINT last_end FROM q_bars
- WHERE universe = 'events' AND epoch(ts) <= {CUT_S} GROUP BY asset"""))
+    """Hashes and lengths against a checksum list; the manifest promises the rows of a whole month."""
+    out = None
+    for universe, rows in PROMISED.items():
+        files = _archives(h, universe).select(F.regexp_replace("path", "\\.zip$", "").alias("path"),
+                                              F.col("csv").alias("content"))
+        facts = artifacts.file_facts(files)
+        lines = facts.select(F.concat("sha256", F.lit("  "), "filename").alias("value"))
+        listed = artifacts.checksums(lines).join(facts.select("filename", "bytes"), "filename") \
+            .withColumn("rows", F.lit(rows))
+        found = artifacts.verify_files(facts, listed).select(F.lit(universe).alias("universe"), "filename", "status")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+BLOCK = 24
+#: What is wrong with the polls of every seventh block, at its first bar (a gap: after its sixth).
+FAULTS = {1: "wrong_columns", 2: "not_finite", 3: "gap", 4: "wrong_columns", 5: "bad_stamp", 6: "unreadable"}
+
+
+def _polls(h, universe, row, stamp):
+    """Landed polls of a universe: one JSON array of 24 bars per asset and block, some damaged.
+
+    ``row`` is the array of a bar's texts, ``stamp`` the name of the cell that is moved off.
+    """
+    fault = (F.floor(F.col("idx") / BLOCK) % 7).cast("int")
+    first = F.pmod(F.col("idx"), F.lit(BLOCK)) == 0
+    size = F.size(row)
+    texts = (F.when(first & (fault == 1), F.slice(row, 1, 3)).when(first & (fault == 4), F.concat(row, F.array(F.lit("0"))))
+             .when(first & (fault == 2), F.concat(F.slice(row, 1, 1), F.array(F.lit("x")), F.slice(row, F.lit(3), size - 2)))
+             .when(first & (fault == 5), F.concat(F.array(stamp), F.slice(row, F.lit(2), size - 1))).otherwise(row))
+    bars = h.bars.filter((F.col("universe") == universe) & ~((fault == 3) & (F.pmod(F.col("idx"), F.lit(BLOCK)) == 5)))
+    packed = (bars.groupBy("universe", "asset", F.floor(F.col("idx") / BLOCK).alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("idx", texts.alias("v")))).alias("_rows")))
+    text = F.to_json(F.transform("_rows", lambda x: x["v"]))
+    return packed.select("universe", "asset", F.when(F.col("block") % 7 == 6, F.substring(text, 1, 25)).otherwise(
+        text).alias("value"))
+
+
+def _last_end(h, universe):
+    """End of the last bar but one, in seconds: what the feed's own clock says is closed."""
+    return h.bars.filter(F.col("universe") == universe).groupBy("universe").agg(
+        (F.unix_timestamp(F.max("ts")) - INTERVALS[universe]).alias("_closed"))
+
+
+part("q_poll", f"""
+ SELECT *, count(*) OVER p size FROM (
+  SELECT *, idx // {BLOCK} AS block, idx % {BLOCK} pos, (idx // {BLOCK}) % 7 fault, max(ts) OVER (PARTITION BY universe) top
+  FROM q_bars) WHERE NOT (fault = 3 AND pos = 5) WINDOW p AS (PARTITION BY universe, asset, block)""")
+
+
+def _poll_sql(open_rule, amount):
+    """Rows of each outcome; a poll takes the reason of its first faulty row that is not open."""
+    reason = ("CASE WHEN pos = 0 AND fault IN (1, 4) THEN 'wrong_columns' WHEN pos = 0 AND fault = 5 THEN 'bad_stamp' "
+              "WHEN fault = 3 AND pos = 6 THEN 'gap' WHEN pos = 1 AND fault IN (1, 5) THEN 'gap' "
+              "WHEN pos = 0 AND fault = 2 THEN 'not_finite' END")
+    return sql(f"""
+ WITH x AS (SELECT *, {open_rule} AS waits, {reason} bad FROM q_poll),
+ y AS (SELECT *, arg_min(bad, pos) FILTER (bad IS NOT NULL AND NOT waits) OVER (PARTITION BY universe, asset, block) spoiled FROM x),
+ z AS (SELECT universe, asset, block, close, {amount} amount, CASE WHEN fault = 6 THEN 'unreadable' WHEN spoiled IS NOT NULL THEN spoiled
+       WHEN waits THEN 'open_bar' ELSE 'valid' END reason FROM y),
+ u AS (SELECT universe, asset, block, reason, CASE WHEN any_value(reason) = 'unreadable' THEN 1 ELSE count(*) END n,
+       sum(CASE WHEN reason = 'valid' THEN close END) c, sum(CASE WHEN reason = 'valid' THEN amount END) a FROM z GROUP BY ALL)
+ SELECT universe, reason, CAST(sum(n) AS BIGINT) n, {r('sum(c)', 3)} close_sum, {r('sum(a)', 2)} amount_sum FROM u GROUP BY ALL""")
+
+
+def _outcomes(rows):
+    good = F.col("reason").isNull()
+    return rows.groupBy("universe", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(
+        F.count("*").alias("n"), rd(F.sum(F.when(good, F.col("close"))), 3).alias("close_sum"),
+        rd(F.sum(F.when(good, F.col("amount"))), 2).alias("amount_sum"))
+
+
+@query("s4_live_polls", _poll_sql("ts = top", "amount"))
 def s4(h):
-    text = lambda c: c.cast("string")
-    ms = F.unix_millis("ts")
-    cells = F.struct("idx", F.array(text(ms - 3_600_000), *[text(F.col(c)) for c in (
-        "open", "high", "low", "close", "volume")], text(ms - 1), text(F.col("amount"))).alias("v"))
-    rows = klines.live_rows(_polls(h, cells), F.lit(CUT_S * 1000))
-    return rows.groupBy("asset").agg(F.count("*").alias("n"), rd(F.sum("close"), 4).alias("close_sum"),
-                                     F.max(F.unix_timestamp("ts")).alias("last_end"))
-
-
-@query("s5_second_exchange", sql(f"""
- WITH x AS (SELECT *, row_number() OVER (PARTITION BY asset, strftime(ts, '%Y-%m-%d') ORDER BY idx DESC) back
-            FROM q_bars WHERE universe = 'events')
- SELECT asset, count(*) n, {r('sum((amount / volume) * volume)', 2)} amount_sum, bool_and(TRUE) estimated FROM x
- WHERE back > 1 AND volume > 0 AND epoch(ts) <= {CUT_S} GROUP BY asset"""))
+    """Polls with short, long, non-numeric, off-grid and missing rows and broken text, by outcome."""
+    out = None
+    for universe, seconds in INTERVALS.items():
+        text = lambda c: c.cast("string")
+        start = F.unix_millis("ts") - seconds * 1000
+        row = F.array(text(start), *[text(F.col(c)) for c in ("open", "high", "low", "close", "volume")],
+                      text(F.unix_millis("ts") - 1), text(F.col("amount")), *[F.lit("0")] * 4)
+        polls = _polls(h, universe, row, text(start + 1)).join(_last_end(h, universe), "universe")
+        rows = klines.live_rows(polls, F.col("_closed") * 1000, seconds * 1000)
+        out = rows if out is None else out.unionByName(rows)
+    return _outcomes(out)
+
+
+@query("s5_second_exchange", _poll_sql(
+    "ts = top OR pos = max(pos) OVER (PARTITION BY universe, asset, block)",
+    "CASE WHEN volume > 0 THEN (amount / volume) * volume ELSE 0.0 END"))
 def s5(h):
-    """Stamps are minutes there, so each hourly bar lands as the minute that ends it."""
-    text = lambda c: c.cast("string")
-    vwap = F.when(F.col("volume") > 0, F.col("amount") / F.col("volume"))
-    cells = F.struct("idx", F.array(text(F.unix_timestamp("ts") - 60), *[text(F.col(c)) for c in (
-        "open", "high", "low", "close")], text(vwap), text(F.col("volume")), F.lit("0")).alias("v"))
-    rows = klines.second_exchange(_polls(h, cells), F.timestamp_seconds(F.lit(CUT_S)))
-    return rows.filter("volume > 0").groupBy("asset").agg(
-        F.count("*").alias("n"), rd(F.sum("amount"), 2).alias("amount_sum"),
-        F.bool_and("amount_is_estimate").alias("estimated"))
+    """The same for the exchange whose last row is open; at zero volume its vwap is the close."""
+    out = None
+    for universe, seconds in INTERVALS.items():
+        text = lambda c: c.cast("string")
+        vwap = F.when(F.col("volume") > 0, F.col("amount") / F.col("volume")).otherwise(F.col("close"))
+        start = F.unix_timestamp("ts") - seconds
+        row = F.array(text(start), *[text(F.col(c)) for c in ("open", "high", "low", "close")], text(vwap),
+                      text(F.col("volume")), F.lit("0"))
+        polls = _polls(h, universe, row, text(start + F.lit(0.5))).join(_last_end(h, universe), "universe")
+        rows = klines.second_exchange(polls, F.timestamp_seconds("_closed"), seconds)
+        out = rows if out is None else out.unionByName(rows)
+    return _outcomes(out)
 
 
 @query("s8_forecast_artifacts", sql("""
@@ -189,13 +297,15 @@ def s10(h):
 
 @query("s11_write_once", sql("SELECT universe, method, metric, count(*) n, 1 AS refused FROM q_scores GROUP BY ALL"))
 def s11(h):
-    """A frozen result is written once; the second write must be refused."""
+    """A frozen result is written once; a second, larger write must be refused and change nothing."""
     path = _folder(h, "frozen")
     sinks.write_once(h.scores, path)
     try:
-        sinks.write_once(h.scores, path)
+        sinks.write_once(h.scores.unionByName(h.scores), path)
         refused = 0
-    except Exception:  # noqa: BLE001 - the refusal is the expected outcome
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         refused = 1
     return h.spark.read.schema(h.scores.schema).parquet(path).groupBy("universe", "method", "metric").agg(
         F.count("*").alias("n")).withColumn("refused", F.lit(refused))

@@ -2,94 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..session import materialize
+from ..sources.tables import INTERVALS
 from ..streaming import live, runtime
 from . import hub as H
-from .core import SNAP, rd
+from .core import MDD31, SNAP, rd
 from .graphs import OBSERVED, _prints, dist
 from .oracle import part, r, sql
 from .registry import query
 
-DELAY = "1 hour"
-STEP_MS = {"events": 3_600_000, "lineitem": 86_400_000, "orders": 86_400_000}
+DELAY = {"events": "1 hour", "lineitem": "1 day", "orders": "1 day"}
+STEP = dict(DELAY)
+STEP_MS = {u: s * 1000 for u, s in INTERVALS.items()}
+SECONDS = "CASE universe WHEN 'events' THEN 3600 ELSE 86400 END"
 
 
-def _tick_stream(h):
-    schema = h.table("events").schema
-    return (h.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(h.sf_dir).filter("value > 0")
-            .select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"),
-                    F.col("value").alias("price"), F.lit(1.0).alias("volume"),
-                    F.col("value").alias("amount"), F.col("event_id").alias("seq")))
+def _each(run):
+    """``run(universe)`` of every universe, put together: a watermark is per query, and clocks differ by years."""
+    out = None
+    for universe in INTERVALS:
+        rows = run(universe)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _hourly(h):
-    return h.bars.filter("universe = 'events'").select("universe", "asset", "idx", "ts", "close")
+def _bars(h, universe):
+    return h.bars.filter(F.col("universe") == universe).select("universe", "asset", "idx", "ts", "close")
 
 
-@query("t1_closed_bars", sql(f"""
- SELECT asset, (cell + 1) * 3600 end_s, {r('open', 8)} AS open, {r('high', 8)} high, {r('low', 8)} low,
-        {r('close', 8)} AS close, {r('volume')} volume, {r('amount', 2)} amount FROM q_cells
- WHERE universe = 'events' AND (cell + 1) * 3600 <= (SELECT floor(epoch_us(max(ts)) / 1000) / 1000 - 3600 FROM events)"""))
-def t1(h):
-    """Hourly bars from raw events; those still open under the watermark are held back."""
-    rows, _ = runtime.drain(live.closed_bars(_tick_stream(h), "1 hour", DELAY), "t1")
-    return rows.select("asset", F.unix_timestamp("ts").alias("end_s"),
-                       *[rd(c, 8).alias(c) for c in ("open", "high", "low", "close")],
-                       rd("volume").alias("volume"), rd("amount", 2).alias("amount"))
+def _size(h, universe):
+    return h.spans.filter(F.col("universe") == universe).first()["asset_count"]
 
 
-@query("t2_gaps_and_late", sql("""
- WITH c AS (SELECT cell, count(*) n FROM q_cells WHERE universe = 'events' GROUP BY cell)
- SELECT CASE WHEN n = 5 THEN 'complete' ELSE 'incomplete' END status, count(*) AS hours, 0::BIGINT AS late_rows FROM c
- WHERE (cell + 1) * 3600 < (SELECT floor(epoch(max(ts)) / 3600) * 3600 + 3600 FROM events) - 3600 GROUP BY ALL"""))
+@query("t1_closed_bars", sql(f"""
+ WITH w AS (SELECT 'events' universe, floor(epoch_us(max(ts)) / 1000) / 1000 - 3600 AS mark FROM events
+            UNION ALL SELECT universe, max(cell) * 86400 - 86400 FROM q_cells WHERE universe <> 'events' GROUP BY universe)
+ SELECT universe, asset, (cell + 1) * {SECONDS} end_s, {r('open', 8)} AS open, {r('high', 8)} high, {r('low', 8)} low,
+        {r('close', 8)} AS close, {r('volume')} volume, {r('amount', 2)} amount FROM q_cells JOIN w USING (universe)
+ WHERE (cell + 1) * {SECONDS} <= mark"""))
+def t1(h):
+    """Bars from raw ticks; those still open under the watermark are held back."""
+    def run(universe):
+        if universe == "events":
+            source = h.table("events").filter("value > 0").select(
+                F.lit(universe).alias("universe"), F.floor(F.unix_timestamp("ts") / 3600).alias("cell"),
+                F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
+                F.lit(1.0).alias("volume"), F.col("value").alias("amount"), F.col("event_id").alias("seq"))
+        else:
+            source = h.ticks.filter((F.col("universe") == universe) & (F.col("price") > 0)).withColumn(
+                "ts", F.timestamp_seconds(F.col("cell") * 86400))
+        feed = runtime.Replay(source, "t1-in", order="cell")
+        rows, _ = runtime.drain(live.closed_bars(feed.stream, STEP[universe], DELAY[universe]), "t1", [feed])
+        return rows.withColumn("universe", F.lit(universe))
+    return _each(run).select("universe", "asset", F.unix_timestamp("ts").alias("end_s"),
+                             *[rd(c, 8).alias(c) for c in ("open", "high", "low", "close")],
+                             rd("volume").alias("volume"), rd("amount", 2).alias("amount"))
+
+
+LATE = 3
+
+
+@query("t2_gaps_and_late", sql(f"""
+ WITH c AS (SELECT universe, cell, count(*) n FROM q_cells GROUP BY ALL)
+ SELECT universe, CASE WHEN c.n = asset_count THEN 'complete' ELSE 'incomplete' END status, count(*) AS times, {LATE}::BIGINT late_rows
+ FROM c JOIN q_spans USING (universe) JOIN (SELECT universe, max(cell) top FROM q_cells GROUP BY ALL) USING (universe)
+ WHERE cell + 1 <= top - 1 GROUP BY ALL"""))
 def t2(h):
-    """Hours in which not every asset reported stay visible as incomplete."""
-    cells = h.cells.filter("universe = 'events'").select(
-        "universe", "asset", F.col("cell").alias("idx"), F.timestamp_seconds(F.col("cell") * 3600).alias("ts"))
-    stream = runtime.replay(cells.withColumn("idx", F.col("idx") - F.min("idx").over(
-        Window.partitionBy("universe"))), "t2-in")
-    rows, reports = runtime.drain(live.completeness(stream, DELAY, 5), "t2")
-    late = sum(s["numRowsDroppedByWatermark"] for p in reports for s in p["stateOperators"])
-    return rows.groupBy("status").agg(F.count("*").alias("hours")).withColumn("late_rows", F.lit(late).cast("long"))
-
-
-@query("t3_t12_live_snapshots", sql(f"""
- WITH s AS ({SNAP})
- SELECT asset, idx, {r('vol30')} vol30, {r('ret30')} ret30, {r('CASE WHEN base > 0 THEN recent / base END')} ratio,
+    """Times at which not every asset reported stay incomplete; rows for long closed times are counted, not used."""
+    def run(universe):
+        cells = h.cells.filter(F.col("universe") == universe).select(
+            "universe", "asset", F.col("cell").alias("idx"), F.timestamp_seconds(F.col("cell") * INTERVALS[universe]).alias("ts"))
+        ends = cells.groupBy("universe").agg(F.min("idx").alias("_low"), F.max("idx").alias("idx"))
+        late = ends.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(LATE - 1)))).select(
+            "universe", F.lit("late").alias("asset"), "idx",
+            F.timestamp_seconds((F.col("_low") + F.col("_i")) * INTERVALS[universe]).alias("ts"))
+        feed = runtime.Replay(cells.unionByName(late), "t2-in")
+        rows, reports = runtime.drain(live.completeness(feed.stream, DELAY[universe], _size(h, universe), STEP[universe]),
+                                      "t2", [feed])
+        dropped = sum(s["numRowsDroppedByWatermark"] for p in reports for s in p["stateOperators"])
+        return rows.groupBy("universe", "status").agg(F.count("*").alias("times")).withColumn(
+            "late_rows", F.lit(dropped).cast("long"))
+    return _each(run)
+
+
+@query("t3_live_snapshots", sql(f"""
+ WITH s AS ({SNAP}), m AS ({MDD31})
+ SELECT universe, asset, idx, {r('vol30')} vol30, {r('ret30')} ret30, {r('m.mdd30')} mdd30,
+        {r('CASE WHEN base > 0 THEN recent / base END')} ratio,
         CASE WHEN base IS NULL OR base = 0 OR recent IS NULL THEN 'unavailable' WHEN recent / base >= 1.2
         THEN 'above_usual' ELSE 'near_usual' END state
- FROM s WHERE universe = 'events' AND idx < (SELECT max(idx) FROM q_bars WHERE universe = 'events') - 1"""))
+ FROM s JOIN q_spans USING (universe) LEFT JOIN m USING (universe, asset, idx) WHERE idx < n - 2"""))
 def t3(h):
-    """Stateful snapshots, published per hour once all five assets are in and the hour is closed."""
-    stream = runtime.replay(_hourly(h), "t3-in")
-    rows, _ = runtime.drain(live.published(live.snapshots(stream, DELAY), 5), "t3")
+    """Stateful snapshots, published per bar once all assets of the universe are in and the bar is closed."""
     clean = lambda c: rd(F.nanvl(F.col(c), F.lit(None).cast("double")))
-    return rows.select("asset", "idx", *[clean(c).alias(c) for c in ("vol30", "ret30", "ratio")], "state")
+    return _each(lambda u: _published(h, u, "t3")).select(
+        "universe", "asset", "idx", *[clean(c).alias(c) for c in ("vol30", "ret30", "mdd30", "ratio")], "state")
+
+
+def _published(h, universe, label):
+    feed = runtime.Replay(_bars(h, universe), f"{label}-in")
+    rows = live.published(live.snapshots(feed.stream, DELAY[universe]), _size(h, universe), STEP[universe])
+    return runtime.drain(rows, label, [feed])[0]
+
+
+@query("t12_sliding_returns", sql(f"""
+ WITH s AS ({SNAP})
+ SELECT universe, asset, idx, {r('recent', 8)} recent, {r('base', 8)} base FROM s JOIN q_spans USING (universe)
+ WHERE idx < n - 2 AND base IS NOT NULL"""))
+def t12(h):
+    """Return dispersion over 10 and 120 bars that end together."""
+    return _each(lambda u: _published(h, u, "t12")).filter("base is not null and not isnan(base)").select(
+        "universe", "asset", "idx", rd("recent", 8).alias("recent"), rd("base", 8).alias("base"))
 
 
 @query("t5_unique_windows", sql("""
- SELECT universe, count(*) windows FROM q_man WHERE universe = 'events' GROUP BY universe"""))
+ WITH a AS (SELECT m.universe, m.t0, ((m.t0 - 255) // 30 + s.ordinal) % 4 = 0 failed FROM q_man m JOIN q_assets s USING (universe))
+ SELECT universe, count(DISTINCT t0) FILTER (NOT failed) windows, count(*) FILTER (failed) failed FROM a GROUP BY universe"""))
 def t5(h):
-    """Every origin announced once per asset; one announcement per window id survives."""
-    seen = (_hourly(h).filter("idx >= 255 and (idx - 255) % 30 = 0")
-            .withColumn("window_id", F.concat_ws("-", "universe", "idx")))
-    rows, _ = runtime.drain(live.unique_windows(runtime.replay(seen, "t5-in"), DELAY), "t5")
-    return rows.groupBy("universe").agg(F.count("*").alias("windows"))
+    """Every origin announced once per asset, some in vain: one success per window id, and all failed attempts."""
+    def run(universe):
+        seen = (_bars(h, universe).filter("idx >= 255 and (idx - 255) % 30 = 0")
+                .join(h.assets.select("universe", "asset", "ordinal"), ["universe", "asset"])
+                .withColumn("window_id", F.concat_ws("-", "universe", "idx"))
+                .withColumn("status", F.when(((F.col("idx") - 255) / 30 + F.col("ordinal")) % 4 == 0, "failed").otherwise("ok")))
+        feed = runtime.Replay(seen, "t5-in")
+        return runtime.drain(live.unique_windows(feed.stream, DELAY[universe]), "t5", [feed])[0]
+    return _each(run).groupBy("universe").agg(F.count_if(F.col("status") == "ok").alias("windows"),
+                                              F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 @query("t6_retention", sql("""
  SELECT universe, t0 FROM (SELECT universe, t0, row_number() OVER (PARTITION BY universe ORDER BY t0 DESC) rn
-  FROM q_man WHERE universe = 'events') WHERE rn <= 8"""))
+  FROM q_man) WHERE rn <= 8"""))
 def t6(h):
     """State trimmed to the newest eight windows; what it holds after the last batch."""
-    made = (_hourly(h).filter("idx >= 255 and (idx - 255) % 30 = 0")
+    made = (h.bars.filter("idx >= 255 and (idx - 255) % 30 = 0")
             .select("universe", "idx", F.col("idx").alias("t0")).distinct())
-    rows, _ = runtime.drain(live.retained(runtime.replay(made, "t6-in")), "t6")
+    feed = runtime.Replay(made, "t6-in")
+    rows, _ = runtime.drain(live.retained(feed.stream), "t6", [feed])
     last = rows.groupBy("universe").agg(F.max("version").alias("version"))
     return rows.join(last, ["universe", "version"]).select("universe", "t0")
 
@@ -103,31 +156,29 @@ part("q_live_ev", """
  SELECT universe, k, t0, origins, direction, {r('magnitude')} magnitude, systemic_assets, systemic FROM q_live_ev"""))
 def t7(h):
     """Triggers and events as the bars arrive; equals the batch catalog up to the watermark."""
-    bars = h.bars.select("universe", "asset", "idx", "ts", "close")
-    out = None
-    for universe, delay in (("events", "1 hour"), ("lineitem", "1 day"), ("orders", "1 day")):
-        # One query per universe: their clocks differ by years and a watermark is per query.
-        stream = runtime.replay(bars.filter(F.col("universe") == universe), "t7-in", slices=2)
-        events = live.online_events(live.online_triggers(stream, delay), STEP_MS)
-        rows, _ = runtime.drain(events, "t7")
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("universe", "k", "t0", "origins", "direction", rd("magnitude").alias("magnitude"),
-                      "systemic_assets", "systemic")
+    def run(universe):
+        feed = runtime.Replay(_bars(h, universe), "t7-in", slices=2)
+        events = live.online_events(live.online_triggers(feed.stream, DELAY[universe]), STEP_MS)
+        return runtime.drain(events, "t7", [feed])[0]
+    return _each(run).select("universe", "k", "t0", "origins", "direction", rd("magnitude").alias("magnitude"),
+                             "systemic_assets", "systemic")
 
 
 @query("t8_pending_truth", sql("""
- SELECT m.t0, CASE WHEN m.t0 + 30 <= m.n - 1 THEN 'scored' ELSE 'pending_truth' END status,
-        5 * least(30, m.n - 1 - m.t0) closes FROM q_man m WHERE m.universe = 'events' AND m.t0 + 30 <= m.n - 1"""))
+ SELECT m.universe, m.t0, CASE WHEN m.t0 + 30 <= m.n - 1 THEN 'scored' ELSE 'pending_truth' END status,
+        s.asset_count * least(30, m.n - 1 - m.t0) closes FROM q_man m JOIN q_spans s USING (universe) WHERE m.t0 < m.n - 1"""))
 def t8(h):
-    """Forecasts become scorable only when the whole horizon has closed."""
-    stamps = _hourly(h).filter("idx >= 255 and (idx - 255) % 30 = 0 ").select(
-        "universe", "asset", "idx", F.col("idx").alias("t0"), F.col("ts").alias("as_of"))
-    left = runtime.replay(stamps, "t8-origins").drop("idx")
-    right = runtime.replay(_hourly(h), "t8-bars")
-    rows, _ = runtime.drain(live.pending_truth(left, right, "30 HOURS", DELAY), "t8")
-    per = rows.groupBy("universe", "t0", "asset").agg(F.count("close").alias("c"))
-    return (per.groupBy("t0").agg(F.min("c").alias("low"), F.sum("c").cast("long").alias("closes"))
-            .filter("low = 30").select("t0", F.lit("scored").alias("status"), "closes"))
+    """Forecasts become scorable only when the whole horizon has closed; the others wait with what they have."""
+    def run(universe):
+        stamps = _bars(h, universe).filter("idx >= 255 and (idx - 255) % 30 = 0").select(
+            "universe", "asset", "idx", F.col("idx").alias("t0"), F.col("ts").alias("as_of"))
+        left, right = runtime.Replay(stamps, "t8-origins"), runtime.Replay(_bars(h, universe), "t8-bars")
+        rows = live.pending_truth(left.stream.drop("idx"), right.stream, f"{30 * INTERVALS[universe]} SECONDS", DELAY[universe])
+        return runtime.drain(rows, "t8", [left, right])[0]
+    per = _each(run).groupBy("universe", "t0", "asset").agg(F.count("close").alias("c"))
+    return (per.groupBy("universe", "t0").agg(F.min("c").alias("low"), F.sum("c").cast("long").alias("closes"))
+            .filter("closes > 0")
+            .select("universe", "t0", F.when(F.col("low") == 30, "scored").otherwise("pending_truth").alias("status"), "closes"))
 
 
 @query("t9_recovery_tracker", sql("""
@@ -138,36 +189,40 @@ def t8(h):
 def t9(h):
     from .after import _curves
     curves = _curves(h).select("universe", "t0", "tier", "h", "ratio")
-    rows, _ = runtime.drain(live.recovery_tracker(runtime.replay(curves, "t9-in", order="h")), "t9")
+    feed = runtime.Replay(curves, "t9-in", order="h")
+    rows, _ = runtime.drain(live.recovery_tracker(feed.stream), "t9", [feed])
     return rows.select("universe", "t0", "tier", "h", "streak", "confirmed", "had_confirmed")
 
 
+PREFIXES = (5, OBSERVED)
+
+
 @query("t10_progressive_nearest", sql(f"""
- SELECT universe, t0, neighbour, {r('distance', 9)} distance, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY universe, t0 ORDER BY distance, neighbour) place
-  FROM ({dist(OBSERVED)})) WHERE place <= 3"""))
+ SELECT universe, minutes, t0, neighbour, {r('distance', 9)} distance, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY universe, minutes, t0 ORDER BY distance, neighbour) place
+  FROM (SELECT 5 AS minutes, * FROM ({dist(5)}) UNION ALL SELECT {OBSERVED}, * FROM ({dist(OBSERVED)}))) WHERE place <= 3"""))
 def t10(h):
-    """Prints of new events matched against the stored library batch by batch."""
-    prints = materialize(_prints(h, OBSERVED), "t10-prints")
-    library = _prints(h, OBSERVED)
-    stream = runtime.replay(prints.withColumn("idx", F.col("t0")), "t10-in").drop("idx")
+    """Events matched against the stored library as more of their follow-ups shows, batch by batch.
+
+    A batch writes to a folder of its number, so a repeated batch replaces its own rows.
+    """
+    libraries = {m: materialize(_prints(h, m), f"t10-prints-{m}") for m in PREFIXES}
+    seen = None
+    for minutes, prints in libraries.items():
+        rows = prints.withColumn("minutes", F.lit(minutes)).withColumn("idx", F.col("t0") + minutes)
+        seen = rows if seen is None else seen.unionByName(rows)
+    feed = runtime.Replay(seen, "t10-in", slices=2)
     target = runtime.folder(h.spark, "t10")
 
-    def match(batch, _):
-        graph.nearest_events(batch, library, 3).write.mode("append").parquet(target)
-    runtime.drain(stream, "t10-run", each_batch=match)
-    return h.spark.read.schema("universe string, t0 bigint, neighbour bigint, distance double, place int") \
-        .parquet(target).select("universe", "t0", "neighbour", rd("distance", 9).alias("distance"),
+    def match(batch, number):
+        stored = materialize(batch, "t10-batch")
+        out = None
+        for minutes, library in libraries.items():
+            near = graph.nearest_events(stored.filter(F.col("minutes") == minutes), library, 3).withColumn(
+                "minutes", F.lit(minutes))
+            out = near if out is None else out.unionByName(near)
+        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
+    runtime.drain(feed.stream.drop("idx"), "t10-run", [feed], each_batch=match)
+    return h.spark.read.schema("universe string, t0 bigint, neighbour bigint, distance double, place int, minutes int") \
+        .parquet(target).select("universe", "minutes", "t0", "neighbour", rd("distance", 9).alias("distance"),
                                F.col("place").cast("long").alias("place"))
-
-
-@query("t12_sliding_windows", sql(f"""
- WITH w AS (SELECT b.asset, e.end_s, count(*) n, stddev_pop(b.close) spread
-            FROM (SELECT unnest(range(1704067200 - 3600 * 9, 1704067200 + 3600 * 3000, 3600)) end_s) e
-            JOIN q_bars b ON b.universe = 'events' AND epoch(b.ts) >= e.end_s - 36000 AND epoch(b.ts) < e.end_s GROUP BY ALL)
- SELECT asset, CAST(end_s AS BIGINT) end_s, n, {r('spread')} spread FROM w
- WHERE end_s <= (SELECT max(epoch(ts)) - 3600 FROM q_bars WHERE universe = 'events')"""))
-def t12(h):
-    stream = runtime.replay(_hourly(h), "t12-in")
-    rows, _ = runtime.drain(live.sliding_volatility(stream, DELAY, "10 hours", "1 hour"), "t12")
-    return rows.select("asset", F.unix_timestamp("ts").alias("end_s"), "n", rd("spread").alias("spread"))

@@ -94,28 +94,42 @@ def a16(h):
 
 
 @query("g8_structure", sql("""
- SELECT universe, t0, method, count(*) AS rows, CASE WHEN count(*) = any_value(asset_count) * 30 THEN '' ELSE 'wrong_shape' END issues
+ SELECT universe, t0, method, count(*) - CASE t0 % 7 WHEN 3 THEN any_value(asset_count) ELSE 0 END
+        + CASE t0 % 7 WHEN 4 THEN any_value(asset_count) ELSE 0 END AS rows,
+        CASE t0 % 7 WHEN 1 THEN 'wrong_assets' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'wrong_shape' WHEN 4 THEN 'duplicate_step'
+        WHEN 5 THEN 'step_out_of_range' ELSE '' END issues
  FROM q_raw JOIN q_spans USING (universe) GROUP BY universe, t0, method"""))
 def g8(h):
-    """Structure of each raw forecast; the expected size is that of its universe."""
-    rows = _raw(h).withColumn("path_id", F.lit(0)).join(h.spans.select("universe", "asset_count"), "universe") \
-        .withColumn("forecast_id", F.concat_ws("|", "universe", "t0", "method"))
-    out = None
-    for n in (5, 6):
-        found = forecasts.structure_issue(rows.filter(F.col("asset_count") == n), n, 30)
-        out = found if out is None else out.unionByName(found)
+    """Structure of each raw forecast against the assets of its universe; some are damaged by their origin."""
+    fault = F.col("t0") % 7
+    declared = h.assets.groupBy("universe").agg(F.collect_list("asset").alias("_names"))
+    rows = (_raw(h).withColumn("path_id", F.lit(0)).join(declared, "universe")
+            .withColumn("asset", F.when((fault == 1) & (F.col("asset") == F.array_min("_names")), "stranger").otherwise(F.col("asset")))
+            .withColumn("volume", F.when((fault == 2) & (F.col("step") == 3), float("nan")).otherwise(F.col("volume")))
+            .withColumn("step", F.when((fault == 5) & (F.col("step") == 30), 31).otherwise(F.col("step")))
+            .filter(~((fault == 3) & (F.col("step") == 30)))
+            .withColumn("forecast_id", F.concat_ws("|", "universe", "t0", "method")))
+    rows = rows.unionByName(rows.filter((fault == 4) & (F.col("step") == 1)))
     part_ = F.split("forecast_id", "\\|")
-    return out.select(part_[0].alias("universe"), part_[1].cast("long").alias("t0"), part_[2].alias("method"),
-                      "rows", F.array_join("issues", "|").alias("issues"))
+    return forecasts.structure_issue(rows, F.col("_names"), 30, 1).select(
+        part_[0].alias("universe"), part_[1].cast("long").alias("t0"), part_[2].alias("method"),
+        "rows", F.array_join("issues", "|").alias("issues"))
 
 
-@query("g16_g20_audit_verification", sql("""
- SELECT universe, count(*) candles, 0::BIGINT audit_differences, 0::BIGINT close_differences FROM q_raw GROUP BY universe"""))
+TAMPERED = "(t0 * 31 + step) % 101 = 0"
+MOVED = "(t0 * 17 + step) % 103 = 0"
+
+
+@query("g16_g20_audit_verification", sql(f"""
+ SELECT universe, count(*) candles, 2 * count(*) FILTER ({TAMPERED} OR {MOVED}) audit_differences,
+        count(*) FILTER ({MOVED}) close_differences FROM q_raw GROUP BY universe"""))
 def g16(h):
-    """Saved repairs against recomputed ones, and proof that closes did not move."""
+    """Saved repairs, some of them tampered with, against recomputed ones; and which closes moved."""
     cols = ["universe", "t0", "asset", "method", "step", "open", "high", "low", "close",
             "was_corrected", "max_adjustment_bps", "volume_valid"]
-    saved = materialize(_repaired(h).select(cols), "audit")
+    saved = materialize(_repaired(h).select(cols).withColumns({
+        "high": F.when(F.expr(TAMPERED), F.col("high") + 1).otherwise(F.col("high")),
+        "close": F.when(F.expr(MOVED), F.col("close") + 1).otherwise(F.col("close"))}), "audit")
     changed = forecasts.audit_differences(saved, _repaired(h).select(cols)) \
         .groupBy("universe").agg(F.count("*").alias("audit_differences"))
     close = ["universe", "t0", "asset", "method", "step", "close"]
@@ -138,10 +152,15 @@ def _audits(h):
 
 
 @query("g18_audit_consistency", sql("""
- SELECT universe, method, count(*) audits, count(*) consistent FROM q_aud GROUP BY universe, method"""))
+ SELECT universe, method, count(*) audits, count(*) FILTER (t0 % 11 <> 0 AND t0 % 13 <> 0) consistent FROM q_aud
+ GROUP BY universe, method"""))
 def g18(h):
-    status = F.when(F.col("hits") == 0, "unchanged").otherwise("corrected")
-    fine = forecasts.audit_consistent(F.col("hits") / F.col("total"), F.col("hits"), F.col("total"), status)
+    """Stored rates and labels, some of them false, against their own counts."""
+    true = F.when(F.col("hits") == 0, "unchanged").otherwise("corrected")
+    false = F.when(F.col("hits") == 0, "corrected").otherwise("unchanged")
+    status = F.when(F.col("t0") % 11 == 0, false).otherwise(true)
+    rate = F.col("hits") / F.col("total") + F.when(F.col("t0") % 13 == 0, 0.01).otherwise(0.0)
+    fine = forecasts.audit_consistent(rate, F.col("hits"), F.col("total"), status)
     return _audits(h).groupBy("universe", "method").agg(F.count("*").alias("audits"),
                                                         F.count_if(fine).alias("consistent"))
 
@@ -302,16 +321,27 @@ def j21(h):
             count(*) OVER (PARTITION BY universe) n FROM (SELECT DISTINCT universe, t0 FROM q_roll))
  SELECT DISTINCT universe, t0 FROM p, range(8) i(i) WHERE pos = (i.i * (n - 1)) // 7 OR n <= 8"""))
 def o9(h):
-    return windows.evenly_spaced(h.rolling.select("universe", "t0").distinct(), ("universe",), ("t0",), 8)
+    """Positions on the regular grid of origins are arithmetic, so no universe is sorted."""
+    grid = windows.rolling_origins(h.spans)
+    return windows.evenly_placed(grid, F.floor((F.col("t0") - 255) / 30), F.col("available"), 8).select("universe", "t0")
 
 
 @query("u6_rows_equal", sql("""
- SELECT universe, count(*) compared, 0::BIGINT unequal FROM q_roll GROUP BY universe"""))
+ SELECT universe, count(*) compared, count(*) FILTER (t0 % 7 = 0) unequal FROM q_roll GROUP BY universe"""))
 def u6(h):
-    """Saved realised risk against a recomputation through plain row windows, within tolerance."""
+    """Saved realised risk, some of it altered, against bars joined to every step of a window."""
     from ..operators.comparison import close_to
-    again = windows.truth_risk(windows.market_windows(windows.rolling_origins(h.spans), h.bars))
-    both = h.rolling.select("universe", "t0", "asset", "a_vol", "a_mdd").join(again, ["universe", "t0", "asset"], "full_outer")
+    saved = h.rolling.select("universe", "t0", "asset", "a_mdd", (F.col("a_vol") * F.when(
+        F.col("t0") % 7 == 0, 1.01).otherwise(1.0) + F.when(F.col("t0") % 7 == 0, 0.001).otherwise(0.0)).alias("a_vol"))
+    steps = windows.rolling_origins(h.spans).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(30))))
+    closes = (steps.withColumn("idx", F.col("t0") + F.col("step")).join(
+        h.bars.select("universe", "asset", "idx", "close"), ["universe", "idx"])
+        .groupBy("universe", "t0", "asset").agg(F.array_sort(F.collect_list(F.struct("step", "close"))).alias("_p"))
+        .filter(F.size("_p") == 31).withColumn("_c", F.transform("_p", lambda x: x["close"])))
+    spot, future = F.element_at("_c", 1), F.slice("_c", 2, 30)
+    again = closes.select("universe", "t0", "asset", paths.max_drawdown(spot, future).alias("mdd"),
+                          paths.horizon_volatility(spot, future).alias("vol"))
+    both = saved.join(again, ["universe", "t0", "asset"], "full_outer")
     fine = close_to(F.col("a_vol"), F.col("vol")) & close_to(F.col("a_mdd"), F.col("mdd"))
     return both.groupBy("universe").agg(F.count("*").alias("compared"),
                                         F.count_if(~F.coalesce(fine, F.lit(False))).alias("unequal"))

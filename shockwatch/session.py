@@ -33,33 +33,45 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
     Only a local session, where driver and executors share one disk, gets a temporary folder
-    of its own when the setting is missing.
+    of its own when the setting is missing; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
+        return configured.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
         made = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", made)
         return made
-    return None
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+
+
+_run_dirs: dict[tuple[str, str], str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the session's JVM ends."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _run_dirs:
+        path = f"{key[1]}/shockwatch/{key[0]}-{uuid.uuid4().hex[:8]}"
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(made)
+        files.deleteOnExit(made)
+        _run_dirs[key] = path
+    return _run_dirs[key]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table that several branches read, and read it back.
 
-    Cuts the lineage with files that outlive a lost executor. Without a shared folder the plan
-    is returned as it was, which is slower but still right.
+    Cuts the lineage with files that outlive a lost executor.
     """
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if base is None:
-        return df
-    path = f"{base.rstrip('/')}/shockwatch/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

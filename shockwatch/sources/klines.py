@@ -4,43 +4,53 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import bar_reason
-from ..schema import KLINE
+from ..schema import KLINE, KLINE_COLUMNS
 
 FILE_PATTERN = r"([A-Z0-9]+)USDT-1m-(\d{4}-\d{2})\.csv"
 MINUTE_US = 60_000_000
 
 
 def scan(spark: SparkSession, path: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """Headerless 12-column CSV files; asset and month come from the file path."""
-    name = F.col("_metadata.file_path")
-    return (spark.read.schema(KLINE).option("recursiveFileLookup", "true")
-            .option("mode", "PERMISSIVE").csv(path)
-            .withColumn("asset", F.regexp_extract(name, pattern, 1))
-            .withColumn("month", F.regexp_extract(name, pattern, 2)))
+    """Lines of headerless 12-column CSV files, their cells, asset and month from the file path."""
+    # the path comes as a URI, in which a plus stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
+             .select("value", F.regexp_extract(name, pattern, 1).alias("asset"),
+                     F.regexp_extract(name, pattern, 2).alias("month")))
+    return cells(lines)
 
 
-def parse(rows: DataFrame, step_us: int = MINUTE_US) -> DataFrame:
-    """Typed bars with ``reason``: malformed numbers, stamps that are off the grid, bad bars.
+def cells(lines: DataFrame) -> DataFrame:
+    """The text cells of ``value`` as kline columns, and ``fields``, how many the line really has."""
+    return lines.withColumn("_k", F.from_csv("value", KLINE)).withColumn(
+        "fields", F.size(F.split("value", ",", -1))).select("*", "_k.*").drop("_k", "value")
 
-    A stamp needs 16 digits (microseconds) and lies on a whole interval; ``ts`` is the bar end.
+
+def parse(rows: DataFrame, step_us: int = MINUTE_US, digits: tuple[int, ...] = (16,)) -> DataFrame:
+    """Typed bars with ``reason``: wrong columns, malformed numbers, stamps off the grid, bad bars.
+
+    A stamp has 16 digits (microseconds, or as ``digits`` says) and lies on a whole interval; the close stamp is the last
+    microsecond of the same interval. ``ts`` is the bar end.
     """
     num = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}
     num["amount"] = F.expr("try_cast(quote_amount AS DOUBLE)")
-    stamp = F.expr("try_cast(open_us AS BIGINT)")
-    typed = rows.select("asset", "month", F.length("open_us").alias("_digits"),
-                        stamp.alias("open_us"), *[c.alias(k) for k, c in num.items()])
-    bad_stamp = (F.col("_digits") != 16) | F.col("open_us").isNull()
-    reason = (F.when(bad_stamp, "bad_stamp")
-              .when(F.pmod("open_us", F.lit(step_us)) != 0, "off_grid").otherwise(bar_reason()))
+    stamps = {c: F.expr(f"try_cast({c} AS BIGINT)") for c in ("open_us", "close_us")}
+    typed = rows.select("asset", "month", "fields", F.length("open_us").alias("_digits"),
+                        *[c.alias(k) for k, c in stamps.items()], *[c.alias(k) for k, c in num.items()])
+    bad_stamp = ~F.col("_digits").isin(*digits) | F.col("open_us").isNull()
+    reason = (F.when(F.col("fields") != len(KLINE_COLUMNS), "wrong_columns").when(bad_stamp, "bad_stamp")
+              .when(F.pmod("open_us", F.lit(step_us)) != 0, "off_grid")
+              .when(~F.col("close_us").eqNullSafe(F.col("open_us") + step_us - 1), "bad_close_stamp")
+              .otherwise(bar_reason()))
     return (typed.withColumn("reason", reason)
-            .withColumn("ts", F.timestamp_micros(F.col("open_us") + step_us)).drop("_digits"))
+            .withColumn("ts", F.timestamp_micros(F.col("open_us") + step_us)).drop("_digits", "fields", "close_us"))
 
 
 def month_status(bars: DataFrame, bars_per_day: int = 1440, step_us: int = MINUTE_US) -> DataFrame:
@@ -85,39 +95,87 @@ def unzip(files: DataFrame) -> DataFrame:
 
 
 def from_lines(lines: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
-    """Kline columns of unzipped text lines, named by their archive member."""
-    parsed = F.from_csv("value", KLINE)
-    return (lines.filter("error is null").select("member", parsed.alias("_k"))
-            .select("_k.*", F.regexp_extract("member", pattern, 1).alias("asset"),
-                    F.regexp_extract("member", pattern, 2).alias("month")))
+    """Kline cells of unzipped text lines, named by their archive member."""
+    return cells(lines.filter("error is null").select(
+        "value", F.regexp_extract("member", pattern, 1).alias("asset"),
+        F.regexp_extract("member", pattern, 2).alias("month")))
+
+
+def broken(lines: DataFrame) -> DataFrame:
+    """Archives that could not be opened or hold other members than one CSV: ``path, error``."""
+    return lines.filter("error is not null").select("path", "error")
+
 
+def _polled(polls: DataFrame, fields: int, bar: Callable[[Column, Column], Column], step: int,
+            closed: Callable[[Column], Column], last_open: bool = False) -> DataFrame:
+    """Rows of landed polls with ``reason`` (null when good).
 
-def live_rows(polls: DataFrame, cutoff_ms: Column) -> DataFrame:
-    """Closed bars of landed polls (``asset, value`` = JSON array of kline arrays, in ms)."""
-    row = F.explode(F.from_json("value", "array<array<string>>"))
-    num = lambda i: F.expr(f"try_cast(_r[{i}] AS DOUBLE)")
-    end = F.expr("try_cast(_r[6] AS BIGINT)") + 1
-    return (polls.withColumn("_r", row)
-            .select("asset", end.alias("end_ms"), num(1).alias("open"), num(2).alias("high"),
-                    num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"),
-                    num(7).alias("amount"), cutoff_ms.alias("_cut"))
-            .filter("end_ms <= _cut").drop("_cut")
-            .withColumn("ts", F.timestamp_millis("end_ms")))
+    ``bar`` turns the array of a row's texts and the number of its position into a struct with
+    ``stamp`` (the interval's start), ``stamp_ok``, prices, volume and amount. A poll is used as a
+    whole or not at all: the first faulty row gives its reason to all rows of the poll. A row that
+    is still open is set aside without spoiling its poll.
+    """
+    rows = F.from_json("value", "array<array<string>>")
+    typed = F.transform("_all", lambda r, i: F.struct(
+        i.alias("pos"), F.size(r).alias("n"), bar(r, i).alias("b")))
+
+    def fault(x: Column) -> Column:
+        before = F.get("_rows", x["pos"] - 1)["b"]["stamp"]
+        return (F.when(x["n"] != fields, "wrong_columns")
+                .when(~F.coalesce(x["b"]["stamp_ok"], F.lit(False)), "bad_stamp")
+                .when((x["pos"] > 0) & (x["b"]["stamp"] != before + step), "gap")
+                .otherwise(bar_reason(lambda name: x["b"][name])))
+
+    waits = lambda x: closed(x["b"]["stamp"]) == F.lit(False)
+    if last_open:
+        waits = lambda x: (x["pos"] == F.size("_rows") - 1) | (closed(x["b"]["stamp"]) == F.lit(False))
+    judged = polls.withColumn("_all", rows).withColumn("_rows", typed).withColumn("_judged", F.transform(
+        "_rows", lambda x: F.struct(x["b"].alias("b"), F.coalesce(waits(x), F.lit(False)).alias("waits"),
+                                    fault(x).alias("fault"))))
+    spoiled = F.get(F.filter("_judged", lambda x: ~x["waits"] & x["fault"].isNotNull()), F.lit(0))["fault"]
+    judged = judged.withColumn("_spoiled", F.when(F.col("_all").isNull(), "unreadable").otherwise(spoiled))
+    return (judged.withColumn("_j", F.explode_outer("_judged"))
+            .withColumn("reason", F.coalesce("_spoiled", F.when(F.size("_judged") == 0, "empty_poll"),
+                                             F.when(F.col("_j.waits"), "open_bar")))
+            .drop("_all", "_rows", "_judged", "_spoiled"))
+
+
+def _number(r: Column, i: int) -> Column:
+    return F.get(r, F.lit(i)).try_cast("double")
+
+
+def live_rows(polls: DataFrame, cutoff_ms: Column, step_ms: int = 60_000) -> DataFrame:
+    """Bars of landed polls (``asset, value`` = JSON array of 12-cell kline arrays, in ms), with ``reason``.
+
+    Good rows have a null reason; rows of a refused poll carry why, bars that end after the cutoff are
+    ``open_bar``. No poll and no row is lost.
+    """
+    def bar(r: Column, _: Column) -> Column:
+        start, end = (F.get(r, F.lit(i)).try_cast("bigint") for i in (0, 6))
+        return F.struct(start.alias("stamp"), ((F.pmod(start, F.lit(step_ms)) == 0) & (end == start + step_ms - 1)).alias(
+            "stamp_ok"), *[_number(r, i).alias(n) for i, n in enumerate(
+                ("open", "high", "low", "close", "volume"), 1)], _number(r, 7).alias("amount"))
 
+    end = F.col("_j.b.stamp") + step_ms
+    return (_polled(polls.withColumn("_cut", cutoff_ms), 12, bar, step_ms, lambda stamp: stamp + step_ms <= F.col("_cut"))
+            .select("*", "_j.b.*", end.alias("end_ms"), F.timestamp_millis(end).alias("ts"))
+            .drop("_j", "_cut", "value", "stamp", "stamp_ok"))
 
-def second_exchange(polls: DataFrame, closed_cutoff: Column) -> DataFrame:
-    """Closed bars of an exchange that appends its open bar: the last row is never committed.
+
+def second_exchange(polls: DataFrame, closed_cutoff: Column, step_s: int = 60) -> DataFrame:
+    """Bars of an exchange that appends its open bar, with ``reason``: the last row is never committed.
 
     Rows are ``[time_s, open, high, low, close, vwap, volume, count]``. The amount is an
     estimate, vwap times volume, and flagged as such.
     """
-    rows = F.from_json("value", "array<array<string>>")
-    num = lambda i: F.expr(f"try_cast(_r[{i}] AS DOUBLE)")
-    end = F.timestamp_seconds(F.expr("try_cast(_r[0] AS BIGINT)") + 60)
-    return (polls.withColumn("_all", rows).filter("size(_all) > 1")
-            .withColumn("_r", F.explode(F.slice("_all", 1, F.size("_all") - 1)))
-            .select("asset", end.alias("ts"), num(1).alias("open"), num(2).alias("high"),
-                    num(3).alias("low"), num(4).alias("close"), num(6).alias("volume"),
-                    (num(5) * num(6)).alias("amount"), F.lit(True).alias("amount_is_estimate"),
-                    closed_cutoff.alias("_cut"))
-            .filter(F.col("ts") <= F.col("_cut")).drop("_cut"))
+    def bar(r: Column, _: Column) -> Column:
+        start = F.get(r, F.lit(0)).try_cast("double")
+        return F.struct(start.cast("bigint").alias("stamp"), (start == F.floor(start)).alias("stamp_ok"),
+                        *[_number(r, i).alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)],
+                        _number(r, 6).alias("volume"), (_number(r, 5) * _number(r, 6)).alias("amount"))
+
+    end = F.timestamp_seconds(F.col("_j.b.stamp") + step_s)
+    cut = F.unix_timestamp(closed_cutoff)
+    return (_polled(polls.withColumn("_cut", cut), 8, bar, step_s, lambda stamp: stamp + step_s <= F.col("_cut"), True)
+            .select("*", "_j.b.*", end.alias("ts"), F.lit(True).alias("amount_is_estimate"))
+            .drop("_j", "_cut", "value", "stamp", "stamp_ok"))

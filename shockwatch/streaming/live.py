@@ -30,25 +30,19 @@ def closed_bars(ticks: DataFrame, step: str, delay: str) -> DataFrame:
                     "volume", "amount"))
 
 
-def completeness(bars: DataFrame, delay: str, assets: int) -> DataFrame:
+def completeness(bars: DataFrame, delay: str, assets: int, step: str = "1 hour") -> DataFrame:
     """Per closed bar time: how many assets reported; a gap is ``incomplete``, never filled."""
-    return (bars.withWatermark("ts", delay).groupBy("universe", F.window("ts", "1 hour").alias("w"))
+    return (bars.withWatermark("ts", delay).groupBy("universe", F.window("ts", step).alias("w"))
             .agg(F.count("*").alias("n"))
             .select("universe", F.col("w.end").alias("ts"), "n",
                     F.when(F.col("n") == assets, "complete").otherwise("incomplete").alias("status")))
 
 
-def sliding_volatility(bars: DataFrame, delay: str, length: str, step: str) -> DataFrame:
-    """Time-based variant of the row windows: return dispersion per sliding interval."""
-    return (bars.withWatermark("ts", delay)
-            .groupBy("universe", "asset", F.window("ts", length, step).alias("w"))
-            .agg(F.count("*").alias("n"), F.stddev_pop("close").alias("spread"))
-            .select("universe", "asset", F.col("w.end").alias("ts"), "n", "spread"))
-
-
 def unique_windows(windows: DataFrame, delay: str) -> DataFrame:
-    """First arrival of every window id; repeats inside the watermark are dropped."""
-    return windows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["window_id"])
+    """First success of every window id (repeats inside the watermark are dropped); all failed attempts stay."""
+    marked = windows.withWatermark("ts", delay)
+    good = marked.filter("status <> 'failed'").dropDuplicatesWithinWatermark(["window_id"])
+    return good.unionByName(marked.filter("status = 'failed'"))
 
 
 def _rolling_std(values: np.ndarray, length: int) -> np.ndarray:
@@ -58,58 +52,97 @@ def _rolling_std(values: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _rolling_drawdown(closes: np.ndarray, length: int) -> np.ndarray:
+    """Largest fall from a running peak over the last ``length`` closes."""
+    out = np.full(len(closes), np.nan)
+    if len(closes) >= length:
+        frame = np.lib.stride_tricks.sliding_window_view(closes, length)
+        peak = np.maximum.accumulate(frame, axis=1)
+        out[length - 1:] = ((peak - frame) / peak).max(axis=1)
+    return out
+
+
 class _Tail(StatefulProcessor):
-    """Keeps the last ``keep`` closes of a key as one row of state."""
+    """Keeps the last ``keep`` closes of a key as one row of state, and whether a gap came before them."""
 
     keep = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "idx array<bigint>, close array<double>")
+        self.tail = handle.getValueState("tail", "idx array<bigint>, close array<double>, broken boolean")
 
     def close(self) -> None:
         pass
 
-    def _extended(self, rows: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, int]:
-        """New rows in order, the closes of tail and rows, and the length of the tail."""
+    def _runs(self, rows: Iterator[pd.DataFrame]) -> tuple[list[tuple[pd.DataFrame, np.ndarray, int, bool]], pd.DataFrame]:
+        """New rows as gapless runs, and those that came too late.
+
+        A run has its new rows, the closes of tail and rows, the length of the tail and whether it
+        began after a gap. Nothing is computed across a gap: a run starts without a tail then.
+        """
         new = pd.concat(list(rows), ignore_index=True).sort_values("idx", ignore_index=True)
-        idx, old = [], []
+        idx, old, broken = [], [], False
         if self.tail.exists():
-            idx, old = [list(x) for x in self.tail.get()]
-        new = new[new["idx"] > (idx[-1] if idx else -1)].reset_index(drop=True)
-        closes = np.concatenate([np.array(old, float), new["close"].to_numpy(float)])
-        every = [*idx, *new["idx"].tolist()]
-        if every:
-            self.tail.update((every[-self.keep:], closes[-self.keep:].tolist()))
-        return new, closes, len(old)
+            idx, old, broken = self.tail.get()
+            idx, old = list(idx), list(old)
+        last = idx[-1] if idx else None
+        passed = new["idx"] <= last if last is not None else np.zeros(len(new), bool)
+        passed = passed | new["idx"].duplicated()
+        late, new = new[passed], new[~passed].reset_index(drop=True)
+        runs = []
+        if len(new):
+            at = new["idx"].to_numpy()
+            before = np.concatenate([[at[0] - 1 if last is None else last], at[:-1]])
+            for part in np.split(np.arange(len(at)), np.flatnonzero(at != before + 1)):
+                if not len(part):
+                    continue
+                if at[part[0]] != before[part[0]] + 1:
+                    idx, old, broken = [], [], True
+                piece = new.iloc[part].reset_index(drop=True)
+                closes = np.concatenate([np.array(old, float), piece["close"].to_numpy(float)])
+                runs.append((piece, closes, len(old), broken))
+                idx, old = [*idx, *piece["idx"].tolist()][-self.keep:], closes[-self.keep:].tolist()
+            self.tail.update((idx, old, broken))
+        return runs, late
 
 
 SNAPSHOT_SCHEMA = ("universe string, asset string, idx bigint, ts timestamp, close double, "
-                   "vol30 double, ret30 double, ratio double, state string, closes array<double>")
+                   "vol30 double, ret30 double, mdd30 double, recent double, base double, ratio double, state string, "
+                   "closes array<double>")
 
 
 class SnapshotProcessor(_Tail):
-    """Rolling metrics of one asset at each new bar, from the last 256 closes."""
+    """Rolling metrics of one asset at each new bar, from the last 256 closes.
+
+    A bar whose frames would reach over a gap is ``incomplete``; a bar that comes after a later one
+    is reported as ``late`` and otherwise ignored.
+    """
 
     keep = 256
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        new, closes, old = self._extended(rows)
-        if new.empty:
-            return
-        r = np.diff(np.log(closes), prepend=np.nan)
-        vol = _rolling_std(r, HORIZON) * np.sqrt(HORIZON)
-        ret = np.full(len(closes), np.nan)
-        ret[HORIZON:] = closes[HORIZON:] / closes[:-HORIZON] - 1
-        recent, base = _rolling_std(r, STATE_RECENT), _rolling_std(r, STATE_BASE)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(base > 0, recent / base, np.nan)
-        state = np.where(np.isnan(ratio), "unavailable",
-                         np.where(ratio >= STATE_LEVEL, "above_usual", "near_usual"))
-        yield pd.DataFrame({
-            "universe": key[0], "asset": key[1], "idx": new["idx"], "ts": new["ts"],
-            "close": new["close"], "vol30": vol[old:], "ret30": ret[old:], "ratio": ratio[old:],
-            "state": state[old:],
-            "closes": [closes[max(0, old + i - 60):old + i + 1].tolist() for i in range(len(new))]})
+        runs, late = self._runs(rows)
+        for new, closes, old, broken in runs:
+            r = np.diff(np.log(closes), prepend=np.nan)
+            vol = _rolling_std(r, HORIZON) * np.sqrt(HORIZON)
+            ret = np.full(len(closes), np.nan)
+            ret[HORIZON:] = closes[HORIZON:] / closes[:-HORIZON] - 1
+            recent, base = _rolling_std(r, STATE_RECENT), _rolling_std(r, STATE_BASE)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(base > 0, recent / base, np.nan)
+            short = np.arange(len(closes)) < STATE_BASE
+            state = np.where(broken & short, "incomplete", np.where(
+                np.isnan(ratio), "unavailable", np.where(ratio >= STATE_LEVEL, "above_usual", "near_usual")))
+            yield pd.DataFrame({
+                "universe": key[0], "asset": key[1], "idx": new["idx"], "ts": new["ts"],
+                "close": new["close"], "vol30": vol[old:], "ret30": ret[old:],
+                "mdd30": _rolling_drawdown(closes, HORIZON + 1)[old:], "recent": recent[old:], "base": base[old:],
+                "ratio": ratio[old:], "state": state[old:],
+                "closes": [closes[max(0, old + i - 60):old + i + 1].tolist() for i in range(len(new))]})
+        if len(late):
+            blank = {c.split()[0]: None for c in SNAPSHOT_SCHEMA.split(", ")}
+            yield pd.DataFrame({**blank, "universe": key[0], "asset": key[1], "idx": late["idx"], "ts": late["ts"],
+                                "close": late["close"], "state": "late"}).astype(
+                {c: float for c in ("vol30", "ret30", "mdd30", "recent", "base", "ratio")})
 
 
 def snapshots(bars: DataFrame, delay: str) -> DataFrame:
@@ -119,10 +152,10 @@ def snapshots(bars: DataFrame, delay: str) -> DataFrame:
                                         "EventTime", eventTimeColumnName="ts"))
 
 
-def published(snapshot_rows: DataFrame, assets: int) -> DataFrame:
+def published(snapshot_rows: DataFrame, assets: int, step: str = "1 hour") -> DataFrame:
     """Only bar times at which every asset of the universe has a snapshot, once closed."""
-    row = F.struct("asset", "idx", "close", "vol30", "ret30", "ratio", "state")
-    return (snapshot_rows.groupBy("universe", F.window("ts", "1 hour").alias("w"))
+    row = F.struct("asset", "idx", "close", "vol30", "ret30", "mdd30", "recent", "base", "ratio", "state")
+    return (snapshot_rows.filter("state <> 'late'").groupBy("universe", F.window("ts", step).alias("w"))
             .agg(F.count("*").alias("n"), F.collect_list(row).alias("rows"))
             .filter(F.col("n") == assets)
             .select("universe", F.col("w.start").alias("ts"), F.explode("rows").alias("s"))
@@ -171,26 +204,26 @@ class TriggerProcessor(_Tail):
         self.free = handle.getMapState("free", "k int", "idx bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        new, closes, old = self._extended(rows)
-        n = len(closes)
-        if new.empty or n <= SHOCK_FRAME + SHOCK_LAG:
-            return
-        r5 = np.full(n, np.nan)
-        r5[SHOCK_LAG:] = np.log(closes[SHOCK_LAG:] / closes[:-SHOCK_LAG])
-        sigma = np.full(n, np.nan)
-        sigma[SHOCK_FRAME:] = _rolling_std(r5, SHOCK_FRAME)[SHOCK_FRAME - 1:-1]
         out = []
-        for k in self.grid:
-            free = self.free.getValue((k,))[0] if self.free.containsKey((k,)) else -1
-            with np.errstate(invalid="ignore"):
-                hits = np.flatnonzero((sigma > 0) & (np.abs(r5) > k * sigma))
-            for i in hits[hits >= old]:
-                at = int(new["idx"].iloc[i - old])
-                if at >= free:
-                    free = at + COOLDOWN
-                    out.append((*key[:1], k, at, new["ts"].iloc[i - old], key[1],
-                                1 if r5[i] > 0 else -1, abs(r5[i]) / sigma[i]))
-            self.free.updateValue((k,), (free,))
+        for new, closes, old, _ in self._runs(rows)[0]:
+            n = len(closes)
+            if n <= SHOCK_FRAME + SHOCK_LAG:
+                continue
+            r5 = np.full(n, np.nan)
+            r5[SHOCK_LAG:] = np.log(closes[SHOCK_LAG:] / closes[:-SHOCK_LAG])
+            sigma = np.full(n, np.nan)
+            sigma[SHOCK_FRAME:] = _rolling_std(r5, SHOCK_FRAME)[SHOCK_FRAME - 1:-1]
+            for k in self.grid:
+                free = self.free.getValue((k,))[0] if self.free.containsKey((k,)) else -1
+                with np.errstate(invalid="ignore"):
+                    hits = np.flatnonzero((sigma > 0) & (np.abs(r5) > k * sigma))
+                for i in hits[hits >= old]:
+                    at = int(new["idx"].iloc[i - old])
+                    if at >= free:
+                        free = at + COOLDOWN
+                        out.append((*key[:1], k, at, new["ts"].iloc[i - old], key[1],
+                                    1 if r5[i] > 0 else -1, abs(r5[i]) / sigma[i]))
+                self.free.updateValue((k,), (free,))
         if out:
             yield pd.DataFrame(out, columns=["universe", "k", "idx", "ts", "asset", "direction",
                                              "magnitude"])

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import run_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MIN_CADENCE = 60
@@ -41,36 +41,57 @@ def stateful(spark: SparkSession, partitions: int | None = None) -> Iterator[Non
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/shockwatch/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, label: str, partitions: int | None = None,
+class Replay:
+    """A bounded table as a stream that arrives in time-ordered slices, one per run of a query.
+
+    The slices are written once, side by side; ``feed`` moves the next one into the folder the
+    stream reads, so that no run can see files of two slices.
+    """
+
+    def __init__(self, df: DataFrame, label: str, slices: int = 3, order: str = "idx"):
+        self.spark, self.slices = df.sparkSession, slices
+        self.base = folder(self.spark, label)
+        top = df.groupBy("universe").agg(F.max(order).alias("_top"), F.min(order).alias("_low"))
+        share = (F.col(order) - F.col("_low")) * slices / (F.col("_top") - F.col("_low") + 1)
+        (df.join(top, "universe").withColumn("_slice", F.floor(share)).drop("_top", "_low")
+         .write.partitionBy("_slice").parquet(f"{self.base}/staged"))
+        jvm = self.spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path(f"{self.base}/live"))
+        self.stream = self.spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(
+            f"{self.base}/live")
+
+    def feed(self, i: int) -> None:
+        staged = self._path(f"{self.base}/staged/_slice={i}")
+        if self._files.exists(staged) and not self._files.rename(staged, self._path(f"{self.base}/live/slice-{i}")):
+            raise OSError(f"slice {i} of {self.base} could not be moved")
+
+
+def drain(stream: DataFrame, label: str, feeds: Sequence[Replay] = (), partitions: int | None = None,
           each_batch: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Process all available input into Parquet and return the table with the batch reports."""
+    """Process all available input into Parquet and return the table with the batch reports.
+
+    With ``feeds`` the query runs once per slice and goes on from its checkpoint each time.
+    """
     spark = stream.sparkSession
     base = folder(spark, label)
     writer = (stream.writeStream.outputMode("append").trigger(availableNow=True)
               .option("checkpointLocation", f"{base}/checkpoint"))
+    reports = []
     with stateful(spark, partitions):
-        if each_batch is None:
-            query = writer.format("parquet").option("path", f"{base}/data").start()
-        else:
-            query = writer.foreachBatch(each_batch).start()
-        query.awaitTermination()
-    reports = list(query.recentProgress)
+        for i in range(max((f.slices for f in feeds), default=1)):
+            for replay in feeds:
+                replay.feed(i)
+            if each_batch is None:
+                query = writer.format("parquet").option("path", f"{base}/data").start()
+            else:
+                query = writer.foreachBatch(each_batch).start()
+            query.awaitTermination()
+            reports += list(query.recentProgress)
     if each_batch is not None:
         return stream, reports
     return spark.read.schema(stream.schema).parquet(f"{base}/data"), reports
-
-
-def replay(df: DataFrame, label: str, slices: int = 3, order: str = "idx") -> DataFrame:
-    """A bounded table as a stream that arrives in ``slices`` time-ordered groups of files."""
-    spark = df.sparkSession
-    base, width = folder(spark, label), spark.sparkContext.defaultParallelism
-    top = df.groupBy("universe").agg((F.max(order) + 1).alias("_top"))
-    cut = df.join(top, "universe").withColumn(
-        "_slice", F.floor(F.col(order) * slices / F.col("_top"))).drop("_top")
-    for i in range(slices):
-        (cut.filter(F.col("_slice") == i).drop("_slice").repartition(width)
-         .write.mode("append").parquet(base))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(base)

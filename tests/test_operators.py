@@ -245,28 +245,69 @@ def test_nearest_skips_itself_and_uses_blocks(spark):
     assert small == whole and all(r.t0 != r.neighbour for r in whole)
 
 
-def test_clusters_of_four_pairs(spark):
-    events = {10 * i + j: {i: (1, 7.0, 0)} for i in range(4) for j in range(2)}
-    got = cluster.clusters(prints(spark, events)).groupBy("cluster_id").agg(
-        F.count("*").alias("n"), F.avg("silhouette").alias("s")).collect()
-    assert sorted(r.n for r in got) == [2, 2, 2, 2] and all(r.s == 1 for r in got)
-
-
-def test_linkage_matches_plain_search():
-    rng = np.random.default_rng(3)
-    for n in (5, 9, 14):
-        d = np.round(rng.random((n, n)), 1)
-        d = np.triu(d, 1) + np.triu(d, 1).T
-        groups, _ = cluster.linkage(d, 4)
-        active = {i: (i,) for i in range(n)}
-
-        def avg(a, b):
-            return np.mean([d[i, j] for i in a for j in b])
-        while len(active) > 4:
-            _, a, b = min((round(avg(active[a], active[b]), 9), a, b)
-                          for a in active for b in active if a < b)
-            active[a] = tuple(sorted(active[a] + active.pop(b)))
-        assert sorted(map(tuple, groups)) == sorted(active.values())
+def test_nearest_prunes_by_presence_and_stays_exact(spark):
+    rng = np.random.default_rng(1)
+    events = {}
+    for t in range(400):
+        there = [0] + [a for a in range(1, 10) if rng.random() < 0.4]
+        events[t] = {a: (int(rng.choice([-1, 1])), float(rng.uniform(3, 9)), int(rng.integers(0, 30))) for a in there}
+    df = prints(spark, events)
+    compared = []
+    got = {(r.t0, r.place): (r.neighbour, round(r.distance, 9))
+           for r in graph.nearest_events(df, df, 3, block=64, compared=compared).collect()}
+    m = graph.stacked(graph.numeric(df).orderBy("t0").toPandas())
+    d = graph.distances(m, m)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert got == {(t, p + 1): (int(order[t, p]), round(float(d[t, order[t, p]]), 9)) for t in range(400) for p in range(3)}
+    assert sum(compared) < 0.7 * 400 * 400
+
+
+def test_nearest_on_a_large_library_compares_few_pairs(spark):
+    """20 000 events in 1024 presence patterns: what is looked at stays far below all pairs."""
+    n = 20_000
+    df = spark.range(n).selectExpr("'u' as universe", "'p' as period", "id as t0", """
+        transform(sequence(0, 9), a -> named_struct('ordinal', a, 'present', (xxhash64(id, a) & 1) = 1,
+            'direction', if((xxhash64(id, a, 1) & 1) = 1, 1, -1), 'magnitude', 3 + pmod(xxhash64(id, a, 2), 100) / 20.0D,
+            'delay', cast(pmod(xxhash64(id, a, 3), 30) as int))) as fp""")
+    compared = []
+    queries = df.filter("t0 % 100 = 0")
+    assert graph.nearest_events(queries, df, 3, compared=compared).count() == 600
+    assert sum(compared) < 0.25 * 200 * n
+
+
+def test_pair_summary_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    df = prints(spark, {t: {0: (1, float(rng.uniform(3, 9)), int(rng.integers(0, 30)))} for t in range(150)})
+    whole, parts = (sorted(graph.pair_summary(df, b).collect()) for b in (1024, 20))
+    assert [(r.t0, r.nearest, round(r.mean_distance, 9)) for r in whole] == [
+        (r.t0, r.nearest, round(r.mean_distance, 9)) for r in parts]
+    alone = graph.pair_summary(prints(spark, {1: {0: (1, 7.0, 0)}})).first()
+    assert (alone.mean_distance, alone.nearest, alone.nearest_distance) == (None, -1, None)
+
+
+def test_structure_issues_name_what_is_wrong(spark):
+    def rows(name, assets=("A", "B", "C", "D"), steps=(1, 2), paths=1, **bad):
+        return [(name, p, a, s, *[bad.get(c, 1.0) for c in ("open", "high", "low", "close", "volume", "amount")])
+                for p in range(paths) for a in assets for s in steps]
+    data = (rows("fine") + rows("stranger", ("A", "B", "C", "X")) + rows("few", ("A", "B", "C")) + rows("two", paths=2)
+            + rows("nan", volume=float("nan")) + rows("low", low=0.0) + rows("late", steps=(1, 3)) + rows("twice") + rows("twice"))
+    df = spark.createDataFrame(data, "forecast_id string, path_id int, asset string, step int, open double, high double, "
+                                     "low double, close double, volume double, amount double")
+    names = F.array(*[F.lit(a) for a in "ABCD"])
+    got = {r.forecast_id: r.issues for r in forecasts.structure_issue(df, names, 2, 1).collect()}
+    assert got == {"fine": [], "stranger": ["wrong_assets"], "few": ["wrong_assets", "wrong_shape"], "two": ["wrong_path_count"],
+                   "nan": ["not_finite"], "low": ["price_not_positive"], "late": ["step_out_of_range"], "twice": ["duplicate_step"]}
+
+
+def test_fold_plan_limit_and_runs(spark, monkeypatch):
+    spans = spark.createDataFrame([("u", 10_000), ("short", 200)], "universe string, n bigint")
+    whole = [r.t0 for r in windows.rolling_origins(spans).orderBy("t0").collect()]
+    assert whole == list(range(255, 10_000 - 30, 30))
+    monkeypatch.setattr(windows, "FOLDS_PER_TASK", 7)
+    assert [r.t0 for r in windows.rolling_origins(spans).orderBy("t0").collect()] == whole
+    cut = windows.rolling_origins(spans, limit=12).orderBy("t0").collect()
+    assert [r.t0 for r in cut] == whole[:12] and {r.available for r in cut} == {len(whole)}
 
 
 def test_adjusted_rand(spark):
@@ -275,20 +316,6 @@ def test_adjusted_rand(spark):
     assert one(cluster.adjusted_rand(df, ["g"], "l", "r"), "ari").ari == pytest.approx(-0.5)
 
 
-def test_leave_one_out_agrees_with_itself(spark):
-    events = {10 * i + j: {i: (1, 7.0, 0)} for i in range(4) for j in range(2)}
-    overlap = cluster.leave_one_out(prints(spark, events))
-    assert overlap.groupBy("omitted").agg(F.sum("c").alias("n")).filter("n <> 8").count() == 0
-    ari = cluster.adjusted_rand(overlap.filter("candidate > 0"), ["omitted"], "reference",
-                                "candidate", F.col("c")).collect()
-    assert len(ari) == 8 and all(r.ari == 1 for r in ari)
-    lone = prints(spark, {**events, 90: {8: (1, 7.0, 0)}})
-    single = cluster.singleton_persistence(cluster.leave_one_out(lone))
-    assert all(r.trials == 8 for r in single.collect())
-    jac = cluster.matched_jaccard(overlap).filter("status = 'matched'").collect()
-    assert all(r.jaccard == 1 for r in jac)
-
-
 def test_fixed_pair(spark):
     data = [("u", t, "small", a, v, "d") for t, vs in enumerate(((3.0, 2.0, 1.0), (3.0, 1.0, 2.0), (3.0, 1.0, 2.0)))
             for a, v in zip("ABC", vs)]

@@ -32,6 +32,14 @@ def test_kline_scan(spark, tmp_path):
     assert {r.status for r in klines.month_status(bars).collect()} == {"incomplete"}
 
 
+def test_kline_columns_and_close_stamp(spark, tmp_path):
+    good = csv_text(1).strip()
+    lines = [good + ",13", ",".join(good.split(",")[:7]), good.replace(str(START + 59_999_999), str(START + 60_000_000)), ""]
+    (tmp_path / "BTCUSDT-1m-2025-01.csv").write_text("\n".join(lines) + "\n")
+    got = sorted(r.reason for r in klines.parse(klines.scan(spark, str(tmp_path))).collect())
+    assert got == ["bad_close_stamp", "wrong_columns", "wrong_columns", "wrong_columns"]
+
+
 def test_complete_month(spark, tmp_path):
     (tmp_path / "BTCUSDT-1m-2025-01.csv").write_text(csv_text(31 * 1440))
     row = klines.month_status(klines.parse(klines.scan(spark, str(tmp_path)))).first()
@@ -48,7 +56,7 @@ def test_zip_members(spark):
     files = spark.createDataFrame([("a", pack(["BTCUSDT-1m-2025-01.csv"])), ("b", pack(["x.csv", "y.csv"])), ("c", bytearray(b"junk"))],
                                   "path string, content binary")
     lines = klines.unzip(files)
-    assert lines.filter("error is not null").count() == 2
+    assert sorted(r.path for r in klines.broken(lines).collect()) == ["b", "c"]
     bars = klines.parse(klines.from_lines(lines))
     assert [(r.asset, r.month, r.reason) for r in bars.collect()] == [("BTC", "2025-01", None)] * 2
 
@@ -83,19 +91,49 @@ def test_unreadable_artifacts_stay(spark, tmp_path):
     assert sorted((r.task_id or "", r.parse_error is None) for r in rows) == [("", False), ("t1", True)]
 
 
-def test_live_rows_respect_the_cutoff(spark):
-    def row(i):
-        return [str(1000 * i), "1", "2", "1", "2", "3", str(1000 * i + 59_999), "6"]
-    polls = spark.createDataFrame([("BTC", json.dumps([row(0), row(60), row(120)]))], "asset string, value string")
-    got = klines.live_rows(polls, F.lit(120_000)).orderBy("end_ms").collect()
-    assert [r.end_ms for r in got] == [60_000, 120_000] and got[0].amount == 6.0
-
-
-def test_second_exchange_drops_its_open_bar(spark):
-    rows = [[t, "1", "2", "1", "2", "1.5", "4", 3] for t in (0, 60, 120)]
-    polls = spark.createDataFrame([("BTC", json.dumps(rows))], "asset string, value string")
-    got = klines.second_exchange(polls, F.timestamp_seconds(F.lit(600))).collect()
-    assert len(got) == 2 and got[0].amount == 6.0 and got[0].amount_is_estimate
+def live_row(minute, **changes):
+    row = [str(60_000 * minute), "1", "2", "1", "2", "3", str(60_000 * minute + 59_999), "6", "1", "0", "0", "0"]
+    for at, value in changes.items():
+        row[int(at[1:])] = value
+    return row
+
+
+def outcomes(polls_rows):
+    return sorted(((r.asset, r.reason, r.end_ms) for r in polls_rows.collect()), key=str)
+
+
+def test_live_polls_keep_every_row_and_reason(spark):
+    polls = {
+        "GOOD": [live_row(0), live_row(1), live_row(2)], "SHORT": [live_row(0), live_row(1)[:3]],
+        "LONG": [live_row(0) + ["0"]], "TEXT": [live_row(0, c1="x"), live_row(1)], "GAP": [live_row(0), live_row(3)],
+        "OFF": [live_row(0, c0="1")], "NAN": [live_row(0, c2="NaN")], "WICK": [live_row(0, c4="5")], "EMPTY": []}
+    df = spark.createDataFrame([(a, json.dumps(v)) for a, v in polls.items()] + [("JUNK", "[[1, "), ("NULL", None)],
+                               "asset string, value string")
+    got = outcomes(klines.live_rows(df, F.lit(180_000)))
+    assert [g for g in got if g[0] == "GOOD"] == [("GOOD", None, 60_000 * i) for i in (1, 2, 3)]
+    reasons = {a: {r for x, r, _ in got if x == a} for a in {g[0] for g in got}}
+    assert reasons == {"GOOD": {None}, "SHORT": {"wrong_columns"}, "LONG": {"wrong_columns"}, "TEXT": {"not_finite"},
+                       "GAP": {"gap"}, "OFF": {"bad_stamp"}, "NAN": {"not_finite"}, "WICK": {"ohlc_containment"},
+                       "EMPTY": {"empty_poll"}, "JUNK": {"unreadable"}, "NULL": {"unreadable"}}
+    late = outcomes(klines.live_rows(df.filter("asset = 'GOOD'"), F.lit(120_000)))
+    assert [r for _, r, _ in late] == [None, None, "open_bar"]
+
+
+def test_second_exchange_sets_its_open_bar_aside(spark):
+    def row(t, **changes):
+        out = [t, "1", "2", "1", "2", "1.5", "4", 3]
+        for at, value in changes.items():
+            out[int(at[1:])] = value
+        return out
+    polls = {"GOOD": [row(0), row(60), row(120)], "GAP": [row(0), row(180), row(240)], "HALF": [row(0.5), row(60)],
+             "SEVEN": [row(0)[:7], row(60)], "NULLS": [row(0, c1=None), row(60)], "ONE": [row(0)]}
+    df = spark.createDataFrame([(a, json.dumps(v)) for a, v in polls.items()], "asset string, value string")
+    rows = klines.second_exchange(df, F.timestamp_seconds(F.lit(600)))
+    got = {a: [r.reason for r in rows.filter(F.col("asset") == a).orderBy("ts").collect()] for a in polls}
+    assert got == {"GOOD": [None, None, "open_bar"], "GAP": ["gap"] * 3, "HALF": ["bad_stamp"] * 2,
+                   "SEVEN": ["wrong_columns"] * 2, "NULLS": ["not_finite"] * 2, "ONE": ["open_bar"]}
+    good = rows.filter("asset = 'GOOD' and reason is null").first()
+    assert good.amount == 6.0 and good.amount_is_estimate
 
 
 def test_write_once_and_catalog(spark, tmp_path):
