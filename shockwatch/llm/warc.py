@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwatch.session import shared_dir
+from shockwatch.session import run_dir
 
 from .common import store, text_of
 
@@ -236,7 +236,7 @@ def read(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool =
 def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Archive all pages in the shared folder and report what the archives hold, a row per page."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/shockwatch/warc-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     found = store(read(spark, write(pages, folder, revisit_from), folder), "warc-records")
     responses = found.filter("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
     return found.join(responses.withColumnRenamed("record_id", "refers_to_record"), "refers_to_record", "left").select(
