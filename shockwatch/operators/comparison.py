@@ -162,30 +162,60 @@ def unassigned(manifest: DataFrame, artifacts: DataFrame, keys: Sequence[str]) -
     return artifacts.join(manifest.select(*keys), list(keys), "left_anti")
 
 
-def compare_reports(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer pairing of two ledgers with the reason a pair cannot be compared."""
-    a = left.select(*keys, F.col("status").alias("left_status"), F.col("value").alias("left_value"))
-    b = right.select(*keys, F.col("status").alias("right_status"),
-                     F.col("value").alias("right_value"))
-    return (a.join(b, list(keys), "full_outer")
+def first_mismatch(left: str, right: str, fields: Sequence[str], suffix: str = "_mismatch") -> Column:
+    """Name of the first field in which two prefixed sets of columns differ (null equals null), or null."""
+    return F.coalesce(*[F.when(~F.col(f"{left}{f}").eqNullSafe(F.col(f"{right}{f}")), f"{f}{suffix}") for f in fields])
+
+
+def compare_reports(left: DataFrame, right: DataFrame, keys: Sequence[str], context: Sequence[str] = ()) -> DataFrame:
+    """Full outer pairing of two ledgers with the reason a pair cannot be compared.
+
+    Two scored rows are comparable only if every ``context`` column agrees, in the given order:
+    provenance, configuration, revision and the target itself.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("status", "value", *context)])
+
+    differs = first_mismatch("left_", "right_", context) if context else F.lit(None).cast("string")
+    return (side(left, "left").join(side(right, "right"), list(keys), "full_outer")
             .withColumn("pairing", F.when(F.col("right_status").isNull(), "only_left")
                         .when(F.col("left_status").isNull(), "only_right")
                         .when((F.col("left_status") != "scored")
                               & (F.col("right_status") != "scored"), "both_unscored")
                         .when(F.col("left_status") != "scored", "left_unscored")
                         .when(F.col("right_status") != "scored", "right_unscored")
-                        .otherwise("matched")))
+                        .otherwise(F.coalesce(differs, F.lit("matched")))))
+
+
+def match_windows(forecasts: DataFrame, windows: DataFrame, keys: Sequence[str], context: Sequence[str]) -> DataFrame:
+    """Forecasts with ``match``: ``no_window``, the first context field that differs, or ``matched``."""
+    a = forecasts.select(*keys, *[F.col(c).alias(f"f_{c}") for c in context])
+    b = windows.select(*keys, *[F.col(c).alias(f"w_{c}") for c in context], F.lit(True).alias("_there"))
+    return a.join(b, list(keys), "left").withColumn("match", F.when(F.col("_there").isNull(), "no_window").otherwise(
+        F.coalesce(first_mismatch("f_", "w_", context), F.lit("matched")))).drop("_there")
 
 
 def merge_batches(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                  evidence: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Union of two score batches and the keys whose evidence disagrees."""
-    both = left.unionByName(right)
-    digest = F.xxhash64(*evidence)
-    state = both.groupBy(*keys).agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi"))
-    conflicts = state.filter("_lo <> _hi").select(*keys)
-    merged = both.dropDuplicates(list(keys)).join(conflicts, list(keys), "left_anti")
-    return merged, conflicts
+                  evidence: Sequence[str]) -> DataFrame:
+    """Union of two score batches with ``merge``: ``kept``, ``conflict`` or ``duplicate_in_batch``.
+
+    A key may occur once in a batch and, in both, with the same evidence in every column; any other
+    key is reported with its reason and carries no evidence.
+    """
+    keys = list(keys)
+
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(f"_n{side}"), *[F.first(c).alias(f"_{side}_{c}") for c in evidence])
+
+    both = counted(left, "a").join(counted(right, "b"), keys, "full_outer")
+    differs = F.lit(False)
+    for c in evidence:
+        differs = differs | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
+    merge = (F.when(F.greatest(F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))) > 1, "duplicate_in_batch")
+             .when(F.col("_na").isNotNull() & F.col("_nb").isNotNull() & differs, "conflict").otherwise("kept"))
+    marked = both.withColumn("merge", merge)
+    return marked.select(*keys, "merge", *[F.when(F.col("merge") == "kept", F.when(
+        F.col("_na").isNotNull(), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}"))).alias(c) for c in evidence])
 
 
 def deduplicate(runs: DataFrame, keys: Sequence[str], content: Column) -> DataFrame:
@@ -199,10 +229,14 @@ def deduplicate(runs: DataFrame, keys: Sequence[str], content: Column) -> DataFr
             .drop("_versions"))
 
 
-def tier_scores(rolling: DataFrame) -> DataFrame:
+METHODS = ("model", "dynamic_naive", "historical_30")
+
+
+def tier_scores(rolling: DataFrame, failed: Column | None = None) -> DataFrame:
     """Per (origin, tier, method): set scores against the actual top two, errors and recall.
 
-    Methods are the model, the dynamic naive volatility, the past-30 scalar and the fixed pair.
+    Methods are the model, the dynamic naive volatility and the past-30 scalar. Where ``failed``
+    holds for an origin there is no model forecast, and no row of it.
     """
     from ..functions.ranking import rank_scores
     keys = ["universe", "t0", "tier"]
@@ -217,6 +251,8 @@ def tier_scores(rolling: DataFrame) -> DataFrame:
     long = rolling.select(*keys, "asset", "day", F.col("a_vol").alias("a"), "a_mdd",
                           F.explode(method).alias("_m")).select(
         *keys, "asset", "day", "a", "a_mdd", "_m.*")
+    if failed is not None:
+        long = long.filter(~((F.col("method") == "model") & failed))
     scores = rank_scores(long, [*keys, "method"])
     drawdown = long.groupBy(*keys, "method").agg(
         F.avg(F.abs(F.col("pd") - F.col("a_mdd"))).alias("mdd_mae"), F.max("day").alias("day"))
@@ -227,6 +263,24 @@ def tier_scores(rolling: DataFrame) -> DataFrame:
             .join(drawdown, [*keys, "method"]))
 
 
+def whole_plan(scores: DataFrame, plan: DataFrame, assets: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+    """Every planned (origin, tier, method) with its scores, or as ``failed`` without any."""
+    keys = ["universe", "t0", "tier", "method"]
+    tiers = assets.select("universe", "tier").distinct()
+    planned = plan.select("universe", "t0").join(tiers, "universe").withColumn(
+        "method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    return planned.join(scores.withColumn("status", F.lit("scored")), keys, "left").withColumn(
+        "status", F.coalesce("status", F.lit("failed")))
+
+
+def fixed_pair_scores(rolling: DataFrame, tier: str = "small") -> DataFrame:
+    """The fixed pair as a method of its tier: its set against the actual top two at every origin."""
+    keys = ["universe", "t0", "tier"]
+    pair = fixed_pair(rolling, tier).select("universe", F.array("first", "second").alias("chosen"))
+    actual = top_sets(rolling.filter(F.col("tier") == tier), keys, "a_vol", "actual")
+    return set_scores(actual.join(pair, "universe")).withColumn("method", F.lit("fixed_pair"))
+
+
 def fixed_pair(rolling: DataFrame, tier: str = "small") -> DataFrame:
     """The pair of tier assets that most often is the exact actual top set; first pair on a tie."""
     keys = ["universe", "t0", "tier"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from . import graph, shocks
 
 SEED = 20260926
 REPLICATES = 2000
+STRATIFIED_REPLICATES = 20_000
 
 
 def draw(*parts: Column | int | str) -> Column:
@@ -67,7 +70,7 @@ def interval(replicates: DataFrame, keys: Sequence[str], tail: float = 0.025) ->
         F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"))
 
 
-def strata_weights(days: DataFrame, reps: int = REPLICATES, seed: int = SEED) -> DataFrame:
+def strata_weights(days: DataFrame, reps: int = STRATIFIED_REPLICATES, seed: int = SEED) -> DataFrame:
     """How often each wanted day is drawn when every stratum redraws all its calendar days.
 
     ``days`` has ``universe, period, day_no`` (0-based) and ``n_days`` of the stratum. Draws of
@@ -156,19 +159,53 @@ def stratified_contrast(values: DataFrame, weights: DataFrame, keys: Sequence[st
     return point.withColumn("stable", F.expr(fit)).join(bands, keys, "left")
 
 
-def weighted_median(curves: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Median of event rows repeated by their weights, per key and replicate.
+REPS_PER_BLOCK, HOURS_PER_BLOCK = 500, 16
 
-    Both middle values are averaged, as for a plain median of the repeated rows.
+
+def weighted_medians(curves: DataFrame, weights: DataFrame, reps: int) -> DataFrame:
+    """Median of event rows repeated by their weights: ``universe, tier, h, rep, value``.
+
+    Both middle values are averaged, as for a plain median of the repeated rows. Curve values are
+    packed and sorted once per (tier, steps), weights once per block of replicates (days x
+    replicates, bounded by the calendar); a task then takes one running sum over the sorted values
+    for a whole block of replicates.
     """
-    g = Window.partitionBy(*keys, "rep")
-    upto = F.sum("w").over(g.orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0))
-    rows = (curves.join(weights, ["universe", "period", "day_no"])
-            .withColumn("_upto", upto).withColumn("_total", F.sum("w").over(g)))
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    return rows.groupBy(*keys, "rep").agg(
-        ((F.min(F.when(F.col("_upto") > low, F.col("ratio")))
-          + F.min(F.when(F.col("_upto") > high, F.col("ratio")))) / 2).alias("value"))
+    points = curves.groupBy("universe", "tier", F.floor(F.col("h") / HOURS_PER_BLOCK).cast("int").alias("_hb")).agg(
+        F.array_sort(F.collect_list(F.struct("h", "ratio", F.concat_ws("|", "period", "day_no").alias("day")))).alias("_p"))
+    points = points.select("universe", "tier", "_hb", *[F.col(f"_p.{c}").alias(c) for c in ("h", "ratio", "day")])
+    drawn = (weights.withColumn("_block", F.floor(F.col("rep") / REPS_PER_BLOCK).cast("int"))
+             .groupBy("universe", "_block", F.concat_ws("|", "period", "day_no").alias("_day"))
+             .agg(F.collect_list(F.struct((F.col("rep") % REPS_PER_BLOCK).cast("int").alias("i"),
+                                          F.col("w").cast("int").alias("w"))).alias("_w"))
+             .groupBy("universe", "_block").agg(
+                 F.collect_list(F.struct("_day", "_w")).alias("_d")).select(
+                     "universe", "_block", F.col("_d._day").alias("days"),
+                     F.transform("_d", lambda x: x["_w"]["i"]).alias("at"), F.transform("_d", lambda x: x["_w"]["w"]).alias("times")))
+    width = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = points.join(drawn, "universe").repartition(width, "universe", "tier", "_hb", "_block")
+
+    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                place = {d: i for i, d in enumerate(row.days)}
+                matrix = np.zeros((len(place) + 1, REPS_PER_BLOCK), np.int64)  # a day that was never drawn is the last row
+                for i, (at, times) in enumerate(zip(row.at, row.times)):
+                    matrix[i, np.asarray(at, int)] = np.asarray(times, int)
+                h, ratio = np.asarray(row.h), np.asarray(row.ratio, float)
+                day = np.array([place.get(d, len(place)) for d in row.day])
+                for step in np.unique(h):
+                    mine = np.flatnonzero(h == step)  # sorted by ratio
+                    upto = matrix[day[mine]].cumsum(axis=0)
+                    total = upto[-1]
+                    low = (upto > (total - 1) // 2).argmax(axis=0)
+                    high = (upto > total // 2).argmax(axis=0)
+                    used = np.flatnonzero(total > 0)
+                    value = (ratio[mine][low] + ratio[mine][high]) / 2
+                    yield pd.DataFrame({"universe": row.universe, "tier": row.tier, "h": int(step),
+                                        "rep": row.block * REPS_PER_BLOCK + used, "value": value[used]})
+
+    return work.withColumnRenamed("_block", "block").mapInPandas(
+        medians, "universe string, tier string, h int, rep bigint, value double").filter(F.col("rep") < reps)
 
 
 def simultaneous_band(replicates: DataFrame, points: DataFrame, keys: Sequence[str],

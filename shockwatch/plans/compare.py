@@ -29,14 +29,27 @@ def _errors(h):
     return C.error_pairs(h.rolling)
 
 
+# The model gives no forecast for every eleventh origin of one universe.
+FAILED = "universe = 'lineitem' AND t0 % 11 = 0"
+
+
 @query("j3_scores", sql(f"""
- SELECT universe, t0, asset, metric, {r('predicted')} predicted, {r('actual')} actual,
-        {r('model_error')} absolute_error, 'scored' AS status FROM q_err"""))
+ SELECT m.universe, m.t0, s.asset, k.metric, CASE WHEN NOT (m.{FAILED.replace('AND t0', 'AND m.t0')}) THEN {r('e.predicted')} END predicted,
+        {r('e.actual')} actual, CASE WHEN NOT (m.{FAILED.replace('AND t0', 'AND m.t0')}) THEN {r('e.model_error')} END absolute_error,
+        CASE WHEN m.{FAILED.replace('AND t0', 'AND m.t0')} THEN 'failed' WHEN e.actual IS NULL THEN 'pending_truth' ELSE 'scored' END AS status
+ FROM (SELECT universe, n, unnest(range(255, n, 30)) t0 FROM q_spans) m JOIN q_assets s USING (universe)
+ CROSS JOIN (VALUES ('terminal_return'), ('volatility')) k(metric)
+ LEFT JOIN q_err e ON e.universe = m.universe AND e.t0 = m.t0 AND e.asset = s.asset AND e.metric = k.metric"""))
 def j3(h):
-    return _errors(h).select("universe", "t0", "asset", "metric", rd("predicted").alias("predicted"),
-                             rd("actual").alias("actual"),
-                             rd("model_error").alias("absolute_error"),
-                             F.lit("scored").alias("status"))
+    """Predictions of every planned origin against the truth there is."""
+    keys = ["universe", "t0", "asset", "metric"]
+    planned = windows.rolling_origins(h.spans, horizon=0).join(h.assets.select("universe", "asset"), "universe").withColumn(
+        "metric", F.explode(F.array(F.lit("terminal_return"), F.lit("volatility"))))
+    rows = planned.join(_errors(h).select(*keys, "predicted", "actual", "model_error"), keys, "left").withColumn(
+        "status", F.when(F.expr(FAILED), "failed").when(F.col("actual").isNull(), "pending_truth").otherwise("scored"))
+    there = F.col("status") != "failed"
+    return rows.select(*keys, rd(F.when(there, F.col("predicted"))).alias("predicted"), rd("actual").alias("actual"),
+                       rd(F.when(there, F.col("model_error"))).alias("absolute_error"), "status")
 
 
 @query("a11_f31_error_stats", sql(f"""
@@ -204,31 +217,57 @@ part("q_rep", """
    ON x.universe = l.universe AND x.t0 = l.t0""")
 
 
+CONTEXT = ("provenance", "configuration", "revision", "target")
+
+
+def _context(df, damaged):
+    """What a report says about itself; one of its fields is another every few origins if ``damaged``."""
+    for i, name in enumerate(CONTEXT):
+        odd = (F.floor(F.col("t0") / 15) % 6 == i + 1) & F.lit(damaged)
+        df = df.withColumn(name, F.when(odd, "other").otherwise("same"))
+    return df
+
+
 @query("j5_u2_model_vs_model", sql("""
  SELECT universe, t0, CASE WHEN rs IS NULL THEN 'only_left' WHEN ls IS NULL THEN 'only_right'
         WHEN ls <> 'scored' AND rs <> 'scored' THEN 'both_unscored' WHEN ls <> 'scored' THEN 'left_unscored'
-        WHEN rs <> 'scored' THEN 'right_unscored' ELSE 'matched' END pairing FROM q_rep"""))
+        WHEN rs <> 'scored' THEN 'right_unscored' ELSE CASE (t0 // 15) % 6 WHEN 1 THEN 'provenance_mismatch'
+        WHEN 2 THEN 'configuration_mismatch' WHEN 3 THEN 'revision_mismatch' WHEN 4 THEN 'target_mismatch'
+        ELSE 'matched' END END pairing FROM q_rep"""))
 def j5(h):
     left = (C.ledger(_manifest(h), _attempts(h), ["universe", "t0"])
             .withColumn("status", F.when(F.col("attempts") == 1, F.col("status"))
                         .otherwise("missing")).withColumn("value", F.lit(0.0)))
     right = (_attempts(h).filter("t0 >= 255").groupBy("universe", "t0")
              .agg(F.min("status").alias("status"), F.min("close").alias("value")))
-    return C.compare_reports(left, right, ["universe", "t0"]).select("universe", "t0", "pairing")
+    return C.compare_reports(_context(left, False), _context(right, True), ["universe", "t0"], CONTEXT).select(
+        "universe", "t0", "pairing")
 
 
 @query("g9_window_match", sql("""
- SELECT f.universe, f.t0, f.asset, CASE WHEN w.spot IS NULL THEN 'no_window'
-        WHEN w.spot <> f.close THEN 'spot_mismatch' ELSE 'matched' END status
+ SELECT f.universe, f.t0, f.asset, CASE WHEN w.spot IS NULL THEN 'no_window' WHEN f.t0 % 7 = 1 THEN 'source_mismatch'
+        WHEN f.t0 % 7 = 2 THEN 'quote_mismatch' WHEN f.t0 % 7 = 3 THEN 'interval_mismatch' WHEN f.t0 % 7 = 4 THEN 'as_of_mismatch'
+        WHEN f.t0 % 7 = 5 THEN 'assets_mismatch' WHEN w.spot <> f.close OR f.t0 % 7 = 6 THEN 'spot_mismatch' ELSE 'matched' END status
  FROM q_art f LEFT JOIN (SELECT universe, t0, asset, spot FROM q_roll) w USING (universe, t0, asset)"""))
 def g9(h):
-    """Forecast artifacts against their input windows: the spot must be the last close."""
-    w = h.rolling_windows.filter("status = 'ready'").select(
-        "universe", "t0", "asset", F.element_at("hist", -1).alias("spot"))
-    return (_attempts(h).drop("status").join(w, ["universe", "t0", "asset"], "left")
-            .select("universe", "t0", "asset", F.when(F.col("spot").isNull(), "no_window")
-                    .when(F.col("spot") != F.col("close"), "spot_mismatch")
-                    .otherwise("matched").alias("status")))
+    """Forecast artifacts against their input windows: source, quote, interval, time, assets and last close."""
+    keys = ["universe", "t0", "asset"]
+    names = h.assets.groupBy("universe").agg(F.array_sort(F.collect_list("asset")).alias("assets"))
+    stamps = h.bars.select("universe", "asset", F.col("idx").alias("t0"), F.col("ts").alias("as_of"))
+    about = (h.rolling_windows.filter("status = 'ready'").select(*keys, F.element_at("hist", -1).alias("spot"))
+             .join(names, "universe").join(stamps, keys)
+             .withColumns({"source": F.lit("tables"), "quote": F.lit("USD"), "interval": F.when(
+                 F.col("universe") == "events", 3600).otherwise(86400)}))
+    odd = F.col("t0") % 7
+    said = (_attempts(h).select(*keys, F.col("close").alias("spot")).join(names, "universe").join(stamps, keys)
+            .withColumns({"source": F.when(odd == 1, "elsewhere").otherwise("tables"),
+                          "quote": F.when(odd == 2, "EUR").otherwise("USD"),
+                          "interval": F.when(odd == 3, 60).when(F.col("universe") == "events", 3600).otherwise(86400),
+                          "as_of": F.when(odd == 4, F.col("as_of") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("as_of")),
+                          "assets": F.when(odd == 5, F.slice("assets", 1, 2)).otherwise(F.col("assets")),
+                          "spot": F.when(odd == 6, F.col("spot") + 1).otherwise(F.col("spot"))}))
+    return C.match_windows(said, about, keys, ("source", "quote", "interval", "as_of", "assets", "spot")).select(
+        *keys, F.col("match").alias("status"))
 
 
 @query("a53_deduplicate", sql("""
@@ -240,21 +279,19 @@ def a53(h):
 
 
 @query("j18_merge_batches", sql("""
- WITH a AS (SELECT universe, t0, status FROM q_art WHERE asset = (SELECT min(asset) FROM q_assets z
+ WITH a AS (SELECT universe, t0, status, close FROM q_art WHERE asset = (SELECT min(asset) FROM q_assets z
             WHERE z.universe = q_art.universe)),
- b AS (SELECT universe, t0, status FROM q_art WHERE asset <> (SELECT min(asset) FROM q_assets z
-       WHERE z.universe = q_art.universe)),
- u AS (SELECT universe, t0, count(DISTINCT status) v, min(status) s FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
-       GROUP BY universe, t0)
- SELECT universe, t0, CASE WHEN v > 1 THEN 'conflict' ELSE s END status FROM u"""))
+ b AS (SELECT universe, t0, status, close + CASE WHEN t0 % 60 = 0 THEN 1 ELSE 0 END AS close FROM a WHERE t0 % 30 = 0),
+ w AS (SELECT a.universe, a.t0, a.status, CASE WHEN b.t0 IS NOT NULL AND a.t0 % 210 = 0 THEN 'duplicate_in_batch'
+              WHEN b.close <> a.close THEN 'conflict' ELSE 'kept' END AS merge FROM a LEFT JOIN b USING (universe, t0))
+ SELECT universe, t0, merge, CASE WHEN merge = 'kept' THEN status END AS status FROM w"""))
 def j18(h):
-    first = h.assets.filter("ordinal = 0").select("universe", "asset")
-    rows = _attempts(h).select("universe", "t0", "asset", "status")
-    a = rows.join(first, ["universe", "asset"], "left_semi").drop("asset")
-    b = rows.join(first, ["universe", "asset"], "left_anti").drop("asset")
-    merged, conflicts = C.merge_batches(a, b, ["universe", "t0"], ["status"])
-    return merged.select("universe", "t0", "status").unionByName(
-        conflicts.withColumn("status", F.lit("conflict")))
+    """A batch and a later one that repeats a part of it, here and there changed or twice."""
+    a = _attempts(h).join(h.assets.filter("ordinal = 0").select("universe", "asset"), ["universe", "asset"], "left_semi") \
+        .select("universe", "t0", "status", "close")
+    b = a.filter("t0 % 30 = 0").withColumn("close", F.col("close") + F.when(F.col("t0") % 60 == 0, 1).otherwise(0))
+    b = b.unionByName(b.filter("t0 % 210 = 0"))
+    return C.merge_batches(a, b, ["universe", "t0"], ["status", "close"]).select("universe", "t0", "merge", "status")
 
 
 @query("j19_catalog_outputs", sql("""
@@ -268,8 +305,8 @@ def j19(h):
                 F.col("eligible"), "missing").otherwise("ineligible")).alias("status")))
 
 
-part("q_tsrc", """
- SELECT universe, t0, tier, asset, day, a_vol a, a_mdd, 'model' AS method, m_vol p, m_mdd pd FROM q_roll
+part("q_tsrc", f"""
+ SELECT universe, t0, tier, asset, day, a_vol a, a_mdd, 'model' AS method, m_vol p, m_mdd pd FROM q_roll WHERE NOT ({FAILED})
  UNION ALL SELECT universe, t0, tier, asset, day, a_vol, a_mdd, 'dynamic_naive', vol255, NULL FROM q_roll
  UNION ALL SELECT universe, t0, tier, asset, day, a_vol, a_mdd, 'historical_30', vol30, mdd30 FROM q_roll""")
 part("q_tier", f"""
@@ -285,32 +322,53 @@ part("q_sum", """
  SELECT universe, tier, method, count(*) n_scored, count(*) FILTER (exact) exact_hits,
         avg(exact::INT) exact_rate, avg(common) mean_hits, avg(vol_mae) vol_mae, avg(mdd_mae) mdd_mae,
         avg(top3_recall) top3_recall, count(mdd_mae) n_mdd, count(*) FILTER (selected > 2) over_two,
-        (SELECT count(*) FROM (SELECT DISTINCT universe, t0 FROM q_roll) o WHERE o.universe = q_tier.universe) n_scheduled
- FROM q_tier GROUP BY universe, tier, method""")
+        any_value(len(range(255, n - 30, 30))) n_scheduled
+ FROM q_tier JOIN q_spans USING (universe) GROUP BY universe, tier, method""")
 
 
 def _tier(h):
-    return h._once("tier_scores", lambda: C.tier_scores(h.rolling))
+    return h._once("tier_scores", lambda: C.tier_scores(h.rolling, F.expr(FAILED)))
 
 
 def _scheduled(h):
-    return h.rolling.select("universe", "t0").distinct().groupBy("universe").agg(
-        F.count("*").alias("n_scheduled"))
+    """The number of planned origins, whatever became of them."""
+    return windows.rolling_origins(h.spans).groupBy("universe").agg(F.count("*").alias("n_scheduled"))
 
 
 def _summary(h):
     return C.method_summary(_tier(h), _scheduled(h))
 
 
+part("q_pair", f"""
+ WITH m AS (SELECT DISTINCT universe, asset FROM q_roll WHERE tier = 'small'),
+ p AS (SELECT a.universe, a.asset f, b.asset s FROM m a JOIN m b ON b.universe = a.universe AND a.asset < b.asset),
+ t AS (SELECT universe, s, count(*) hits FROM ({top2('a_vol', 'universe, t0, tier')}) WHERE tier = 'small'
+       AND len(s) = 2 GROUP BY universe, s)
+ SELECT universe, f AS first, s AS second, hits FROM (
+  SELECT p.universe, p.f, p.s, COALESCE(t.hits, 0) hits, row_number() OVER (PARTITION BY p.universe
+         ORDER BY COALESCE(t.hits, 0) DESC, p.f, p.s) rn FROM p
+  LEFT JOIN t ON t.universe = p.universe AND t.s = [p.f, p.s]) WHERE rn = 1""")
+
+
 @query("a65_j22_tier_scores", sql(f"""
- SELECT universe, t0, tier, method, exact, common, selected, {r('vol_mae')} vol_mae, {r('mdd_mae')} mdd_mae,
-        {r('top3_recall')} top3_recall FROM q_tier"""))
+ WITH o AS (SELECT universe, unnest(range(255, n - 30, 30)) t0 FROM q_spans),
+ w AS (SELECT o.universe, o.t0, s.tier, k.method FROM o JOIN (SELECT DISTINCT universe, tier FROM q_assets) s USING (universe)
+       CROSS JOIN (VALUES ('model'), ('dynamic_naive'), ('historical_30')) k(method)),
+ f AS (SELECT a.universe, a.t0, a.s = [q.first, q.second] AS exact, len(list_intersect(a.s, [q.first, q.second])) common
+       FROM ({top2('a_vol', 'universe, t0, tier')}) a JOIN q_pair q USING (universe) WHERE a.tier = 'small')
+ SELECT universe, t0, tier, method, CASE WHEN q.selected IS NULL THEN 'failed' ELSE 'scored' END AS status,
+        COALESCE(exact, FALSE) AS exact, CAST(COALESCE(common, 0) AS BIGINT) common, CAST(COALESCE(selected, 0) AS BIGINT) selected, {r('vol_mae')} vol_mae, {r('mdd_mae')} mdd_mae,
+        {r('top3_recall')} top3_recall FROM w LEFT JOIN q_tier q USING (universe, t0, tier, method)
+ UNION ALL SELECT universe, t0, 'small', 'fixed_pair', 'scored', exact, CAST(common AS BIGINT), 2, NULL, NULL, NULL FROM f"""))
 def a65(h):
-    return _tier(h).select("universe", "t0", "tier", "method", "exact",
-                           F.col("common").cast("long").alias("common"),
-                           F.col("selected").cast("long").alias("selected"),
-                           rd("vol_mae").alias("vol_mae"), rd("mdd_mae").alias("mdd_mae"),
-                           rd("top3_recall").alias("top3_recall"))
+    """Every planned origin with every method; a failed one has a row without scores."""
+    rows = C.whole_plan(_tier(h), windows.rolling_origins(h.spans), h.assets).unionByName(
+        C.fixed_pair_scores(h.rolling).withColumn("status", F.lit("scored")), allowMissingColumns=True)
+    return rows.select("universe", "t0", "tier", "method", "status", F.coalesce("exact", F.lit(False)).alias("exact"),
+                       F.coalesce("common", F.lit(0)).cast("long").alias("common"),
+                       F.coalesce("selected", F.lit(0)).cast("long").alias("selected"),
+                       rd("vol_mae").alias("vol_mae"), rd("mdd_mae").alias("mdd_mae"),
+                       rd("top3_recall").alias("top3_recall"))
 
 
 @query("a18_g19_method_summary", sql(f"""
@@ -402,15 +460,7 @@ def o8(h):
         F.max_by("method", F.struct(F.round("recall", 9).alias("r"), "method")).alias("best_recall"))
 
 
-@query("a55_b7_fixed_pair", sql(f"""
- WITH m AS (SELECT DISTINCT universe, asset FROM q_roll WHERE tier = 'small'),
- p AS (SELECT a.universe, a.asset f, b.asset s FROM m a JOIN m b ON b.universe = a.universe AND a.asset < b.asset),
- t AS (SELECT universe, s, count(*) hits FROM ({top2('a_vol', 'universe, t0, tier')}) WHERE tier = 'small'
-       AND len(s) = 2 GROUP BY universe, s)
- SELECT universe, f AS first, s AS second, hits FROM (
-  SELECT p.universe, p.f, p.s, COALESCE(t.hits, 0) hits, row_number() OVER (PARTITION BY p.universe
-         ORDER BY COALESCE(t.hits, 0) DESC, p.f, p.s) rn FROM p
-  LEFT JOIN t ON t.universe = p.universe AND t.s = [p.f, p.s]) WHERE rn = 1"""))
+@query("a55_b7_fixed_pair", sql("SELECT * FROM q_pair"))
 def a55(h):
     return C.fixed_pair(h.rolling)
 

@@ -94,7 +94,7 @@ class Hub:
     @property
     def bars_once(self) -> DataFrame:
         """Bars for a plan that reads them once: not written just for that."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "bars")
+        key = (self.spark.sparkContext.applicationId, self._inputs(), "bars")
         return _stored[key] if key in _stored else self._bars()
 
     @property

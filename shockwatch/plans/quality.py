@@ -168,11 +168,16 @@ def g18(h):
 @query("j8_x5_matched_workloads", sql(f"""
  SELECT a.universe, a.method model_a, b.method model_b, count(*) matched, {r('sum(a.hits) / sum(a.total)')} rate_a,
         {r('sum(b.hits) / sum(b.total)')} rate_b FROM q_aud a JOIN q_aud b USING (universe, t0)
- WHERE a.method < b.method GROUP BY a.universe, a.method, b.method"""))
+ WHERE a.method < b.method AND t0 % 9 <> 0 GROUP BY a.universe, a.method, b.method"""))
 def j8(h):
     """Groups compared only on workloads whose complete control context is the same."""
-    rows = _audits(h).withColumn("horizon", F.lit(30)).withColumn(
-        "key", identity.comparison_key(["universe", "t0", "horizon"])).filter("key is not null")
+    names = h.assets.groupBy("universe").agg(F.array_join(F.array_sort(F.collect_list("asset")), "|").alias("assets"))
+    rows = _audits(h).join(names, "universe").withColumns({
+        "horizon": F.lit(30), "lookback": F.lit(256), "paths": F.lit(1), "candles": F.col("total"),
+        "interval": F.when(F.col("universe") == "events", 3600).otherwise(86400),
+        "seed": F.when(F.col("t0") % 9 != 0, F.col("t0"))})  # runs that did not record their seed match nothing
+    rows = rows.withColumn("key", identity.comparison_key([
+        "universe", "t0", "horizon", "lookback", "paths", "candles", "interval", "assets", "seed"])).filter("key is not null")
     b = rows.select("key", F.col("method").alias("model_b"), F.col("hits").alias("hb"), F.col("total").alias("tb"))
     return (rows.withColumnRenamed("method", "model_a").join(b, "key").filter("model_a < model_b")
             .groupBy("universe", "model_a", "model_b").agg(

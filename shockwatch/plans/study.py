@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.ranking import average_rank, rank_scores, top_weights
 from ..operators import comparison, diagnostics, resample, shocks
+from ..session import materialize
 from . import hub as H
 from . import oracle as O
 from .core import rd
@@ -15,7 +16,7 @@ from .oracle import part, r, sql
 from .registry import query
 
 STRONG = 3.5
-REPS = 2000
+REPS = resample.STRATIFIED_REPLICATES
 NULL_REPS = 200
 
 part("q_axis", """
@@ -479,35 +480,44 @@ def a66(h):
     return resample.stable_candidate(combined, parts_, keys).select(*keys, "candidate")
 
 
-CURVE_REPS = 100
+CHECKED_REPS = 100
 part("q_cdays", f"""
  SELECT DISTINCT universe, period, {DAYNO} day_no, {NDAYS} n_days FROM q_study SEMI JOIN q_curve USING (universe, t0)""")
-part("q_cw", weights_sql("q_cdays", CURVE_REPS))
+part("q_cw", weights_sql("q_cdays", CHECKED_REPS))
 
 
-@query("a43_curve_bootstrap", sql(f"""
+def _curve_medians(h, reps):
+    from .after import _curves
+    number, length = resample.calendar_day(F.col("ts"), F.col("universe"))
+    curves = materialize(_curves(h).join(h.study.select(
+        "universe", "t0", "period", number.alias("day_no"), length.alias("n_days")),
+        ["universe", "t0"]), "dated-curves")
+    weights = resample.strata_weights(curves.select("universe", "period", "day_no", "n_days").distinct(), reps)
+    return resample.weighted_medians(curves, weights, reps)
+
+
+@query("a43_curve_replicates", sql(f"""
  WITH c AS (SELECT q.universe, q.tier, q.h, q.ratio, e.period, {DAYNO.replace('universe', 'e.universe').replace('ts', 'e.ts')} day_no
             FROM q_curve q JOIN q_study e ON e.universe = q.universe AND e.t0 = q.t0),
  x AS (SELECT c.universe, c.tier, c.h, w.rep, c.ratio, sum(w.w) OVER (PARTITION BY c.universe, c.tier, c.h, w.rep
               ORDER BY c.ratio ROWS UNBOUNDED PRECEDING) upto, sum(w.w) OVER (PARTITION BY c.universe, c.tier, c.h, w.rep) tot
-       FROM c JOIN q_cw w ON w.universe = c.universe AND w.period = c.period AND w.day_no = c.day_no),
- m AS (SELECT universe, tier, h, rep, (min(ratio) FILTER (upto > (tot - 1) // 2) + min(ratio) FILTER (upto > tot // 2)) / 2 v
-       FROM x GROUP BY universe, tier, h, rep)
- SELECT universe, tier, h, count(*) replicates, {r('quantile_cont(v, 0.025)')} low, {r('quantile_cont(v, 0.975)')} high
- FROM m GROUP BY universe, tier, h"""))
+       FROM c JOIN q_cw w ON w.universe = c.universe AND w.period = c.period AND w.day_no = c.day_no)
+ SELECT universe, tier, h, CAST(rep AS BIGINT) rep, {r('(min(ratio) FILTER (upto > (tot - 1) // 2) + min(ratio) FILTER (upto > tot // 2)) / 2')} AS value
+ FROM x GROUP BY universe, tier, h, rep"""))
+def a43_replicates(h):
+    """Weighted median curves of the first hundred replicates; a replicate does not depend on how many there are."""
+    return _curve_medians(h, CHECKED_REPS).select("universe", "tier", "h", "rep", rd("value").alias("value"))
+
+
+@query("a43_curve_bootstrap")
 def a43(h):
-    """Pointwise band of the weighted median recovery curve."""
-    from .after import _curves
-    number, length = resample.calendar_day(F.col("ts"), F.col("universe"))
-    curves = _curves(h).join(h.study.select(
-        "universe", "t0", "period", number.alias("day_no"), length.alias("n_days")),
-        ["universe", "t0"])
-    weights = resample.strata_weights(curves.select(
-        "universe", "period", "day_no", "n_days").distinct(), CURVE_REPS)
-    return (resample.weighted_median(curves.drop("n_days"), weights, ["universe", "tier", "h"])
-            .groupBy("universe", "tier", "h")
-            .agg(F.count("*").alias("replicates"), rd(F.percentile("value", 0.025)).alias("low"),
-                 rd(F.percentile("value", 0.975)).alias("high")))
+    """Pointwise band of the weighted median recovery curve over all replicates.
+
+    Its replicates are those of a43_curve_replicates, which SQL checks; sorting all of them again is too much for SQL.
+    """
+    return _curve_medians(h, REPS).groupBy("universe", "tier", "h").agg(
+        F.count("*").alias("replicates"), rd(F.percentile("value", 0.025)).alias("low"),
+        rd(F.percentile("value", 0.975)).alias("high"))
 
 
 part("q_shift", f"""

@@ -399,14 +399,19 @@ def test_volume_ratio_and_controls(spark):
     assert (ratio.volume_sum, ratio.control_median) == (600, 300)
 
 
-def test_weighted_median(spark):
-    curves = spark.createDataFrame([("g", h, v, "p", d) for d, c in enumerate(
-        ([1, 8], [3, 4], [7, 2])) for h, v in enumerate(map(float, c))],
-        "universe string, h int, ratio double, period string, day_no int")
-    weights = spark.createDataFrame([("g", "p", 0, 0, 1), ("g", "p", 1, 0, 1)],
+def test_weighted_medians(spark, monkeypatch):
+    monkeypatch.setattr(resample, "REPS_PER_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    data = [("g", "x", h, float(rng.normal()), "p", int(rng.integers(0, 6))) for h in range(40) for _ in range(9)]
+    curves = spark.createDataFrame(data, "universe string, tier string, h int, ratio double, period string, day_no int")
+    weight = {(d, rep): int(rng.integers(0, 3)) for d in range(6) for rep in range(10)}
+    weights = spark.createDataFrame([("g", "p", d, rep, w) for (d, rep), w in weight.items() if w],
                                     "universe string, period string, day_no int, rep int, w int")
-    got = resample.weighted_median(curves, weights, ["universe", "h"]).orderBy("h").collect()
-    assert [r.value for r in got] == [2.0, 6.0]
+    got = {(r.h, r.rep): r.value for r in resample.weighted_medians(curves, weights, 10).collect()}
+    for h in range(40):
+        for rep in range(10):
+            repeated = [v for _, _, hh, v, _, d in data if hh == h for _ in range(weight[d, rep])]
+            assert got.get((h, rep)) == (pytest.approx(np.median(repeated)) if repeated else None)
 
 
 @pytest.mark.parametrize("flags, want", [((0, 1, 1), None), ((1, 0, 1), 10), ((1, 1, 1), 30)])

@@ -68,6 +68,18 @@ def test_band_join_matches_brute_force(spark):
     assert near == want and far == {x for _, x in a} - want
 
 
+def test_anchors_over_ten_thousand_chunks(spark):
+    rng = random.Random(1)
+    data, want = [], {}
+    for key, n in ((0, 40_000), (1, 300), (2, 12_000)):
+        marks = sorted(rng.sample(range(160_000), n))
+        want[key] = greedy(marks, 11)
+        data += [(key, m) for m in marks]
+    df = spark.createDataFrame(data, "k int, idx bigint")
+    got = {(r.k, r.idx): r.anchor for r in assign_anchors(df, ["k"], 11, chunk=16).collect()}
+    assert got == {(k, m): a for k, w in want.items() for m, a in w.items()}
+
+
 @pytest.mark.parametrize("slices", [2, 64])
 def test_exact_quantiles(spark, slices):
     rng = np.random.default_rng(7)

@@ -25,7 +25,7 @@ def csv_text(rows=3, bad=None):
 
 def test_kline_scan(spark, tmp_path):
     (tmp_path / "BTCUSDT-1m-2025-01.csv").write_text(csv_text(3, "12345,10,12,9,11,5,0,55,1,0,0,0"))
-    (tmp_path / "ETHUSDT-1m-2025-01.csv").write_text(csv_text(2, f"{START},x,12,9,11,5,0,55,1,0,0,0"))
+    (tmp_path / "ETHUSDT-1m-2025-01.csv").write_text(csv_text(2, f"{START},x,12,9,11,5,{START + 59_999_999},55,1,0,0,0"))
     bars = klines.parse(klines.scan(spark, str(tmp_path)))
     got = {(r.asset, r.reason): r.n for r in bars.groupBy("asset", "reason").agg(F.count("*").alias("n")).collect()}
     assert got == {("BTC", None): 3, ("BTC", "bad_stamp"): 1, ("ETH", None): 2, ("ETH", "not_finite"): 1}
@@ -110,13 +110,13 @@ def test_live_polls_keep_every_row_and_reason(spark):
     df = spark.createDataFrame([(a, json.dumps(v)) for a, v in polls.items()] + [("JUNK", "[[1, "), ("NULL", None)],
                                "asset string, value string")
     got = outcomes(klines.live_rows(df, F.lit(180_000)))
-    assert [g for g in got if g[0] == "GOOD"] == [("GOOD", None, 60_000 * i) for i in (1, 2, 3)]
+    assert {g for g in got if g[0] == "GOOD"} == {("GOOD", None, 60_000 * i) for i in (1, 2, 3)}
     reasons = {a: {r for x, r, _ in got if x == a} for a in {g[0] for g in got}}
     assert reasons == {"GOOD": {None}, "SHORT": {"wrong_columns"}, "LONG": {"wrong_columns"}, "TEXT": {"not_finite"},
                        "GAP": {"gap"}, "OFF": {"bad_stamp"}, "NAN": {"not_finite"}, "WICK": {"ohlc_containment"},
                        "EMPTY": {"empty_poll"}, "JUNK": {"unreadable"}, "NULL": {"unreadable"}}
     late = outcomes(klines.live_rows(df.filter("asset = 'GOOD'"), F.lit(120_000)))
-    assert [r for _, r, _ in late] == [None, None, "open_bar"]
+    assert {e: r for _, r, e in late} == {60_000: None, 120_000: None, 180_000: "open_bar"}
 
 
 def test_second_exchange_sets_its_open_bar_aside(spark):
