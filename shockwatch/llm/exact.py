@@ -68,7 +68,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return kept
     # an id stored twice with one text: keep the first of its rows in the order of all columns
     marked = kept.withColumn("_llm_digest", F.sha2(text_of().cast("binary"), 256))
-    order = Window.partitionBy("doc_id", "_llm_digest").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    order = Window.partitionBy("doc_id", "_llm_digest").orderBy(*[c for c in docs.columns if c != "text"])
     return marked.withColumn("_llm_row", F.row_number().over(order)).filter("_llm_row = 1").drop(
         "_llm_row", "_llm_digest")
 

@@ -114,16 +114,17 @@ def taken_words(docs: DataFrame, cap: int = CAP) -> DataFrame:
         "_whole": F.floor("_rate").cast("long"), "_part": F.col("_rate") - F.floor("_rate"),
         "_u": uniform(F.col("doc_id"), F.col("text_key"), F.col("source"), seed=10)})
     rated = store(rated, "mix-rates")
-    per_source = rated.groupBy("rank").agg(
+    # small tables are stored: their size is known then, and rows are dealt by (source, bucket) alone
+    per_source = store(rated.groupBy("rank").agg(
         F.sum(F.col("_whole") * F.col("size")).alias("_fixed"), F.avg("_part").alias("_mean_part"),
-        F.ceil(F.count("*") / ROWS_PER_BUCKET).alias("_width"))
+        F.ceil(F.count("*") / ROWS_PER_BUCKET).alias("_width")), "mix-sources")
     # the order of u / part, mapped to (0, 1) so that buckets of a source hold about as many rows
     scaled = F.col("_u") / F.col("_part") * F.col("_mean_part")
     extras = rated.filter("_part > 0 and size > 0").join(per_source.select("rank", "_mean_part", "_width"), "rank").withColumn(
         "_key", scaled / (1 + scaled)).withColumn("_bucket", F.floor(F.col("_key") * F.col("_width") * 2).cast("int"))
-    offsets = extras.groupBy("rank", "_bucket").agg(F.sum("size").alias("_n")).select(
+    offsets = store(extras.groupBy("rank", "_bucket").agg(F.sum("size").alias("_n")).select(
         "rank", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("rank").orderBy("_bucket").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")), "mix-offsets")
     order = Window.partitionBy("rank", "_bucket").orderBy("_key", "doc_id", "text_key").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = extras.join(offsets, ["rank", "_bucket"]).withColumn(
@@ -145,8 +146,8 @@ def report(docs: DataFrame, cap: int = CAP) -> DataFrame:
 def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The mixture itself: a row per whole copy, and the cut copy that completes a source.
 
-    A document of size 0 stays once (it takes no words). The columns are those of ``docs``; of a cut
-    copy the text ends after its last taken word, and ``n_chars`` follows where there is one.
+    A document of size 0 stays once (it takes no words). The columns are those of ``docs``; a cut copy
+    has its first words, joined by single spaces, and ``n_chars`` follows where there is one.
     """
     found = store(taken_words(docs, cap).select(
         F.col("doc_id").alias("_m_id"), F.col("text_key").alias("_m_key"), F.col("size").alias("_m_size"),
@@ -164,7 +165,8 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     each = joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     left = F.col("_m_taken") - (F.col("_m_copy") - 1) * F.col("_m_size")
     cut = (F.col("_m_size") > 0) & (left < F.col("_m_size"))
-    head = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, left.cast("int")), " ")
+    blank = r"[\x20\x09-\x0D]+"
+    head = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{blank}", ""), blank), 1, left.cast("int")), " ")
     out = each.withColumn("_m_cut", cut).withColumn("text", F.when(F.col("_m_cut"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_m_cut"), F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, distance: int = 2, size: int = WORDS) -> DataFrame
     kept = without(docs, dropped, {"doc_id": F.col("doc_id"), "text_key": F.xxhash64(text_of())})
     if several.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id", "_llm_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    order = Window.partitionBy("doc_id", "_llm_key").orderBy(*[c for c in docs.columns if c != "text"])
     return kept.withColumn("_llm_key", F.xxhash64(text_of())).withColumn(
         "_llm_row", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).filter(
         "_llm_row = 1").drop("_llm_row", "_llm_key")

@@ -127,6 +127,15 @@ def test_mix_takes_what_the_report_says(spark):
     assert mixing.mix(extra).schema == extra.schema
 
 
+def test_cut_copy_holds_the_words_it_takes(spark):
+    docs = documents(spark, [(i, "\n  " + prose(50 + i, i).replace(" ", "  "), "a" if i % 3 else "b") for i in range(30)])
+    report = {r.doc_id: r.taken for r in mixing.report(docs).collect()}
+    got: dict = {}
+    for r in mixing.mix(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert {i: got.get(i, 0) for i in report} == report and any(n % 50 for n in report.values())
+
+
 def scan(spark, rows, extra=False):
     return [tuple(r)[2:] for r in licenses.scan(documents(spark, rows, extra)).orderBy("doc_id").collect()]
 
