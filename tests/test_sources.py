@@ -105,7 +105,7 @@ def outcomes(polls_rows):
 def test_live_polls_keep_every_row_and_reason(spark):
     polls = {
         "GOOD": [live_row(0), live_row(1), live_row(2)], "SHORT": [live_row(0), live_row(1)[:3]],
-        "LONG": [live_row(0) + ["0"]], "TEXT": [live_row(0, c1="x"), live_row(1)], "GAP": [live_row(0), live_row(3)],
+        "LONG": [live_row(0) + ["0"]], "TEXT": [live_row(0, c1="x"), live_row(1)], "GAP": [live_row(0), live_row(2)],
         "OFF": [live_row(0, c0="1")], "NAN": [live_row(0, c2="NaN")], "WICK": [live_row(0, c4="5")], "EMPTY": []}
     df = spark.createDataFrame([(a, json.dumps(v)) for a, v in polls.items()] + [("JUNK", "[[1, "), ("NULL", None)],
                                "asset string, value string")
