@@ -123,12 +123,10 @@ BREAKS = r"[^\p{L}\p{N}]+"
 def canonical(text: Column) -> Column:
     """The normalised text: words of letters and digits with one space around each."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), BREAKS, " ")
-    spaced = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
-    out = spaced
+    out = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     for old, new in EQUIVALENT:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    # one look for all spellings spares most texts the replacements
-    return F.when(spaced.rlike(" (?:" + "|".join(old for old, _ in EQUIVALENT) + ") "), out).otherwise(spaced)
+    return out
 
 
 def digest(text: Column) -> Column:
