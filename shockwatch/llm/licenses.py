@@ -4,7 +4,8 @@ A text is normalised (case, copyright lines, punctuation and white space, equiva
 its digest is looked up among the digests of known license texts and notices. Both whole documents
 and every single line of a document, each as an entire text, are looked up. The known texts pass
 through the same expression, so that any change of a rule holds for both sides; they are a fixed list
-in this file, broadcast, and no text is compared other than by digest.
+in this file, broadcast, and no text is compared other than by digest. Long texts are kept as digests only
+(``license_table``); these and the notices built from names and identifiers are not in the SQL.
 
 Defined cases: a null or empty text has the digest of the empty text, which no license has; null ids
 and repeated rows are rows of their own (rows with equal id and text get equal results); ties between
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import store, text_of
+from .license_table import DIGESTS, IDENTIFIERS
 
 # Spellings that count as the same word (left becomes right), whole words only.
 EQUIVALENT = [
@@ -116,6 +118,34 @@ KNOWN = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
 
+# Names of licenses, and the sentences of a one-line notice.
+NAMES = [
+    ("MIT", ["MIT License", "MIT"]), ("ISC", ["ISC License"]), ("0BSD", ["Zero-Clause BSD License", "0BSD License"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"]),
+    ("Zlib", ["zlib License"]), ("Unlicense", ["Unlicense"]), ("WTFPL", ["WTFPL"]),
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License v2.0"]),
+    ("BSL-1.0", ["Boost Software License, Version 1.0", "Boost Software License 1.0"]),
+    ("CC0-1.0", ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"]),
+    *((f"{short}-{v}", [f"{name}, version {v}", f"{name} {v}", f"{name} v{v}", f"{short} {v}"]) for short, name, v in (
+        ("MPL", "Mozilla Public License", "1.1"), ("MPL", "Mozilla Public License", "2.0"),
+        ("EPL", "Eclipse Public License", "1.0"), ("EPL", "Eclipse Public License", "2.0"))),
+    *((f"{short}-{v if '.' in v else v + '.0'}{end}", [f"{name}{at}{later}" for name, at in (
+        (f"GNU {kind} Public License", f", version {v}"), (f"GNU {kind} Public License", f" v{v}"), (f"GNU {short}", f" v{v}"),
+        (f"GNU {short}", f", version {v}"), (short, f" version {v}"), (short, f" v{v}"), (short, f"v{v}"))
+        for later in (("",) if not end else (" or later", " or any later version", ", or (at your option) any later version"))])
+      for short, kind, versions in (("GPL", "General", ("1", "2", "2.0", "3", "3.0")), ("LGPL", "Lesser General", ("2.1", "3", "3.0")),
+                                    ("LGPL", "Library General", ("2", "2.0")), ("AGPL", "Affero General", ("3", "3.0")))
+      for v in versions for end in ("", "-or-later")),
+    *((f"CC-{kind}-{v}", [f"CC {kind} {v}", f"Creative Commons {name} {v} {place} License"]) for kind, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v, place in (("3.0", "Unported"), ("4.0", "International"))),
+]
+SENTENCES = [f"{start} under {the}" for start in (
+    "Licensed", "Released", "Distributed", "Available", *(f"This {thing} is licensed" for thing in (
+        "work", "project", "software", "program", "library", "file", "document"))) for the in ("", "the ")]
+
 COPYRIGHT = r"(?m)^[ \t#*/;%-]*(?:(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|<year>|\[yyyy\])[^\n]*|all rights reserved\.?[ \t]*)$"
 BREAKS = r"[^\p{L}\p{N}]+"
 
@@ -135,8 +165,17 @@ def digest(text: Column) -> Column:
 
 def known(docs: DataFrame) -> DataFrame:
     """license and digest of the known texts: a fixed, small table."""
-    rows = docs.sparkSession.createDataFrame(KNOWN, "license string, _known string")
-    return F.broadcast(rows.select("license", digest(F.col("_known")).alias("_digest")).distinct())
+    spark = docs.sparkSession
+    lines = [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS.split()] + [
+        (name, f"{start}{spelling}") for name, spellings in NAMES for spelling in spellings for start in SENTENCES]
+    texts = [(at, *row) for at, row in enumerate([*KNOWN, *lines])]
+    rows = spark.createDataFrame(texts, "_at int, license string, _known string").select(
+        "_at", "license", digest(F.col("_known")).alias("_digest"))
+    stored = spark.createDataFrame([(len(texts), *line.split()) for line in DIGESTS.split("\n") if line],
+                                   rows.schema)
+    # one license a digest: the texts of KNOWN come first
+    return F.broadcast(store(rows.unionByName(stored).groupBy("_digest").agg(F.min_by("license", "_at").alias("license"))
+                             .select("license", "_digest"), "license-digests"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

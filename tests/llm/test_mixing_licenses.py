@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from helpers import DOCS, awkward, documents, prose
@@ -172,3 +173,55 @@ def test_scan_rows_and_plan(spark):
     for native in (mixing.report(docs),):
         text = native._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "InArrow" not in text
+
+
+def test_standard_licenses_beyond_the_sample(spark):
+    """Identifiers, names with versions, and the digests of long texts, one license each."""
+    lines = {"// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "# SPDX-License-Identifier: LGPL-2.1-or-later":
+             "LGPL-2.1-or-later", "/* SPDX-License-Identifier: MPL-2.0 */": "MPL-2.0", "SPDX-License-Identifier: BSD-2-Clause":
+             "BSD-2-Clause", "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0-or-later",
+             "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
+             "Released under the GNU Lesser General Public License, version 2.1 or later.": "LGPL-2.1-or-later",
+             "This program is licensed under the GPLv2": "GPL-2.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+             "This file is licensed under the Mozilla Public Licence v2.0": "MPL-2.0"}
+    got = scan(spark, [(i, f"Some text.\n{line}\nmore") for i, line in enumerate(lines)])
+    assert [g[1:] for g in got] == [(name, 1) for name in lines.values()]
+    found = licenses.known(spark.createDataFrame([], DOCS)).collect()
+    assert len({r._digest for r in found}) == len(found)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {
+        line.split()[0] for line in licenses.DIGESTS.split("\n") if line}
+
+
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org>
+"""
+
+
+def test_whole_long_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    texts = [("Unlicense", UNLICENSE)] + [(name, (folder / file).read_text()) for name, file in (
+        ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"),
+        ("CC0-1.0", "CC0-1.0")) if (folder / file).exists()]
+    assert [g[0] for g in scan(spark, [(i, t) for i, (_, t) in enumerate(texts)])] == [name for name, _ in texts]
