@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|[\s\"';])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
+PAIR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"hidden|display", re.I)  # a quick look before the attributes are taken apart
 WORD = re.compile(r"[a-z]+")
 
 # Fixed values of HTML: elements by kind.
@@ -75,6 +76,25 @@ def words_of(attributes: str) -> list[str]:
     return [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())]
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element is not shown by its own attributes: hidden, aria-hidden, or display: none in its style."""
+    if not NOT_SHOWN.search(attributes):
+        return False
+    for m in PAIR.finditer(attributes):
+        name = m[1].lower()
+        if name == "hidden":
+            return True
+        value = entities.unescape(m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "aria-hidden" and value == "true":
+            return True
+        if name == "style":
+            for declaration in value.split(";"):
+                what, _, how = declaration.partition(":")
+                if what.strip() == "display" and how.replace("!", " ").split()[:1] == ["none"]:
+                    return True
+    return False
+
+
 class Page:
     """Blocks of a page, and the price of every element they stand in."""
 
@@ -100,7 +120,7 @@ class Page:
                 self.close(name)
                 continue
             attributes = match[3]
-            if name in RAW or HIDDEN.search(attributes) and name not in VOID:
+            if name in RAW or name not in VOID and hidden(attributes):
                 if name not in INLINE:
                     self.flush()
                 if lower is None:

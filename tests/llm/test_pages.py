@@ -168,3 +168,16 @@ def test_payloads_come_back_whole(spark, tmp_path):
     assert archives.agg({"records": "sum"}).first()[0] == 50
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, archives, folder, payloads=True).collect()}
     assert back == {i: h for i, _, h in rows}
+
+
+def test_hidden_is_an_attribute_and_not_a_word_in_a_value():
+    text = "A long enough sentence about the river and the old bridges that people cross each day."
+    for attributes in ('data-title="The hidden valley"', 'aria-label="A hidden gem in Rome"', 'class="hidden md:block"',
+                       'style="overflow: hidden !important"', "aria-hidden=false", 'title="display: none"', 'data-hidden="1"'):
+        assert extract.main_text(f"<body><article {attributes}><p>{text}</p></article></body>") == text, attributes
+    link = f'<article><p>{text} The <a href=x title="Hidden Markov model">model</a> works.</p></article>'
+    assert extract.main_text(link) == f"{text} The model works."
+    for attributes in ("hidden", "HIDDEN=''", 'id=x hidden="until-found"', 'aria-hidden="true"', "aria-hidden=TRUE",
+                       'style="color:red; DISPLAY : none !important"', "style=display:none"):
+        page = f"<body><article><p>{text}</p><div {attributes}><p>{text} Not shown.</p></div></article></body>"
+        assert extract.main_text(page) == text, attributes
