@@ -105,7 +105,7 @@ class Page:
         self.worst, self.good = [0.0], [0.0]  # lowest and highest price on the way from the root
         self.stack, self.parts, self.linked = [0], [], 0
         self.inside_link = 0
-        at, lower = 0, None
+        at = 0
         for match in TOKEN.finditer(html):
             if match.start() < at:
                 continue  # inside the raw text of an element
@@ -123,9 +123,7 @@ class Page:
             if name in RAW or name not in VOID and hidden(attributes):
                 if name not in INLINE:
                     self.flush()
-                if lower is None:
-                    lower = html.lower()
-                at = self.skip(lower, name, at) if not attributes.endswith("/") else at
+                at = self.skip(html, name, at) if not attributes.endswith("/") else at
                 continue
             self.open(name, attributes)
         if at < len(html):
@@ -133,14 +131,14 @@ class Page:
         self.flush()
 
     @staticmethod
-    def skip(lower: str, name: str, at: int) -> int:
+    def skip(html: str, name: str, at: int) -> int:
         """End of an element whose text is not shown; nested elements of the name are counted."""
         depth = 1
-        for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>").finditer(lower, at):
+        for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I | re.A).finditer(html, at):
             depth += -1 if tag[1] else 0 if name in RAW else 1
             if not depth:
                 return tag.end()
-        return len(lower) if name in RAW else at
+        return len(html) if name in RAW else at
 
     def add(self, text: str) -> None:
         self.parts.append(text)

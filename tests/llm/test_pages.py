@@ -181,3 +181,9 @@ def test_hidden_is_an_attribute_and_not_a_word_in_a_value():
                        'style="color:red; DISPLAY : none !important"', "style=display:none"):
         page = f"<body><article><p>{text}</p><div {attributes}><p>{text} Not shown.</p></div></article></body>"
         assert extract.main_text(page) == text, attributes
+
+
+def test_letters_that_grow_in_lower_case_do_not_shift_the_text():
+    text = "\u0130stanbul is a city with many bridges, and people cross them slowly every day."
+    page = f"<body><article><p>{text * 3}</p><SCRIPT>var a = '<p>';</Script><p>{text}</p><style>x</style><p>{text}</p></article>"
+    assert extract.main_text(page) == "\n\n".join([text * 3, text, text])
