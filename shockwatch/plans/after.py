@@ -250,3 +250,12 @@ def f28(h):
         F.posexplode(paths.normalised(F.col("spot"), F.col("closes"))).alias("step", "x"))
     return rows.select("universe", "t0", "asset", (F.col("step") + 1).alias("step"),
                        rd("x").alias("x"))
+
+
+@query("f28_normalised_paths_by_method", sql(f"""
+ SELECT universe, t0, asset, method, step, {r('close / spot - 1')} x FROM q_path WHERE method <> 'actual'"""))
+def f28_by_method(h):
+    rows = h.forecasts.select("universe", "t0", "asset", "method",
+                              F.posexplode(paths.normalised(F.col("spot"), F.col("closes"))).alias("step", "x"))
+    return rows.select("universe", "t0", "asset", "method", (F.col("step") + 1).alias("step"),
+                       rd("x").alias("x"))

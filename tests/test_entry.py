@@ -38,3 +38,10 @@ def test_signal_needs_one_bar_shuffle(spark):
     text = plan(features.shock_signal(bars))
     assert text.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_normalised_paths_of_every_method(spark):
+    rows = entry.queries()["f28_normalised_paths_by_method"](spark, SF_SMALL).groupBy("method").count().collect()
+    found = {r.method: r["count"] for r in rows}
+    one = entry.queries()["f28_normalised_paths"](spark, SF_SMALL).count()
+    assert len(found) == 4 and set(found.values()) == {one} and "historical_30" in found
