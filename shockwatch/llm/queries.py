@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, extract, licenses, mixing, packing, quality, simhash, tokens, warc
+from . import ann, exact, extract, licenses, merkle, mixing, packing, quality, simhash, token_files, tokens, warc, whitening
 from .common import table
 
 #: Folder of the public tokenizer files; by default the one of the installed package.
@@ -60,7 +60,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_attention_quality, op2_posting_lists, op3_best_fit_packing, op4_simhash_near_dedup, op5_mincut_extraction,
-    op6_license_scan, op7_warc_zstd, op8_token_counts, op9_exact_dedup, op10_source_mixing)}
-ORACLE = {"op6_license_scan": licenses.oracle_sql(), "op7_warc_zstd": warc.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL}
+    op6_license_scan, op7_warc_zstd, op8_token_counts, op9_exact_dedup, op10_source_mixing, op11_merkle_manifest,
+    op12_whitening, op13_token_files)}
+ORACLE = {"op6_license_scan": licenses.oracle_sql(), "op7_warc_zstd": warc.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL,
+          "op11_merkle_manifest": merkle.ORACLE_SQL}
