@@ -1,8 +1,8 @@
 """Token ids as Arrow IPC files of fixed-size-list batches: written, read back, and opened at random.
 
 A file holds a part of the corpus, in ascending doc_id order, as equal-length sequences: record batches
-with a fixed-size list of ids (uint32) and one of masks (uint8, 1 for a token, 0 for the padding of the
-last sequence). Documents follow one another without gaps; a second file beside it names them (doc_id,
+with a fixed-size list of ids (uint16 where every id of the vocabulary fits, else uint32) and one of masks
+(uint8, 1 for a token, 0 for the padding of the last sequence). Documents follow one another without gaps; a second file beside it names them (doc_id,
 start in the file, length). As all values of a batch lie in one aligned buffer, a memory map gives any
 sequence as a view (``Sequences``), without a copy and without reading the others.
 
@@ -13,7 +13,7 @@ per attempt and are moved into place when complete; only the stored list of fini
 starts are summed up from it, so a lost executor leaves neither gaps nor double documents.
 
 Defined cases: a null text is empty and has the end id only; null ids come first; rows with equal ids
-stand in order of checksum, then ids, and repeated rows each count; a document of any length stays in
+stand in order of the stored ids' checksum, then bytes, and repeated rows each count; a document of any length stays in
 one file, over as many batches as it needs; an empty table writes no file and gives an empty result;
 only doc_id and text are read.
 """
@@ -43,14 +43,42 @@ GROUP = 1024
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
 
-def layout(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def id_type(tokenizer_path: str, end_id: int) -> str:
+    """The narrowest of two and four bytes that holds every id."""
+    from tokenizers import Tokenizer
+    ids = Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()
+    return "<u2" if max(max(ids, default=0), end_id) < 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarray) -> DataFrame:
+def layout(length: int, kind: str) -> pa.Schema:
+    ids = pa.from_numpy_dtype(np.dtype(kind))
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
+
+
+class StoredIds(WordIds):
+    """Token ids of texts in the width of the files; line ends part words as spaces do."""
+
+    def __init__(self, path: str, kind: str):
+        self.narrow = kind == "<u2"
+        super().__init__(path)
+
+    def stored(self, ids: bytes) -> bytes:
+        return memoryview(ids).cast("H")[::2].tobytes() if self.narrow else ids
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        return map(self.stored, super().encoded(texts))
+
+    def run(self, letters: str) -> bytes:
+        return self.stored(super().run(letters))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return super().batch([text.replace("\n", " ") for text in texts] if self.by_word else texts)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarray, kind: str) -> DataFrame:
     """Every document's ids, end id included, with the range it belongs to."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        words, end = StoredIds(tokenizer_path, kind), np.asarray([end_id], kind).tobytes()
         for batch in batches:
             at = 0
             for texts in by_bytes(batch.column("text").to_pylist()):
@@ -71,14 +99,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarray)
 class TokenFile:
     """One pair of files in the making."""
 
-    def __init__(self, folder: str, length: int):
+    def __init__(self, folder: str, length: int, kind: str):
         self.files, path = fs.FileSystem.from_uri(folder)
         self.name, self.length = uuid.uuid4().hex, length
         self.paths = {f"{path}/.{self.name}.{kind}.open": f"{path}/{self.name}.{kind}" for kind in ("arrow", "docs")}
         self.files.create_dir(path, recursive=True)
         self.sinks = [self.files.open_output_stream(p, compression=None) for p in self.paths]
-        self.ids, self.docs = (ipc.new_file(s, schema) for s, schema in zip(self.sinks, (layout(length), INDEX), strict=True))
-        self.held, self.used = np.zeros(BATCH * length, np.uint32), 0
+        self.ids, self.docs = (ipc.new_file(s, schema) for s, schema in zip(
+            self.sinks, (layout(length, kind), INDEX), strict=True))
+        self.held, self.used, self.kind = np.zeros(BATCH * length, kind), 0, kind
         self.index: list[tuple] = []
         self.tokens = self.documents = 0
 
@@ -100,7 +129,7 @@ class TokenFile:
         self.held[self.used:size] = 0
         columns = (self.held[:size], (np.arange(size) < self.used).astype(np.uint8))
         self.ids.write_batch(pa.RecordBatch.from_arrays(
-            [pa.FixedSizeListArray.from_arrays(pa.array(c), self.length) for c in columns], schema=layout(self.length)))
+            [pa.FixedSizeListArray.from_arrays(pa.array(c), self.length) for c in columns], schema=layout(self.length, self.kind)))
         self.used = 0
 
     def flush_index(self) -> None:
@@ -131,6 +160,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, length
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
     width = max(buckets_for(docs.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / width for i in range(1, width)]
+    kind = id_type(tokenizer_path, end_id)
     found = docs.agg(F.percentile_approx(key, shares, 20 * width).alias("cuts")).first()["cuts"] if shares else None
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +172,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, length
                     yield open_file.close(part, number)
                     open_file, number = None, number + 1 if own == part else 0
                 if open_file is None:
-                    open_file, part = TokenFile(folder, length), own
-                open_file.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
+                    open_file, part = TokenFile(folder, length, kind), own
+                open_file.add(doc_id, np.frombuffer(ids.as_buffer(), kind))
         if open_file:
             yield open_file.close(part, number)
 
-    ranged = encoded(docs, tokenizer_path, end_id, np.array(found or [], np.int64)).repartitionById(width, "part")
+    ranged = encoded(docs, tokenizer_path, end_id, np.array(found or [], np.int64), kind).repartitionById(width, "part")
     files = store(ranged.sortWithinPartitions("part", "doc_id", "tie", "ids").select("part", "doc_id", "ids").mapInArrow(
         save, "part int, number int, name string, documents long, tokens long"), "ids-files")
     return store(with_first(files), "ids-starts")
@@ -187,7 +217,7 @@ def documents(folder: str, name: str) -> Iterator[tuple[pa.RecordBatch, list[int
                         tokens = int(mask.sum())
                         if not mask[:tokens].all() or at + 1 < reader.num_record_batches and tokens < len(mask):
                             raise ValueError(f"{name}: a mask with gaps in batch {at}")
-                        held, at = memoryview(ids[:tokens]).cast("B"), at + 1
+                        held, at = memoryview(ids[:tokens].astype("<u4")).cast("B"), at + 1
                     taken = min(left, len(held))
                     found = zlib.crc32(held[:taken], found)
                     held, left = held[taken:], left - taken

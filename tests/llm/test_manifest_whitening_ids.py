@@ -192,18 +192,18 @@ def test_deviation_beyond_a_long(spark):
     assert whitening.report(vectors(spark, big)).filter("deviation is null").count() > 0
 
 
-def ids_brute(rows, end=2):
+def ids_brute(rows, end=2, kind="<u2"):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     made = []
     for doc_id, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids + [end]
-        packed = np.array(ids, "<u4").tobytes()
-        made.append(((doc_id is not None, doc_id or 0), zlib.crc32(packed), packed, doc_id))
+        stored = np.array(ids, kind).tobytes()
+        made.append(((doc_id is not None, doc_id or 0), zlib.crc32(stored), stored, doc_id, ids))
     out, start = [], 0
-    for _, crc, packed, doc_id in sorted(made, key=lambda m: m[:3]):
-        out.append((doc_id, start, len(packed) // 4, crc))
-        start += len(packed) // 4
+    for *_, doc_id, ids in sorted(made, key=lambda m: m[:3]):
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
     return out
 
 
@@ -238,7 +238,7 @@ def test_sequences_are_views_of_the_file(spark):
     found = token_files.Sequences([f"{path}/{f.name}.arrow" for f in files])
     assert len(found) == sum(-(-f.tokens // 32) for f in files)
     ids = np.concatenate([found[i][0][found[i][1] == 1] for i in range(len(found))])
-    assert zlib.crc32(ids[:ids_brute(rows)[0][2]].tobytes()) == ids_brute(rows)[0][3] and len(ids) == sum(f.tokens for f in files)
+    assert zlib.crc32(ids[:ids_brute(rows)[0][2]].astype("<u4").tobytes()) == ids_brute(rows)[0][3] and len(ids) == sum(f.tokens for f in files)
     one, again = found[3][0], found[3][0]
     assert len(one) == 32 and not one.flags.owndata and not one.flags.writeable and np.shares_memory(one, again)
     with pytest.raises(IndexError):
@@ -247,7 +247,7 @@ def test_sequences_are_views_of_the_file(spark):
 
 def test_damaged_files_are_noticed(spark):
     folder = f"{token_files.run_dir(spark)}/ids-test-{uuid.uuid4().hex}"
-    made = token_files.TokenFile(folder, 4)
+    made = token_files.TokenFile(folder, 4, "<u4")
     made.add(1, np.arange(6, dtype=np.uint32))
     made.index = []  # the document's line is lost
     made.close(0, 0)
@@ -258,3 +258,9 @@ def test_damaged_files_are_noticed(spark):
 def test_token_files_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert token_files.round_trip(empty, tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_wide_ids_where_the_end_id_needs_them(spark):
+    rows = [(i, prose(20, i)) for i in range(5)]
+    got = in_order(token_files.round_trip(documents(spark, rows), tokenizer("word_bpe_49k.json"), 70_000, length=8))
+    assert sorted(got) == sorted(ids_brute(rows, 70_000, "<u4"))
