@@ -37,6 +37,16 @@ part("q_edge", """
  GROUP BY s.universe, s.asset, t.asset""")
 
 
+def pair_distance(minutes: str) -> str:
+    """Distance of slots ``a`` and ``b`` of one asset, both as seen after ``minutes``; averaged over assets."""
+    return f"""CASE
+        WHEN NOT COALESCE(a.delay <= {minutes}, false) AND NOT COALESCE(b.delay <= {minutes}, false) THEN 0.0
+        WHEN NOT COALESCE(a.delay <= {minutes}, false) OR NOT COALESCE(b.delay <= {minutes}, false) THEN 1.0
+        ELSE ((a.direction <> b.direction)::INT + abs(ln(1 + a.magnitude) - ln(1 + b.magnitude))
+              / (1 + abs(ln(1 + a.magnitude) - ln(1 + b.magnitude)))
+              + abs(a.delay - b.delay) / 30.0) / 3.0 END"""
+
+
 def dist(minutes: int) -> str:
     """Distance of every query/library pair, both censored at ``minutes``."""
     return f"""

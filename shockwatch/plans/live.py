@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..session import materialize
 from ..sources.tables import INTERVALS
-from ..streaming import live, runtime
-from . import hub as H
+from ..streaming import claims, freshness, live, prints, runtime
 from .core import MDD31, SNAP, rd
-from .graphs import OBSERVED, _prints, dist
+from .graphs import _slots, pair_distance
 from .oracle import part, r, sql
 from .registry import query
 
@@ -118,20 +117,68 @@ def t12(h):
         "universe", "asset", "idx", rd("recent", 8).alias("recent"), rd("base", 8).alias("base"))
 
 
-@query("t5_unique_windows", sql("""
- WITH a AS (SELECT m.universe, m.t0, ((m.t0 - 255) // 30 + s.ordinal) % 4 = 0 failed FROM q_man m JOIN q_assets s USING (universe))
- SELECT universe, count(DISTINCT t0) FILTER (NOT failed) windows, count(*) FILTER (failed) failed FROM a GROUP BY universe"""))
+REPEATED = 3
+
+
+@query("t5_unique_windows", sql(f"""
+ WITH a AS (SELECT m.universe, m.t0, s.ordinal, CASE WHEN ((m.t0 - 255) // 30 + s.ordinal) % 4 = 0 THEN 'failed' ELSE 'ok' END status
+            FROM q_man m JOIN q_assets s USING (universe))
+ SELECT universe, t0, arg_min(status, ordinal) FILTER (ordinal <> 2) outcome, 1::BIGINT claims,
+        count(*) FILTER (ordinal <> 2) - 1 + CASE WHEN t0 < 255 + 30 * {REPEATED} THEN 1 ELSE 0 END repeats,
+        count(*) FILTER (ordinal = 2) stale FROM a GROUP BY universe, t0"""))
 def t5(h):
-    """Every origin announced once per asset, some in vain: one success per window id, and all failed attempts."""
+    """Every origin asked for once per asset, some in vain: the first attempt stands, also when it failed.
+
+    The third asset asks too late after the window's last bar. The first windows are asked for again when
+    the feed ends, and find in the book what became of them; half of the claims there were entered under
+    another checkpoint, as after a restart.
+    """
+    path = runtime.folder(h.spark, "t5-book")
+
+    def run(universe):
+        asked = (_bars(h, universe).filter("idx >= 255 and (idx - 255) % 30 = 0")
+                 .join(h.assets.select("universe", "asset", "ordinal"), ["universe", "asset"])
+                 .withColumn("status", F.when(((F.col("idx") - 255) / 30 + F.col("ordinal")) % 4 == 0, "failed").otherwise("ok"))
+                 .select("universe", F.concat_ws("-", "universe", "idx").alias("window_id"), F.col("ts").alias("as_of"),
+                         (F.col("ts") + F.when(F.col("ordinal") == 2, F.expr("interval 10 minutes")).otherwise(
+                             F.make_dt_interval(secs=F.col("ordinal")))).alias("requested_at"),
+                         F.col("ordinal").cast("long").alias("attempt"), "status", "idx"))
+        again = asked.filter((F.col("attempt") == 0) & (F.col("idx") < 255 + 30 * REPEATED)).withColumn("status", F.lit("ok"))
+        middle = asked.agg((F.max("idx") / 2).alias("m")).first()["m"] or 0
+        for name, part in (("before", asked.filter(F.col("idx") <= middle)),
+                           ("after", asked.filter(F.col("idx") > middle).unionByName(again))):
+            feed = runtime.Replay(part, "t5-in", slices=1)
+            book = claims.ClaimBook(h.spark, path, f"{universe}-{name}")
+            runtime.drain(claims.decided_attempts(feed.stream.drop("idx")), "t5", [feed], each_batch=book, clock="processing")
+        return book.attempts(h.spark).filter(F.col("universe") == universe)
+    count = lambda condition: F.count_if(condition)
+    return _each(run).groupBy("universe", F.substring_index("window_id", "-", -1).cast("long").alias("t0")).agg(
+        F.max(F.when(F.col("accepted"), F.col("outcome"))).alias("outcome"), count(F.col("accepted")).alias("claims"),
+        count(F.col("reason") == "repeat").alias("repeats"), count(F.col("reason") == "stale").alias("stale"))
+
+
+STALE_BARS = 2
+
+
+@query("t4_staleness", sql(f"""
+ WITH c AS (SELECT DISTINCT universe, asset, cell FROM q_cells),
+ g AS (SELECT universe, asset, cell, cell - lag(cell) OVER w gap, lead(cell) OVER w - cell ahead,
+              max(cell) OVER (PARTITION BY universe) top FROM c WINDOW w AS (PARTITION BY universe, asset ORDER BY cell))
+ SELECT universe, asset, cell * {SECONDS} at_s, 0.0::DOUBLE age_s, false stale FROM g WHERE gap IS NULL OR gap > {STALE_BARS}
+ UNION ALL
+ SELECT universe, asset, (cell + {STALE_BARS}) * {SECONDS}, ({STALE_BARS} * {SECONDS})::DOUBLE, true FROM g
+ WHERE ahead > {STALE_BARS} OR ahead IS NULL AND cell + {STALE_BARS} < top - 1"""))
+def t4(h):
+    """Feeds of single assets: stale when no bar came for two steps, fresh again with the next one."""
     def run(universe):
-        seen = (_bars(h, universe).filter("idx >= 255 and (idx - 255) % 30 = 0")
-                .join(h.assets.select("universe", "asset", "ordinal"), ["universe", "asset"])
-                .withColumn("window_id", F.concat_ws("-", "universe", "idx"))
-                .withColumn("status", F.when(((F.col("idx") - 255) / 30 + F.col("ordinal")) % 4 == 0, "failed").otherwise("ok")))
-        feed = runtime.Replay(seen, "t5-in")
-        return runtime.drain(live.unique_windows(feed.stream, DELAY[universe]), "t5", [feed])[0]
-    return _each(run).groupBy("universe").agg(F.count_if(F.col("status") == "ok").alias("windows"),
-                                              F.count_if(F.col("status") == "failed").alias("failed"))
+        cells = h.cells.filter(F.col("universe") == universe).select(
+            "universe", F.concat_ws("|", "universe", "asset").alias("feed"), F.col("cell").alias("idx"),
+            F.timestamp_seconds(F.col("cell") * INTERVALS[universe]).alias("ts"))
+        feed = runtime.Replay(cells, "t4-in")
+        rows = freshness.freshness(feed.stream, STALE_BARS * INTERVALS[universe] * 1000, DELAY[universe])
+        return runtime.drain(rows, "t4", [feed])[0]
+    return _each(run).select(F.substring_index("feed", "|", 1).alias("universe"), F.substring_index("feed", "|", -1).alias("asset"),
+                             F.unix_timestamp("at").alias("at_s"), F.floor("age_s").cast("double").alias("age_s"), "stale")
 
 
 @query("t6_retention", sql("""
@@ -142,7 +189,7 @@ def t6(h):
     made = (h.bars.filter("idx >= 255 and (idx - 255) % 30 = 0")
             .select("universe", "idx", F.col("idx").alias("t0")).distinct())
     feed = runtime.Replay(made, "t6-in")
-    rows, _ = runtime.drain(live.retained(feed.stream), "t6", [feed])
+    rows, _ = runtime.drain(live.retained(feed.stream), "t6", [feed], clock="processing")
     last = rows.groupBy("universe").agg(F.max("version").alias("version"))
     return rows.join(last, ["universe", "version"]).select("universe", "t0")
 
@@ -190,39 +237,56 @@ def t9(h):
     from .after import _curves
     curves = _curves(h).select("universe", "t0", "tier", "h", "ratio")
     feed = runtime.Replay(curves, "t9-in", order="h")
-    rows, _ = runtime.drain(live.recovery_tracker(feed.stream), "t9", [feed])
+    rows, _ = runtime.drain(live.recovery_tracker(feed.stream), "t9", [feed], clock="processing")
     return rows.select("universe", "t0", "tier", "h", "streak", "confirmed", "had_confirmed")
 
 
-PREFIXES = (5, OBSERVED)
-
-
 @query("t10_progressive_nearest", sql(f"""
+ WITH m AS (SELECT unnest(range(1, {graph.FOLLOW + 1})) minutes),
+ d AS (SELECT q.universe, m.minutes, q.t0, l.t0 neighbour, round(avg({pair_distance('m.minutes')}), 12) distance
+  FROM q_study q JOIN q_study l ON l.universe = q.universe AND l.t0 <> q.t0 JOIN q_spans n ON n.universe = q.universe
+  JOIN m ON q.t0 + m.minutes <= n.n - 2 JOIN q_assets s ON s.universe = q.universe
+  LEFT JOIN q_slot a ON a.universe = q.universe AND a.t0 = q.t0 AND a.asset = s.asset
+  LEFT JOIN q_slot b ON b.universe = q.universe AND b.t0 = l.t0 AND b.asset = s.asset
+  GROUP BY ALL)
  SELECT universe, minutes, t0, neighbour, {r('distance', 9)} distance, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY universe, minutes, t0 ORDER BY distance, neighbour) place
-  FROM (SELECT 5 AS minutes, * FROM ({dist(5)}) UNION ALL SELECT {OBSERVED}, * FROM ({dist(OBSERVED)}))) WHERE place <= 3"""))
+  SELECT *, row_number() OVER (PARTITION BY universe, minutes, t0 ORDER BY distance, neighbour) place FROM d) WHERE place <= 3"""))
 def t10(h):
-    """Events matched against the stored library as more of their follow-ups shows, batch by batch.
+    """Events matched against the stored library after every minute of follow-ups, as triggers and bars arrive.
 
-    A batch writes to a folder of its number, so a repeated batch replaces its own rows.
+    Prints are assembled on the stream; a batch of them meets the library as it looked after as many
+    minutes. A batch writes to a folder of its number, so a repeated batch replaces its own rows.
     """
-    libraries = {m: materialize(_prints(h, m), f"t10-prints-{m}") for m in PREFIXES}
-    seen = None
-    for minutes, prints in libraries.items():
-        rows = prints.withColumn("minutes", F.lit(minutes)).withColumn("idx", F.col("t0") + minutes)
-        seen = rows if seen is None else seen.unionByName(rows)
-    feed = runtime.Replay(seen, "t10-in", slices=2)
+    minutes = F.explode(F.sequence(F.lit(1), F.lit(graph.FOLLOW)))
+    seen_then = _slots(h).withColumn("minutes", minutes).filter("delay <= minutes")
+    apart = F.concat_ws("@", "universe", "minutes")  # prints of different minutes are never compared
+    library = materialize(graph.fingerprints(
+        seen_then.withColumn("universe", apart), h.study.withColumn("minutes", minutes).withColumn("universe", apart),
+        h.assets.withColumn("minutes", minutes).withColumn("universe", apart)), "t10-library")
+    declared = {u: [a["asset"] for a in h.assets.filter(F.col("universe") == u).orderBy("ordinal").collect()] for u in INTERVALS}
     target = runtime.folder(h.spark, "t10")
 
-    def match(batch, number):
-        stored = materialize(batch, "t10-batch")
-        out = None
-        for minutes, library in libraries.items():
-            near = graph.nearest_events(stored.filter(F.col("minutes") == minutes), library, 3).withColumn(
-                "minutes", F.lit(minutes))
-            out = near if out is None else out.unionByName(near)
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-    runtime.drain(feed.stream.drop("idx"), "t10-run", [feed], each_batch=match)
-    return h.spark.read.schema("universe string, t0 bigint, neighbour bigint, distance double, place int, minutes int") \
-        .parquet(target).select("universe", "minutes", "t0", "neighbour", rd("distance", 9).alias("distance"),
-                               F.col("place").cast("long").alias("place"))
+    def run(universe):
+        blank = {"asset": "string", "direction": "int", "magnitude": "double", "origins": "array<string>"}
+
+        def rows(df, kind, idx, *own):
+            return df.filter(F.col("universe") == universe).select(
+                "universe", F.lit(kind).alias("kind"), F.col(idx).alias("idx"), "ts",
+                *[F.col(c).cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+
+        source = rows(h.study, "event", "t0", "origins").unionByName(
+            rows(h.study_triggers, "trigger", "idx", "asset", "direction", "magnitude")).unionByName(rows(h.bars, "clock", "idx"))
+        feed = runtime.Replay(source, "t10-in", slices=2)
+
+        def match(batch, number):
+            stored = materialize(batch.withColumn("universe", apart), "t10-batch")
+            graph.nearest_events(stored, library.filter(F.col("universe").startswith(f"{universe}@")), 3).write.mode(
+                "overwrite").parquet(f"{target}/feed={universe}/batch={number}")
+
+        runtime.drain(prints.growing_prints(feed.stream, declared, STEP_MS, DELAY[universe]), "t10-run", [feed], each_batch=match)
+
+    for universe in INTERVALS:
+        run(universe)
+    return h.spark.read.schema("universe string, t0 bigint, neighbour bigint, distance double, place int").parquet(target).select(
+        F.substring_index("universe", "@", 1).alias("universe"), F.substring_index("universe", "@", -1).cast("long").alias("minutes"),
+        "t0", "neighbour", rd("distance", 9).alias("distance"), F.col("place").cast("long").alias("place"))

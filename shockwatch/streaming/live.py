@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.features import HORIZON, SHOCK_FRAME, SHOCK_LAG, STATE_BASE, STATE_LEVEL, STATE_RECENT
+from ..operators.recovery import HORIZON as LAST_POINT
 from ..operators.shocks import COOLDOWN, MERGE, SYSTEMIC_ASSETS
+from .freshness import millis
 
 RETENTION = 8
+STATE_TTL_MS = 7 * 24 * 3600 * 1000
 
 
 def closed_bars(ticks: DataFrame, step: str, delay: str) -> DataFrame:
@@ -38,13 +41,6 @@ def completeness(bars: DataFrame, delay: str, assets: int, step: str = "1 hour")
                     F.when(F.col("n") == assets, "complete").otherwise("incomplete").alias("status")))
 
 
-def unique_windows(windows: DataFrame, delay: str) -> DataFrame:
-    """First success of every window id (repeats inside the watermark are dropped); all failed attempts stay."""
-    marked = windows.withWatermark("ts", delay)
-    good = marked.filter("status <> 'failed'").dropDuplicatesWithinWatermark(["window_id"])
-    return good.unionByName(marked.filter("status = 'failed'"))
-
-
 def _rolling_std(values: np.ndarray, length: int) -> np.ndarray:
     out = np.full(len(values), np.nan)
     if len(values) >= length:
@@ -63,11 +59,16 @@ def _rolling_drawdown(closes: np.ndarray, length: int) -> np.ndarray:
 
 
 class _Tail(StatefulProcessor):
-    """Keeps the last ``keep`` closes of a key as one row of state, and whether a gap came before them."""
+    """Keeps the last ``keep`` closes of a key as one row of state, and whether a gap came before them.
+
+    With ``idle_ms`` a key that the watermark leaves so far behind is forgotten; if it comes back, it is new.
+    """
 
     keep = 0
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.tail = handle.getValueState("tail", "idx array<bigint>, close array<double>, broken boolean")
 
     def close(self) -> None:
@@ -102,8 +103,19 @@ class _Tail(StatefulProcessor):
                 runs.append((piece, closes, len(old), broken))
                 idx, old = [*idx, *piece["idx"].tolist()][-self.keep:], closes[-self.keep:].tolist()
             self.tail.update((idx, old, broken))
+            if self.idle_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(millis(new["ts"].max()) + self.idle_ms)
         return runs, late
 
+    def forget(self) -> None:
+        self.tail.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        self.forget()
+        yield from ()
+
 
 SNAPSHOT_SCHEMA = ("universe string, asset string, idx bigint, ts timestamp, close double, "
                    "vol30 double, ret30 double, mdd30 double, recent double, base double, ratio double, state string, "
@@ -119,6 +131,9 @@ class SnapshotProcessor(_Tail):
 
     keep = 256
 
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         runs, late = self._runs(rows)
         for new, closes, old, broken in runs:
@@ -145,10 +160,10 @@ class SnapshotProcessor(_Tail):
                 {c: float for c in ("vol30", "ret30", "mdd30", "recent", "base", "ratio")})
 
 
-def snapshots(bars: DataFrame, delay: str) -> DataFrame:
+def snapshots(bars: DataFrame, delay: str, idle_ms: int | None = None) -> DataFrame:
     """Snapshot rows per asset; ``ts`` keeps its watermark for a later stage."""
     return (bars.withWatermark("ts", delay).groupBy("universe", "asset")
-            .transformWithStateInPandas(SnapshotProcessor(), SNAPSHOT_SCHEMA, "append",
+            .transformWithStateInPandas(SnapshotProcessor(idle_ms), SNAPSHOT_SCHEMA, "append",
                                         "EventTime", eventTimeColumnName="ts"))
 
 
@@ -163,11 +178,17 @@ def published(snapshot_rows: DataFrame, assets: int, step: str = "1 hour") -> Da
 
 
 class RetentionProcessor(StatefulProcessor):
-    """Keeps the newest windows of a universe; every change is emitted as a new version."""
+    """Keeps the newest windows of a universe; every change is emitted as a new version.
+
+    Both states leave ``ttl_ms`` of processing time after the last window of their universe.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "t0 bigint")
-        self.version = handle.getValueState("version", "n bigint")
+        self.kept = handle.getListState("kept", "t0 bigint", ttlDurationMs=self.ttl_ms)
+        self.version = handle.getValueState("version", "n bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         known = {row[0] for row in self.kept.get()} if self.kept.exists() else set()
@@ -182,9 +203,9 @@ class RetentionProcessor(StatefulProcessor):
         pass
 
 
-def retained(windows: DataFrame) -> DataFrame:
+def retained(windows: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     return windows.groupBy("universe").transformWithStateInPandas(
-        RetentionProcessor(), "universe string, version bigint, t0 bigint", "append", "None")
+        RetentionProcessor(ttl_ms), "universe string, version bigint, t0 bigint", "append", "ProcessingTime")
 
 
 TRIGGER_SCHEMA = ("universe string, k int, idx bigint, ts timestamp, asset string, direction int, "
@@ -196,13 +217,17 @@ class TriggerProcessor(_Tail):
 
     keep = SHOCK_FRAME + SHOCK_LAG + 1
 
-    def __init__(self, grid: tuple[int, ...]):
-        self.grid = grid
+    def __init__(self, grid: tuple[int, ...], idle_ms: int | None = None):
+        self.grid, self.idle_ms = grid, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.free = handle.getMapState("free", "k int", "idx bigint")
 
+    def forget(self) -> None:
+        super().forget()
+        self.free.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         out = []
         for new, closes, old, _ in self._runs(rows)[0]:
@@ -292,9 +317,10 @@ class EventProcessor(StatefulProcessor):
         pass
 
 
-def online_triggers(bars: DataFrame, delay: str, grid: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
+def online_triggers(bars: DataFrame, delay: str, grid: tuple[int, ...] = (3, 4, 5, 6),
+                    idle_ms: int | None = None) -> DataFrame:
     return (bars.withWatermark("ts", delay).groupBy("universe", "asset")
-            .transformWithStateInPandas(TriggerProcessor(grid), TRIGGER_SCHEMA, "append",
+            .transformWithStateInPandas(TriggerProcessor(grid, idle_ms), TRIGGER_SCHEMA, "append",
                                         "EventTime", eventTimeColumnName="ts"))
 
 
@@ -323,10 +349,16 @@ RECOVERY_SCHEMA = ("universe string, t0 bigint, tier string, h int, ratio double
 
 
 class RecoveryProcessor(StatefulProcessor):
-    """Calm streak of one (event, tier) as its curve is revealed."""
+    """Calm streak of one (event, tier) as its curve is revealed.
+
+    The state goes with the last point of the curve; that of a curve which breaks off, after ``ttl_ms``.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "streak int, had boolean")
+        self.state = handle.getValueState("state", "streak int, had boolean", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         streak, had = self.state.get() if self.state.exists() else (0, False)
@@ -336,15 +368,18 @@ class RecoveryProcessor(StatefulProcessor):
             streak = streak + 1 if ratio <= STATE_LEVEL else 0
             had = had or streak >= 10
             out.append((*key, int(h), float(ratio), streak, streak >= 10, had))
-        self.state.update((int(streak), bool(had)))
+        if new["h"].max() >= LAST_POINT:
+            self.state.clear()
+        else:
+            self.state.update((int(streak), bool(had)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in RECOVERY_SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def recovery_tracker(curves: DataFrame) -> DataFrame:
+def recovery_tracker(curves: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     return curves.groupBy("universe", "t0", "tier").transformWithStateInPandas(
-        RecoveryProcessor(), RECOVERY_SCHEMA, "append", "None")
+        RecoveryProcessor(ttl_ms), RECOVERY_SCHEMA, "append", "ProcessingTime")
 
 

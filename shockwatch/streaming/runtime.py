@@ -23,13 +23,15 @@ def cadence(seconds: int = 300) -> dict[str, str]:
 
 
 @contextmanager
-def stateful(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+def stateful(spark: SparkSession, partitions: int | None = None, idle_batches: bool = True) -> Iterator[None]:
     """RocksDB state and a state width, which a query keeps for its whole life.
 
-    Both are read when a query starts, so they are set around the start and put back.
+    All are read when a query starts, so they are set around the start and put back. A query on the
+    processing clock always has a next batch without data, so one that is to end goes without them.
     """
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-              "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+              "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for key, value in wanted.items():
@@ -72,17 +74,18 @@ class Replay:
 
 
 def drain(stream: DataFrame, label: str, feeds: Sequence[Replay] = (), partitions: int | None = None,
-          each_batch: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, list[dict]]:
+          each_batch: Callable[[DataFrame, int], None] | None = None, clock: str = "event") -> tuple[DataFrame, list[dict]]:
     """Process all available input into Parquet and return the table with the batch reports.
 
-    With ``feeds`` the query runs once per slice and goes on from its checkpoint each time.
+    With ``feeds`` the query runs once per slice and goes on from its checkpoint each time. ``clock`` is
+    the one that stateful operators of the query run on, "event" or "processing".
     """
     spark = stream.sparkSession
     base = folder(spark, label)
     writer = (stream.writeStream.outputMode("append").trigger(availableNow=True)
               .option("checkpointLocation", f"{base}/checkpoint"))
     reports = []
-    with stateful(spark, partitions):
+    with stateful(spark, partitions, idle_batches=clock == "event"):
         for i in range(max((f.slices for f in feeds), default=1)):
             for replay in feeds:
                 replay.feed(i)
