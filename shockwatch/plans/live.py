@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..session import materialize
 from ..sources.tables import INTERVALS
-from ..streaming import claims, freshness, live, prints, runtime
+from ..streaming import claims, freshness, live, merging, prints, runtime
 from .core import MDD31, SNAP, rd
 from .graphs import _slots, pair_distance
 from .oracle import part, r, sql
@@ -205,7 +205,7 @@ def t7(h):
     """Triggers and events as the bars arrive; equals the batch catalog up to the watermark."""
     def run(universe):
         feed = runtime.Replay(_bars(h, universe), "t7-in", slices=2)
-        events = live.online_events(live.online_triggers(feed.stream, DELAY[universe]), STEP_MS)
+        events = merging.online_events(live.online_triggers(feed.stream, DELAY[universe]), STEP_MS)
         return runtime.drain(events, "t7", [feed])[0]
     return _each(run).select("universe", "k", "t0", "origins", "direction", rd("magnitude").alias("magnitude"),
                              "systemic_assets", "systemic")
@@ -242,7 +242,7 @@ def t9(h):
 
 
 @query("t10_progressive_nearest", sql(f"""
- WITH m AS (SELECT unnest(range(1, {graph.FOLLOW + 1})) minutes),
+ WITH m AS (SELECT unnest(range(1, {graph.FOLLOW + 1})) AS minutes),
  d AS (SELECT q.universe, m.minutes, q.t0, l.t0 neighbour, round(avg({pair_distance('m.minutes')}), 12) distance
   FROM q_study q JOIN q_study l ON l.universe = q.universe AND l.t0 <> q.t0 JOIN q_spans n ON n.universe = q.universe
   JOIN m ON q.t0 + m.minutes <= n.n - 2 JOIN q_assets s ON s.universe = q.universe
@@ -275,11 +275,14 @@ def t10(h):
                 *[F.col(c).cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
 
         source = rows(h.study, "event", "t0", "origins").unionByName(
-            rows(h.study_triggers, "trigger", "idx", "asset", "direction", "magnitude")).unionByName(rows(h.bars, "clock", "idx"))
+            rows(h.study_triggers, "trigger", "idx", "asset", "direction", "magnitude")).unionByName(
+            rows(h.bars, "clock", "idx").distinct())
         feed = runtime.Replay(source, "t10-in", slices=2)
 
         def match(batch, number):
             stored = materialize(batch.withColumn("universe", apart), "t10-batch")
+            if stored.isEmpty():
+                return
             graph.nearest_events(stored, library.filter(F.col("universe").startswith(f"{universe}@")), 3).write.mode(
                 "overwrite").parquet(f"{target}/feed={universe}/batch={number}")
 

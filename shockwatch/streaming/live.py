@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.features import HORIZON, SHOCK_FRAME, SHOCK_LAG, STATE_BASE, STATE_LEVEL, STATE_RECENT
 from ..operators.recovery import HORIZON as LAST_POINT
-from ..operators.shocks import COOLDOWN, MERGE, SYSTEMIC_ASSETS
+from ..operators.shocks import COOLDOWN
 from .freshness import millis
 
 RETENTION = 8
@@ -254,69 +254,6 @@ class TriggerProcessor(_Tail):
                                              "magnitude"])
 
 
-EVENT_SCHEMA = ("universe string, k int, t0 bigint, ts timestamp, origins string, direction int, "
-                "magnitude double, systemic_assets bigint, systemic boolean")
-
-
-class EventProcessor(StatefulProcessor):
-    """Fixed-anchor merge of the triggers of one (universe, k).
-
-    A trigger is decided when the watermark passes ten bars beyond it: by then every trigger
-    that could join its event or count as systemic has been seen. Triggers older than a decided
-    one by more than twenty bars are forgotten.
-    """
-
-    def __init__(self, step_ms: dict[str, int]):
-        self.step_ms = step_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getListState("seen", "idx bigint, ts timestamp, asset string, "
-                                                "direction int, magnitude double, done boolean")
-        self.anchor = handle.getValueState("anchor", "idx bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        for pdf in rows:
-            for row in pdf.itertuples():
-                self.seen.appendValue((int(row.idx), row.ts.to_pydatetime(), row.asset,
-                                       int(row.direction), float(row.magnitude), False))
-                stamp = row.ts.tz_localize("UTC") if row.ts.tzinfo is None else row.ts
-                self.handle.registerTimer(int(stamp.timestamp() * 1000)
-                                          + MERGE * self.step_ms[key[0]])
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo  # noqa: N802,N803
-                           ) -> Iterator[pd.DataFrame]:
-        step = self.step_ms[key[0]]
-        due = timerValues.getCurrentWatermarkInMs()
-        seen = sorted([list(r) for r in self.seen.get()], key=lambda r: (r[0], r[2]))
-        anchor = self.anchor.get()[0] if self.anchor.exists() else None
-        out = []
-        for row in seen:
-            end = int(pd.Timestamp(row[1], tz="UTC").timestamp() * 1000) + MERGE * step
-            if row[5] or end > due:
-                continue
-            if anchor is None or row[0] > anchor + MERGE:
-                anchor = row[0]
-                origins = [r for r in seen if r[0] == anchor]
-                near = {r[2] for r in seen if abs(r[0] - anchor) <= MERGE}
-                signs = {r[3] for r in origins}
-                out.append((key[0], int(key[1]), anchor, row[1], "|".join(r[2] for r in origins),
-                            signs.pop() if len(signs) == 1 else 0, max(r[4] for r in origins),
-                            len(near), len(near) >= SYSTEMIC_ASSETS))
-            row[5] = True
-        last = max((r[0] for r in seen if r[5]), default=None)
-        if last is not None:
-            self.anchor.update((anchor,))
-            seen = [r for r in seen if r[0] >= last - 2 * MERGE]
-        self.seen.put([tuple(r) for r in seen])
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT_SCHEMA.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
 def online_triggers(bars: DataFrame, delay: str, grid: tuple[int, ...] = (3, 4, 5, 6),
                     idle_ms: int | None = None) -> DataFrame:
     return (bars.withWatermark("ts", delay).groupBy("universe", "asset")
@@ -324,12 +261,6 @@ def online_triggers(bars: DataFrame, delay: str, grid: tuple[int, ...] = (3, 4,
                                         "EventTime", eventTimeColumnName="ts"))
 
 
-def online_events(trigger_rows: DataFrame, step_ms: dict[str, int]) -> DataFrame:
-    return (trigger_rows.groupBy("universe", "k")
-            .transformWithStateInPandas(EventProcessor(step_ms), EVENT_SCHEMA, "append",
-                                        "EventTime"))
-
-
 def pending_truth(origins: DataFrame, bars: DataFrame, horizon: str, delay: str) -> DataFrame:
     """Forecast rows joined to the bars of their horizon as those close; unmatched ones remain.
 

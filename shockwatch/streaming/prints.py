@@ -37,7 +37,7 @@ class PrintProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         step = self.step_ms[key[0]]
         for pdf in rows:
-            for row in pdf.itertuples():
+            for row in pdf[pdf["kind"] != "clock"].itertuples():
                 idx, at = int(row.idx), millis(row.ts)
                 if row.kind == "event":
                     self.events.updateValue((idx,), (at, list(row.origins), 0))
@@ -78,10 +78,11 @@ class PrintProcessor(StatefulProcessor):
 def growing_prints(feed: DataFrame, assets: dict[str, list[str]], step_ms: dict[str, int], delay: str) -> DataFrame:
     """One print per event and revealed minute, from rows of FEED: events, triggers, and bars as clock.
 
-    ``assets`` are the declared assets of each universe, in order.
+    ``assets`` are the declared assets of each universe, in order. One clock row per bar time is enough; the
+    processor drops them, since the optimizer would move a filter below the watermark they are there for.
     """
-    rows = feed.withWatermark("ts", delay).filter("kind <> 'clock'")
+    rows = feed.withWatermark("ts", delay)
     own = F.expr(f"idx div {FOLLOW}")
-    stretches = F.when(F.col("kind") == "event", F.array(own)).otherwise(F.array(own, own - 1))
+    stretches = F.when(F.col("kind") == "trigger", F.array(own, own - 1)).otherwise(F.array(own))
     return (rows.withColumn("stretch", F.explode(stretches)).groupBy("universe", "stretch")
             .transformWithStateInPandas(PrintProcessor(assets, step_ms), PRINTS, "append", "EventTime"))

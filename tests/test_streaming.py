@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shockwatch.operators import graph
 from shockwatch.session import materialize
-from shockwatch.streaming import claims, freshness, live, prints, runtime
+from shockwatch.streaming import claims, freshness, live, merging, prints, runtime
 
 BARS = "universe string, asset string, idx bigint, ts timestamp, close double"
 
@@ -243,6 +243,38 @@ def test_prints_of_every_minute_equal_batch(spark):
     assert left_in_state(reports) <= 12  # the last stretches only
 
 
+def merged_brute(hits):
+    """Events of one universe's triggers (idx, asset, direction, magnitude), one after the other."""
+    out, blocked = [], -1
+    for idx in sorted({h[0] for h in hits}):
+        if idx > blocked:
+            origins = sorted(h for h in hits if h[0] == idx)
+            signs, near = {h[2] for h in origins}, {h[1] for h in hits if abs(h[0] - idx) <= 10}
+            out.append((idx, "|".join(h[1] for h in origins), signs.pop() if len(signs) == 1 else 0, max(h[3] for h in origins),
+                        len(near), len(near) >= 3))
+            blocked = idx + 10
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "every"), [(16, 0.5), (16, 0.04), (64, 0.9)])
+def test_online_merge_over_chunk_borders(spark, chunk, every):
+    """Dense and sparse triggers, a chain of blocked bars over many borders, empty chunks between."""
+    rng = np.random.default_rng(7)
+    hits = [(int(i), a, int(rng.choice([-1, 1])), float(rng.integers(30, 90)) / 10) for i in range(420) for a in "ABCD"
+            if rng.random() < every / 4 and not 200 <= i < 280]
+    rows = [("u", 3, *h) for h in hits] + [("u", 4, 440, "A", 1, 9.0), ("u", 3, 440, "A", 1, 9.0)]
+    df = spark.createDataFrame(rows, "universe string, k int, idx long, asset string, direction int, magnitude double").select(
+        "universe", "k", "idx", F.timestamp_seconds((F.col("idx") + 1000) * 3600).alias("ts"), "asset", "direction", "magnitude")
+    feed = runtime.Replay(df, "merge-in", slices=4)
+    stream = merging.online_events(feed.stream.withWatermark("ts", "1 hour"), {"u": 3_600_000}, chunk)
+    got, reports = runtime.drain(stream, "merge", [feed])
+    found = sorted((r.t0, r.origins, r.direction, r.magnitude, r.systemic_assets, r.systemic) for r in got.collect())
+    assert found == [e for e in merged_brute(hits + [(440, "A", 1, 9.0)]) if e[0] + 10 <= 439]
+    assert all(r.ts.timestamp() == (r.t0 + 1000) * 3600 for r in got.collect())
+    rows_held = max(s["numRowsTotal"] for p in reports for s in p["stateOperators"][:1] + p["stateOperators"][-1:])
+    assert rows_held < 3 * len(hits) + 400  # triggers, their timers and a row a chunk, of one slice at most
+
+
 def test_slices_arrive_one_by_one(spark):
     feed = runtime.Replay(bars(spark, range(90)), "slices", slices=3)
     seen = []
