@@ -277,7 +277,7 @@ def t10(h):
         source = rows(h.study, "event", "t0", "origins").unionByName(
             rows(h.study_triggers, "trigger", "idx", "asset", "direction", "magnitude")).unionByName(
             rows(h.bars, "clock", "idx").distinct())
-        feed = runtime.Replay(source, "t10-in", slices=2)
+        feed = runtime.Replay(source, "t10-in", slices=1)
 
         def match(batch, number):
             stored = materialize(batch.withColumn("universe", apart), "t10-batch")
