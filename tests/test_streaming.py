@@ -174,7 +174,7 @@ def test_a_silent_feed_turns_stale_by_its_own_timer(spark, monkeypatch):
         back = until(len(first) + 1)[len(first)]
         assert not back[3] and back[2] <= 15
         starts = [datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")) for p in query.recentProgress]
-        assert all((b - a).total_seconds() > 0.9 for a, b in zip(starts, starts[1:], strict=False))
+        assert len({int(t.timestamp()) for t in starts}) == len(starts)  # one batch at most in each second of the clock
     finally:
         query.stop()
 
