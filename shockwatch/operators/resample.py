@@ -249,14 +249,21 @@ TAILS = {"pairs": "upper", "observations": "upper", "mean_delay": "lower",
          "edge_mean_delay": "lower"}
 
 
+def tall(df: DataFrame, out: str, extra: Sequence[str]) -> DataFrame:
+    """One row per statistic, its value in ``out``."""
+    cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias(out)) for s in TAILS])
+    return df.select("universe", *extra, F.explode(cells).alias("_c")).select("universe", *extra, "_c.*")
+
+
+def null_summary(null: DataFrame) -> DataFrame:
+    """Quantiles of each statistic over the replicates that define it, and the count of those that do not."""
+    return tall(null, "v", ["rep"]).groupBy("universe", "statistic").agg(
+        F.count("*").alias("replicates"), F.count_if(F.col("v").isNull()).alias("empty"),
+        *[F.percentile("v", q).alias(name) for name, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+
+
 def tail_tests(real: DataFrame, null: DataFrame, reps: int) -> DataFrame:
     """Plus-one Monte Carlo p per statistic; an undefined null delay counts as infinite."""
-    def tall(df: DataFrame, out: str, extra: Sequence[str]) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias(out))
-                          for s in TAILS])
-        return df.select("universe", *extra, F.explode(cells).alias("_c")).select(
-            "universe", *extra, "_c.*")
-
     draws = tall(null, "null_value", ["rep"]).withColumn(
         "null_value", F.coalesce("null_value", F.lit(float("inf"))))
     upper = F.col("statistic").isin("pairs", "observations")

@@ -121,69 +121,87 @@ def controls_sql(context: int) -> str:
  LEFT JOIN q_vol30 v ON v.universe = s.universe AND v.idx = s.c"""
 
 
-part("q_ctl", controls_sql(SHORT_CONTEXT))
-part("q_ctl_full", controls_sql(CONTEXT))
-part("q_ratio", """
+def ratio_sql(controls: str) -> str:
+    return f"""
  SELECT e.universe, e.t0, v.asset, COALESCE(g.n, 0) n_controls, CASE WHEN g.n >= 3 THEN g.m END control_median,
         concat_ws('|', CASE WHEN v.volume_status <> 'valid' THEN 'event_' || v.volume_status END,
                   CASE WHEN COALESCE(g.n, 0) < 3 THEN 'fewer_than_3_controls' END,
                   CASE WHEN g.n >= 3 AND g.m <= 0 THEN 'zero_control_baseline' END,
                   CASE WHEN v.volume_sum <= 0 THEN 'zero_event_volume' END) reasons, v.volume_sum
  FROM q_study e JOIN q_vol30 v ON v.universe = e.universe AND v.idx = e.t0
- LEFT JOIN (SELECT universe, t0, asset, count(*) n, median(volume_sum) m FROM q_ctl WHERE rejected IS NULL
-            GROUP BY universe, t0, asset) g ON g.universe = e.universe AND g.t0 = e.t0 AND g.asset = v.asset""")
+ LEFT JOIN (SELECT universe, t0, asset, count(*) n, median(volume_sum) m FROM {controls} WHERE rejected IS NULL
+            GROUP BY universe, t0, asset) g ON g.universe = e.universe AND g.t0 = e.t0 AND g.asset = v.asset"""
 
 
-def _controls(h, context=SHORT_CONTEXT):
+part("q_ctl", controls_sql(SHORT_CONTEXT))
+part("q_ctl_full", controls_sql(CONTEXT))
+part("q_ratio", ratio_sql("q_ctl_full"))
+part("q_ratio_short", ratio_sql("q_ctl"))
+
+
+def _controls(h, context=CONTEXT):
     cycle = F.when(F.col("universe") == "events", 24).otherwise(7)
     return volume.controls(h.study, grid.observed_volume(h.bars), h.study_triggers, h.spans,
                            cycle, context)
 
 
-def _ratios(h):
-    return h._once("ratios", lambda: volume.log_ratios(
-        h.study, grid.observed_volume(h.bars), _controls(h)))
+def _ratios(h, context=CONTEXT):
+    return h._once(f"ratios_{context}", lambda: volume.log_ratios(
+        h.study, grid.observed_volume(h.bars), _controls(h, context)))
 
 
 @query("j12_j13_controls", sql("""
  SELECT universe, rejected, count(DISTINCT (t0, back)) n FROM q_ctl_full WHERE rejected IS NOT NULL
  GROUP BY universe, rejected"""))
 def j12(h):
-    return volume.rejection_counts(_controls(h, CONTEXT))
+    return volume.rejection_counts(_controls(h))
 
 
 @query("j12_j13_controls_short_context", sql("""
  SELECT universe, rejected, count(DISTINCT (t0, back)) n FROM q_ctl WHERE rejected IS NOT NULL
  GROUP BY universe, rejected"""))
 def j12_short(h):
-    return volume.rejection_counts(_controls(h))
+    return volume.rejection_counts(_controls(h, SHORT_CONTEXT))
 
 
-@query("a34_volume_ratio", sql(f"""
+def event_ratio_sql(ratios: str) -> str:
+    return sql(f"""
  SELECT universe, t0, asset, n_controls, {r('control_median', 3)} control_median, reasons,
         {r("CASE WHEN reasons = '' THEN ln(volume_sum) - ln(control_median) END")} log_ratio
- FROM q_ratio"""))
-def a34(h):
-    return _ratios(h).select("universe", "t0", "asset", "n_controls",
-                             rd("control_median", 3).alias("control_median"),
-                             F.array_join("reasons", "|").alias("reasons"),
-                             rd("log_ratio").alias("log_ratio"))
+ FROM {ratios}""")
+
+
+@query("a34_volume_ratio", event_ratio_sql("q_ratio"))
+def a34(h, context=CONTEXT):
+    return _ratios(h, context).select("universe", "t0", "asset", "n_controls",
+                                      rd("control_median", 3).alias("control_median"),
+                                      F.array_join("reasons", "|").alias("reasons"),
+                                      rd("log_ratio").alias("log_ratio"))
 
 
-@query("a34_f30_volume_groups", sql(f"""
+@query("a34_volume_ratio_short_context", event_ratio_sql("q_ratio_short"))
+def a34_short(h):
+    return a34(h, SHORT_CONTEXT)
+
+
+def group_ratio_sql(ratios: str) -> str:
+    return sql(f"""
  WITH t AS (SELECT q.universe, q.t0, a.tier, CASE WHEN bool_and(reasons = '')
             THEN avg(CASE WHEN reasons = '' THEN ln(volume_sum) - ln(control_median) END) END v
-            FROM q_ratio q JOIN q_assets a ON a.universe = q.universe AND a.asset = q.asset
+            FROM {ratios} q JOIN q_assets a ON a.universe = q.universe AND a.asset = q.asset
             GROUP BY q.universe, q.t0, a.tier),
  e AS (SELECT t.*, CASE e.direction WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'mixed' END AS dir
        FROM t JOIN q_study e USING (universe, t0))
  SELECT universe, tier, COALESCE(dir, 'all') AS direction, count(*) expected, count(v) valid,
         {r('avg(v)')} mean_log_ratio, {r('exp(avg(v))')} geometric_multiple
- FROM e GROUP BY GROUPING SETS ((universe, tier, dir), (universe, tier))"""))
-def a34_groups(h):
+ FROM e GROUP BY GROUPING SETS ((universe, tier, dir), (universe, tier))""")
+
+
+@query("a34_f30_volume_groups", group_ratio_sql("q_ratio"))
+def a34_groups(h, context=CONTEXT):
     named = F.when(F.col("direction") == 1, "up").when(F.col("direction") == -1, "down") \
         .otherwise("mixed")
-    rows = volume.tier_ratios(_ratios(h), h.assets).join(
+    rows = volume.tier_ratios(_ratios(h, context), h.assets).join(
         h.study.select("universe", "t0", named.alias("dir")), ["universe", "t0"])
     return (rows.groupingSets([["universe", "tier", "dir"], ["universe", "tier"]],
                               "universe", "tier", "dir")
@@ -193,6 +211,11 @@ def a34_groups(h):
                  rd(F.exp(F.avg("mean_log_ratio"))).alias("geometric_multiple")).drop("dir"))
 
 
+@query("a34_f30_volume_groups_short_context", group_ratio_sql("q_ratio_short"))
+def a34_groups_short(h):
+    return a34_groups(h, SHORT_CONTEXT)
+
+
 part("q_shape", """
  WITH c AS (SELECT o.universe, o.t0, CAST(b.idx - o.t0 AS INT) h, avg(ln(b.close / p.close)) y
             FROM (SELECT universe, t0, unnest(string_split(origins, '|')) asset FROM q_study) o
@@ -243,13 +266,14 @@ def a38(h):
 
 
 @query("f28_normalised_paths", sql(f"""
- SELECT universe, t0, asset, step, {r('close / spot - 1')} x FROM q_path WHERE method = 'historical_30'"""))
+ SELECT universe, t0, asset, method, step, {r('close / spot - 1')} x, {r('100 * (close / spot)', 5)} level
+ FROM q_path WHERE method <> 'actual'"""))
 def f28(h):
-    rows = h.forecasts.filter("method = 'historical_30'").select(
-        "universe", "t0", "asset",
-        F.posexplode(paths.normalised(F.col("spot"), F.col("closes"))).alias("step", "x"))
-    return rows.select("universe", "t0", "asset", (F.col("step") + 1).alias("step"),
-                       rd("x").alias("x"))
+    """Every forecast path as returns from spot, and as levels with spot at 100."""
+    rows = h.forecasts.select("universe", "t0", "asset", "method",
+                              F.posexplode(paths.normalised(F.col("spot"), F.col("closes"))).alias("step", "x"))
+    return rows.select("universe", "t0", "asset", "method", (F.col("step") + 1).alias("step"),
+                       rd("x").alias("x"), rd(100 * (1 + F.col("x")), 5).alias("level"))
 
 
 @query("f28_normalised_paths_by_method", sql(f"""

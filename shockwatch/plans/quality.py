@@ -28,7 +28,7 @@ part("q_raw", """
         (b.volume - 2) * p.close amount
  FROM q_path p JOIN q_bars b ON b.universe = p.universe AND b.asset = p.asset
   AND b.idx = p.t0 + CASE WHEN p.method = 'mirror' THEN 1 - p.step ELSE p.step - 30 END
- WHERE p.method IN ('historical_30', 'mirror')""")
+ WHERE p.method <> 'actual'""")
 part("q_fix", """
  SELECT *, greatest(open, high, low, close) nh, least(open, high, low, close) nl,
         greatest(open, high, low, close) <> high OR least(open, high, low, close) <> low fixed,
@@ -43,17 +43,17 @@ def _raw(h):
         source = band_join(h.study.select("universe", "t0"), h.bars.select(
             "universe", "asset", F.col("idx").alias("_i"), "high", "low", "close", "volume"),
             ("universe",), -29, 0, "t0", "_i").withColumn("o", (F.col("_i") - F.col("t0")).cast("int"))
-        steps = F.array(F.struct(F.lit("historical_30").alias("method"), (F.col("o") + 30).alias("step")),
-                        F.struct(F.lit(H.MODEL).alias("method"), (1 - F.col("o")).alias("step")))
+        steps = F.array(F.struct(F.lit(False).alias("mirrored"), (F.col("o") + 30).alias("step")),
+                        F.struct(F.lit(True).alias("mirrored"), (1 - F.col("o")).alias("step")))
         source = source.select(*keys, (F.col("high") / F.col("close") * 0.999).alias("up"),
                                (F.col("low") / F.col("close") * 1.001).alias("down"), "volume",
                                F.explode(steps).alias("_s")).select(*keys, "up", "down", "volume", "_s.*")
         pairs = F.arrays_zip(F.concat(F.array("spot"), F.slice("closes", 1, 29)).alias("open"),
                              F.col("closes").alias("close"))
-        rows = (h.forecasts.filter(F.col("method").isin("historical_30", H.MODEL))
-                .select(*keys, "method", F.posexplode(pairs).alias("_p", "_c"))
-                .select(*keys, "method", (F.col("_p") + 1).alias("step"), "_c.open", "_c.close"))
-        return rows.join(source, [*keys, "method", "step"]).select(
+        rows = (h.forecasts.select(*keys, "method", (F.col("method") == H.MODEL).alias("mirrored"),
+                                   F.posexplode(pairs).alias("_p", "_c"))
+                .select(*keys, "method", "mirrored", (F.col("_p") + 1).alias("step"), "_c.open", "_c.close"))
+        return rows.join(source, [*keys, "mirrored", "step"]).select(
             *keys, "method", "step", "open", (F.col("close") * F.col("up")).alias("high"),
             (F.col("close") * F.col("down")).alias("low"), "close",
             (F.col("volume") - 2).alias("volume"), ((F.col("volume") - 2) * F.col("close")).alias("amount"))

@@ -582,6 +582,18 @@ def a46(h):
         rd("p").alias("p"), rd("p_holm").alias("p_holm"))
 
 
+@query("a45_null_summary", sql(f"""
+ WITH l AS (SELECT universe, rep, s.statistic, CASE s.statistic WHEN 'pairs' THEN pairs::DOUBLE WHEN 'observations'
+            THEN observations::DOUBLE WHEN 'mean_delay' THEN mean_delay ELSE edge_mean_delay END v
+            FROM q_null, (VALUES ('pairs'), ('observations'), ('mean_delay'), ('edge_mean_delay')) s(statistic) WHERE rep >= 0)
+ SELECT universe, statistic, count(*) replicates, count(*) - count(v) empty, {r('quantile_cont(v, 0.05)')} p05,
+        {r('quantile_cont(v, 0.5)')} p50, {r('quantile_cont(v, 0.95)')} p95 FROM l GROUP BY universe, statistic"""))
+def a45_summary(h):
+    """The null distribution of each statistic, and how many replicates left it undefined."""
+    return resample.null_summary(_null(h)).select(
+        "universe", "statistic", "replicates", "empty", *[rd(q).alias(q) for q in ("p05", "p50", "p95")])
+
+
 part("q_ens", """
  SELECT s.universe, s.t0, s.asset, p.p path_id, s.step, s.spot, s.spot * exp(sum(w.r) OVER (
         PARTITION BY s.universe, s.t0, s.asset, p.p ORDER BY s.step)) AS close
