@@ -148,6 +148,33 @@ def test_write_once_and_catalog(spark, tmp_path):
         sinks.write_once(ev, path)
 
 
+def test_repeated_jobs_write_once(spark, tmp_path):
+    path = str(tmp_path / "frozen")
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 0.5), (2, None, 0.5)], "t0 bigint, m string, v double")
+    assert sinks.write_once(rows, path) and not sinks.write_once(rows.repartition(3), path)
+    with pytest.raises(sinks.ResultExists):
+        sinks.write_once(rows.distinct(), path)
+    with pytest.raises(sinks.ResultExists):
+        sinks.write_once(rows.withColumnRenamed("v", "w"), path)
+    with pytest.raises(sinks.ResultExists):
+        sinks.write_once(rows.withColumn("more", F.lit(1)), path)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "frozen" / "_SUCCESS").unlink()  # a job that died before its commit
+    assert sinks.write_once(rows.limit(1), path) and spark.read.parquet(path).count() == 1
+
+
+def test_journal_holds_every_entry_once(spark, tmp_path):
+    path, schema = str(tmp_path / "journal"), "t0 bigint, status string"
+    first = spark.createDataFrame([(1, "ok"), (2, "failed")], schema)
+    assert sinks.append_journal(first, path, "run/1") and not sinks.append_journal(first, path, "run/1")
+    assert sinks.append_journal(first, path, "run/2")
+    assert sinks.read_journal(spark, path, schema).count() == 4
+    (tmp_path / "journal" / "entry=run%2F2" / "_SUCCESS").unlink()
+    assert sinks.read_journal(spark, path, schema).count() == 2
+    assert sinks.append_journal(first.limit(1), path, "run/2")
+    assert sinks.read_journal(spark, path, schema).count() == 3
+
+
 def test_prediction_stream_alignment(spark, rows):
     origins = spark.createDataFrame([(1,), (2,), (3,)], "t0 bigint")
     preds = spark.createDataFrame([(1,), (2,), (2,), (7,)], "t0 bigint")
