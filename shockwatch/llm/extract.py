@@ -1,18 +1,24 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes a sequence of text blocks, each with its path of open elements. A small classifier
-prices the two labels of a block (terminal capacities); neighbouring blocks pay for different labels,
-the more the closer they are in reading order and in the element tree (smoothness edges). The
-maximum flow from the content terminal to the boilerplate terminal finds the cheapest labelling; the
-blocks on the content side, joined in page order, are the text.
+A page becomes a sequence of text blocks, each in its place in the tree of elements. A small classifier
+(``block_weights.py``, fitted on generated pages) prices the two labels of a block (terminal capacities);
+neighbouring blocks pay for different labels, the more the closer they are in reading order and in the
+element tree (smoothness edges). The maximum flow from the content terminal to the boilerplate terminal
+finds the cheapest labelling; the blocks on the content side, joined in page order, are the text.
 
-The tag scanner accepts broken markup: tags without an end, unclosed elements, stray end tags, bare
-``<`` and ``&``. Character references are decoded, white space inside a block (line breaks included)
-becomes one space.
+Evidence against content that an element carries (a form, a class "search-results") counts the less the
+more of the page's article stands inside it: what holds nearly all of the text cannot be clutter in it.
+
+The tag scanner follows the attribute rules of HTML: a quote matters only where a value begins, unquoted
+values may hold quotes. It accepts tags without an end, unclosed elements, stray end tags, bare ``<`` and
+``&``. Only script, style, title and textarea reach to the end of the page when they are not closed;
+other elements that are not shown, and are not closed, are gone on in. Character references are decoded,
+white space inside a block (line breaks included) becomes one space.
 
 Defined cases: null or empty html gives the empty text; a page without content blocks too; repeated
-rows and null ids are pages of their own; an empty table gives an empty result; very long pages are
-scanned once, in one pass, and cut by a flow whose graph has a few edges per block; only page_id,
+rows and null ids are pages of their own; an empty table gives an empty result; very long or broken pages
+are scanned in one pass (end tags are indexed once, elements nest at most DEEPEST deep, deeper ones become
+siblings without losing text) and cut by a flow whose graph has a few edges per block; only page_id,
 url and html are read.
 """
 
@@ -20,21 +26,30 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PAIR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+from .block_weights import BIAS, CAP, LENGTH, LINKS, SENTENCE, WEIGHTS
+
+# A quote opens a value only after "="; the quantifiers are possessive, so a failed match is not tried again.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?")  # after a value that never ends
+PAIR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+NAMING = {"class", "id", "role", "aria-label", "itemprop"}
 NOT_SHOWN = re.compile(r"hidden|display", re.I)  # a quick look before the attributes are taken apart
 WORD = re.compile(r"[a-z]+")
+ENDS = re.compile(r"</(script|style|title|textarea)(?=[\s/>])", re.I | re.A)
+ELEMENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)"
+                     r"|<(/?)([a-zA-Z][^\s/<>]*+)", re.S | re.I | re.A)
 
 # Fixed values of HTML: elements by kind.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title"}
+ENDLESS = {"script", "style", "title", "textarea"}
+UNSEEN = {"noscript", "template", "iframe", "svg", "math", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
@@ -42,50 +57,43 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
             "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre",
             "section", "table", "ul"}
+ENDED = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "main", "body", "aside", "nav", "header", "footer"}
 
-# Elements and words of class, id and role that speak for or against content: the weights of the classifier.
-ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -5.0, "form": -5.0, "button": -6.0,
-            "select": -6.0, "menu": -5.0, "dialog": -5.0, "header": -3.5, "head": -8.0, "label": -2.0, "address": -2.0,
-            "p": 0.6, "blockquote": 0.6, "pre": 0.6, "h1": 0.8, "h2": 0.6, "h3": 0.5, "li": -0.1}
-WORDS = {"article": 2.5, "content": 2.0, "post": 1.5, "entry": 1.5, "story": 1.5, "body": 0.8, "text": 0.8, "main": 1.5,
-         "nav": -5.0, "navbar": -5.0, "navigation": -5.0, "menu": -5.0, "breadcrumb": -5.0, "breadcrumbs": -5.0,
-         "header": -3.5, "masthead": -4.0, "banner": -5.0, "footer": -5.0, "foot": -3.0, "contentinfo": -5.0,
-         "copyright": -4.0, "sidebar": -5.0, "side": -3.0, "aside": -5.0, "complementary": -5.0, "widget": -4.0,
-         "related": -4.5, "recommended": -4.5, "ad": -6.0, "ads": -6.0, "advert": -6.0, "adverts": -6.0,
-         "advertisement": -6.0, "sponsor": -5.0, "sponsored": -5.0, "promo": -5.0, "promotion": -5.0, "cookie": -6.0,
-         "cookies": -6.0, "consent": -6.0, "notice": -5.0, "alert": -4.0, "popup": -5.0, "modal": -5.0, "overlay": -4.0,
-         "newsletter": -5.0, "subscribe": -5.0, "signup": -5.0, "login": -5.0, "search": -5.0, "share": -4.5,
-         "sharing": -4.5, "social": -4.5, "comment": -6.0, "comments": -6.0, "reply": -5.0, "replies": -5.0,
-         "respond": -5.0, "disqus": -6.0, "discussion": -4.0, "pagination": -5.0, "pager": -5.0, "tags": -3.0,
-         "toolbar": -4.0, "skip": -4.0, "form": -4.0}
-BIAS, LENGTH, LINKS, SENTENCE, INSIDE = -0.6, 0.9, -5.0, 0.5, 3.0
 CHAIN, TREE = 1.2, 0.6
+DEEPEST = 512
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element: int, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
 
-    def __init__(self, path: tuple[int, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+
+def pairs(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in PAIR.finditer(attributes):
+        yield m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
 
 
-def words_of(attributes: str) -> list[str]:
-    return [w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())]
+def names_of(name: str, attributes: str) -> list[str]:
+    """What the classifier knows an element by: its name, and the words of its naming attributes."""
+    found = [f"<{name}>"] if f"<{name}>" in WEIGHTS else []
+    if attributes and name not in ("html", "body"):
+        words = {w for key, value in pairs(attributes) if key in NAMING for w in WORD.findall(value.lower())}
+        found += sorted(w for w in words if w in WEIGHTS)
+    return found
 
 
 def hidden(attributes: str) -> bool:
     """Whether an element is not shown by its own attributes: hidden, aria-hidden, or display: none in its style."""
     if not NOT_SHOWN.search(attributes):
         return False
-    for m in PAIR.finditer(attributes):
-        name = m[1].lower()
-        if name == "hidden":
-            return True
-        value = entities.unescape(m[2] or m[3] or m[4] or "").strip().lower()
-        if name == "aria-hidden" and value == "true":
+    for name, value in pairs(attributes):
+        value = value.strip().lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style":
             for declaration in value.split(";"):
@@ -96,49 +104,102 @@ def hidden(attributes: str) -> bool:
 
 
 class Page:
-    """Blocks of a page, and the price of every element they stand in."""
+    """Blocks of a page and the tree of elements they stand in."""
 
     def __init__(self, html: str):
+        self.html = html
         self.blocks: list[Block] = []
-        self.names = ["#root"]
-        self.price = [0.0]  # of an element by itself, by element number
-        self.worst, self.good = [0.0], [0.0]  # lowest and highest price on the way from the root
+        self.names, self.parent, self.depth = ["#root"], [-1], [0]
+        self.words: list[list[str]] = [[]]  # by element number, for the classifier
         self.stack, self.parts, self.linked = [0], [], 0
+        self.opened: Counter[str] = Counter()
         self.inside_link = 0
-        at = 0
-        for match in TOKEN.finditer(html):
-            if match.start() < at:
-                continue  # inside the raw text of an element
-            if match.start() > at:
-                self.add(html[at:match.start()])
-            at = match.end()
-            name = match[2]
-            if not name:
+        self.raw_ends: dict[str, list[int]] | None = None
+        self.element_ends: dict[int, int] | None = None
+        self.scan()
+        self.flush()
+
+    def scan(self) -> None:
+        html, at, tag = self.html, 0, TAG
+        while at < len(html):
+            start = html.find("<", at)
+            if start != at:
+                self.add(html[at:start] if start >= 0 else html[at:])
+                if start < 0:
+                    return
+            after = html[start + 1:start + 3]
+            letter = after[1:2] if after[:1] == "/" else after[:1]
+            if not ("a" <= letter <= "z" or "A" <= letter <= "Z"):
+                at = self.markup(start, after)
                 continue
-            name = name.lower()
+            match = tag.match(html, start)
+            if match is None:
+                tag = LOOSE
+                match = tag.match(html, start)
+            at = match.end()
+            name, attributes = match[2].lower(), match[3]
             if match[1]:
                 self.close(name)
                 continue
-            attributes = match[3]
-            if name in RAW or name not in VOID and hidden(attributes):
-                if name not in INLINE:
-                    self.flush()
-                at = self.skip(html, name, at) if not attributes.endswith("/") else at
+            if not attributes.endswith("/"):
+                if name in ENDLESS:
+                    at = self.raw_end(name, at)
+                    continue
+                if name in UNSEEN or name not in VOID and hidden(attributes):
+                    end = self.element_end(start)
+                    if end is not None:
+                        if name not in INLINE and name not in UNSEEN:
+                            self.flush()
+                        at = end
+                        continue
+            elif name in ENDLESS or name in UNSEEN:
                 continue
-            self.open(name, attributes)
-        if at < len(html):
-            self.add(html[at:])
-        self.flush()
-
-    @staticmethod
-    def skip(html: str, name: str, at: int) -> int:
-        """End of an element whose text is not shown; nested elements of the name are counted."""
-        depth = 1
-        for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I | re.A).finditer(html, at):
-            depth += -1 if tag[1] else 0 if name in RAW else 1
-            if not depth:
-                return tag.end()
-        return len(html) if name in RAW else at
+            if name not in UNSEEN:
+                self.open(name, attributes)
+
+    def markup(self, start: int, after: str) -> int:
+        """End of a comment or declaration; a ``<`` that begins neither is text."""
+        html = self.html
+        if after[:1] not in ("!", "?", "/") or not after[:1]:
+            self.add("<")
+            return start + 1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 2)
+            return end + 3 if end >= 0 else len(html)
+        end = html.find(">", start)
+        return end + 1 if end >= 0 else len(html)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Start of the end tag of a raw text element, or the end of the page."""
+        if self.raw_ends is None:
+            self.raw_ends = {}
+            for m in ENDS.finditer(self.html):
+                self.raw_ends.setdefault(m[1].lower(), []).append(m.start())
+        places = self.raw_ends.get(name, [])
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else len(self.html)
+
+    def element_end(self, start: int) -> int | None:
+        """Where the element that begins at ``start`` ends, nested elements of its name counted; None if it is not closed."""
+        if self.element_ends is None:
+            self.element_ends = {}
+            pending: dict[str, list[int]] = {}
+            for m in ELEMENT.finditer(self.html):
+                if not m[3]:
+                    continue
+                name = m[3].lower()
+                if name in VOID:
+                    continue
+                if m[2]:
+                    if pending.get(name):
+                        end = self.html.find(">", m.start())
+                        self.element_ends[pending[name].pop()] = end + 1 if end >= 0 else len(self.html)
+                    continue
+                if name in CLOSES_P and pending.get("p"):
+                    for at in pending.pop("p"):
+                        self.element_ends[at] = m.start()
+                pending.setdefault(name, []).append(m.start())
+        return self.element_ends.get(start)
 
     def add(self, text: str) -> None:
         self.parts.append(text)
@@ -149,9 +210,15 @@ class Page:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(tuple(self.stack), text, self.linked))
+                self.blocks.append(Block(self.stack[-1], text, self.linked))
             self.parts, self.linked = [], 0
 
+    def pop(self, to: int) -> None:
+        """Close all elements from place ``to`` of the stack on."""
+        for element in self.stack[to:]:
+            self.opened[self.names[element]] -= 1
+        del self.stack[to:]
+
     def open(self, name: str, attributes: str) -> None:
         if name in INLINE:
             if name == "br":
@@ -164,25 +231,22 @@ class Page:
         if name in VOID:
             return
         names, stack = self.names, self.stack
-        if name in CLOSES_P and names[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        if name in SAME:
+        if name in CLOSES_P and names[stack[-1]] in ENDED:
+            self.pop(len(stack) - 1)
+        if name in SAME and any(self.opened[x] for x in SAME[name]):
             for at in range(len(stack) - 1, 0, -1):
                 if names[stack[at]] in SAME[name]:
-                    del stack[at:]
+                    self.pop(at)
                     break
                 if names[stack[at]] in SCOPES:
                     break
-        price = ELEMENTS.get(name, 0.0)
-        if attributes and name not in ("html", "body"):
-            found = [WORDS[w] for w in words_of(attributes) if w in WORDS]
-            if found:
-                price += min(found) if min(found) < 0 else max(found)
-        up = stack[-1]
+        if len(stack) > DEEPEST:
+            self.pop(len(stack) - 1)
+        self.parent.append(stack[-1])
+        self.depth.append(len(stack))
         names.append(name)
-        self.price.append(price)
-        self.worst.append(min(self.worst[up], price))
-        self.good.append(max(self.good[up], price))
+        self.words.append(names_of(name, attributes))
+        self.opened[name] += 1
         stack.append(len(names) - 1)
 
     def close(self, name: str) -> None:
@@ -190,46 +254,90 @@ class Page:
             if name == "a":
                 self.inside_link = 0
             return
+        if name in ENDLESS or name in UNSEEN:
+            return
         self.flush()
         self.inside_link = 0
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.names[self.stack[at]] == name:
-                del self.stack[at:]
-                return
+        if self.opened[name]:
+            for at in range(len(self.stack) - 1, 0, -1):
+                if self.names[self.stack[at]] == name:
+                    self.pop(at)
+                    return
+
+
+def shares(page: Page) -> list[float]:
+    """Of each element: how much of the page's article text stands inside it.
+
+    Article text is the unlinked text of elements that say they hold it (article, main) without speaking
+    against it, by themselves or by what they stand in; on pages without such elements, all unlinked text.
+    """
+    n = len(page.names)
+    clean, marked = [True] * n, [False] * n
+    for e in range(1, n):
+        up, words = page.parent[e], page.words[e]
+        against = any(WEIGHTS[w] < 0 and (w[0] != "<" or w in ("<nav>", "<aside>", "<footer>")) for w in words)
+        holds = "<article>" in words or "<main>" in words
+        clean[e] = clean[up] and not against
+        marked[e] = marked[up] and not against or holds and not against and (clean[up] or not marked[up])
+    plain = [0] * n
+    chosen = [0] * n
+    for block in page.blocks:
+        size = max(0, len(block.text) - block.linked)
+        plain[block.element] += size
+        if marked[block.element]:
+            chosen[block.element] += size
+    inside = chosen if any(chosen) else plain
+    for e in range(n - 1, 0, -1):
+        inside[page.parent[e]] += inside[e]
+    return [x / inside[0] if inside[0] else 0.0 for x in inside]
+
+
+def features(page: Page) -> list[tuple[float, float, float, dict[str, float]]]:
+    """(length, links, sentence, strength of every name on the way from the root) of each block."""
+    share = shares(page)
+    known: list[dict[str, float]] = [{}]
+    for e in range(1, len(page.names)):
+        held = known[page.parent[e]]
+        if page.words[e]:
+            strength = 1 - share[e] ** 8
+            against = any(WEIGHTS[w] < -1 for w in page.words[e])
+            # what an outer element says for its content does not speak for clutter inside it
+            held = {w: x * (1 - strength) if against and WEIGHTS[w] > 0 else x for w, x in held.items()}
+            for w in page.words[e]:
+                held[w] = max(held.get(w, 0.0), strength if WEIGHTS[w] < 0 else 1.0)
+        known.append(held)
+    return [(min(1.0, len(b.text) / 120), min(1.0, b.linked / len(b.text)), float(b.text[-1] in ".!?:\"')”»"), known[b.element])
+            for b in page.blocks]
 
 
 def costs(page: Page) -> list[float]:
     """Evidence for content of each block: the price of calling it boilerplate less that of content."""
     out = []
-    for block in page.blocks:
-        at = block.path[-1]
-        size = len(block.text)
-        value = BIAS + page.worst[at] + min(page.good[at], INSIDE) + LINKS * min(1.0, block.linked / size)
-        value += LENGTH * min(1.0, size / 120)
-        if block.text[-1] in ".!?:\"')”»":
-            value += SENTENCE
-        out.append(value)
+    for length, links, sentence, names in features(page):
+        value = BIAS + LENGTH * length + LINKS * links + SENTENCE * sentence
+        value += min(CAP, sum(WEIGHTS[w] * x for w, x in names.items() if WEIGHTS[w] > 0))
+        out.append(value + sum(WEIGHTS[w] * x for w, x in names.items() if WEIGHTS[w] < 0))
     return out
 
 
 def edges(page: Page) -> Iterator[tuple[int, int, float]]:
     """(block, block, capacity): neighbours in reading order, and the last block under the same parent."""
     last: dict[int, int] = {}
-    blocks = page.blocks
+    blocks, parent, depth = page.blocks, page.parent, page.depth
     for i, block in enumerate(blocks):
         if i:
-            before = blocks[i - 1].path
-            common = 0
-            for x, y in zip(before, block.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            apart = len(before) + len(block.path) - 2 * common
+            a, b, apart = blocks[i - 1].element, block.element, 0
+            while a != b:
+                if depth[a] >= depth[b]:
+                    a = parent[a]
+                else:
+                    b = parent[b]
+                apart += 1
             yield i - 1, i, CHAIN / (1 + apart)
-        parent = block.path[-2] if len(block.path) > 1 else block.path[-1]
-        if parent in last and last[parent] != i - 1:
-            yield last[parent], i, TREE / (1 + min(8, i - last[parent]))
-        last[parent] = i
+        up = max(0, parent[block.element])
+        if up in last and last[up] != i - 1:
+            yield last[up], i, TREE / (1 + min(8, i - last[up]))
+        last[up] = i
 
 
 def content_side(evidence: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
