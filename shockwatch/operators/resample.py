@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dimension
+from ..session import dimension, materialize
 from . import graph, shocks
 
 SEED = 20260926
@@ -159,53 +159,113 @@ def stratified_contrast(values: DataFrame, weights: DataFrame, keys: Sequence[st
     return point.withColumn("stable", F.expr(fit)).join(bands, keys, "left")
 
 
-REPS_PER_BLOCK, HOURS_PER_BLOCK = 500, 16
+REPS_PER_BLOCK = 500
+VALUES_PER_SLICE, MOST_SLICES = 1024, 512
+VALUES_PER_GROUP = 200_000
+
+
+def _drawn(pdf: pd.DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Days and their weights, a column per replicate of the block; the last row is a day that was never drawn."""
+    place = {d: i for i, d in enumerate(pdf["_day"])}
+    matrix = np.zeros((len(place) + 1, REPS_PER_BLOCK), np.int64)
+    for i, (at, times) in enumerate(zip(pdf["_at"], pdf["_times"])):
+        matrix[i, np.asarray(at, int)] = np.asarray(times, int)
+    return place, matrix
 
 
 def weighted_medians(curves: DataFrame, weights: DataFrame, reps: int) -> DataFrame:
     """Median of event rows repeated by their weights: ``universe, tier, h, rep, value``.
 
-    Both middle values are averaged, as for a plain median of the repeated rows. Curve values are
-    packed and sorted once per (tier, steps), weights once per block of replicates (days x
-    replicates, bounded by the calendar); a task then takes one running sum over the sorted values
-    for a whole block of replicates.
+    Both middle values are averaged, as for a plain median of the repeated rows. Equal values of a day
+    are merged, and the values of a (tier, step) are cut into slices of about VALUES_PER_SLICE at
+    proposed cuts. Weights times counts give the total of every slice in every replicate, the totals
+    tell which slice holds a replicate's middle, and only that slice is summed up value by value.
+    No row or task holds the events of a tier: a task sees VALUES_PER_GROUP values or so, and the
+    weights (days x REPS_PER_BLOCK) of one block of replicates.
     """
-    points = curves.groupBy("universe", "tier", F.floor(F.col("h") / HOURS_PER_BLOCK).cast("int").alias("_hb")).agg(
-        F.array_sort(F.collect_list(F.struct("h", "ratio", F.concat_ws("|", "period", "day_no").alias("day")))).alias("_p"))
-    points = points.select("universe", "tier", "_hb", *[F.col(f"_p.{c}").alias(c) for c in ("h", "ratio", "day")])
-    drawn = (weights.withColumn("_block", F.floor(F.col("rep") / REPS_PER_BLOCK).cast("int"))
-             .groupBy("universe", "_block", F.concat_ws("|", "period", "day_no").alias("_day"))
-             .agg(F.collect_list(F.struct((F.col("rep") % REPS_PER_BLOCK).cast("int").alias("i"),
-                                          F.col("w").cast("int").alias("w"))).alias("_w"))
-             .groupBy("universe", "_block").agg(
-                 F.collect_list(F.struct("_day", "_w")).alias("_d")).select(
-                     "universe", "_block", F.col("_d._day").alias("days"),
-                     F.transform("_d", lambda x: x["_w"]["i"]).alias("at"), F.transform("_d", lambda x: x["_w"]["w"]).alias("times")))
-    width = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = points.join(drawn, "universe").repartition(width, "universe", "tier", "_hb", "_block")
-
-    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = ["universe", "tier", "h"]
+    counted = curves.filter("ratio is not null").groupBy(
+        *keys, F.col("ratio").cast("double").alias("ratio"), F.concat_ws("|", "period", "day_no").alias("_day")).agg(
+        F.count("*").alias("_c"))
+    counted = materialize(counted, "median-values")
+    step = F.greatest(F.lit(1), F.floor(F.lit(MOST_SLICES * VALUES_PER_SLICE) / F.count("*")))
+    cuts = dimension(counted.groupBy(*keys).agg(
+        F.percentile_approx("ratio", [i / MOST_SLICES for i in range(1, MOST_SLICES)], 10_000).alias("_all"),
+        step.alias("_step")).select(*keys, F.filter("_all", lambda c, i: (i + 1) % F.col("_step") == 0).alias("_cuts")), "cuts")
+    packed = materialize(
+        counted.join(cuts, keys).withColumn("_s", F.size(F.filter("_cuts", lambda c: c < F.col("ratio"))))
+        .groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct("ratio", "_day", "_c"))).alias("_p"))
+        .select(*keys, "_s", *[F.col(f"_p.{c}").alias(c) for c in ("ratio", "_day", "_c")]), "median-slices")
+    most = packed.groupBy("universe").agg(F.sum(F.size("ratio")).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts, blocks = 1 + most // VALUES_PER_GROUP, -(-reps // REPS_PER_BLOCK)
+    part = F.pmod(F.xxhash64("tier", "h", "_s"), F.lit(parts)).cast("int").alias("_part")
+    drawn = materialize(weights.filter(F.col("rep") < reps).groupBy(
+        "universe", F.floor(F.col("rep") / REPS_PER_BLOCK).cast("int").alias("_block"),
+        F.concat_ws("|", "period", "day_no").alias("_day")).agg(
+        F.collect_list(F.struct((F.col("rep") % REPS_PER_BLOCK).cast("int").alias("i"), F.col("w").cast("int").alias("w"))).alias("_w"))
+        .select("universe", "_block", "_day", F.col("_w.i").alias("_at"), F.col("_w.w").alias("_times")), "median-weights")
+    drawn = drawn.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("universe", "_block", "_part")
+
+    def totals(values: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
+        place, matrix = _drawn(days)
+        out = [np.asarray(r._3, np.int64) @ matrix[[place.get(d, len(place)) for d in r._2]]
+               for r in values[["ratio", "_day", "_c"]].itertuples()]
+        return values[["universe", "tier", "h", "_s", "_block"]].assign(_totals=out)
+
+    spread = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", part)
+    summed = spread.groupBy("universe", "_block", "_part").cogroup(drawn).applyInPandas(
+        totals, "universe string, tier string, h int, _s int, _block int, _totals array<bigint>")
+    steps = summed.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("_s", "_totals"))).alias("_t"))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Which slice holds the lower and the upper middle of each replicate, and its rank in there."""
         for pdf in batches:
-            for row in pdf.itertuples():
-                place = {d: i for i, d in enumerate(row.days)}
-                matrix = np.zeros((len(place) + 1, REPS_PER_BLOCK), np.int64)  # a day that was never drawn is the last row
-                for i, (at, times) in enumerate(zip(row.at, row.times)):
-                    matrix[i, np.asarray(at, int)] = np.asarray(times, int)
-                h, ratio = np.asarray(row.h), np.asarray(row.ratio, float)
-                day = np.array([place.get(d, len(place)) for d in row.day])
-                for step in np.unique(h):
-                    mine = np.flatnonzero(h == step)  # sorted by ratio
-                    upto = matrix[day[mine]].cumsum(axis=0)
-                    total = upto[-1]
-                    low = (upto > (total - 1) // 2).argmax(axis=0)
-                    high = (upto > total // 2).argmax(axis=0)
-                    used = np.flatnonzero(total > 0)
-                    value = (ratio[mine][low] + ratio[mine][high]) / 2
-                    yield pd.DataFrame({"universe": row.universe, "tier": row.tier, "h": int(step),
-                                        "rep": row.block * REPS_PER_BLOCK + used, "value": value[used]})
-
-    return work.withColumnRenamed("_block", "block").mapInPandas(
-        medians, "universe string, tier string, h int, rep bigint, value double").filter(F.col("rep") < reps)
+            found = []
+            for universe, tier, h, block, slices in pdf.itertuples(index=False):
+                number = np.array([x["_s"] for x in slices])
+                upto = np.cumsum([x["_totals"] for x in slices], axis=0)
+                total = upto[-1]
+                used = np.flatnonzero(total > 0)
+                for rank, upper in (((total - 1) // 2, False), (total // 2, True)):
+                    at = (upto > rank).argmax(axis=0)
+                    local = rank - np.where(at > 0, upto[at - 1, np.arange(len(at))], 0)
+                    for k in np.unique(at[used]):
+                        mine = used[at[used] == k]
+                        found.append((universe, tier, h, int(number[k]), block, upper, mine.tolist(), local[mine].tolist()))
+            yield pd.DataFrame(found, columns=["universe", "tier", "h", "_s", "_block", "_upper", "_reps", "_ranks"])
+
+    wanted = steps.select(*keys, "_block", "_t").mapInPandas(
+        places, "universe string, tier string, h int, _s int, _block int, _upper boolean, _reps array<int>, _ranks array<bigint>")
+    wanted = wanted.groupBy(*keys, "_s", "_block").agg(*[
+        F.max(F.when(F.col("_upper") == upper, F.col(c))).alias(c + name)
+        for upper, name in ((False, "_low"), (True, "_high")) for c in ("_reps", "_ranks")])
+
+    def middles(values: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
+        """Both middle values of a replicate, or the one of them that lies in the slice."""
+        place, matrix = _drawn(days)
+        out = []
+        for row in values.to_dict("records"):
+            ratio, count = np.asarray(row["ratio"], float), np.asarray(row["_c"], np.int64)
+            upto = (matrix[[place.get(d, len(place)) for d in row["_day"]]] * count[:, None]).cumsum(axis=0)
+            halves = {}
+            for name in ("_low", "_high"):
+                halves[name] = np.full(REPS_PER_BLOCK, np.nan)
+                if row["_reps" + name] is not None:
+                    rep, rank = np.asarray(row["_reps" + name], int), np.asarray(row["_ranks" + name])
+                    halves[name][rep] = ratio[(upto[:, rep] > rank).argmax(axis=0)]
+            rep = np.flatnonzero(~(np.isnan(halves["_low"]) & np.isnan(halves["_high"])))
+            out.append(pd.DataFrame({"universe": row["universe"], "tier": row["tier"], "h": row["h"],
+                                     "rep": row["_block"] * REPS_PER_BLOCK + rep, "low": halves["_low"][rep], "high": halves["_high"][rep]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["universe", "tier", "h", "rep", "low", "high"])
+
+    found = materialize(packed.join(wanted, [*keys, "_s"]).select("*", part).groupBy("universe", "_block", "_part").cogroup(
+        drawn).applyInPandas(middles, "universe string, tier string, h int, rep bigint, low double, high double"), "median-halves")
+    low, high = F.nanvl("low", F.lit(None)), F.nanvl("high", F.lit(None))
+    found = found.select(*keys, "rep", low.alias("low"), high.alias("high"))
+    both = F.col("low").isNotNull() & F.col("high").isNotNull()
+    value = ((F.col("low") + F.col("high")) / 2).alias("value")
+    apart = found.filter(~both).groupBy(*keys, "rep").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    return found.filter(both).select(*keys, "rep", value).unionByName(apart.select(*keys, "rep", value))
 
 
 def simultaneous_band(replicates: DataFrame, points: DataFrame, keys: Sequence[str],

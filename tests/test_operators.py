@@ -414,6 +414,24 @@ def test_weighted_medians(spark, monkeypatch):
             assert got.get((h, rep)) == (pytest.approx(np.median(repeated)) if repeated else None)
 
 
+def test_weighted_medians_over_many_slices_and_groups(spark, monkeypatch):
+    for name, value in (("REPS_PER_BLOCK", 8), ("VALUES_PER_SLICE", 4), ("VALUES_PER_GROUP", 50)):
+        monkeypatch.setattr(resample, name, value)
+    rng = np.random.default_rng(9)
+    days, reps = 30, 20
+    data = [("g", t, h, float(rng.integers(0, 40)) / 8, "p", int(rng.integers(0, days))) for t in "xy" for h in range(3) for _ in range(150)]
+    data += [("g", "x", 0, 2.5, "p", 3)] * 100  # a value that many rows share
+    curves = spark.createDataFrame(data, "universe string, tier string, h int, ratio double, period string, day_no int")
+    weight = rng.integers(0, 3, (days, reps))
+    weight[:, 7] = 0
+    weights = spark.createDataFrame([("g", "p", d, rep, int(w)) for (d, rep), w in np.ndenumerate(weight) if w],
+                                    "universe string, period string, day_no int, rep int, w int")
+    got = {(r.tier, r.h, r.rep): r.value for r in resample.weighted_medians(curves, weights, reps).collect()}
+    assert len(got) == 2 * 3 * (reps - 1)
+    for (tier, h, rep), value in got.items():
+        assert value == np.median([v for _, t, hh, v, _, d in data if (t, hh) == (tier, h) for _ in range(weight[d, rep])])
+
+
 @pytest.mark.parametrize("flags, want", [((0, 1, 1), None), ((1, 0, 1), 10), ((1, 1, 1), 30)])
 def test_advantage_radius(spark, flags, want):
     data = [("u", "x", i, m, 1.0 if m == "b" else (0.5 if f else 2.0))
