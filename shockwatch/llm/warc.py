@@ -1,6 +1,7 @@
 """Dictionary-compressed WARC archives (.warc.zst): written, and read back.
 
-A task trains a Zstandard dictionary from the first records of an archive (TRAIN_BYTES at most),
+A task trains a Zstandard dictionary from the first records of an archive (TRAIN_BYTES at most; an archive
+of too few records to train from takes their last bytes as a dictionary of plain content),
 writes it as a leading skippable frame, and compresses every record as a frame of its own, so any
 record can be read with the dictionary alone. Archives are closed at ARCHIVE_BYTES. Files get names
 of their own per attempt and are moved into place when complete; only archives in the stored list of
@@ -33,6 +34,7 @@ from shockwatch.session import run_dir
 from .common import store, text_of
 
 MAGIC = 0x184D2A5D
+FORMATTED = bytes.fromhex("37a430ec")  # how a trained dictionary begins; others are content as it is
 DICTIONARY, TRAIN_BYTES, ARCHIVE_BYTES = 64 << 10, 2 << 20, 64 << 20
 LEVEL, READ = 6, 64 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -86,12 +88,15 @@ def parse(raw: bytes) -> dict:
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """A dictionary trained from records, or none where they are too few to train from."""
+    """A dictionary trained from records; where they are too few to train from, their last bytes as they are."""
     import zstandard
     try:
         return zstandard.train_dictionary(DICTIONARY, records, k=512, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except zstandard.ZstdError as error:
+        if "Src size" not in str(error):
+            raise
+    raw = b"".join(records)[-DICTIONARY:]
+    return raw[1:] if raw.startswith(FORMATTED) else raw
 
 
 class Archive:

@@ -120,11 +120,27 @@ def test_archive_layout_and_single_record_access(tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == [name]
 
 
-def test_archive_of_few_records_has_no_dictionary(tmp_path):
-    archive = warc.Archive(str(tmp_path))
-    archive.add(warc.record(1, None, b"", None))
-    name = archive.close().column("archive")[0].as_py()
-    assert warc.parse(next(warc.records(str(tmp_path), name)))["url"] == "urn:page:1"
+def test_archive_of_few_records_has_a_plain_dictionary(tmp_path):
+    for n in (1, 2, 5):
+        archive = warc.Archive(str(tmp_path))
+        raws = [warc.record(i, None, prose(40, i).encode() * (i % 2), None) for i in range(n)]
+        for raw in raws:
+            archive.add(raw)
+        name = archive.close().column("archive")[0].as_py()
+        data = (tmp_path / name).read_bytes()
+        size = int.from_bytes(data[4:8], "little")
+        assert data[:4] == bytes.fromhex("5d2a4d18") and data[8:8 + size] == b"".join(raws)[-size:]
+        assert list(warc.records(str(tmp_path), name)) == raws
+
+
+def test_errors_other_than_too_few_records_are_not_hidden(monkeypatch):
+    import zstandard
+
+    def refuse(*_, **__):
+        raise zstandard.ZstdError("cannot train dict: Allocation error")
+    monkeypatch.setattr(zstandard, "train_dictionary", refuse)
+    with pytest.raises(zstandard.ZstdError):
+        warc.dictionary([b"x" * 100])
 
 
 def test_damage_is_noticed(tmp_path):
