@@ -30,7 +30,8 @@ from .common import ROWS_PER_BUCKET, store, text_of, uniform
 
 CAP = 3
 TOLERANCE = 1e-9
-MAX_STEPS = 80
+MAX_STEPS = 200
+EXACT = "decimal(38,12)"  # sums that decide whole numbers do not depend on the order of their terms
 
 
 def words(column: str = "text") -> Column:
@@ -82,8 +83,8 @@ def solve(sizes: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
         tilted = F.exp(F.least(F.col("tilt") * z, F.lit(50.0)))
         tokens = F.col("documents") * F.col("size")
         sums = histogram.join(state.filter("not saturated").select("rank", "mean", "tilt"), "rank").groupBy("rank").agg(
-            F.sum(tokens * F.least(tilted, F.lit(float(cap)))).alias("reached"),
-            F.sum(F.when(tilted < cap, tokens * tilted * z).otherwise(0.0)).alias("slope"))
+            F.sum((tokens * F.least(tilted, F.lit(float(cap)))).cast(EXACT)).cast("double").alias("reached"),
+            F.sum(F.when(tilted < cap, tokens * tilted * z).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"))
         moved = state.join(sums, "rank", "left").withColumns({
             "low": F.when(F.col("reached") < F.col("target"), F.col("tilt")).otherwise(F.col("low")),
             "high": F.when(F.col("reached") > F.col("target"), F.col("tilt")).otherwise(F.col("high")),
@@ -97,6 +98,9 @@ def solve(sizes: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
             "rank", "mean", "target", "saturated", "tilt", "gap", "low", "high"), "mix-state")
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        worst = state.orderBy(F.desc("gap")).first()
+        raise ArithmeticError(f"source of rank {worst['rank']} is {worst['gap']:.2e} off its target after {MAX_STEPS} steps")
     return state.select("rank", "mean", F.when(~F.col("saturated"), F.col("tilt")).alias("tilt"))
 
 
@@ -116,7 +120,7 @@ def taken_words(docs: DataFrame, cap: int = CAP) -> DataFrame:
     rated = store(rated, "mix-rates")
     # small tables are stored: their size is known then, and rows are dealt by (source, bucket) alone
     per_source = store(rated.groupBy("rank").agg(
-        F.sum(F.col("_whole") * F.col("size")).alias("_fixed"), F.avg("_part").alias("_mean_part"),
+        F.sum(F.col("_whole") * F.col("size")).alias("_fixed"), (F.sum(F.col("_part").cast(EXACT)).cast("double") / F.count("*")).alias("_mean_part"),
         F.ceil(F.count("*") / ROWS_PER_BUCKET).alias("_width")), "mix-sources")
     # the order of u / part, mapped to (0, 1) so that buckets of a source hold about as many rows
     scaled = F.col("_u") / F.col("_part") * F.col("_mean_part")
@@ -147,7 +151,7 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The mixture itself: a row per whole copy, and the cut copy that completes a source.
 
     A document of size 0 stays once (it takes no words). The columns are those of ``docs``; a cut copy
-    has its first words, joined by single spaces, and ``n_chars`` follows where there is one.
+    is the beginning of its text, white space and all, up to its last word, and ``n_chars`` follows where there is one.
     """
     found = store(taken_words(docs, cap).select(
         F.col("doc_id").alias("_m_id"), F.col("text_key").alias("_m_key"), F.col("size").alias("_m_size"),
@@ -165,8 +169,8 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     each = joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     left = F.col("_m_taken") - (F.col("_m_copy") - 1) * F.col("_m_size")
     cut = (F.col("_m_size") > 0) & (left < F.col("_m_size"))
-    blank = r"[\x20\x09-\x0D]+"
-    head = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{blank}", ""), blank), 1, left.cast("int")), " ")
+    # cut behind words: a part is a word with the white space before it, so parts join to the text as it was
+    head = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, left.cast("int")), "")
     out = each.withColumn("_m_cut", cut).withColumn("text", F.when(F.col("_m_cut"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_m_cut"), F.length("text").cast(docs.schema["n_chars"].dataType))
