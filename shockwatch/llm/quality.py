@@ -239,8 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(out)],
                                              names=["doc_id", "target", "rows"])
 
-    chosen = labels.filter(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(
-        F.avg(label).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # labels without a document do not use up the sample
+    chosen = labels.filter(F.col(label).isNotNull() & ~held_out()).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy(
+        "doc_id").agg(F.avg(label).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
     found = sorted(sample.mapInArrow(describe, "doc_id long, target double, rows binary").collect(),
                    key=lambda r: (r["doc_id"], bytes(r["rows"])))

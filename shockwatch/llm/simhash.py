@@ -190,18 +190,25 @@ def links(codes: DataFrame, distance: int = 2) -> DataFrame:
     return work.mapInArrow(resolve, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, size: int = WORDS) -> DataFrame:
-    """Every row: doc_id, text_key, fp, and component_id, the smallest doc_id reachable over links."""
+def near_duplicates(docs: DataFrame, distance: int = 2, size: int = WORDS, keyed: bool = False) -> DataFrame:
+    """Every row: doc_id, text_key, fp, and component_id, the smallest doc_id reachable over links.
+
+    With ``keyed`` also component_key, the smallest fingerprint of the component, known where all its ids are null.
+    """
     rows = store(fingerprints(docs, size), "simhash-rows")
     classes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     grouped = components(links(classes.select("fp"), distance))
     linked = grouped.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "least")
+    found, given = ["component_id"], {"component_id": F.col("least")}
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = store(linked.join(least, "component").select("fp", "component_id"), "simhash-components")
+    if keyed:
+        least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("fp").alias("component_key"))
+        found, given = [*found, "component_key"], given | {"component_key": F.col("fp")}
+    ids = store(linked.join(least, "component").select("fp", *found), "simhash-components")
     named = store(classes.join(ids.withColumn("_in", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")),
+        "fp", *[F.when(F.col("_in"), F.col(c)).otherwise(given[c]).alias(c) for c in found]),
         "simhash-named")  # stored, so that a hot fingerprint can be split in the last join
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_key", "fp", *found)
 
 
 def report(docs: DataFrame, distance: int = 2, size: int = WORDS) -> DataFrame:
@@ -213,19 +220,19 @@ def report(docs: DataFrame, distance: int = 2, size: int = WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = 2, size: int = WORDS) -> DataFrame:
     """One row of each component, that with the smallest doc_id; all columns as they were.
 
-    Rows that share this id keep the one with the smallest text key; the same row stored twice stays once.
+    Rows that share this id, or the rows of a component without any id, keep the one with the smallest
+    text key; the same row stored twice stays once.
     """
-    found = store(near_duplicates(docs, distance, size), "simhash-report")
+    found = store(near_duplicates(docs, distance, size, keyed=True), "simhash-report")
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    clash = first.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("_key"), F.count("*").alias("_n"))
+    clash = first.groupBy("component_key").agg(F.min("text_key").alias("_key"), F.count("*").alias("_n"))
     dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key")
-    several = clash.filter("_n > 1 and doc_id is not null")
-    dropped = dropped.unionByName(first.join(several.select("doc_id", "_key"), "doc_id").filter(
+    several = clash.filter("_n > 1")
+    dropped = dropped.unionByName(first.join(several.select("component_key", "_key"), "component_key").filter(
         "text_key <> _key").select("doc_id", "text_key")).distinct()
     kept = without(docs, dropped, {"doc_id": F.col("doc_id"), "text_key": F.xxhash64(text_of())})
     if several.isEmpty():
         return kept
     order = Window.partitionBy("doc_id", "_llm_key").orderBy(*[c for c in docs.columns if c != "text"])
     return kept.withColumn("_llm_key", F.xxhash64(text_of())).withColumn(
-        "_llm_row", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).filter(
-        "_llm_row = 1").drop("_llm_row", "_llm_key")
+        "_llm_row", F.row_number().over(order)).filter("_llm_row = 1").drop("_llm_row", "_llm_key")

@@ -158,6 +158,19 @@ def test_keep_one_row_per_component(spark):
     assert simhash.report(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_component_without_ids_keeps_one_row(spark):
+    text, other = prose(400, 3), prose(60, 4)
+    rows = [(None, text), (None, text), (None, text + " end"), (None, other), (7, "some other words here"), (None, "some other words here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    for width in (1, 4):
+        kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs.repartition(width), distance=64).collect()]
+        assert kept == [(7, "some other words here")]
+        apart = [(r.doc_id, r.text) for r in simhash.keep_one(docs.filter("doc_id is null").repartition(width), distance=0).collect()]
+        assert len(apart) == len(set(apart)) and (None, other) in apart and (None, text) in apart
+        alone = simhash.keep_one(docs.filter("doc_id is null").repartition(width), distance=64).collect()
+        assert len(alone) == 1
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(2)
     names = rng.sample(range(10**9), 3000)
