@@ -13,7 +13,7 @@ from shockwatch.llm.common import store, table
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
-    assert {k.split("_")[0] for k in names if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in names if k.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5
 
 
