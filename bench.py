@@ -48,8 +48,7 @@ def month_job(spark, path: str) -> int:
     """Load and validate the month, cut rolling windows and compute their realised risk; the number of bars."""
     bars = klines.parse(klines.scan(spark, path, r"asset=(A\d)/()")).withColumn("universe", F.lit("minutes")).withColumn(
         "idx", ((F.col("open_us") - 1_735_689_600_000_000) / klines.MINUTE_US).cast("long")).filter("reason is null")
-    n = bars.groupBy("universe").agg((F.max("idx") + 1).alias("n"))
-    truth = windows.truth_risk(windows.market_windows(windows.rolling_origins(n), bars))
+    truth = windows.truth_risk(windows.rolling_windows(bars))
     truth.write.format("noop").mode("overwrite").save()
     return MINUTES * ASSETS
 

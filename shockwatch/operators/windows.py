@@ -62,6 +62,43 @@ def calendar_origins(spans: DataFrame, per_day: int, stride: int, bars_per_day:
     return evenly_spaced(grid, ("universe", "day_no"), ("t0",), per_day)
 
 
+def _packed(bars: DataFrame, lookback: int, horizon: int, chunk: int) -> DataFrame:
+    """The closes of every chunk of an asset with the halo its windows need, ``_p`` from bar ``_first`` on.
+
+    Partitioned by (universe, chunk), so that packing and a join with origins share it.
+    """
+    point = F.struct(F.col("idx").alias("i"), F.col("close").alias("c"))
+    return (with_halo(bars.select("universe", "asset", "idx", "close"), lookback - 1, horizon, chunk=chunk)
+            .repartition("universe", "_chunk")
+            .groupBy("universe", "_chunk", "asset")
+            .agg(F.min("idx").alias("_first"), F.array_sort(F.collect_list(point)).alias("_p"))
+            .withColumn("_p", F.col("_p.c")))
+
+
+def _cut(t0: Column, lookback: int, horizon: int) -> Column:
+    """The window of one origin as slices of its chunk."""
+    at = (t0 - F.col("_first") + 1).cast("int")
+    start = F.greatest(at - lookback + 1, F.lit(1))
+    return F.struct(t0.alias("t0"), F.slice("_p", start, at - start + 1).alias("hist"),
+                    F.slice("_p", at + 1, F.lit(horizon)).alias("fut"))
+
+
+def rolling_windows(bars: DataFrame, stride: int = HORIZON, lookback: int = LOOKBACK,
+                    horizon: int = HORIZON, chunk: int = CHUNK) -> DataFrame:
+    """The ready windows at every ``stride``-th bar, as ``market_windows`` gives them for ``rolling_origins``.
+
+    Every chunk knows its own origins from its place on the grid, so there is no fold plan, no join
+    and one shuffle of the bars. ``bars`` must be a dense grid; empty bars give no windows.
+    """
+    start = F.greatest(F.col("_chunk") * chunk, F.lit(lookback - 1))
+    first = start + F.pmod(F.lit(lookback - 1) - start, F.lit(stride))
+    last = F.least((F.col("_chunk") + 1) * chunk, F.col("_first") + F.size("_p") - horizon) - 1
+    places = F.when(first <= last, F.sequence(first, last, F.lit(stride).cast("long")))
+    return (_packed(bars, lookback, horizon, chunk)
+            .select("universe", "asset", F.explode(F.transform(places, lambda t0: _cut(t0, lookback, horizon))).alias("_w"))
+            .select("universe", "_w.t0", "asset", "_w.hist", "_w.fut", F.lit("ready").alias("status")))
+
+
 def market_windows(origins: DataFrame, bars: DataFrame, lookback: int = LOOKBACK,
                    horizon: int = HORIZON, chunk: int = CHUNK) -> DataFrame:
     """Per (origin, asset): the closes up to the origin and those after it.
@@ -74,26 +111,13 @@ def market_windows(origins: DataFrame, bars: DataFrame, lookback: int = LOOKBACK
     its windows need, and the windows are slices of that array. Each bar is shuffled once (plus
     the halo), not once per window. ``bars`` must be a dense grid.
     """
-    point = F.struct(F.col("idx").alias("i"), F.col("close").alias("c"))
-    # Partitioned by (universe, chunk) so that packing and the join with origins share it.
-    packed = (with_halo(bars.select("universe", "asset", "idx", "close"), lookback - 1, horizon,
-                        chunk=chunk)
-              .repartition("universe", "_chunk")
-              .groupBy("universe", "_chunk", "asset")
-              .agg(F.min("idx").alias("_first"), F.array_sort(F.collect_list(point)).alias("_p"))
-              .withColumn("_p", F.transform("_p", lambda p: p["c"])))
+    packed = _packed(bars, lookback, horizon, chunk)
     wanted = (origins.select("universe", "t0").distinct()
               .groupBy("universe", F.floor(F.col("t0") / chunk).cast("long").alias("_chunk"))
               .agg(F.collect_list("t0").alias("_t0")))
 
-    def cut(t0: Column) -> Column:
-        at = (t0 - F.col("_first") + 1).cast("int")
-        start = F.greatest(at - lookback + 1, F.lit(1))
-        return F.struct(t0.alias("t0"), F.slice("_p", start, at - start + 1).alias("hist"),
-                        F.slice("_p", at + 1, F.lit(horizon)).alias("fut"))
-
     rows = (packed.join(wanted, ["universe", "_chunk"])
-            .select("universe", "asset", F.explode(F.transform("_t0", cut)).alias("_w"))
+            .select("universe", "asset", F.explode(F.transform("_t0", lambda t0: _cut(t0, lookback, horizon))).alias("_w"))
             .select("universe", "_w.t0", "asset", "_w.hist", "_w.fut"))
     whole = F.size("fut") == horizon
     return (rows.withColumn("status", F.when(F.size("hist") != lookback, "no_history")

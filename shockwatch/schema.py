@@ -30,4 +30,3 @@ SNAPSHOT = ("universe STRING, asset STRING, ts TIMESTAMP, close DOUBLE, vol30 DO
 # cell is kept and explained instead of silently becoming null.
 KLINE_COLUMNS = ("open_us", "open", "high", "low", "close", "volume", "close_us", "quote_amount",
                  "trades", "taker_base", "taker_quote", "ignored")
-KLINE = ", ".join(f"{name} STRING" for name in KLINE_COLUMNS)

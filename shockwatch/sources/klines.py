@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import bar_reason
-from ..schema import KLINE, KLINE_COLUMNS
+from ..schema import KLINE_COLUMNS
 
 FILE_PATTERN = r"([A-Z0-9]+)USDT-1m-(\d{4}-\d{2})\.csv"
 MINUTE_US = 60_000_000
@@ -19,8 +19,9 @@ MINUTE_US = 60_000_000
 
 def scan(spark: SparkSession, path: str, pattern: str = FILE_PATTERN) -> DataFrame:
     """Lines of headerless 12-column CSV files, their cells, asset and month from the file path."""
-    # the path comes as a URI, in which a plus stands for itself
-    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    uri = F.col("_metadata.file_path")
+    # the path comes as a URI, in which a plus stands for itself; most paths have nothing to decode
+    name = F.when(F.contains(uri, F.lit("%")), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
     lines = (spark.read.option("recursiveFileLookup", "true").text(path)
              .select("value", F.regexp_extract(name, pattern, 1).alias("asset"),
                      F.regexp_extract(name, pattern, 2).alias("month")))
@@ -28,9 +29,15 @@ def scan(spark: SparkSession, path: str, pattern: str = FILE_PATTERN) -> DataFra
 
 
 def cells(lines: DataFrame) -> DataFrame:
-    """The text cells of ``value`` as kline columns, and ``fields``, how many the line really has."""
-    return lines.withColumn("_k", F.from_csv("value", KLINE)).withColumn(
-        "fields", F.size(F.split("value", ",", -1))).select("*", "_k.*").drop("_k", "value")
+    """The text cells of ``value`` as kline columns, and ``fields``, how many the line really has.
+
+    A line is split once, behind a generator: filters on the cells are not pushed below it, where
+    every condition would split the line anew. An empty cell is null.
+    """
+    rest = [c for c in lines.columns if c != "value"]
+    split = lines.select(*rest, F.explode(F.array(F.split("value", ",", -1))).alias("_c"))
+    return split.select(*rest, F.size("_c").alias("fields"),
+                        *[F.nullif(F.get("_c", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(KLINE_COLUMNS)])
 
 
 def parse(rows: DataFrame, step_us: int = MINUTE_US, digits: tuple[int, ...] = (16,)) -> DataFrame:
@@ -42,8 +49,10 @@ def parse(rows: DataFrame, step_us: int = MINUTE_US, digits: tuple[int, ...] = (
     num = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}
     num["amount"] = F.expr("try_cast(quote_amount AS DOUBLE)")
     stamps = {c: F.expr(f"try_cast({c} AS BIGINT)") for c in ("open_us", "close_us")}
-    typed = rows.select("asset", "month", "fields", F.length("open_us").alias("_digits"),
+    # one struct behind a generator: the many conditions of the reason read it, and none converts a text again
+    cells_of = F.struct("fields", F.coalesce(F.length("open_us"), F.lit(0)).alias("_digits"),
                         *[c.alias(k) for k, c in stamps.items()], *[c.alias(k) for k, c in num.items()])
+    typed = rows.select("asset", "month", F.explode(F.array(cells_of)).alias("_t")).select("asset", "month", "_t.*")
     bad_stamp = ~F.col("_digits").isin(*digits) | F.col("open_us").isNull()
     reason = (F.when(F.col("fields") != len(KLINE_COLUMNS), "wrong_columns").when(bad_stamp, "bad_stamp")
               .when(F.pmod("open_us", F.lit(step_us)) != 0, "off_grid")

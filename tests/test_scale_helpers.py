@@ -14,7 +14,7 @@ from shockwatch.operators.bandjoin import band_join
 from shockwatch.operators.halo import chunk_window, drop_halo, with_halo
 from shockwatch.operators.quantiles import exact_quantiles
 from shockwatch.operators.scan import assign_anchors
-from shockwatch.operators.windows import evenly_spaced, market_windows
+from shockwatch.operators.windows import evenly_spaced, market_windows, rolling_origins, rolling_windows
 
 
 def greedy(marks, span):
@@ -140,3 +140,15 @@ def test_market_windows_are_slices(spark, chunk):
         full = r.t0 + ahead < n
         assert r.fut == ([float(r.t0 + j + base) for j in range(1, ahead + 1)] if full else [])
         assert r.status == ("no_history" if r.t0 < look - 1 else "ready" if full else "pending_truth")
+
+
+@pytest.mark.parametrize(("chunk", "stride", "length"), [(16, 3, 70), (8, 5, 41), (64, 4, 200), (16, 20, 15), (16, 3, 9), (16, 3, 0)])
+def test_rolling_windows_need_no_plan(spark, chunk, stride, length):
+    look, ahead = 7, 4
+    rows = [("u", a, i, float(i + 1000 * k)) for k, a in enumerate("AB") for i in range(length)] + [("v", "C", i, float(i)) for i in range(33)]
+    bars = spark.createDataFrame(rows, "universe string, asset string, idx bigint, close double")
+    spans = bars.groupBy("universe").agg((F.max("idx") + 1).alias("n"))
+    planned = market_windows(rolling_origins(spans, stride, look, ahead), bars, look, ahead, chunk)
+    got = rolling_windows(bars, stride, look, ahead, chunk).select(*planned.columns)
+    assert sorted(got.collect()) == sorted(planned.collect())
+    assert {r.status for r in got.collect()} <= {"ready"}
