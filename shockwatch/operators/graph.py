@@ -127,13 +127,11 @@ def strongest_edges(edges: DataFrame) -> DataFrame:
 
 
 def numeric(prints: DataFrame) -> DataFrame:
-    """Fingerprints as four number arrays (presence, direction, log magnitude, delay) and their bit mask."""
+    """Fingerprints as four number arrays: presence, direction, log magnitude and delay."""
     def column(value: Callable[[Column], Column]) -> Column:
         return F.transform("fp", lambda s: F.coalesce(value(s).cast("double"), F.lit(0.0)))
 
-    bits = F.aggregate("fp", F.lit(0).cast("long"), lambda acc, s: F.shiftleft(acc, 1).bitwiseOR(
-        F.coalesce(s["present"], F.lit(False)).cast("long")))
-    return prints.select(*[c for c in prints.columns if c != "fp"], F.size("fp").alias("n"), bits.alias("mask"),
+    return prints.select(*[c for c in prints.columns if c != "fp"], F.size("fp").alias("n"),
                          column(lambda s: s["present"]).alias("p"), column(lambda s: s["direction"]).alias("d"),
                          column(lambda s: F.log1p(s["magnitude"])).alias("m"), column(lambda s: s["delay"]).alias("l"))
 
@@ -145,17 +143,40 @@ def stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def distances(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Mean slot distance of every left row to every right row, one asset column at a time."""
-    total = np.zeros((len(left[0]), len(right[0])))
+    """Mean slot distance of every left row to every right row."""
+    i, j = np.divmod(np.arange(len(left[0]) * len(right[0])), max(len(right[0]), 1))
+    return pair_distances(left, right, i, j).reshape(len(left[0]), len(right[0]))
+
+
+def pair_distances(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Mean slot distance of left rows ``i`` to right rows ``j``, one asset column at a time."""
+    total = np.zeros(len(i))
     for a in range(left[0].shape[1]):
-        lp, rp = left[0][:, a, None], right[0][None, :, a]
-        dz = np.abs(left[2][:, a, None] - right[2][None, :, a])
-        both = ((left[1][:, a, None] != right[1][None, :, a]) + dz / (1 + dz)
-                + np.abs(left[3][:, a, None] - right[3][None, :, a]) / 30) / 3
+        (lp, ld, lm, ll), (rp, rd, rm, rl) = ([x[:, a][at] for x in side] for side, at in ((left, i), (right, j)))
+        dz = np.abs(lm - rm)
+        both = ((ld != rd) + dz / (1 + dz) + np.abs(ll - rl) / 30) / 3
         total += np.where(lp & rp, both, (lp != rp).astype(float))
     return np.round(total / left[0].shape[1], 12)
 
 
+def mask_mismatch(left: np.ndarray, right: np.ndarray, low: int, high: int, segment: int) -> np.ndarray:
+    """In how many assets the presence of each pair differs; -1 where the pair is not this bucket's to look at.
+
+    A bucket holds the prints that agree in one segment. The pair belongs to the first segment in
+    which it agrees, and to the pass whose range holds its mismatch.
+    """
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(np.float32), b.astype(np.float32)
+        return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+
+    found = apart(left, right)
+    mine = (found >= low) & (found <= high)
+    for s in range(segment + 1):
+        differs = apart(left[:, s::high + 1], right[:, s::high + 1]) > 0
+        mine &= ~differs if s == segment else differs
+    return np.where(mine, found, -1)
+
+
 def dealt(rows: DataFrame, keys: Sequence[str], name: str, block: int) -> DataFrame:
     """Rows with a block number: about ``block`` rows of one key share a block."""
     counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
@@ -167,51 +188,78 @@ def nearest_events(queries: DataFrame, library: DataFrame, k: int = 3, block: in
     """The k nearest library events of each query by (distance, time), itself excluded.
 
     Both sides have ``universe, t0, fp``. A pair is at least as far apart as its presence masks
-    differ, over the number of assets. Round m compares prints whose masks differ in m assets; a
-    query is done once its k-th best lies below the bound of the next round. Rounds meet in blocks,
-    which bounds each task on both sides; the pairs themselves never leave it. ``compared`` takes
-    the number of pairs each round looked at.
+    differ, over the number of assets. Passes widen the mismatch looked at (0 to 1, 2 to 3, 4 to 7,
+    ...); a query is done once its k-th best lies below the bound of the next pass, and looks at no pair
+    whose bound is beyond its k-th best. Masks that differ in at most r assets agree in one of r + 1
+    segments, so prints meet by equality of a segment instead of every mask with every mask. Buckets
+    meet in blocks, which bounds each task on both sides; the pairs themselves never leave it. The
+    last pass, whose range no segment count serves, compares what is left. ``compared`` takes the number of
+    distances of each pass.
     """
-    names = "universe string, t0 bigint, neighbour bigint, distance double"
-    lib = materialize(dealt(numeric(library.select("universe", "t0", "fp")), ("universe", "mask"), "lb", block), "library")
-    groups = lib.groupBy("universe", "mask", "lb").agg(F.count("*").alias("_rows")).withColumnRenamed("mask", "lmask")
-    waiting = materialize(dealt(numeric(queries.select("universe", "t0", "fp")), ("universe", "mask"), "qb", block), "queries")
-    best, mismatch = None, 0
-
-    def near(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    names = "universe string, t0 bigint, neighbour bigint, distance double, looked bigint"
+    lib = materialize(numeric(library.select("universe", "t0", "fp")), "library")
+    waiting = lib if queries is library else materialize(numeric(queries.select("universe", "t0", "fp")), "queries")
+    waiting = waiting.withColumn("_far", F.lit(None).cast("double"))
+    bucket, meet = ["universe", "segment", "value"], ["universe", "segment", "value", "qb", "lb"]
+    w = Window.partitionBy("universe", "t0").orderBy("distance", "neighbour")
+    best, low, high = None, 0, 1
+
+    def in_segments(rows: DataFrame, high: int) -> DataFrame:
+        """A row per segment of the mask, with the presence in it; one row without where the range covers all assets."""
+        split = rows.withColumn("segment", F.explode(F.when(F.col("n") > high, F.sequence(F.lit(0), F.lit(high))).otherwise(
+            F.array(F.lit(-1)))))
+        bits = F.filter("p", lambda _, i: F.pmod(i, F.lit(high + 1)) == F.col("segment"))
+        return split.withColumn("value", F.array_join(F.transform(bits, lambda x: x.cast("int").cast("string")), ""))
+
+    def near(key: tuple, a: pd.DataFrame, b: pd.DataFrame, low: int, high: int) -> pd.DataFrame:
         rows = []
         if not a.empty and not b.empty:
             b = b.sort_values("t0", ignore_index=True)
-            right_m, times = stacked(b), b["t0"].to_numpy()
+            right, times = stacked(b), b["t0"].to_numpy()
             for lo in range(0, len(a), 256):
                 part = a.iloc[lo:lo + 256]
-                d = distances(stacked(part), right_m)
-                d[part["t0"].to_numpy()[:, None] == times[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for i, t0 in enumerate(part["t0"]):
-                    rows += [(key[0], t0, times[j], d[i, j]) for j in order[i] if np.isfinite(d[i, j])]
-        return pd.DataFrame(rows, columns=["universe", "t0", "neighbour", "distance"])
-
-    keys = ["universe", "mask", "qb", "lmask", "lb"]
+                left, own = stacked(part), part["t0"].to_numpy()
+                apart = mask_mismatch(left[0], right[0], low, high, key[1])
+                limit = part["_far"].fillna(np.inf).to_numpy(float) * left[0].shape[1] + 1e-6
+                i, j = np.nonzero((apart >= 0) & (apart <= limit[:, None]) & (own[:, None] != times[None, :]))
+                d = np.full(apart.shape, np.inf)
+                for at in range(0, len(i), 1 << 16):
+                    ii, jj = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                    d[ii, jj] = pair_distances(left, right, ii, jj)
+                order, looked = np.argsort(d, axis=1, kind="stable")[:, :k], np.bincount(i, minlength=len(part))
+                for q in np.nonzero(looked)[0]:
+                    rows += [(key[0], own[q], times[c], d[q, c], 0 if at else looked[q])
+                             for at, c in enumerate(order[q]) if np.isfinite(d[q, c])]
+        return pd.DataFrame(rows, columns=["universe", "t0", "neighbour", "distance", "looked"])
+
+    def between(low: int, high: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        return lambda key, a, b: near(key, a, b, low, high)
+
     while True:
-        asked = waiting.groupBy("universe", "mask", "qb").agg(F.count("*").alias("_asked"))
-        pairs = materialize(asked.join(groups, "universe").filter(
-            F.bit_count(F.col("mask").bitwiseXOR(F.col("lmask"))) == mismatch), "mask-pairs")
+        asked, held = in_segments(waiting, high), in_segments(lib, high)
+        blocks = [x.groupBy(*bucket).agg(F.ceil(F.count("*") / block).alias(name))
+                  for x, name in ((asked, "_qn"), (held, "_ln"))]
+        blocks = materialize(blocks[0].join(blocks[1], bucket), "buckets")
+        sides = []
+        for rows, own, other in ((asked, "q", "l"), (held, "l", "q")):
+            rows = rows.join(blocks, bucket).withColumn(f"{own}b", F.pmod(F.xxhash64("t0"), F.col(f"_{own}n"))).withColumn(
+                f"{other}b", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}n") - 1)))
+            # both sides come from one table; aliases give each its own columns
+            sides.append(rows.select(*[F.col(c).alias(c) for c in rows.columns if c not in ("_qn", "_ln")]).groupBy(*meet))
+        found = sides[0].cogroup(sides[1]).applyInPandas(between(low, high), names)
         if compared is not None:
-            compared.append(pairs.agg(F.sum(F.col("_asked") * F.col("_rows"))).first()[0] or 0)
-        left = waiting.join(pairs.select(*keys), ["universe", "mask", "qb"])
-        right = lib.withColumnRenamed("mask", "lmask").join(pairs.select(*keys), ["universe", "lmask", "lb"])
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, names)
-        w = Window.partitionBy("universe", "t0").orderBy("distance", "neighbour")
+            found = materialize(found, "found")
+            compared.append(found.agg(F.sum("looked")).first()[0] or 0)
+        found = found.drop("looked")
         ranked = (found if best is None else best.unionByName(found)).withColumn(
             "place", F.row_number().over(w)).filter(F.col("place") <= k)
         best = materialize(ranked.drop("place"), "nearest")
-        mismatch += 1
-        done = best.groupBy("universe", "t0").agg(F.count("*").alias("_c"), F.max("distance").alias("_far")).filter(
-            F.col("_c") >= k)
-        bound = F.lit(float(mismatch)) / F.col("n")
-        waiting = materialize(waiting.join(done, ["universe", "t0"], "left").filter(
-            (F.col("n") >= mismatch) & (F.col("_c").isNull() | (F.col("_far") >= bound - 1e-9))).drop("_c", "_far"), "queries")
+        low, high = high + 1, 2 * high + 1
+        done = best.groupBy("universe", "t0").agg(F.count("*").alias("_c"), F.max("distance").alias("_m"))
+        left = waiting.drop("_far").join(done, ["universe", "t0"], "left").withColumn(
+            "_far", F.when(F.col("_c") >= k, F.col("_m")))
+        waiting = materialize(left.filter((F.col("n") >= low) & (F.col("_far").isNull() | (
+            F.col("_far") >= F.lit(float(low)) / F.col("n") - 1e-9))).drop("_c", "_m"), "queries")
         if waiting.isEmpty():
             return best.withColumn("place", F.row_number().over(w))
 

@@ -276,6 +276,30 @@ def test_nearest_on_a_large_library_compares_few_pairs(spark):
     assert sum(compared) < 0.25 * 200 * n
 
 
+def wide_prints(spark, n, assets, per_mille):
+    """Events in which each asset is present with the given chance: nearly every one has its own mask."""
+    return spark.range(n).selectExpr("'u' as universe", "id as t0", f"""
+        transform(sequence(0, {assets - 1}), a -> named_struct('ordinal', a, 'present', pmod(xxhash64(id, a), 1000) < {per_mille},
+            'direction', if((xxhash64(id, a, 1) & 1) = 1, 1, -1), 'magnitude', 3 + pmod(xxhash64(id, a, 2), 100) / 20.0D,
+            'delay', cast(pmod(xxhash64(id, a, 3), 30) as int))) as fp""")
+
+
+def test_nearest_with_many_assets_is_exact(spark):
+    df = wide_prints(spark, 300, 75, 60)
+    m = graph.stacked(graph.numeric(df).orderBy("t0").toPandas())
+    d = graph.distances(m, m)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    got = {(r.t0, r.place): (r.neighbour, r.distance) for r in graph.nearest_events(df, df, 3, block=128).collect()}
+    assert got == {(t, p + 1): (int(order[t, p]), float(d[t, order[t, p]])) for t in range(300) for p in range(3)}
+
+
+def test_nearest_with_many_assets_looks_at_few_pairs(spark):
+    df, compared = wide_prints(spark, 20_000, 75, 60), []
+    assert graph.nearest_events(df.filter("t0 % 200 = 0"), df, 3, compared=compared).count() == 300
+    assert sum(compared) < 0.1 * 100 * 20_000
+
+
 def test_pair_summary_in_blocks(spark):
     rng = np.random.default_rng(2)
     df = prints(spark, {t: {0: (1, float(rng.uniform(3, 9)), int(rng.integers(0, 30)))} for t in range(150)})
