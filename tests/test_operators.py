@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shockwatch.functions import identity, paths, ranking
@@ -73,6 +74,30 @@ def test_snapshot_values(spark):
     assert got.ret30 == pytest.approx(-0.01)
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 31, 32])
+def test_rolling_drawdown_equals_the_fold(spark, length):
+    rng = np.random.default_rng(length)
+    closes = {a: (100 * np.exp(np.cumsum(rng.standard_t(2, n) * 0.02))).tolist() for a, n in (("A", 120), ("B", 31), ("C", 5))}
+    closes["C"][2] = None
+    data = [("u", a, i, c) for a, s in closes.items() for i, c in enumerate(s)]
+    df = spark.createDataFrame(data, "universe string, asset string, idx bigint, close double")
+    w = Window.partitionBy("universe", "asset").orderBy("idx")
+    got = {(r.asset, r.idx): r.mdd for r in features.rolling_drawdown(df, length, w).collect()}
+    assert len(got) == 156
+    for (asset, i), value in got.items():
+        frame = closes[asset][max(i - length + 1, 0):i + 1]
+        if len(frame) < length or None in frame:
+            assert value is None
+        else:
+            peaks = np.maximum.accumulate(frame)
+            assert value == pytest.approx(((peaks - frame) / peaks).max(), abs=1e-15)
+
+
+def test_snapshot_holds_no_lists(spark):
+    bars = bars_of(spark, {"A": [100.0] * 40})
+    assert "collect_list" not in features.snapshot(bars)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_volatility_state(spark):
     level, alternating = 100.0, [100.0]
     for i in range(130):
