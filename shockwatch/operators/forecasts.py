@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import paths
 from .grid import finite
@@ -61,6 +63,46 @@ def naive_last(windows: DataFrame) -> DataFrame:
         F.array_repeat(spot, HORIZON).alias("closes"), F.lit(None).cast("string").alias("error"))
 
 
+def attempt(model: Callable[[dict[str, list[float]]], list[dict[str, list[float]]]],
+            hist: dict[str, list[float]]) -> list[tuple]:
+    """``asset, path_id, spot, closes, error`` of one window; an exception becomes one error row per asset."""
+    try:
+        return [(a, path_id, h[-1], [float(x) for x in path[a]], None)
+                for path_id, path in enumerate(model(hist)) for a, h in hist.items()]
+    except Exception as exc:  # noqa: BLE001 - a failed output is a result row
+        return [(a, 0, h[-1] if h else None, None, f"{type(exc).__name__}: {exc}") for a, h in hist.items()]
+
+
+def histories(windows: DataFrame) -> DataFrame:
+    """One row per window: ``universe, t0, histories``, a map from asset to its closes up to the origin."""
+    pair = F.struct("asset", "hist")
+    return windows.filter("status <> 'no_history'").groupBy("universe", "t0").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("histories"))
+
+
+def register_model(spark: SparkSession, model: Callable[[dict[str, list[float]]], list[dict[str, list[float]]]],
+                   name: str) -> None:
+    """Make a user model a table function of SQL, for ``FROM w, LATERAL name(w.histories)``.
+
+    Its rows are ``asset, path_id, spot, closes, error``, as ``apply_model`` has them. The argument is
+    checked when the statement is analysed. A null map and a window without assets give no rows.
+    """
+    wanted = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
+    result = T.StructType.fromDDL("asset string, path_id int, spot double, closes array<double>, error string")
+
+    class Paths:
+        @staticmethod
+        def analyze(histories: AnalyzeArgument) -> AnalyzeResult:
+            if histories.isTable or histories.dataType.simpleString() != wanted.simpleString():
+                raise ValueError(f"{name} takes a {wanted.simpleString()}, not a {histories.dataType and histories.dataType.simpleString()}")
+            return AnalyzeResult(result)
+
+        def eval(self, histories: dict[str, list[float]] | None) -> Iterator[tuple]:
+            yield from attempt(model, {a: list(h) for a, h in (histories or {}).items()})
+
+    spark.udtf.register(name, F.udtf(Paths, useArrow=True))
+
+
 def apply_model(windows: DataFrame, model: Callable[[dict[str, list[float]]],
                                                     list[dict[str, list[float]]]],
                 name: str) -> DataFrame:
@@ -71,14 +113,7 @@ def apply_model(windows: DataFrame, model: Callable[[dict[str, list[float]]],
     """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hist = {a: list(h) for a, h in zip(pdf["asset"], pdf["hist"])}
-        rows = []
-        try:
-            for path_id, path in enumerate(model(hist)):
-                rows += [(*key, a, name, path_id, h[-1], [float(x) for x in path[a]], None)
-                         for a, h in hist.items()]
-        except Exception as exc:  # noqa: BLE001 - a failed output is a result row
-            rows = [(*key, a, name, 0, h[-1], None, f"{type(exc).__name__}: {exc}")
-                    for a, h in hist.items()]
+        rows = [(*key, asset, name, *rest) for asset, *rest in attempt(model, hist)]
         return pd.DataFrame(rows, columns=["universe", "t0", "asset", "method", "path_id",
                                            "spot", "closes", "error"])
 

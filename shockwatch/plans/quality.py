@@ -384,6 +384,18 @@ def b9(h):
                        rd("mdd").alias("mdd"), rd("vol").alias("vol"))
 
 
+@query("x4_lateral_paths", sql(f"""
+ SELECT universe, t0, asset, 0::INT path_id, 30::INT steps, {r('mdd')} mdd, {r('vol')} vol FROM q_risk WHERE method = 'mirror'"""))
+def x4(h):
+    """The same forecaster as a table function, called per window in SQL."""
+    forecasts.register_model(h.spark, damped_reverse, "damped_reverse_paths")
+    rows = forecasts.path_risk(h.spark.sql("""
+        SELECT w.universe, w.t0, p.* FROM {windows} w, LATERAL damped_reverse_paths(w.histories) p""",
+        windows=forecasts.histories(h.windows)))
+    return rows.select("universe", "t0", "asset", "path_id", F.size("closes").alias("steps"),
+                       rd("mdd").alias("mdd"), rd("vol").alias("vol"))
+
+
 @query("b9_multi_path_seeds", sql(f"""
  SELECT universe, t0, asset, p.p::INT path_id, {'''('0x' || substr(md5(concat_ws('|', 7, universe, t0, asset, p.p)), 1, 8))::BIGINT'''} seed
  FROM q_spot, range(10) p(p)"""))

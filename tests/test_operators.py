@@ -624,6 +624,25 @@ def test_failed_model_keeps_its_rows(spark):
     assert len(got) == 4 and all(r.error == "ValueError: no weights" and r.closes is None for r in got)
 
 
+def test_model_as_table_function(spark, rows):
+    bars = bars_of(spark, {"A": [1.0 + i for i in range(300)], "B": [2.0] * 300})
+    w = windows.market_windows(spark.createDataFrame([("u", 260), ("u", 265), ("u", 3)], "universe string, t0 bigint"), bars)
+
+    def two_paths(hist):
+        if hist["A"][-1] > 263:
+            raise ValueError("too high")
+        return [{a: [h[-1] * f] * 30 for a, h in hist.items()} for f in (1, 2)]
+    forecasts.register_model(spark, two_paths, "two_paths")
+    sent = forecasts.histories(w)
+    got = spark.sql("SELECT w.universe, w.t0, p.* FROM {sent} w, LATERAL two_paths(w.histories) p", sent=sent)
+    columns = ("universe", "t0", "asset", "path_id", "spot", "closes", "error")
+    assert str(rows(got, *columns)) == str(rows(forecasts.apply_model(w, two_paths, "m"), *columns)) and got.count() == 6
+    nothing = spark.sql("SELECT * FROM two_paths(CAST(NULL AS MAP<STRING, ARRAY<DOUBLE>>))")
+    assert nothing.columns == ["asset", "path_id", "spot", "closes", "error"] and nothing.count() == 0
+    with pytest.raises(Exception, match="two_paths takes a map"):
+        spark.sql("SELECT * FROM two_paths(1)").collect()
+
+
 def test_past_is_blind_to_the_future(spark, rows):
     rng = np.random.default_rng(5)
     base = (100 * np.exp(np.cumsum(rng.standard_t(2, 420) * 0.01))).tolist()
