@@ -5,8 +5,10 @@ characters and encoded by one hidden layer; gated attention, tanh(V h) * sigmoid
 passages of a document, and a logistic unit scores the weighted mean. Only document labels are
 known; they train encoder, attention and score together (Adam, numpy, on the driver).
 
-The fit sees a bounded sample: the first TRAIN_DOCS labelled rows in the order of a hash of their
-id, each with at most TRAIN_PASSAGES evenly spread passages. Scoring reads every passage of every
+The fit sees a bounded sample of labelled rows, each with all passages of its text: the first
+TRAIN_DOCS in the order of a hash of their id, as far as their passages together fill TRAIN_BYTES (a
+passage is FEATURES floats, so that is about 170 MB of text); a row that alone needs more than a
+sixteenth of it (11 MB of text) is not part of the sample. Scoring reads every passage of every
 document, in Arrow batches, blocks of at most BLOCK bytes at a time: the attention is a running
 softmax, so a text of any length needs one block of memory.
 
@@ -23,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import store, text_of
 
 PASSAGE = 512
 BLOCK = 1 << 20
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 64
+TRAIN_DOCS, TRAIN_BYTES = 4000, 32 << 20
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED = 16, 8, 40, 128, 0.01, 7
@@ -226,8 +228,9 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``most`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS,
+          most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``most`` labelled documents outside the held-out fold, all passages of each."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -235,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 raw = np.frombuffer(text.encode(), np.uint8)
                 rows = np.concatenate([passages(p, b)[0] for p, b, _ in blocks(raw, np.array([0, len(raw)]))] or [
                     np.zeros((1, FEATURES), np.float32)])
-                out.append(rows[np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_PASSAGES)).astype(int)].tobytes())
+                out.append(rows.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(out)],
                                              names=["doc_id", "target", "rows"])
 
@@ -243,7 +246,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     chosen = labels.filter(F.col(label).isNotNull() & ~held_out()).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy(
         "doc_id").agg(F.avg(label).alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
-    found = sorted(sample.mapInArrow(describe, "doc_id long, target double, rows binary").collect(),
+    described = store(sample.mapInArrow(describe, "doc_id long, target double, rows binary"), "training")
+    size = described.groupBy("doc_id").agg(F.sum(F.octet_length("rows")).alias("_size")).filter(F.col("_size") <= most_bytes // 16)
+    filled = F.sum("_size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most ``most`` narrow rows
+    kept = size.withColumn("_filled", filled).filter(F.col("_filled") <= most_bytes).select("doc_id")
+    found = sorted(described.join(F.broadcast(kept), "doc_id").select("doc_id", "target", "rows").collect(),
                    key=lambda r: (r["doc_id"], bytes(r["rows"])))
     if not found:
         return Model()

@@ -52,6 +52,23 @@ def test_passages_equal_a_plain_loop():
             assert row[11] == pytest.approx(distinct / max(n, 1), rel=1e-5)
 
 
+def test_training_rows_keep_all_passages_within_the_bounds(spark, monkeypatch):
+    texts = {i: prose(40 + 20 * i, i) for i in range(1, 30)} | {100: prose(40_000, 9)}
+    chosen = {i for i in texts if zlib.crc32(str(i).encode()) % 5}
+    want = {i: len(passages_plain(texts[i])) for i in chosen}
+    bags = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, found, labels: bags.append([len(b) for b in found]) or self)
+    docs, labels = documents(spark, list(texts.items())), spark.createDataFrame([(i, i % 2, 0) for i in texts], LABELS)
+    quality.train(docs, labels)
+    assert sorted(bags[-1]) == sorted(want.values())
+    assert (100 in chosen) == (max(bags[-1]) > 64)
+    row = quality.FEATURES * 4
+    quality.train(docs, labels, most_bytes=16 * row * 3)  # rows of at most three passages, 48 passages in all
+    assert 0 < sum(bags[-1]) <= 48 and max(bags[-1]) <= 3
+    quality.train(docs, labels, most=5)
+    assert len(bags[-1]) == 5
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.FEATURES)).astype(np.float32) for n in (1, 3, 5, 2)]
