@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -79,26 +80,43 @@ def month_status(bars: DataFrame, bars_per_day: int = 1440, step_us: int = MINUT
                 "complete").otherwise("incomplete")))
 
 
-def unzip(files: DataFrame) -> DataFrame:
+LINES_PER_BATCH = 65_536
+
+
+def _only_member(z: zipfile.ZipFile) -> str:
+    """The name of the single CSV member, read through once in blocks: bad checksums and bytes show before any line is used."""
+    names = [n for n in z.namelist() if not n.endswith("/")]
+    if len(names) != 1 or not names[0].endswith(".csv"):
+        raise ValueError(f"expected one CSV member, found {names}")
+    with z.open(names[0]) as raw:
+        while block := raw.read(1 << 20):
+            block.decode("ascii")
+    return names[0]
+
+
+def unzip(files: DataFrame, lines_per_batch: int = LINES_PER_BATCH) -> DataFrame:
     """Lines of the single CSV member of each archive, ``path, member, value, error``.
 
-    ``files`` has ``path`` and ``content`` as ``binaryFile`` gives them. An archive is one
-    asset-month and is opened inside the task that read it.
+    ``files`` has ``path`` and ``content`` as ``binaryFile`` gives them, from any store Spark reads. An
+    archive is one asset-month and is opened inside the task that read it; its text is decoded in
+    batches of lines and never held as a whole. A broken archive is one row with its error and gives
+    no line, however late the fault is.
     """
+    columns = ["path", "member", "value", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if not n.endswith("/")]
-                        if len(names) != 1 or not names[0].endswith(".csv"):
-                            raise ValueError(f"expected one CSV member, found {names}")
-                        lines = z.read(names[0]).decode("ascii").splitlines()
-                    yield pd.DataFrame({"path": path, "member": names[0], "value": lines,
-                                        "error": None})
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    name = _only_member(archive)
                 except Exception as exc:  # noqa: BLE001 - a broken archive becomes a row
-                    yield pd.DataFrame({"path": [path], "member": [None], "value": [None],
-                                        "error": [f"{type(exc).__name__}: {exc}"]})
+                    yield pd.DataFrame([(path, None, None, f"{type(exc).__name__}: {exc}")], columns=columns)
+                    continue
+                with archive, archive.open(name) as raw:
+                    text = io.TextIOWrapper(raw, "ascii")
+                    while lines := list(itertools.islice(text, lines_per_batch)):
+                        yield pd.DataFrame({"path": path, "member": name, "value": [x.rstrip("\n") for x in lines], "error": None})
     return files.select("path", "content").mapInPandas(
         run, "path string, member string, value string, error string")
 

@@ -46,6 +46,29 @@ def test_complete_month(spark, tmp_path):
     assert (row.asset, row.month, row.rows, row.status) == ("BTC", "2025-01", 44640, "complete")
 
 
+def test_zip_in_batches_of_lines(spark):
+    def pack(text, kind=zipfile.ZIP_DEFLATED):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", kind) as z:
+            z.writestr("BTCUSDT-1m-2025-01.csv", text)
+        return bytearray(raw.getvalue())
+    text = csv_text(5000)
+    late = pack(text, zipfile.ZIP_STORED)
+    late[late.rindex(b",55,1,0,0,0")] ^= 1  # the checksum no longer fits, in the last line
+    files = spark.createDataFrame([("good", pack(text)), ("windows", pack(text.replace("\n", "\r\n"))), ("late", late),
+                                   ("wide", pack(text + "\u00e9")), ("none", pack(""))], "path string, content binary")
+    lines = klines.unzip(files, 700)
+    got = {}
+    for row in lines.collect():
+        got.setdefault(row.path, []).append(row)
+    for path in ("good", "windows"):
+        assert [r.value for r in got[path]] == text.splitlines() and all(r.error is None for r in got[path])
+    assert [r.error.split(":")[0] for r in got["late"] + got["wide"]] == ["BadZipFile", "UnicodeDecodeError"]
+    assert "none" not in got  # an empty member has no lines
+    counts = {r.reason: r["count"] for r in klines.parse(klines.from_lines(lines)).groupBy("reason").count().collect()}
+    assert counts == {None: 10_000}
+
+
 def test_zip_members(spark):
     def pack(names):
         raw = io.BytesIO()
