@@ -408,6 +408,16 @@ def test_omission(spark):
     assert (row.asset, row.weakest) == ("ADA", 0.02) and row.excess_bps == pytest.approx(50)
 
 
+def test_amplitude_tie_goes_to_the_earlier_event(spark):
+    """The quantile of six values lies halfway between the two largest; rounding must not choose."""
+    lo, hi = 0.22, 0.39
+    assert (lo + hi) / 2 - lo < hi - (lo + hi) / 2  # rounding puts the later event nearer
+    rows = spark.createDataFrame([("u", "m", 1, "a", hi), ("u", "m", 2, "b", lo), *[
+        ("u", "m", 3 + i, "c", 0.01 * i) for i in range(4)]], "universe string, metric string, t0 long, asset string, relative double")
+    got = diagnostics.amplitude_cases(rows).first()
+    assert (got.near_t0, got.near_asset, got.max_t0, got.max_asset) == (1, "a", 1, "a")
+
+
 def curve(spark, values):
     return spark.createDataFrame([("u", 1, "t", h, float(v)) for h, v in enumerate(values)],
                                  "universe string, t0 bigint, tier string, h int, ratio double")
