@@ -762,9 +762,10 @@ def o7(h):
         .withColumn("role", F.lit("strongest_non_systemic"))
     taken = s.unionByName(n)
     mid = exact_quantiles(h.study, ["universe"], "magnitude", [0.5]).select("universe", "value")
+    # The two middle events of an even number are equally far from the median; nine decimals decide.
+    gap = F.round(F.abs(F.col("magnitude") - F.col("value")), 9)
     c = (h.study.join(taken, ["universe", "t0"], "left_anti").join(mid, "universe").groupBy("universe")
-         .agg(F.min_by("t0", F.struct(F.abs(F.col("magnitude") - F.col("value")).alias("d"), "t0"))
-              .alias("t0")).withColumn("role", F.lit("median_strength")))
+         .agg(F.min_by("t0", F.struct(gap.alias("d"), "t0")).alias("t0")).withColumn("role", F.lit("median_strength")))
     return taken.unionByName(c)
 
 

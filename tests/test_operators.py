@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from shockwatch.functions import identity, paths, ranking
 from shockwatch.operators import (attention, cluster, comparison, diagnostics, features, forecasts,
                                   graph, grid, portfolio, recovery, resample, scoring, shapes,
                                   shocks, training, volume, windows)
+from shockwatch.plans.study import o7
 
 
 def one(df, *cols):
@@ -418,6 +420,16 @@ def test_amplitude_tie_goes_to_the_earlier_event(spark):
     assert (got.near_t0, got.near_asset, got.max_t0, got.max_asset) == (1, "a", 1, "a")
 
 
+def test_median_event_tie_goes_to_the_earlier_event(spark, rows):
+    """The two middle events of an even number are equally far from the median; rounding must not choose."""
+    lo, hi = 3.21, 3.35
+    assert hi - (lo + hi) / 2 < (lo + hi) / 2 - lo  # rounding puts the later event nearer
+    events = spark.createDataFrame([("u", 1, lo, False), ("u", 2, hi, False), ("u", 3, 5.0, False), ("u", 4, 3.0, True)],
+                                   "universe string, t0 long, magnitude double, systemic boolean")
+    assert rows(o7(SimpleNamespace(study=events)), "role", "t0") == [
+        ("median_strength", 1), ("strongest_non_systemic", 3), ("strongest_systemic", 4)]
+
+
 def curve(spark, values):
     return spark.createDataFrame([("u", 1, "t", h, float(v)) for h, v in enumerate(values)],
                                  "universe string, t0 bigint, tier string, h int, ratio double")
