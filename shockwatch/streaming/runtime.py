@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import run_dir
+from ..session import dimension, run_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MIN_CADENCE = 60
@@ -56,7 +56,8 @@ class Replay:
     def __init__(self, df: DataFrame, label: str, slices: int = 3, order: str = "idx"):
         self.spark, self.slices = df.sparkSession, slices
         self.base = folder(self.spark, label)
-        top = df.groupBy("universe").agg(F.max(order).alias("_top"), F.min(order).alias("_low"))
+        # One row per universe, broadcast: a shuffle by universe would put all rows of one into one task.
+        top = dimension(df.groupBy("universe").agg(F.max(order).alias("_top"), F.min(order).alias("_low")), f"{label}-ends")
         share = (F.col(order) - F.col("_low")) * slices / (F.col("_top") - F.col("_low") + 1)
         (df.join(top, "universe").withColumn("_slice", F.floor(share)).drop("_top", "_low")
          .write.partitionBy("_slice").parquet(f"{self.base}/staged"))

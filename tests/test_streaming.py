@@ -31,6 +31,18 @@ def snapshots(spark, *slices):
     return out
 
 
+def test_replay_keeps_a_universe_spread_over_tasks(spark):
+    """The slices are staged by the tasks that read the rows, not by one task for the universe."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        feed = runtime.Replay(bars(spark, range(200)).repartition(4, "idx"), "spread", slices=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    staged = spark.read.parquet(f"{feed.base}/staged")
+    assert staged.count() == 200 and len(staged.inputFiles()) > 1
+
+
 def test_drawdown_and_returns_of_a_gapless_feed(spark):
     df = bars(spark, range(200))
     close = np.array([r.close for r in df.orderBy("idx").collect()])
