@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dimension, materialize
+from ..session import dimension, materialize, spread
 from . import graph, shocks
 
 SEED = 20260926
@@ -305,6 +305,13 @@ def graph_statistics(triggers: DataFrame, spans: DataFrame, keys: Sequence[str])
     return counts.join(stats, keys, "left").fillna({"pairs": 0, "observations": 0})
 
 
+def null_graphs(triggers: DataFrame, spans: DataFrame, reps: int, seed: int = SEED) -> DataFrame:
+    """Graph statistics of every shifted replicate, stored; tasks grow in number with the shifted rows, not in size."""
+    with spread(triggers.sparkSession, triggers.count() * reps):
+        return materialize(graph_statistics(shifted_triggers(triggers, spans, reps, seed), spans, ["universe", "rep"]),
+                           "null-graphs")
+
+
 TAILS = {"pairs": "upper", "observations": "upper", "mean_delay": "lower",
          "edge_mean_delay": "lower"}
 

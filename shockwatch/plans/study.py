@@ -547,9 +547,7 @@ part("q_null", """
 
 
 def _null(h):
-    return h._once("null_graphs", lambda: resample.graph_statistics(
-        resample.shifted_triggers(h.study_triggers, h.spans, NULL_REPS), h.spans,
-        ["universe", "rep"]))
+    return h._once("null_graphs", lambda: resample.null_graphs(h.study_triggers, h.spans, NULL_REPS))
 
 
 @query("a45_shift_null", sql(f"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_TASK = 50_000
+
+
+@contextmanager
+def spread(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what is written inside have a task per ROWS_PER_TASK of ``rows``, at least one per core.
+
+    AQE merges partitions down to the cores by their compressed bytes; a task of a plan with many
+    joins and lists then holds a share of all rows, in several operators at once.
+    """
+    wanted = {"spark.sql.shuffle.partitions": str(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))),
+              "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 MAX_BROADCAST_ROWS = 50_000
 
 

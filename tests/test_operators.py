@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shockwatch import session
 from shockwatch.functions import identity, paths, ranking
 from shockwatch.operators import (attention, cluster, comparison, diagnostics, features, forecasts,
                                   graph, grid, portfolio, recovery, resample, scoring, shapes,
@@ -518,6 +519,23 @@ def test_overlap_tie(spark):
     assert 3 * got.recall == pytest.approx(2.5) and got.predicted_crosses
 
 
+def test_null_graphs_get_tasks_by_rows(spark, rows, monkeypatch):
+    """Tasks of the replicates follow the number of shifted rows, not their bytes."""
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    setting, store, used = "spark.sql.shuffle.partitions", resample.materialize, []
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(resample, "materialize", lambda df, label: used.append(spark.conf.get(setting)) or store(df, label))
+    marks = spark.createDataFrame([("u", a, 300 + 40 * i + j, 1, 3.5, 0) for i in range(5) for j, a in enumerate("AB")],
+                                  "universe string, asset string, idx long, direction int, magnitude double, ts int")
+    spans = spark.createDataFrame([("u", 0, 999, 1000, 2)], "universe string, lo long, hi long, n long, asset_count long")
+    got = resample.null_graphs(marks, spans, 40)
+    plain = resample.graph_statistics(resample.shifted_triggers(marks, spans, 40), spans, ["universe", "rep"])
+    assert rows(got, *plain.columns) == rows(plain) and got.count() == 40
+    assert used == ["40"] and spark.conf.get(setting) == before
+    with session.spread(spark, 100):
+        assert len(session.materialize(spark.range(1000).groupBy(F.col("id") % 100).count().toDF("k", "n"), "spread").inputFiles()) == 10
+
+
 def test_tail_and_holm(spark):
     real = spark.createDataFrame([("u", 3.0, 3.0, 3.0, 3.0)],
                                  "universe string, pairs double, observations double, mean_delay double, edge_mean_delay double")
