@@ -23,6 +23,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,16 @@ class StoredIds(WordIds):
         return super().batch([text.replace("\n", " ") for text in texts] if self.by_word else texts)
 
 
+@lru_cache(maxsize=1)
+def stored_ids(path: str, kind: str) -> StoredIds:
+    """One per Python worker, as in ``packing.word_ids``."""
+    return StoredIds(path, kind)
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarray, kind: str) -> DataFrame:
     """Every document's ids, end id included, with the range it belongs to."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = StoredIds(tokenizer_path, kind), np.asarray([end_id], kind).tobytes()
+        words, end = stored_ids(tokenizer_path, kind), np.asarray([end_id], kind).tobytes()
         for batch in batches:
             at = 0
             for texts in by_bytes(batch.column("text").to_pylist()):

@@ -264,3 +264,12 @@ def test_wide_ids_where_the_end_id_needs_them(spark):
     rows = [(i, prose(20, i)) for i in range(5)]
     got = in_order(token_files.round_trip(documents(spark, rows), tokenizer("word_bpe_49k.json"), 70_000, length=8))
     assert sorted(got) == sorted(ids_brute(rows, 70_000, "<u4"))
+
+
+def test_stored_ids_outlive_a_task():
+    path = tokenizer("word_bpe_49k.json")
+    text = "The same words, again; the SAME words\nand 12 more."
+    words = token_files.stored_ids(path, "<u2")
+    ids = words.batch([text])
+    assert token_files.stored_ids(path, "<u2") is words and words.words.keys() >= {"words,", "again;"}
+    assert words.batch([text]) == ids == token_files.StoredIds(path, "<u2").batch([text])
