@@ -24,6 +24,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -121,10 +122,16 @@ class WordIds:
         return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: the next task of a worker starts with the words it has met."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             out: list[list] = [[], [], [], [], []]

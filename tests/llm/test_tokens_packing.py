@@ -172,3 +172,12 @@ def covers(mine: tuple[int, ...], other: tuple[int, ...]) -> bool:
     if not other:
         return True
     return any(m >= other[0] and covers((*mine[:i], m - other[0], *mine[i + 1:]), other[1:]) for i, m in enumerate(mine))
+
+
+def test_word_ids_outlive_a_task():
+    path = tokenizer("word_bpe_49k.json")
+    text = "The same words, again; the SAME words\nand 12 more."
+    words = packing.word_ids(path)
+    ids = words.batch([text])
+    assert packing.word_ids(path) is words and words.words.keys() >= {"words,", "again;"}
+    assert words.batch([text]) == ids == packing.WordIds(path).batch([text])
