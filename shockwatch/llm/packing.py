@@ -133,10 +133,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             out: list[list] = [[], [], [], [], []]
             for at in range(0, len(ids), 256):
-                for doc, packed in zip(ids[at:at + 256], words.batch(texts[at:at + 256]), strict=True):
+                for doc, packed in zip(ids[at:at + 256], words.batch(texts.slice(at, 256).to_pylist()), strict=True):
                     packed += end
                     starts = range(0, len(packed) // 4, capacity)
                     cuts = [packed[4 * s:4 * (s + capacity)] for s in starts]

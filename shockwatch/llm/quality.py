@@ -9,8 +9,8 @@ The fit sees a bounded sample of labelled rows, each with all passages of its te
 TRAIN_DOCS in the order of a hash of their id, as far as their passages together fill TRAIN_BYTES (a
 passage is FEATURES floats, so that is about 170 MB of text); a row that alone needs more than a
 sixteenth of it (11 MB of text) is not part of the sample. Scoring reads every passage of every
-document, in Arrow batches, blocks of at most BLOCK bytes at a time: the attention is a running
-softmax, so a text of any length needs one block of memory.
+document, in Arrow batches, short texts together up to RUN bytes and a longer one in blocks of at most
+BLOCK: the attention is a running softmax, so a text of any length needs one block of memory.
 
 Defined cases: a null text is empty; a text without words is one passage of zeros and gets the
 score the model gives that; labels that are null are ignored, several labels of one id are averaged;
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import store, text_of
 
 PASSAGE = 512
-BLOCK = 1 << 20
+BLOCK, RUN = 1 << 20, 1 << 17
 TRAIN_DOCS, TRAIN_BYTES = 4000, 32 << 20
 FOLDS = 5
 THRESHOLD = 0.3
@@ -123,7 +123,7 @@ def blocks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
     """(bytes, bounds, first text) of runs of short texts, and of the parts of a long one."""
     at, n = 0, len(bounds) - 1
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + min(RUN, BLOCK), "right")) - 1)
         low, high = int(bounds[at]), int(bounds[upto])
         if high - low <= BLOCK:
             yield data[low:high], bounds[at:upto + 1] - low, at
@@ -139,7 +139,8 @@ def blocks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and bounds of a string column without nulls."""
+    """Bytes and bounds of a string column; a null is empty."""
+    column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
@@ -259,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def scored(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
-    """``docs`` with the score of column ``text`` (without nulls) added as ``out``."""
+    """``docs`` with the score of column ``text`` added as ``out``."""
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,5 +282,4 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents the classifier does not reject, all columns as they were."""
     model = train(docs, labels)
-    rows = docs.withColumn("_llm_text", text_of())
-    return scored(rows, model, "_llm_text", "_llm_score").filter(F.col("_llm_score") >= threshold).select(docs.columns)
+    return scored(docs, model, "text", "_llm_score").filter(F.col("_llm_score") >= threshold).select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, text_of, without
+from .common import rows_of, store, text_of, without
 from .components import components
 
 WORDS = 3
@@ -101,7 +101,7 @@ def leaves(codes: DataFrame) -> DataFrame:
     for row in cut.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per partition
         offsets.append((row["part"], first))
         first += row["n"]
-    table = spark.createDataFrame(offsets, "part long, first long")
+    table = rows_of(spark, offsets, "part", "first")
     return cut.join(F.broadcast(table), "part").select(
         (F.col("first") + F.col("seq")).alias("id"), "mask", "pattern", "codes")
 
@@ -161,7 +161,7 @@ def links(codes: DataFrame, distance: int = 2) -> DataFrame:
     while n > FANOUT:
         levels.append(store(upper(levels[-1]), "simhash-upper"))
         n = -(-n // FANOUT)
-    pairs = spark.createDataFrame([(0, 0, 0, 0)], "a long, b long, diff int, seen long")
+    pairs = rows_of(spark, [(0, 0, 0, 0)], "a", "b", "diff", "seen").withColumn("diff", F.col("diff").cast("int"))
     for nodes in reversed(levels):
         pairs = store(descend(pairs, nodes, distance), "simhash-pairs")
 
@@ -187,7 +187,8 @@ def links(codes: DataFrame, distance: int = 2) -> DataFrame:
     half = stored.select(F.col("id").alias("a"), F.col("codes").alias("ca"))
     other = stored.select(F.col("id").alias("b"), F.col("codes").alias("cb"))
     work = pairs.select("a", "b").join(half, "a").join(other, "b")
-    return work.mapInArrow(resolve, "u long, v long")
+    # stored: read on in Python, its tasks would hold two workers each, which stay for the tasks that follow
+    return store(work.mapInArrow(resolve, "u long, v long"), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, size: int = WORDS, keyed: bool = False) -> DataFrame:

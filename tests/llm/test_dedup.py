@@ -180,3 +180,19 @@ def test_components_of_long_chains_and_stars(spark):
     found = {r.node: r.component for r in components.components(df).collect()}
     assert {found[n] for n in names[:1501]} == {min(names[:1501])}
     assert {found[n] for n in names[2000:2600]} == {min(names[2000:2600])} and len(found) == 2101
+
+
+def test_no_task_of_near_dedup_holds_two_python_workers(spark, monkeypatch):
+    """Idle workers are taken in turn, so a second one per task keeps what later stages remember twice in memory."""
+    plans: dict[str, str] = {}
+    for module in (simhash, components):
+        def store(df, label, write=module.store):
+            plans[label] = df._jdf.queryExecution().executedPlan().toString()
+            return write(df, label)
+        monkeypatch.setattr(module, "store", store)
+    kept = simhash.keep_one(documents(spark, [(i, prose(60, i // 2)) for i in range(40)])).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2))
+    assert {"simhash-rows", "simhash-leaves", "simhash-pairs", "cc-links"} <= set(plans)
+    assert {label: n for label, plan in plans.items() if (n := plan.count("MapInArrow")) > 1} == {}
+    # tables of a few rows come without Python on the executors; simhash-rows reads the documents of this test
+    assert [label for label, plan in plans.items() if "ExistingRDD" in plan] == ["simhash-rows"]

@@ -128,6 +128,28 @@ def test_long_text_is_read_to_its_end_in_blocks(monkeypatch):
     assert model.scores(changed, np.array([0, len(changed)]))[0] != parts[0]
 
 
+def test_short_texts_are_scored_in_small_runs():
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(3, quality.FEATURES)).astype(np.float32) + y for y in (0, 1) for _ in range(20)]
+    model = quality.Model().fit(bags, np.repeat([0.0, 1.0], 20))
+    texts = [prose(400, s) for s in range(150)] + [prose(30_000, 7), ""] + [junk(50, s) for s in range(50)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+    runs = [(len(part), len(inner) - 1) for part, inner, _ in quality.blocks(data, bounds)]
+    assert len(data) > 3 << 17 and sum(n for _, n in runs) == len(texts)  # no text is cut
+    assert max(size for size, n in runs if n > 1) <= 1 << 17
+    alone = [model.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert model.scores(data, bounds) == pytest.approx(alone, abs=1e-12)
+
+
+def test_rejecting_hands_every_text_over_once(spark, monkeypatch):
+    docs, labels = labelled(spark, 60)
+    handed, scored = [], quality.scored
+    monkeypatch.setattr(quality, "scored", lambda df, *args: handed.append(df.columns) or scored(df, *args))
+    with_null = docs.unionByName(spark.createDataFrame([(None, None, None, None, None)], DOCS))
+    assert quality.keep_good(with_null, labels, 0.0).count() == 61 and handed == [docs.columns]
+
+
 def test_awkward_rows_empty_tables_and_one_sided_labels(spark):
     docs, labels = labelled(spark)
     rows = quality.report(awkward(spark), labels).collect()
