@@ -30,6 +30,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,7 +217,23 @@ def nearest_in_lists(postings: DataFrame, queries: DataFrame, lists: Lists, rati
 
     asked = queries.mapInArrow(probe, "list long, id long, vec array<double>")
     blocks = packed(asked, "list", QUERY_BLOCK, "qids", "qvecs")
-    return postings.join(blocks, "list").mapInArrow(scan, "query_id long, vec_id long, score double")
+    # The blocks hold a query once for every list it reads, but Spark sizes them as the queries: left to it, it broadcasts them.
+    return postings.hint("merge").join(blocks, "list").mapInArrow(scan, "query_id long, vec_id long, score double")
+
+
+def sampled(rows: DataFrame, n: int, take: int) -> pd.DataFrame:
+    """The ``take`` of the ``n`` rows whose ids hash lowest, by id.
+
+    Only rows under a hash that somewhat more are under leave their tasks, and the choice is stored
+    before it is fetched, else the driver gets ``take`` rows of every task.
+    """
+    share = min(1.0, (1.2 * take + 1000) / n)
+    few = rows.filter(F.xxhash64("id") < int(share * 2.0**64) - 2**63) if share < 1 else rows
+    for some in (few, rows):  # repeated ids may leave too few
+        picked = store(some.orderBy(F.xxhash64("id"), "id").limit(take), "ann-sample").toPandas()
+        if len(picked) >= min(take, n):
+            break
+    return picked.sort_values("id")
 
 
 def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -233,8 +250,7 @@ def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", v
     if not n:
         return spark.createDataFrame([], schema)
     take = min(SAMPLE, max(k + 2, SAMPLE_BYTES // (8 * dim)))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(take).toPandas()  # bounded by SAMPLE and SAMPLE_BYTES
-    raw = np.stack(picked.sort_values("id")["vec"].to_list())
+    raw = np.stack(sampled(rows, n, take)["vec"].to_list())  # bounded by SAMPLE and SAMPLE_BYTES
     sample = lifted(raw, most)
     lists = Lists(sample, min(MOST_LISTS, max(1, n // LIST), max(1, len(sample) // 8)))
     ratio = lists.calibrate(sample, raw, k, RECALL)

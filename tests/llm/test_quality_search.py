@@ -222,6 +222,24 @@ def test_search_awkward_vectors_and_few_candidates(spark):
     assert ann.search(spark.createDataFrame([], VECTORS), lambda c: c % 20 == 0).count() == 0
 
 
+def test_query_blocks_are_not_broadcast_and_the_driver_gets_the_sample_only(spark, monkeypatch):
+    """A query is in a block of every list it reads, so the blocks outgrow their estimate, the size of the queries."""
+    x = np.array([v for _, v in vectors(600)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vec array<double>")
+    most = np.sqrt((x**2).sum(1)).max()
+    lists = ann.Lists(ann.lifted(x, most), 20)
+    postings = spark.createDataFrame([], "list long, ids array<long>, vecs array<double>")
+    plan = ann.nearest_in_lists(postings, df, lists, np.inf, 20, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= plan.count("count(1)")  # lists counted, nothing else
+    kept, store = [], ann.store
+    monkeypatch.setattr(ann, "store", lambda rows, label: kept.append(store(rows, label)) or kept[-1])
+    lowest = [r.id for r in df.orderBy(ann.F.xxhash64("id"), "id").limit(40).collect()]
+    assert ann.sampled(df, 600, 40)["id"].tolist() == sorted(lowest) and kept[-1].count() == 40
+    assert ann.sampled(df, 600, 590)["id"].nunique() == 590
+    again = df.filter("id % 2 = 0").select((ann.F.col("id") * 0).alias("id"), "vec").limit(300)  # one id, 300 times
+    assert len(ann.sampled(again.repartition(3), 300, 20)) == 20 and len(ann.sampled(again, 20_000, 200)) == 200
+
+
 def test_lists_are_balanced_and_every_list_is_reachable():
     x = np.array([v for _, v in vectors(3000, 3)])
     most = np.sqrt((x**2).sum(1)).max()
