@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def prices(spot: Column, closes: Column) -> Column:
@@ -18,6 +21,26 @@ def log_returns(series: Column) -> Column:
                       lambda b, a: F.log(b) - F.log(a))
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def libm_logs(series: pa.Array) -> pa.Array:
+    """Logarithms of price arrays by the C library, null where the price is not positive.
+
+    Spark's ``log`` is Java's StrictMath and differs from it in the last bit for one to four prices
+    of a hundred. That decides where a result is the nearest or largest of values equally good.
+    """
+    values = series.flatten()
+    logs = pc.if_else(pc.greater(values, 0.0), pc.ln(values), pa.scalar(None, pa.float64()))
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(series), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, logs, mask=series.is_null())
+
+
+def steps(values: Column) -> Column:
+    """Differences of neighbours (one element shorter)."""
+    n = F.size(values)
+    return F.zip_with(F.slice(values, 2, n - 1), F.slice(values, 1, n - 1), lambda b, a: b - a)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -70,9 +93,13 @@ def max_drawdown(spot: Column, closes: Column) -> Column:
     return F.aggregate(closes, zero, step, lambda acc: acc["dd"])
 
 
-def horizon_volatility(spot: Column, closes: Column) -> Column:
-    """Population deviation of the log returns times the root of their count."""
-    returns = log_returns(prices(spot, closes))
+def horizon_volatility(spot: Column, closes: Column, logs=None) -> Column:
+    """Population deviation of the log returns times the root of their count.
+
+    ``logs`` turns the price array into its logarithms in place of Spark's ``log``, as ``libm_logs``.
+    """
+    series = prices(spot, closes)
+    returns = steps(logs(series)) if logs else log_returns(series)
     return std_pop(returns) * F.sqrt(F.size(returns))
 
 

@@ -163,15 +163,17 @@ def omission_summary(rows: DataFrame) -> DataFrame:
         F.sum("c").alias("missed_pairs"), F.avg("c").alias("mean_missed"))
 
 
-def amplitude_cases(rows: DataFrame) -> DataFrame:
+def amplitude_cases(rows: DataFrame, digits: int | None = 9) -> DataFrame:
     """The missed asset closest to the 90 % quantile of relative excess, and the largest one.
 
-    A quantile halfway between two values is as far from both, so distances are equal to nine decimals.
+    A quantile halfway between two values is as far from both, so distances are equal to ``digits``
+    decimals; with None the doubles decide as they are, which is SQL's rule.
     """
     keys = ["universe", "metric"]
     hit = rows.filter("relative is not null")
     p90 = exact_quantiles(hit, keys, "relative", [0.9]).select(*keys, F.col("value").alias("p90"))
-    near = F.struct(F.round(F.abs(F.col("relative") - F.col("p90")), 9).alias("d"), "t0", "asset")
+    gap = F.abs(F.col("relative") - F.col("p90"))
+    near = F.struct((gap if digits is None else F.round(gap, digits)).alias("d"), "t0", "asset")
     big = F.struct((-F.col("relative")).alias("d"), "t0", "asset")
     return (hit.join(dimension(p90, "p90"), keys).groupBy(*keys)
             .agg(F.max("p90").alias("p90"), F.min(near).alias("n"), F.min(big).alias("b"))

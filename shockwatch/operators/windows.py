@@ -126,9 +126,9 @@ def market_windows(origins: DataFrame, bars: DataFrame, lookback: int = LOOKBACK
                         .otherwise(F.array().cast("array<double>"))))
 
 
-def truth_risk(windows: DataFrame) -> DataFrame:
-    """Realised drawdown and volatility of the future part of ready windows."""
+def truth_risk(windows: DataFrame, logs=None) -> DataFrame:
+    """Realised drawdown and volatility of the future part of ready windows; ``logs`` as in ``horizon_volatility``."""
     spot = F.element_at("hist", -1)
     return (windows.filter("status = 'ready'")
             .select("universe", "t0", "asset", max_drawdown(spot, F.col("fut")).alias("mdd"),
-                    horizon_volatility(spot, F.col("fut")).alias("vol")))
+                    horizon_volatility(spot, F.col("fut"), logs).alias("vol")))

@@ -134,7 +134,7 @@ class Hub:
 
     @property
     def actual(self) -> DataFrame:
-        return self._once("actual", lambda: windows.truth_risk(self.windows))
+        return self._once("actual", lambda: windows.truth_risk(self.windows, paths.libm_logs))
 
     @property
     def risk(self) -> DataFrame:

@@ -245,7 +245,7 @@ def a5(h):
         arg_min(asset, (-relative, t0, asset)) max_asset, {r('max(relative)')} max_relative
  FROM m JOIN q USING (universe, metric) GROUP BY universe, metric"""))
 def a36(h):
-    return diagnostics.amplitude_cases(_omissions(h)).select(
+    return diagnostics.amplitude_cases(_omissions(h), digits=None).select(
         "universe", "metric", rd("p90").alias("p90"), "near_t0", "near_asset", "max_t0", "max_asset",
         rd("max_relative").alias("max_relative"))
 

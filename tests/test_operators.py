@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -15,7 +16,9 @@ from shockwatch.functions import identity, paths, ranking
 from shockwatch.operators import (attention, cluster, comparison, diagnostics, features, forecasts,
                                   graph, grid, portfolio, recovery, resample, scoring, shapes,
                                   shocks, training, volume, windows)
-from shockwatch.plans.study import o7
+from shockwatch.plans.catalog import ORACLE
+from shockwatch.plans.hub import Hub
+from shockwatch.plans.study import a36, o7
 
 
 def one(df, *cols):
@@ -421,6 +424,41 @@ def test_amplitude_tie_goes_to_the_earlier_event(spark):
     assert (got.near_t0, got.near_asset, got.max_t0, got.max_asset) == (1, "a", 1, "a")
 
 
+def test_amplitude_query_compares_distances_as_its_sql_does(spark):
+    """Half way between two values the SQL takes the one its doubles put nearer, here the later event."""
+    lo, hi = 0.22, 0.39
+    omitted = spark.createDataFrame([("u", "m", 1, "a", hi, True), ("u", "m", 2, "b", lo, True), *[
+        ("u", "m", 3 + i, "c", 0.01 * i, True) for i in range(4)]],
+        "universe string, metric string, t0 long, asset string, relative double, missed boolean")
+    got = a36(SimpleNamespace(_once=lambda name, build: omitted)).first()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE q_omit AS SELECT * FROM (VALUES " + ", ".join(
+        f"('u', 'm', {r.t0}, '{r.asset}', {r.relative!r}::DOUBLE, true)" for r in omitted.collect())
+        + ") v(universe, metric, t0, asset, relative, missed)")
+    own = ORACLE["a36_amplitude_cases"]
+    cursor = con.execute("WITH " + own[own.rindex("m AS (SELECT * FROM q_omit"):])
+    names = [d[0] for d in cursor.description]
+    assert cursor.fetchall() == [tuple(got[n] for n in names)] and got.near_t0 == 2
+
+
+def test_realised_volatility_has_the_bits_of_the_c_library(spark):
+    """Of values equally good the last bit decides, so it has to be that of the SQL engine's logarithm."""
+    def welford(series):
+        logs = [math.log(p) for p in series]
+        n, m, s = 0, 0.0, 0.0
+        for x in (b - a for a, b in zip(logs, logs[1:])):
+            n += 1
+            last, m = m, m + (x - m) / n
+            s += (x - last) * (x - m)
+        return math.sqrt(s / n) * math.sqrt(30)
+
+    h = Hub(spark, "/root/testdata/sf0.01")
+    rows = h.windows.filter("status = 'ready'").join(h.actual, ["universe", "t0", "asset"]).collect()
+    assert len(rows) > 50 and all(r.vol == welford([r.hist[-1], *r.fut]) for r in rows)
+    odd = spark.createDataFrame([([2.0, 0.0, None],), (None,), ([],), ([-1.0],)], "a array<double>").coalesce(1)
+    assert [r.x for r in odd.select(paths.libm_logs("a").alias("x")).collect()] == [[math.log(2), None, None], None, [], [None]]
+
+
 def test_median_event_tie_goes_to_the_earlier_event(spark, rows):
     """The two middle events of an even number are equally far from the median; rounding must not choose."""
     lo, hi = 3.21, 3.35
